@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "token_files")
+MODULES = ("secrets", "packing", "token_files", "decontamination")
 
 
 def _gather(name: str) -> dict:
