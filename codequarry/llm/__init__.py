@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("secrets", "packing", "token_files", "decontamination")
+MODULES = ("secrets", "quality_classifier", "packing", "token_files", "toxicity", "decontamination")
 
 
 def _gather(name: str) -> dict:

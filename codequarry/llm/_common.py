@@ -54,6 +54,8 @@ class Words:
     """
 
     def __init__(self, column: pa.Array, lower: bool = True):
+        if pa.types.is_large_binary(column.type):  # as large_string, without a check of UTF-8
+            column = pa.Array.from_buffers(pa.large_string(), len(column), column.buffers(), offset=column.offset)
         column = pc.fill_null(column.cast(pa.large_string()), "")
         split = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
         flat, starts = split.values, split.offsets.to_numpy()
