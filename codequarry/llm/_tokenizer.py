@@ -11,6 +11,8 @@ from __future__ import annotations
 import json
 import os
 from array import array
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ class PieceEncoder:
     """Texts → token ids. The cache holds at most about `limit` pieces in each of two generations,
     so memory is bounded whatever the vocabulary of the corpus."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -115,12 +117,19 @@ class PieceEncoder:
         store, first = np.frombuffer(b"".join(own), np.uint32), np.cumsum(lens) - lens
         each = lens[codes]
         ends = np.concatenate([[0], np.cumsum(each)])
-        ids = store[np.repeat(first[codes] - ends[:-1], each) + np.arange(ends[-1])]
+        kind = np.int32 if max(ends[-1], len(store)) < 1 << 31 else np.int64
+        ids = store[np.repeat((first[codes] - ends[:-1]).astype(kind), each) + np.arange(ends[-1], dtype=kind)]
         return ids, ends[lists.offsets.to_numpy()]
 
-    def encode(self, column: pa.Array) -> list[np.ndarray]:
-        """The ids (uint32) of each text; none for null."""
+    def encode(self, column: pa.Array, block: int = 4 << 20) -> Iterator[np.ndarray]:
+        """The ids (uint32) of each text; none for null. Takes about `block` bytes of texts at a time."""
         column = pc.fill_null(column.cast(pa.large_string()), "")
+        ends = np.cumsum(pc.binary_length(column).to_numpy())
+        cuts = np.flatnonzero(np.diff(ends // block, prepend=0)).tolist() if len(column) else []
+        for a, b in zip([0, *cuts], [*cuts, len(column)], strict=True):
+            yield from self._encode(column.slice(a, b - a))
+
+    def _encode(self, column: pa.Array) -> list[np.ndarray]:
         odd = pc.match_substring_regex(column, IRREGULAR).to_numpy(zero_copy_only=False)
         out: list = [None] * len(column)
         if len(at := np.flatnonzero(~odd)):
@@ -131,3 +140,9 @@ class PieceEncoder:
             for i, x in zip(at, self._ids(column.take(pa.array(at)).to_pylist()), strict=True):
                 out[i] = np.frombuffer(x, np.uint32)
         return out
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> PieceEncoder:
+    """One encoder per Python worker, which keeps its pieces from task to task."""
+    return PieceEncoder(path)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codequarry.llm._common import documents, materialise
-from codequarry.llm._tokenizer import PieceEncoder, tokenizer_path
+from codequarry.llm._tokenizer import encoder, tokenizer_path
 
 END_ID = 2
 SAMPLE = 64
@@ -134,8 +134,8 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
     path = path or tokenizer_path()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(path)
-        width = 2 if max(encoder.vocabulary, end_id + 1) <= 1 << 16 else 4
+        own = encoder(path)
+        width = 2 if max(own.vocabulary, end_id + 1) <= 1 << 16 else 4
         doc_ids: list = []
         held: list = []
         size, key = 0, None
@@ -148,7 +148,7 @@ def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
 
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            for doc_id, tie, ids in zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist(), encoder.encode(batch.column("text")), strict=True):
+            for doc_id, tie, ids in zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist(), own.encode(batch.column("text")), strict=True):
                 key = key or (doc_id, tie)
                 doc_ids.append(doc_id)
                 held.append(np.concatenate([ids, end]))
