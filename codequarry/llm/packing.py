@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codequarry.llm._common import documents, materialise
-from codequarry.llm._tokenizer import PieceEncoder, tokenizer_path
+from codequarry.llm._tokenizer import encoder, tokenizer_path
 
 CAPACITY = 1024
 END_ID = 2
@@ -81,10 +81,10 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     path = path or tokenizer_path()
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = PieceEncoder(path), np.array([end_id], np.uint32)
+        own, end = encoder(path), np.array([end_id], np.uint32)
         for batch in batches:
             rows: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.encode(batch.column("text")), strict=True):
                 raw = np.concatenate([ids, end]).astype("<u4").tobytes()
                 for k, (a, n) in enumerate(cut(len(raw) // 4, capacity)):
                     for name, x in zip(rows, (doc_id, k, a, n, zlib.crc32(raw[4 * a : 4 * (a + n)])), strict=True):
