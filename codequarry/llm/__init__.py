@@ -15,8 +15,12 @@ def _gather(name: str) -> dict:
 
 
 def queries() -> dict:
-    return _gather("QUERIES")
+    import corpus_pipeline
+
+    return _gather("QUERIES") | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return _gather("ORACLE_SQL")
+    import corpus_pipeline
+
+    return _gather("ORACLE_SQL") | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.llm._common import Words, documents, materialise, mix
@@ -205,32 +205,33 @@ def agreeing(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(kept, "a long, b long")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, node, class_id (least doc_id of the class) and class_size of every row."""
+def labelled_nodes(docs: DataFrame) -> DataFrame:
+    """node, least doc_id, number of rows and class label of every distinct text."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node_of(F.col("text")).alias("node"))
     labels = components(links(docs))
     nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    nodes = materialise(nodes.join(labels, "node", "left").select("node", "least", "n", F.coalesce("label", "node").alias("label")), "nodes")
+    return materialise(nodes.join(labels, "node", "left").select("node", "least", "n", F.coalesce("label", "node").alias("label")), "nodes")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (least doc_id of the class) and class_size of every row."""
+    nodes = labelled_nodes(docs)
     made = nodes.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
-    return own.join(nodes.join(made, "label").select("node", "class_id", "class_size"), "node").select("doc_id", "node", "class_id", "class_size")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node_of(F.col("text")).alias("node"))
+    return own.join(nodes.join(made, "label").select("node", "class_id", "class_size"), "node").select("doc_id", "class_id", "class_size")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """docs with one row of each class, that with the least doc_id (any of equal rows), all columns kept."""
-    named = docs.withColumns({"__node": node_of(F.col("text")), "__id": F.col("doc_id").cast("long")})
-    members = classes(docs).select("node", "class_id").distinct()
-    first = members.groupBy("class_id").agg(F.min("node").alias("any_node"))
-    nodes = docs.select(F.col("doc_id").cast("long").alias("id"), node_of(F.col("text")).alias("node")).groupBy("node").agg(F.min("id").alias("least"))
-    # the node that holds the class's least id; the least node where ids are null or shared
-    chosen = members.join(nodes, "node").join(first, "class_id").where(F.col("least").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("chosen"))
-    wanted = chosen.select("chosen", F.col("class_id").alias("wanted"))
-    kept = named.join(wanted, (F.col("__node") == F.col("chosen")) & F.col("__id").eqNullSafe(F.col("wanted"))).drop("chosen", "wanted")
-    once = Window.partitionBy("__node").orderBy("__id")
-    return kept.withColumn("__row", F.row_number().over(once)).where("__row = 1").drop("__node", "__id", "__row")
+    first = labelled_nodes(docs).groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("x"))
+    wanted = first.select(F.col("x.node").alias("__chosen"), F.col("x.least").alias("__least"))
+    named = docs.withColumn("__node", node_of(F.col("text")))
+    kept = named.join(wanted, (F.col("__node") == F.col("__chosen")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__least")))
+    return kept.drop("__chosen", "__least").dropDuplicates(["__node"]).drop("__node")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size")
+    return classes(documents(spark, sf_dir))
 
 
 QUERIES = {"op8_near_dedup": op8_near_dedup}
