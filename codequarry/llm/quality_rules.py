@@ -1,8 +1,9 @@
 """Operator 1: quality rules by a hashed n-gram log-likelihood ratio. DataFrame functions only.
 
-Uni- and bigrams of words are hashed into BUCKETS. Two multinomials over the buckets, with add-one
-smoothing, are compared: one of a trusted target (labelled good documents), one of the whole raw
-corpus. A document's ratio is the mean over its n-grams of log p_target - log p_raw. Documents that
+Uni- and bigrams of words are hashed into BUCKETS. Two multinomials over the buckets are compared:
+one of a trusted target (labelled good documents), one of the whole raw corpus, smoothed by PRIOR
+in the target and as much in proportion in the raw counts, so that n-grams of a few texts, labelled
+or not, weigh little. A document's ratio is the mean over its n-grams of log p_target - log p_raw. Documents that
 fail the base rules, or whose ratio is below THRESHOLD, are rejected.
 
 Corpus counts take one pass in which every task sums its own buckets first, so at most BUCKETS rows
@@ -11,8 +12,8 @@ TRUSTED rows and the weights BUCKETS doubles, whatever the corpus.
 
 Nulls: null text has no words (base_failed). Rows with a null or repeated doc_id are judged like
 any other; a text counts as trusted if any row of its id is labelled good. Extra columns are
-ignored by measure() and kept by accept(), whatever their names. Without trusted documents both
-multinomials are uniform over what the raw corpus lacks and only the base rules reject. An empty
+ignored by measure() and kept by accept(), whatever their names. Without trusted documents all
+ratios are 0 and only the base rules reject. An empty
 table gives an empty result.
 """
 
@@ -28,8 +29,10 @@ from codequarry.llm._common import WHITE, documents
 BUCKETS = 1 << 15
 #: Labelled good documents that make up the target, at most.
 TRUSTED = 50_000
+#: Pseudo-counts of every bucket.
+PRIOR = 50.0
 #: Least mean log-likelihood ratio of a kept document.
-THRESHOLD = -0.08
+THRESHOLD = -0.06
 FEWEST_WORDS = 20
 REPEATED_PERCENT = 30
 RUN = 8
@@ -94,7 +97,8 @@ def weights(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> Column:
     counted = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target")).collect()  # BUCKETS rows at most
     raw, target = {r["bucket"]: r["raw"] for r in counted}, {r["bucket"]: r["target"] for r in counted}
     n_raw, n_target = sum(raw.values()), sum(target.values())
-    ratio = lambda b: math.log((target.get(b, 0) + 1) / (n_target + BUCKETS) * (n_raw + BUCKETS) / (raw.get(b, 0) + 1)) if n_target else 0.0
+    share = n_target / n_raw if n_raw else 0.0
+    ratio = lambda b: math.log((target.get(b, 0) + PRIOR) / (raw.get(b, 0) * share + PRIOR))
     return F.split(F.lit(",".join(f"{ratio(b):.4f}" for b in range(BUCKETS))), ",").cast("array<double>")
 
 
