@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality_rules", "secrets", "licenses", "quality_classifier", "packing", "token_files", "near_dedup", "toxicity", "decontamination")
+MODULES = ("quality_rules", "ngram_lm", "secrets", "licenses", "quality_classifier", "packing", "token_files", "near_dedup", "toxicity", "decontamination")
 
 
 def _gather(name: str) -> dict:
