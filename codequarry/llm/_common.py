@@ -54,15 +54,17 @@ class Words:
     """
 
     def __init__(self, column: pa.Array, lower: bool = True):
+        if column.offset:  # a slice, once cast, misleads ascii_lower
+            column = column.take(pa.array(np.arange(len(column))))
         if pa.types.is_large_binary(column.type):  # as large_string, without a check of UTF-8
             column = pa.Array.from_buffers(pa.large_string(), len(column), column.buffers(), offset=column.offset)
         column = pc.fill_null(column.cast(pa.large_string()), "")
         split = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
-        flat, starts = split.values, split.offsets.to_numpy()
+        flat, ends = pc.list_flatten(split), np.cumsum(pc.list_value_length(split).to_numpy())
         full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
         seen = np.concatenate([[0], np.cumsum(full)])
         coded = flat.filter(pa.array(full)).dictionary_encode()
-        self.bounds = seen[starts].astype(np.int64)
+        self.bounds = seen[np.concatenate([[0], ends])].astype(np.int64)
         self.codes = coded.indices.to_numpy().astype(np.int32) if len(coded) else np.zeros(0, np.int32)
         self.words = coded.dictionary.cast(pa.large_binary())
 

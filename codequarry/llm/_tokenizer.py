@@ -123,7 +123,7 @@ class PieceEncoder:
 
     def encode(self, column: pa.Array, block: int = 4 << 20) -> Iterator[np.ndarray]:
         """The ids (uint32) of each text; none for null. Takes about `block` bytes of texts at a time."""
-        column = pc.fill_null(column.cast(pa.large_string()), "")
+        column = pc.fill_null((column.take(pa.array(np.arange(len(column)))) if column.offset else column).cast(pa.large_string()), "")
         ends = np.cumsum(pc.binary_length(column).to_numpy())
         cuts = np.flatnonzero(np.diff(ends // block, prepend=0)).tolist() if len(column) else []
         for a, b in zip([0, *cuts], [*cuts, len(column)], strict=True):
