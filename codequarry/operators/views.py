@@ -1,0 +1,39 @@
+"""Relational operators: quality screens, coverage, coupling, versions. Plans are SQL over the adapter's views."""
+
+from __future__ import annotations
+
+FUNCTION = "block_type = 'Function'"
+ANY = " OR ".join
+TEXT = "(raw_text ILIKE '%{}%')".format
+
+QUERIES = {
+    "v01_untested_functions": f"SELECT b.id, b.semantic_name, c.name AS file_name, c.language, b.cc FROM f_blocks b JOIN f_containers c ON b.container_id = c.id WHERE {FUNCTION} AND b.semantic_name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM f_relationships r WHERE r.target_block_id = b.id AND r.relationship_type = 'tests')",
+    "v02_complex_functions": f"SELECT b.id, b.semantic_name, c.name AS file_name, b.cc, b.n_params FROM f_blocks b JOIN f_containers c ON b.container_id = c.id WHERE {FUNCTION} AND b.cc > 10",
+    "v03_many_parameters": f"SELECT id, semantic_name, n_params FROM f_blocks WHERE {FUNCTION} AND n_params > 5",
+    "v04_duplicate_names": f"SELECT semantic_name, COUNT(*) AS n, COUNT(DISTINCT c.language) AS n_languages, MIN(b.id) AS first_id FROM f_blocks b JOIN f_containers c ON b.container_id = c.id WHERE {FUNCTION} AND semantic_name IS NOT NULL GROUP BY semantic_name HAVING COUNT(*) > 1",
+    "v07_unsafe_execution": f"SELECT id, semantic_name FROM f_blocks WHERE {FUNCTION} AND ({ANY(map(TEXT, ('eval(', 'exec(', 'subprocess', 'shell=true', 'os.system')))})",
+    "v09_language_statistics": "SELECT c.language, COUNT(DISTINCT c.id) AS n_files, COUNT(b.id) AS n_blocks, COUNT(CASE WHEN block_type = 'Function' THEN 1 END) AS n_functions, COUNT(CASE WHEN block_type = 'Class' THEN 1 END) AS n_classes, ROUND(AVG(b.cc), 6) AS avg_cc, MAX(b.cc) AS max_cc FROM f_containers c LEFT JOIN f_blocks b ON b.container_id = c.id GROUP BY c.language",
+    "v11_dependency_analysis": """SELECT b.id, COALESCE(o.ce, 0) AS ce, COALESCE(i.ca, 0) AS ca, CASE WHEN COALESCE(o.ce, 0) + COALESCE(i.ca, 0) = 0 THEN 0.0 ELSE CAST(COALESCE(o.ce, 0) AS DOUBLE) / (COALESCE(o.ce, 0) + COALESCE(i.ca, 0)) END AS instability
+FROM f_blocks b LEFT JOIN (SELECT source_block_id AS k, COUNT(DISTINCT target_block_id) AS ce FROM f_relationships GROUP BY source_block_id) o ON o.k = b.id
+LEFT JOIN (SELECT target_block_id AS k, COUNT(DISTINCT source_block_id) AS ca FROM f_relationships GROUP BY target_block_id) i ON i.k = b.id""",
+    "v12_test_coverage": "SELECT c.language, COUNT(DISTINCT b.id) AS n_functions, COUNT(DISTINCT CASE WHEN t.k IS NOT NULL THEN b.id END) AS n_tested FROM f_blocks b JOIN f_containers c ON b.container_id = c.id LEFT JOIN (SELECT DISTINCT target_block_id AS k FROM f_relationships WHERE relationship_type = 'tests') t ON t.k = b.id WHERE block_type = 'Function' GROUP BY c.language",
+    "v15_queries_in_loops": f"SELECT id, semantic_name FROM f_blocks WHERE {FUNCTION} AND (raw_text ILIKE '%for %' OR raw_text ILIKE '%while %') AND (raw_text ILIKE '%query%' OR raw_text ILIKE '%select%' OR raw_text ILIKE '%execute%')",
+    "v18_orphaned_blocks": "SELECT b.id, b.block_type FROM f_blocks b WHERE b.block_type IN ('Function', 'Class') AND NOT EXISTS (SELECT 1 FROM f_relationships r WHERE r.source_block_id = b.id) AND NOT EXISTS (SELECT 1 FROM f_relationships r WHERE r.target_block_id = b.id)",
+    "v21_test_files": "SELECT id, name FROM f_containers WHERE name ILIKE 'test_%' OR name ILIKE '%_test%' OR name ILIKE '%spec%'",
+    "v22_codebase_statistics": "SELECT COUNT(DISTINCT c.id) AS n_files, COUNT(DISTINCT c.language) AS n_languages, COUNT(b.id) AS n_blocks, ROUND(AVG(b.cc), 6) AS avg_cc FROM f_containers c LEFT JOIN f_blocks b ON b.container_id = c.id",
+    "f01_technical_debt": """SELECT b.id, LEAST(100, 4 * b.cc + 3 * COALESCE(o.n, 0) + GREATEST(0, 30 - 10 * COALESCE(t.n, 0))) AS debt FROM f_blocks b
+LEFT JOIN (SELECT source_block_id AS k, COUNT(*) AS n FROM f_relationships GROUP BY source_block_id) o ON o.k = b.id
+LEFT JOIN (SELECT target_block_id AS k, COUNT(*) AS n FROM f_relationships WHERE relationship_type = 'tests' GROUP BY target_block_id) t ON t.k = b.id""",
+    "r01_relationships_by_migration": "SELECT c.migration_id, r.relationship_type, COUNT(*) AS n FROM f_relationships r JOIN f_blocks b ON r.source_block_id = b.id JOIN f_containers c ON b.container_id = c.id GROUP BY c.migration_id, r.relationship_type",
+    "r03_latest_version": "SELECT block_id, COALESCE(MAX(version_number), 0) AS latest FROM f_versions GROUP BY block_id",
+    "r04_hash_duplicates": "SELECT semantic_hash, COUNT(*) AS n FROM f_versions GROUP BY semantic_hash HAVING COUNT(*) > 1",
+    "r09_container_block_counts": "SELECT c.id, COUNT(b.id) AS n_blocks FROM f_containers c LEFT JOIN f_blocks b ON b.container_id = c.id GROUP BY c.id",
+    "r14_change_frequency": "SELECT change_type, COUNT(*) AS n FROM f_changes GROUP BY change_type",
+    "r16_quality_trends": "SELECT CAST(date_trunc('week', changed_at) AS DATE) AS week, COUNT(CASE WHEN change_type = 'TestAdded' THEN 1 END) / 100.0E0 AS coverage, 100.0E0 - 10 * COUNT(CASE WHEN change_type = 'BugFixed' THEN 1 END) AS maintainability FROM f_changes GROUP BY CAST(date_trunc('week', changed_at) AS DATE)",
+    "g04_entry_points": "SELECT b.id FROM f_blocks b WHERE b.block_type = 'Function' AND NOT EXISTS (SELECT 1 FROM f_relationships r WHERE r.target_block_id = b.id AND r.relationship_type = 'calls')",
+    "g20_coupling": "SELECT k AS id, SUM(o) AS ce, SUM(i) AS ca FROM (SELECT source_block_id AS k, 1 AS o, 0 AS i FROM f_relationships UNION ALL SELECT target_block_id AS k, 0 AS o, 1 AS i FROM f_relationships) e GROUP BY k",
+    "w01_version_numbers": "SELECT id, block_id, SUM(CASE WHEN breaking_change THEN 10 ELSE 1 END) OVER (PARTITION BY block_id ORDER BY version_number ROWS UNBOUNDED PRECEDING) AS number FROM f_versions",
+    "x12_version_history": "SELECT block_id, version_number, change_type FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY block_id ORDER BY version_number DESC) AS age FROM f_versions) v WHERE age <= 10",
+    "p07_complexity_bands": "SELECT CASE WHEN cc <= 5 THEN 'low' WHEN cc <= 10 THEN 'medium' WHEN cc <= 20 THEN 'high' ELSE 'very_high' END AS band, COUNT(*) AS n FROM f_blocks WHERE cc > 0 GROUP BY CASE WHEN cc <= 5 THEN 'low' WHEN cc <= 10 THEN 'medium' WHEN cc <= 20 THEN 'high' ELSE 'very_high' END",
+    "p11_types_by_language": "SELECT c.language, b.block_type, COUNT(*) AS n FROM f_blocks b JOIN f_containers c ON b.container_id = c.id GROUP BY c.language, b.block_type",
+}

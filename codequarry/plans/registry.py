@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from codequarry.operators.views import QUERIES
+from codequarry.sources.adapter import register, with_views
+
 
 def queries() -> dict:
-    return {}
+    def made(text: str):
+        def run(spark, sf_dir):
+            register(spark, sf_dir)
+            return spark.sql(with_views(text))
+
+        return run
+
+    return {name: made(text) for name, text in QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: with_views(text) for name, text in QUERIES.items()}

@@ -1,0 +1,24 @@
+"""Each relational query against its SQL in DuckDB."""
+
+import duckdb
+import pytest
+
+from codequarry.plans import registry
+from codequarry.sources.adapter import BASE
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain(rows):
+    return sorted(tuple(round(float(x), 6) if isinstance(x, (int, float)) and not isinstance(x, bool) or type(x).__name__ == "Decimal" else str(x) for x in r) for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_against_sql(spark, name):
+    df = registry.queries()[name](spark, SF)
+    db = duckdb.connect()
+    for t in BASE:
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    expected = db.execute(registry.oracle_sql()[name])
+    assert [c[0] for c in expected.description] == df.columns
+    assert plain(df.collect()) == plain(expected.fetchall())
