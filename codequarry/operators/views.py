@@ -36,4 +36,17 @@ LEFT JOIN (SELECT target_block_id AS k, COUNT(*) AS n FROM f_relationships WHERE
     "x12_version_history": "SELECT block_id, version_number, change_type FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY block_id ORDER BY version_number DESC) AS age FROM f_versions) v WHERE age <= 10",
     "p07_complexity_bands": "SELECT CASE WHEN cc <= 5 THEN 'low' WHEN cc <= 10 THEN 'medium' WHEN cc <= 20 THEN 'high' ELSE 'very_high' END AS band, COUNT(*) AS n FROM f_blocks WHERE cc > 0 GROUP BY CASE WHEN cc <= 5 THEN 'low' WHEN cc <= 10 THEN 'medium' WHEN cc <= 20 THEN 'high' ELSE 'very_high' END",
     "p11_types_by_language": "SELECT c.language, b.block_type, COUNT(*) AS n FROM f_blocks b JOIN f_containers c ON b.container_id = c.id GROUP BY c.language, b.block_type",
+    "v05_sql_injection_risks": f"SELECT id, semantic_name FROM f_blocks WHERE {FUNCTION} AND ({ANY(map(TEXT, ('execute(', 'query(', 'select ', 'insert ', 'update ', 'delete ')))}) AND ({ANY(map(TEXT, (' + ', 'format(', '||')))})",
+    "v08_nested_loops": f"SELECT id, semantic_name, cc FROM f_blocks WHERE {FUNCTION} AND cc > 15 AND (raw_text ILIKE '%for%for%' OR raw_text ILIKE '%while%while%' OR raw_text ILIKE '%for%while%')",
+    "v14_migration_quality": """SELECT c.migration_id, COUNT(DISTINCT c.id) AS n_containers, COUNT(b.id) AS n_blocks, COUNT(b.semantic_name) AS n_named, ROUND(AVG(b.cc), 6) AS avg_cc, COALESCE(SUM(e.n), 0) AS n_edge_ends
+FROM f_containers c LEFT JOIN f_blocks b ON b.container_id = c.id LEFT JOIN (SELECT k, COUNT(*) AS n FROM (SELECT source_block_id AS k FROM f_relationships UNION ALL SELECT target_block_id AS k FROM f_relationships WHERE target_block_id <> source_block_id) x GROUP BY k) e ON e.k = b.id GROUP BY c.migration_id""",
+    "v16_sync_operations": f"SELECT id, semantic_name FROM f_blocks WHERE {FUNCTION} AND NOT raw_text ILIKE 'async %' AND ({ANY(map(TEXT, ('open(', 'read(', 'write(', 'sleep(', 'requests.')))})",
+    "v24_container_completeness": "SELECT c.id, COUNT(b.id) AS n_blocks, ROUND(AVG(CASE WHEN b.semantic_name IS NOT NULL AND b.raw_text IS NOT NULL THEN 1.0E0 WHEN b.raw_text IS NOT NULL THEN 0.8E0 WHEN b.semantic_name IS NOT NULL THEN 0.6E0 ELSE 0.0E0 END), 6) AS completeness, COUNT(DISTINCT b.block_type) AS n_types FROM f_containers c LEFT JOIN f_blocks b ON b.container_id = c.id GROUP BY c.id",
+    "r12_block_history": "SELECT block_id, change_id, change_type, ROW_NUMBER() OVER (PARTITION BY block_id ORDER BY changed_at DESC, change_id) AS age FROM f_changes",
+    "r18_affected_blocks": "SELECT DISTINCT target_block_id AS block_id, source_block_id AS affected_id FROM f_relationships WHERE relationship_type IN ('calls', 'depends_on', 'imports')",
+    "r25_language_coverage": "SELECT LOWER(language) AS language, COUNT(*) AS n FROM f_containers GROUP BY LOWER(language)",
+    "r26_readiness": "SELECT COUNT(*) >= 100 AND COUNT(CASE WHEN language = 'python' THEN 1 END) >= 10 AND COUNT(CASE WHEN language = 'rust' THEN 1 END) >= 10 AND COUNT(CASE WHEN language = 'javascript' THEN 1 END) >= 10 AND COUNT(CASE WHEN language = 'typescript' THEN 1 END) >= 10 AS ready FROM f_containers",
+    "p05_package_metrics": "SELECT SUBSTR(c.original_path, 1, INSTR(c.original_path, '/f') - 1) AS package, SUM(b.loc) AS loc, ROUND(AVG(CASE WHEN b.cc > 0 THEN b.cc END), 6) AS avg_cc FROM f_containers c JOIN f_blocks b ON b.container_id = c.id GROUP BY SUBSTR(c.original_path, 1, INSTR(c.original_path, '/f') - 1)",
+    "q12_block_histogram": "SELECT container_id, block_type, COUNT(*) AS n, 1.2E0 * COUNT(*) AS complexity FROM f_blocks GROUP BY container_id, block_type",
+    "q15_version_stability": "SELECT block_id, COUNT(*) AS n, ROUND(1.0E0 - CAST(COUNT(CASE WHEN breaking_change THEN 1 END) AS DOUBLE) / COUNT(*), 6) AS stability FROM f_versions GROUP BY block_id",
 }
