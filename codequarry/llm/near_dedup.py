@@ -6,12 +6,12 @@ arrivals fall on random components of the signature, each of which keeps its ear
 processes end as soon as they are later than all its components. Two signatures agree in a
 component with a chance equal to the texts' probability Jaccard.
 
-Equal texts are one node. Bands of the signature put nodes into buckets; a bucket's least node
-leads it and meets every other; where a bucket still spans several classes the next leader does, so
-that, round by round, every two nodes of a bucket either share a class or have been compared. A
-round makes a row per member at most; small leftovers are compared at once. Compared nodes whose
-signatures agree well enough are checked exactly: links are pairs whose sets of shingles have a
-Jaccard similarity of SIMILARITY or more. Classes are the links' connected components.
+Equal texts are one node. Bands of the signature put nodes into buckets. Every node first meets two
+leaders of its buckets, which joins most classes; then the nodes of a bucket that share no class
+meet in blocks of bounded size, so that in the end every two nodes of a bucket either share a class
+or have been compared. Compared nodes whose signatures agree well enough are checked exactly: links
+are pairs whose sets of shingles have a Jaccard similarity of SIMILARITY or more. Classes are the
+links' connected components. Rounds are three, whatever the data.
 
 Nodes are 64-bit hashes of texts. Nulls: null text is the empty text; texts without words are
 linked to their exact copies alone. A class's id is its least doc_id;
@@ -35,8 +35,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
 #: Components of 100 that agree if the similarity is 0.8: fewer are four standard deviations away.
 AGREEING = 62
-#: Members a bucket may have left for all its pairs to be made at once.
-SMALL = 24
+#: Members of a class, or of the others, that meet in one block.
+CHUNK = 64
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -148,67 +148,127 @@ def components(links: DataFrame) -> DataFrame:
         labels = jumped.select("node", "label")
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """Verified links (a, b) between nodes, enough to give every class its connected component."""
-    spark = docs.sparkSession
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of distinct pairs (a, b) of nodes of docs, those whose texts are similar."""
+    needed = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "needed")
+    own = docs.select(node_of(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = materialise(own.join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    for x in "ba":
+        pairs = pairs.join(texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")), x)
+    return similar(pairs)
+
+
+def star_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Two pairs a node at most: of its buckets' leaders whose sketches agree with its own, with the
+    least and with the one that agrees best. A bucket is led by its least node and by one drawn by hash."""
+    drawn = F.min(F.struct(F.xxhash64("node", "bucket").alias("by"), "node")).getField("node")
+    leaders = members.groupBy("bucket").agg(F.array(F.min("node"), drawn).alias("led")).select("bucket", F.explode(F.array_distinct("led")).alias("a"))
+    leaders = leaders.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
+    met = members.withColumnRenamed("node", "b").join(leaders, "bucket").where("a <> b").groupBy("b", "a").agg(F.first("sketch_a").alias("sketch_a"))
+    met = agreeing(met.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b"))
+    chosen = met.groupBy("b").agg(F.array(F.min("a"), F.max_by("a", F.struct("agree", "a"))).alias("a")).select("b", F.explode("a").alias("a"))
+    return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def apart(members: DataFrame, sketches: DataFrame, labels: DataFrame) -> DataFrame:
+    """Blocks of bounded size in which every two nodes that share a bucket and no class meet.
+
+    A bucket's largest class does not meet itself: CHUNK of its members meet CHUNK of the others at a
+    time, and the others meet each other in blocks of two chunks. Rows grow with the members times the
+    chunks of others, not with pairs.
+    """
+    own = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    sizes = own.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket")
+    sizes = sizes.agg(F.count("*").alias("k"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n")).where("k > 1").drop("k")
+    sizes = materialise(sizes.selectExpr("bucket", "main", "n", f"ceil(n_main / {CHUNK}) AS mains", f"ceil((n - n_main) / {CHUNK}) AS others"), "sizes")
+    own = own.join(sizes, "bucket").join(sketches, "node").withColumn("leads", F.expr("label = main"))
+    blocks = F.expr(
+        f"""CASE WHEN n <= {CHUNK} THEN array(named_struct('met', false, 'i', 0L, 'j', 0L))
+        WHEN leads THEN transform(sequence(0L, others - 1), j -> named_struct('met', true, 'i', pmod(xxhash64(node), mains), 'j', j))
+        ELSE concat(transform(sequence(0L, mains - 1), i -> named_struct('met', true, 'i', i, 'j', pmod(xxhash64(node), others))),
+          transform(sequence(0L, others - 1), j -> named_struct('met', false, 'i', least(j, pmod(xxhash64(node), others)), 'j', greatest(j, pmod(xxhash64(node), others)))))
+        END"""
+    )
+    dealt = own.select("bucket", F.explode(blocks).alias("block"), F.struct("node", "label", "leads", "sketch").alias("x"))
+    return dealt.groupBy("bucket", "block").agg(F.collect_list("x").alias("x")).where("size(x) > 1").select(F.col("block.met").alias("met"), "x")
+
+
+def candidates(blocks: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a, b) of different classes whose sketches agree; with best, one of every two classes."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("x")
+            flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            node, label = (flat.field(c).to_numpy() for c in ("node", "label"))
+            leads = flat.field("leads").to_numpy(zero_copy_only=False)
+            sketch = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+            out = [np.zeros((5, 0), np.int64)]
+            for met, s, e in zip(batch.column("met").to_pylist(), ends[:-1], ends[1:], strict=True):
+                for i in range(s, e - 1):
+                    rest = slice(i + 1, e)
+                    agree = (sketch[i] == sketch[rest]).sum(axis=1)
+                    good = (agree >= AGREEING) & (label[i] != label[rest])
+                    if met:
+                        good &= leads[i] != leads[rest]
+                    at = np.flatnonzero(good) + i + 1
+                    if len(at):
+                        out.append(np.stack([np.full(len(at), node[i]), node[at], np.full(len(at), label[i]), label[at], agree[at - i - 1]]))
+            made = np.concatenate(out, axis=1)
+            swap = made[0] > made[1]
+            made[:4, swap] = made[:4, swap][[1, 0, 3, 2]]
+            if best:  # of every two classes
+                low, high = np.minimum(made[2], made[3]), np.maximum(made[2], made[3])
+                order = np.lexsort((-made[4], high, low))
+                fresh = np.ones(len(order), bool)
+                fresh[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
+                made = made[:, order[fresh]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["a", "b", "label_a", "label_b", "agree"])
+
+    found = blocks.mapInArrow(compared, "a long, b long, label_a long, label_b long, agree long")
+    if not best:
+        return found.select("a", "b").distinct()
+    classes_of = (F.least("label_a", "label_b").alias("low"), F.greatest("label_a", "label_b").alias("high"))
+    return found.groupBy(*classes_of).agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """node and label of every node that is linked to another: its class is its label's.
+
+    First every node meets leaders of its buckets, then the best pair of every two classes that
+    share a bucket, then all pairs left that share a bucket and no class.
+    """
     signed = materialise(signatures(docs).groupBy("node").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "signatures")
     entries = signed.select("node", F.explode("keys").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = materialise(entries.join(shared, "bucket"), "members")
-    sketches = signed.select("node", "sketch").join(members.select("node").distinct(), "node", "left_semi")
-    sketches = materialise(sketches, "sketches")
-    empty = spark.createDataFrame([], "a long, b long")
-    found, labels = empty, spark.createDataFrame([], "node long, label long")
-    led = members.groupBy("bucket").agg(F.lit(None).cast("long").alias("leader")).limit(0)
-    turn = 0
-    while True:
-        turn += 1
-        own = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        own = own.join(led, "bucket", "left").where(F.col("leader").isNull() | (F.col("node") > F.col("leader")))
-        # what is left of a bucket: done where one class is
-        left = own.groupBy("bucket").agg(F.min("node").alias("next"), F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        left = materialise(left.select("bucket", "next", "n"), "buckets")
-        if not left.limit(1).count():
-            return found
-        own = own.select("bucket", "node", "label").join(left, "bucket")
-        large = F.lit(True) if turn == 1 else F.col("n") > SMALL
-        head = own.where(large & (F.col("node") == F.col("next"))).select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"))
-        pairs = own.where(large).select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b")).join(head, "bucket").where("a < b AND label_a <> label_b").select("a", "b")
-        if turn > 1:  # SMALL members at most, each with each
-            few = own.where("n <= %d" % SMALL)
-            one, two = (few.select("bucket", F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
-            pairs = pairs.union(one.join(two, "bucket").where("a < b AND label_a <> label_b").select("a", "b"))
-        pairs = pairs.distinct()
-        for x in "ab":
-            pairs = pairs.join(sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")), x)
-        close = materialise(agreeing(pairs).select("a", "b"), "pairs")
-        needed = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
-        own_texts = docs.select(node_of(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-        texts = materialise(own_texts.join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-        for x in "ab":
-            close = close.join(texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")), x)
-        found = materialise(found.union(similar(close)), "found")
-        labels = components(found)
-        led = left.select("bucket", F.when(F.lit(turn > 1) & (F.col("n") <= SMALL), F.lit((1 << 63) - 1)).otherwise(F.col("next")).cast("long").alias("leader")).union(led.join(left, "bucket", "left_anti"))
-        led = materialise(led, "led")
+    members, sketches = materialise(entries.join(shared, "bucket"), "members"), signed.select("node", "sketch")
+    labels = components(verified(docs, materialise(star_pairs(members, sketches), "pairs")))
+    for best in (True, False):
+        pairs = materialise(candidates(apart(members, sketches, labels), best), "pairs")
+        if pairs.isEmpty():
+            break
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(verified(docs, pairs)))
+    return labels
 
 
 def agreeing(pairs: DataFrame) -> DataFrame:
-    """Pairs whose sketches agree in AGREEING components or more."""
+    """a, b and agree of pairs whose sketches agree in AGREEING components or more."""
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(f"sketch_{s}").to_pylist()), np.uint8).reshape(batch.num_rows, -1) for s in "ab")
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= AGREEING))
+                agree = (x == y).sum(axis=1)
+                made = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(agree.astype(np.int64))], ["a", "b", "agree"])
+                yield made.filter(pa.array(agree >= AGREEING))
 
-    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(kept, "a long, b long")
+    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(kept, "a long, b long, agree long")
 
 
 def labelled_nodes(docs: DataFrame) -> DataFrame:
     """node, least doc_id, number of rows and class label of every distinct text."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node_of(F.col("text")).alias("node"))
-    labels = components(links(docs))
+    labels = linked(docs)
     nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     return materialise(nodes.join(labels, "node", "left").select("node", "least", "n", F.coalesce("label", "node").alias("label")), "nodes")
 
