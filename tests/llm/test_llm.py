@@ -136,3 +136,27 @@ def test_words_of_slices():
     words = Words(pa.array(["skipped", *texts]).slice(1))
     got = [[words.distinct[c].decode() for c in words.codes[a:b]] for a, b in itertools.pairwise(words.bounds)]
     assert got == [[w for w in re.split(r"[\x20\x09-\x0D]+", t.lower()) if w] for t in texts]
+
+
+def test_near_dedup_against_brute_force(spark):
+    """Buckets of more than a block, holding several classes: classes as from all pairs."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for base in range(3):
+        words = [f"b{base}x{i}" for i in range(150)]
+        for version in range(4):  # versions are far enough from each other for classes of their own
+            at = rng.choice(150, 6 * version, replace=False)
+            own = [f"v{version}" if i in at else w for i, w in enumerate(words)]
+            for copy in range(40):
+                place = rng.integers(0, 150)
+                texts.append(" ".join(own[:place] + [f"c{base}{version}{copy}"] + own[place + 1 :]))
+    owner, element, _ = near_dedup.shingles(pa.array(texts))
+    sets = [set(element[owner == i].tolist()) for i in range(len(texts))]
+    label = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= near_dedup.SIMILARITY * len(sets[i] | sets[j]) and label[i] != label[j]:
+            low, high = sorted((label[i], label[j]))
+            label = [low if x == high else x for x in label]
+    rows = near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in rows} == dict(enumerate(label))
+    assert len(set(label)) > 3
