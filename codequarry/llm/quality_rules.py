@@ -7,8 +7,9 @@ or not, weigh little. A document's ratio is the mean over its n-grams of log p_t
 fail the base rules, or whose ratio is below THRESHOLD, are rejected.
 
 Corpus counts take one pass in which every task sums its own buckets first, so at most BUCKETS rows
-a task are shuffled; scoring is a second pass without a shuffle. The trusted ids are at most
-TRUSTED rows and the weights BUCKETS doubles, whatever the corpus.
+a task are shuffled; target counts take another, over a join of texts with all trusted ids in which
+neither side is broadcast; scoring is a third pass without a shuffle. The weights are BUCKETS
+doubles, whatever the corpus.
 
 Nulls: null text has no words (base_failed). Rows with a null or repeated doc_id are judged like
 any other; a text counts as trusted if any row of its id is labelled good. Extra columns are
@@ -27,8 +28,6 @@ from pyspark.sql import functions as F
 from codequarry.llm._common import WHITE, documents
 
 BUCKETS = 1 << 15
-#: Labelled good documents that make up the target, at most.
-TRUSTED = 50_000
 #: Pseudo-counts of every bucket.
 PRIOR = 50.0
 #: Least mean log-likelihood ratio of a kept document.
@@ -83,19 +82,20 @@ def hashed(own: Column) -> Column:
     return F.transform(own, lambda w: F.xxhash64(w))
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("trusted_id")).distinct()
-    return good.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(most)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
-def weights(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> Column:
+def counted(texts: DataFrame) -> dict[int, int]:
+    """Number of n-grams by bucket; BUCKETS rows at most reach the driver."""
+    grams = texts.select(F.explode(bound(hashed(words(F.col("text"))), buckets)).alias("bucket"))
+    return {r["bucket"]: r["n"] for r in grams.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+
+
+def weights(docs: DataFrame, labels: DataFrame) -> Column:
     """The array of log p_target - log p_raw by bucket, to four places, as a constant."""
-    trusted = F.broadcast(trusted_ids(labels, most).withColumn("target", F.lit(1)))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    own = own.join(trusted, F.col("doc_id") == F.col("trusted_id"), "left").select(words(F.col("text")).alias("words"), F.coalesce("target", F.lit(0)).alias("target"))
-    grams = own.select("target", F.explode(bound(hashed(F.col("words")), buckets)).alias("bucket"))
-    counted = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target")).collect()  # BUCKETS rows at most
-    raw, target = {r["bucket"]: r["raw"] for r in counted}, {r["bucket"]: r["target"] for r in counted}
+    raw, target = counted(own), counted(own.join(trusted_ids(labels).hint("merge"), "doc_id", "left_semi"))
     n_raw, n_target = sum(raw.values()), sum(target.values())
     share = n_target / n_raw if n_raw else 0.0
     ratio = lambda b: math.log((target.get(b, 0) + PRIOR) / (raw.get(b, 0) * share + PRIOR))

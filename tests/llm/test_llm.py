@@ -83,6 +83,13 @@ def test_quality_rules_against_brute_force(docs, labels):
     assert quality_rules.measure(docs.limit(0), labels).count() == 0
 
 
+def test_quality_rules_trust_every_good_label(spark):
+    """Where all documents are trusted, target and corpus are the same, however many there are."""
+    docs = spark.range(60_000).selectExpr("id AS doc_id", "concat('w', id % 100, ' ', 'v', id % 7) AS text")
+    rows = quality_rules.measure(docs, docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")).select("llr").distinct().collect()
+    assert [r["llr"] for r in rows] == [0.0]
+
+
 def test_licenses(docs):
     by = {r["doc_id"]: r for r in licenses.licences(docs).collect()}
     assert by[8]["n_base"] == 2 and (by[8]["first_word"], by[8]["last_word"]) == (1, 5) and by[8]["base_labels"] == "cc-by-nc,mit"
