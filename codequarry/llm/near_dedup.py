@@ -1,10 +1,11 @@
 """Operator 8: near duplicates by ProbMinHash, banding and verification.
 
-A text's shingles are its runs of SHINGLE words (the whole of a shorter text), weighted by
-1 + ln(count). ProbMinHash draws, for each shingle, a Poisson process whose rate is its weight;
-arrivals fall on random components of the signature, each of which keeps its earliest. A text's
-processes end as soon as they are later than all its components. Two signatures agree in a
-component with a chance equal to the texts' probability Jaccard.
+A text's shingles are its distinct runs of SHINGLE words (the whole of a shorter text), of one weight
+however often each stands there, as in the sets that are verified. ProbMinHash draws, for each
+shingle, a Poisson process whose rate is its weight; arrivals fall on random components of the
+signature, each of which keeps its earliest. A text's processes end as soon as they are later than
+all its components. Two signatures agree in a component with a chance equal to the texts'
+probability Jaccard, which for equal weights is the Jaccard similarity of the sets.
 
 Equal texts are one node. Bands of the signature put nodes into buckets. Every node first meets two
 leaders of its buckets, which joins most classes; then the nodes of a bucket that share no class
@@ -100,9 +101,9 @@ def signatures(docs: DataFrame) -> DataFrame:
             _, firsts = np.unique(batch.column("node").to_numpy(), return_index=True)  # copies once a batch
             for a in range(0, len(firsts), 500):
                 some = batch.take(pa.array(np.sort(firsts)[a : a + 500]))
-                owner, element, count = shingles(some.column("text"))
+                owner, element, _ = shingles(some.column("text"))
                 kept = np.unique(owner)
-                made = prob_min_hash(np.searchsorted(kept, owner), element, 1 + np.log(count), len(kept), BANDS * ROWS)
+                made = prob_min_hash(np.searchsorted(kept, owner), element, np.ones(len(element)), len(kept), BANDS * ROWS)
                 sketch = (made >> np.uint64(56)).astype(np.uint8)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1) * BANDS, pa.int32()), pa.array(band_keys(made).ravel()))
                 yield pa.RecordBatch.from_arrays([some.column("node").take(pa.array(kept)), keys, pa.array([x.tobytes() for x in sketch], pa.binary())], ["node", "keys", "sketch"])

@@ -167,3 +167,13 @@ def test_near_dedup_against_brute_force(spark):
     rows = near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["class_id"] for r in rows} == dict(enumerate(label))
     assert len(set(label)) > 3
+
+
+def test_near_dedup_links_copies_with_a_repeated_paragraph(spark):
+    """The sets of shingles are nearly equal, however often a part of one text is repeated."""
+    rows = []
+    for k in range(12):
+        words = [f"p{k}x{i}" for i in range(400)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:120] * 100 + words[120:]))]
+    made = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in made} == {i: i - i % 2 for i in range(24)}
