@@ -19,7 +19,7 @@ LEFT JOIN (SELECT target_block_id AS k, COUNT(DISTINCT source_block_id) AS ca FR
     "v12_test_coverage": "SELECT c.language, COUNT(DISTINCT b.id) AS n_functions, COUNT(DISTINCT CASE WHEN t.k IS NOT NULL THEN b.id END) AS n_tested FROM f_blocks b JOIN f_containers c ON b.container_id = c.id LEFT JOIN (SELECT DISTINCT target_block_id AS k FROM f_relationships WHERE relationship_type = 'tests') t ON t.k = b.id WHERE block_type = 'Function' GROUP BY c.language",
     "v15_queries_in_loops": f"SELECT id, semantic_name FROM f_blocks WHERE {FUNCTION} AND (raw_text ILIKE '%for %' OR raw_text ILIKE '%while %') AND (raw_text ILIKE '%query%' OR raw_text ILIKE '%select%' OR raw_text ILIKE '%execute%')",
     "v18_orphaned_blocks": "SELECT b.id, b.block_type FROM f_blocks b WHERE b.block_type IN ('Function', 'Class') AND NOT EXISTS (SELECT 1 FROM f_relationships r WHERE r.source_block_id = b.id) AND NOT EXISTS (SELECT 1 FROM f_relationships r WHERE r.target_block_id = b.id)",
-    "v21_test_files": "SELECT id, name FROM f_containers WHERE name ILIKE 'test_%' OR name ILIKE '%_test%' OR name ILIKE '%spec%'",
+    "v21_test_files": "SELECT c.id, c.name AS file_name, c.language, COUNT(b.id) AS test_count, array_sort(array_agg(COALESCE(b.semantic_name, ''))) AS test_names FROM f_containers c JOIN f_blocks b ON b.container_id = c.id WHERE b.block_type = 'Function' AND (c.name ILIKE '%test%' OR c.name ILIKE '%spec%' OR b.semantic_name ILIKE 'test_%' OR b.semantic_name ILIKE '%_test' OR b.semantic_name ILIKE 'it_%' OR b.semantic_name ILIKE 'describe_%') GROUP BY c.id, c.name, c.language",
     "v22_codebase_statistics": "SELECT COUNT(DISTINCT c.id) AS n_files, COUNT(DISTINCT c.language) AS n_languages, COUNT(b.id) AS n_blocks, ROUND(AVG(b.cc), 6) AS avg_cc FROM f_containers c LEFT JOIN f_blocks b ON b.container_id = c.id",
     "f01_technical_debt": """SELECT b.id, LEAST(100, 4 * b.cc + 3 * COALESCE(o.n, 0) + GREATEST(0, 30 - 10 * COALESCE(t.n, 0))) AS debt FROM f_blocks b
 LEFT JOIN (SELECT source_block_id AS k, COUNT(*) AS n FROM f_relationships GROUP BY source_block_id) o ON o.k = b.id

@@ -1,10 +1,12 @@
 """Each relational query against its SQL in DuckDB."""
 
+import re
+
 import duckdb
 import pytest
 
 from codequarry.plans import registry
-from codequarry.sources.adapter import BASE
+from codequarry.sources.adapter import BASE, register, with_views
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,3 +24,20 @@ def test_against_sql(spark, name):
     expected = db.execute(registry.oracle_sql()[name])
     assert [c[0] for c in expected.description] == df.columns
     assert plain(df.collect()) == plain(expected.fetchall())
+
+
+def rows_of(spark, table):
+    register(spark, SF)
+    return [r.asDict() for r in spark.sql(with_views(f"SELECT * FROM {table}")).collect()]
+
+
+def test_test_files_in_plain_python(spark):
+    """Files by their own name or by those of their functions; unnamed functions as ''."""
+    names = {r["id"]: r["name"] for r in rows_of(spark, "f_containers")}
+    found = {}
+    for b in rows_of(spark, "f_blocks"):
+        by_name = re.search("test|spec", names[b["container_id"]], re.I)
+        if b["block_type"] == "Function" and (by_name or re.fullmatch("test.+|.+test|it.+|describe.+", b["semantic_name"] or "", re.I)):
+            found.setdefault(b["container_id"], []).append(b["semantic_name"] or "")
+    made = registry.queries()["v21_test_files"](spark, SF).collect()
+    assert {r["id"]: (r["file_name"], r["test_count"], r["test_names"]) for r in made} == {k: (names[k], len(v), sorted(v)) for k, v in found.items()}
