@@ -17,7 +17,7 @@ QUERIES = {
 FROM f_blocks b LEFT JOIN (SELECT source_block_id AS k, COUNT(DISTINCT target_block_id) AS ce FROM f_relationships GROUP BY source_block_id) o ON o.k = b.id
 LEFT JOIN (SELECT target_block_id AS k, COUNT(DISTINCT source_block_id) AS ca FROM f_relationships GROUP BY target_block_id) i ON i.k = b.id""",
     "v12_test_coverage": "SELECT c.language, COUNT(DISTINCT b.id) AS n_functions, COUNT(DISTINCT CASE WHEN t.k IS NOT NULL THEN b.id END) AS n_tested FROM f_blocks b JOIN f_containers c ON b.container_id = c.id LEFT JOIN (SELECT DISTINCT target_block_id AS k FROM f_relationships WHERE relationship_type = 'tests') t ON t.k = b.id WHERE block_type = 'Function' GROUP BY c.language",
-    "v15_queries_in_loops": f"SELECT id, semantic_name FROM f_blocks WHERE {FUNCTION} AND (raw_text ILIKE '%for %' OR raw_text ILIKE '%while %') AND (raw_text ILIKE '%query%' OR raw_text ILIKE '%select%' OR raw_text ILIKE '%execute%')",
+    "v15_queries_in_loops": f"SELECT id, semantic_name FROM f_blocks WHERE {FUNCTION} AND ({ANY(map(TEXT, ('for', 'while')))}) AND ({ANY(map(TEXT, ('select', 'insert', 'update', 'delete', 'query', 'execute')))})",
     "v18_orphaned_blocks": "SELECT b.id, b.block_type FROM f_blocks b WHERE b.block_type IN ('Function', 'Class') AND NOT EXISTS (SELECT 1 FROM f_relationships r WHERE r.source_block_id = b.id) AND NOT EXISTS (SELECT 1 FROM f_relationships r WHERE r.target_block_id = b.id)",
     "v21_test_files": "SELECT c.id, c.name AS file_name, c.language, COUNT(b.id) AS test_count, array_sort(array_agg(COALESCE(b.semantic_name, ''))) AS test_names FROM f_containers c JOIN f_blocks b ON b.container_id = c.id WHERE b.block_type = 'Function' AND (c.name ILIKE '%test%' OR c.name ILIKE '%spec%' OR b.semantic_name ILIKE 'test_%' OR b.semantic_name ILIKE '%_test' OR b.semantic_name ILIKE 'it_%' OR b.semantic_name ILIKE 'describe_%') GROUP BY c.id, c.name, c.language",
     "v22_codebase_statistics": "SELECT COUNT(DISTINCT c.id) AS n_files, COUNT(DISTINCT c.language) AS n_languages, COUNT(b.id) AS n_blocks, ROUND(AVG(b.cc), 6) AS avg_cc FROM f_containers c LEFT JOIN f_blocks b ON b.container_id = c.id",
@@ -36,11 +36,11 @@ LEFT JOIN (SELECT target_block_id AS k, COUNT(*) AS n FROM f_relationships WHERE
     "x12_version_history": "SELECT block_id, version_number, change_type FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY block_id ORDER BY version_number DESC) AS age FROM f_versions) v WHERE age <= 10",
     "p07_complexity_bands": "SELECT CASE WHEN cc <= 5 THEN 'low' WHEN cc <= 10 THEN 'medium' WHEN cc <= 20 THEN 'high' ELSE 'very_high' END AS band, COUNT(*) AS n FROM f_blocks WHERE cc > 0 GROUP BY CASE WHEN cc <= 5 THEN 'low' WHEN cc <= 10 THEN 'medium' WHEN cc <= 20 THEN 'high' ELSE 'very_high' END",
     "p11_types_by_language": "SELECT c.language, b.block_type, COUNT(*) AS n FROM f_blocks b JOIN f_containers c ON b.container_id = c.id GROUP BY c.language, b.block_type",
-    "v05_sql_injection_risks": f"SELECT id, semantic_name FROM f_blocks WHERE {FUNCTION} AND ({ANY(map(TEXT, ('execute(', 'query(', 'select ', 'insert ', 'update ', 'delete ')))}) AND ({ANY(map(TEXT, (' + ', 'format(', '||')))})",
+    "v05_sql_injection_risks": f"SELECT id, semantic_name FROM f_blocks WHERE {FUNCTION} AND ({ANY(map(TEXT, ('execute(', 'query(', 'select', 'insert', 'update', 'delete')))}) AND ({ANY(map(TEXT, ('+', 'format', 'f\"', '${')))})",
     "v08_nested_loops": f"SELECT id, semantic_name, cc FROM f_blocks WHERE {FUNCTION} AND cc > 15 AND (raw_text ILIKE '%for%for%' OR raw_text ILIKE '%while%while%' OR raw_text ILIKE '%for%while%')",
     "v14_migration_quality": """SELECT c.migration_id, COUNT(DISTINCT c.id) AS n_containers, COUNT(b.id) AS n_blocks, COUNT(b.semantic_name) AS n_named, ROUND(AVG(b.cc), 6) AS avg_cc, COALESCE(SUM(e.n), 0) AS n_edge_ends
 FROM f_containers c LEFT JOIN f_blocks b ON b.container_id = c.id LEFT JOIN (SELECT k, COUNT(*) AS n FROM (SELECT source_block_id AS k FROM f_relationships UNION ALL SELECT target_block_id AS k FROM f_relationships WHERE target_block_id <> source_block_id) x GROUP BY k) e ON e.k = b.id GROUP BY c.migration_id""",
-    "v16_sync_operations": f"SELECT id, semantic_name FROM f_blocks WHERE {FUNCTION} AND NOT raw_text ILIKE 'async %' AND ({ANY(map(TEXT, ('open(', 'read(', 'write(', 'sleep(', 'requests.')))})",
+    "v16_sync_operations": f"SELECT id, semantic_name FROM f_blocks WHERE {FUNCTION} AND NOT raw_text ILIKE 'async %' AND ({ANY(map(TEXT, ('requests.get', 'requests.post', 'urllib.request', 'file.read', 'open(', 'database', 'query')))})",
     "v24_container_completeness": "SELECT c.id, COUNT(b.id) AS n_blocks, ROUND(AVG(CASE WHEN b.semantic_name IS NOT NULL AND b.raw_text IS NOT NULL THEN 1.0E0 WHEN b.raw_text IS NOT NULL THEN 0.8E0 WHEN b.semantic_name IS NOT NULL THEN 0.6E0 ELSE 0.0E0 END), 6) AS completeness, COUNT(DISTINCT b.block_type) AS n_types FROM f_containers c LEFT JOIN f_blocks b ON b.container_id = c.id GROUP BY c.id",
     "r12_block_history": "SELECT block_id, change_id, change_type, ROW_NUMBER() OVER (PARTITION BY block_id ORDER BY changed_at DESC, change_id) AS age FROM f_changes",
     "r18_affected_blocks": "SELECT DISTINCT target_block_id AS block_id, source_block_id AS affected_id FROM f_relationships WHERE relationship_type IN ('calls', 'depends_on', 'imports')",

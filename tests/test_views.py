@@ -5,6 +5,7 @@ import re
 import duckdb
 import pytest
 
+from codequarry.operators.views import QUERIES
 from codequarry.plans import registry
 from codequarry.sources.adapter import BASE, register, with_views
 
@@ -41,3 +42,25 @@ def test_test_files_in_plain_python(spark):
             found.setdefault(b["container_id"], []).append(b["semantic_name"] or "")
     made = registry.queries()["v21_test_files"](spark, SF).collect()
     assert {r["id"]: (r["file_name"], r["test_count"], r["test_names"]) for r in made} == {k: (names[k], len(v), sorted(v)) for k, v in found.items()}
+
+
+SQL = ("select", "insert", "update", "delete")
+SCREENS = {
+    "v05_sql_injection_risks": lambda t: any(x in t for x in ("execute(", "query(", *SQL)) and any(x in t for x in ("+", "format", 'f"', "${")),
+    "v15_queries_in_loops": lambda t: any(x in t for x in ("for", "while")) and any(x in t for x in (*SQL, "query", "execute")),
+    "v16_sync_operations": lambda t: not t.startswith("async ") and any(x in t for x in ("requests.get", "requests.post", "urllib.request", "file.read", "open(", "database", "query")),
+}
+TEXTS = ["for a in b: insert(c)", "while(x) DELETE y", "for(a) update", 'SELECT f"x"', "insert ${x}", "update a+b", "DELETE format", "urllib.request.urlopen(x)", "database.connect()", "query(c)", "async def f(): query(x)", "time.sleep(1)", "plain"]
+
+
+@pytest.mark.parametrize("name", sorted(SCREENS))
+def test_text_screens_in_plain_python(spark, name):
+    """Of the adapter's functions, and of texts that hold each of the reference's patterns."""
+    blocks = [(r["id"], r["raw_text"]) for r in rows_of(spark, "f_blocks") if r["block_type"] == "Function"]
+    assert {r["id"] for r in registry.queries()[name](spark, SF).collect()} == {i for i, t in blocks if SCREENS[name](t.lower())}
+    spark.createDataFrame(list(enumerate(TEXTS)), "id long, raw_text string").selectExpr("*", "'Function' AS block_type", "'x' AS semantic_name").createOrReplaceTempView("f_blocks")
+    try:
+        made = {r["id"] for r in spark.sql(QUERIES[name]).collect()}
+    finally:
+        spark.catalog.dropTempView("f_blocks")
+    assert made == {i for i, t in enumerate(TEXTS) if SCREENS[name](t.lower())}
