@@ -12,15 +12,17 @@ QUERIES = {
     "v03_many_parameters": f"SELECT id, semantic_name, n_params FROM f_blocks WHERE {FUNCTION} AND n_params > 5",
     "v04_duplicate_names": f"SELECT semantic_name, COUNT(*) AS n, COUNT(DISTINCT c.language) AS n_languages, MIN(b.id) AS first_id FROM f_blocks b JOIN f_containers c ON b.container_id = c.id WHERE {FUNCTION} AND semantic_name IS NOT NULL GROUP BY semantic_name HAVING COUNT(*) > 1",
     "v07_unsafe_execution": f"SELECT id, semantic_name FROM f_blocks WHERE {FUNCTION} AND ({ANY(map(TEXT, ('eval(', 'exec(', 'subprocess', 'shell=true', 'os.system')))})",
-    "v09_language_statistics": "SELECT c.language, COUNT(DISTINCT c.id) AS n_files, COUNT(b.id) AS n_blocks, COUNT(CASE WHEN block_type = 'Function' THEN 1 END) AS n_functions, COUNT(CASE WHEN block_type = 'Class' THEN 1 END) AS n_classes, ROUND(AVG(b.cc), 6) AS avg_cc, MAX(b.cc) AS max_cc FROM f_containers c LEFT JOIN f_blocks b ON b.container_id = c.id GROUP BY c.language",
+    "v09_language_statistics": "SELECT c.language, COUNT(DISTINCT c.id) AS n_files, COUNT(b.id) AS n_blocks, COUNT(CASE WHEN block_type = 'Function' THEN 1 END) AS n_functions, COUNT(CASE WHEN block_type = 'Class' THEN 1 END) AS n_classes, COUNT(CASE WHEN block_type = 'Module' THEN 1 END) AS n_modules, COUNT(CASE WHEN block_type = 'Interface' THEN 1 END) AS n_interfaces, ROUND(AVG(b.cc), 6) AS avg_cc, MAX(b.cc) AS max_cc FROM f_containers c LEFT JOIN f_blocks b ON b.container_id = c.id GROUP BY c.language",
     "v11_dependency_analysis": """SELECT b.id, COALESCE(o.ce, 0) AS ce, COALESCE(i.ca, 0) AS ca, CASE WHEN COALESCE(o.ce, 0) + COALESCE(i.ca, 0) = 0 THEN 0.0 ELSE CAST(COALESCE(o.ce, 0) AS DOUBLE) / (COALESCE(o.ce, 0) + COALESCE(i.ca, 0)) END AS instability
 FROM f_blocks b LEFT JOIN (SELECT source_block_id AS k, COUNT(DISTINCT target_block_id) AS ce FROM f_relationships GROUP BY source_block_id) o ON o.k = b.id
 LEFT JOIN (SELECT target_block_id AS k, COUNT(DISTINCT source_block_id) AS ca FROM f_relationships GROUP BY target_block_id) i ON i.k = b.id""",
-    "v12_test_coverage": "SELECT c.language, COUNT(DISTINCT b.id) AS n_functions, COUNT(DISTINCT CASE WHEN t.k IS NOT NULL THEN b.id END) AS n_tested FROM f_blocks b JOIN f_containers c ON b.container_id = c.id LEFT JOIN (SELECT DISTINCT target_block_id AS k FROM f_relationships WHERE relationship_type = 'tests') t ON t.k = b.id WHERE block_type = 'Function' GROUP BY c.language",
+    "v12_test_coverage": """SELECT language, n_functions, n_tested, ROUND(CASE WHEN n_functions = 0 THEN 0.0E0 ELSE 100.0E0 * n_tested / n_functions END, 6) AS coverage_percentage
+FROM (SELECT c.language, COUNT(DISTINCT CASE WHEN block_type = 'Function' THEN b.id END) AS n_functions, COUNT(DISTINCT CASE WHEN block_type = 'Function' AND t.k IS NOT NULL THEN b.id END) AS n_tested FROM f_containers c LEFT JOIN f_blocks b ON b.container_id = c.id
+LEFT JOIN (SELECT DISTINCT target_block_id AS k FROM f_relationships WHERE relationship_type = 'tests') t ON t.k = b.id GROUP BY c.language) x""",
     "v15_queries_in_loops": f"SELECT id, semantic_name FROM f_blocks WHERE {FUNCTION} AND ({ANY(map(TEXT, ('for', 'while')))}) AND ({ANY(map(TEXT, ('select', 'insert', 'update', 'delete', 'query', 'execute')))})",
     "v18_orphaned_blocks": "SELECT b.id, b.block_type FROM f_blocks b WHERE b.block_type IN ('Function', 'Class') AND NOT EXISTS (SELECT 1 FROM f_relationships r WHERE r.source_block_id = b.id) AND NOT EXISTS (SELECT 1 FROM f_relationships r WHERE r.target_block_id = b.id)",
     "v21_test_files": "SELECT c.id, c.name AS file_name, c.language, COUNT(b.id) AS test_count, array_sort(array_agg(COALESCE(b.semantic_name, ''))) AS test_names FROM f_containers c JOIN f_blocks b ON b.container_id = c.id WHERE b.block_type = 'Function' AND (c.name ILIKE '%test%' OR c.name ILIKE '%spec%' OR b.semantic_name ILIKE 'test_%' OR b.semantic_name ILIKE '%_test' OR b.semantic_name ILIKE 'it_%' OR b.semantic_name ILIKE 'describe_%') GROUP BY c.id, c.name, c.language",
-    "v22_codebase_statistics": "SELECT COUNT(DISTINCT c.id) AS n_files, COUNT(DISTINCT c.language) AS n_languages, COUNT(b.id) AS n_blocks, ROUND(AVG(b.cc), 6) AS avg_cc FROM f_containers c LEFT JOIN f_blocks b ON b.container_id = c.id",
+    "v22_codebase_statistics": "SELECT COUNT(DISTINCT c.id) AS n_files, COUNT(DISTINCT c.language) AS n_languages, COUNT(b.id) AS n_blocks, COUNT(CASE WHEN block_type = 'Function' THEN 1 END) AS n_functions, COUNT(CASE WHEN block_type = 'Class' THEN 1 END) AS n_classes, COUNT(CASE WHEN block_type = 'Interface' THEN 1 END) AS n_interfaces, ROUND(AVG(b.cc), 6) AS avg_cc, MAX(b.cc) AS max_cc, (SELECT COUNT(*) FROM f_relationships r JOIN f_blocks o ON r.source_block_id = o.id JOIN f_containers k ON o.container_id = k.id) AS n_relationships FROM f_containers c LEFT JOIN f_blocks b ON b.container_id = c.id",
     "f01_technical_debt": """SELECT b.id, LEAST(100, 4 * b.cc + 3 * COALESCE(o.n, 0) + GREATEST(0, 30 - 10 * COALESCE(t.n, 0))) AS debt FROM f_blocks b
 LEFT JOIN (SELECT source_block_id AS k, COUNT(*) AS n FROM f_relationships GROUP BY source_block_id) o ON o.k = b.id
 LEFT JOIN (SELECT target_block_id AS k, COUNT(*) AS n FROM f_relationships WHERE relationship_type = 'tests' GROUP BY target_block_id) t ON t.k = b.id""",
@@ -29,17 +31,22 @@ LEFT JOIN (SELECT target_block_id AS k, COUNT(*) AS n FROM f_relationships WHERE
     "r04_hash_duplicates": "SELECT semantic_hash, COUNT(*) AS n FROM f_versions GROUP BY semantic_hash HAVING COUNT(*) > 1",
     "r09_container_block_counts": "SELECT c.id, COUNT(b.id) AS n_blocks FROM f_containers c LEFT JOIN f_blocks b ON b.container_id = c.id GROUP BY c.id",
     "r14_change_frequency": "SELECT change_type, COUNT(*) AS n FROM f_changes GROUP BY change_type",
-    "r16_quality_trends": "SELECT CAST(date_trunc('week', changed_at) AS DATE) AS week, COUNT(CASE WHEN change_type = 'TestAdded' THEN 1 END) / 100.0E0 AS coverage, 100.0E0 - 10 * COUNT(CASE WHEN change_type = 'BugFixed' THEN 1 END) AS maintainability FROM f_changes GROUP BY CAST(date_trunc('week', changed_at) AS DATE)",
+    "r16_quality_trends": "SELECT CAST(date_trunc('week', changed_at) AS DATE) AS week, COUNT(CASE WHEN change_type = 'TestAdded' THEN 1 END) / 100.0E0 AS coverage, 100.0E0 - 10 * COUNT(CASE WHEN change_type = 'BugFixed' THEN 1 END) AS maintainability, COUNT(CASE WHEN change_type = 'BugFixed' THEN 1 END) / 100.0E0 AS technical_debt_ratio FROM f_changes GROUP BY CAST(date_trunc('week', changed_at) AS DATE)",
     "g04_entry_points": "SELECT b.id FROM f_blocks b WHERE b.block_type = 'Function' AND NOT EXISTS (SELECT 1 FROM f_relationships r WHERE r.target_block_id = b.id AND r.relationship_type = 'calls')",
     "g20_coupling": "SELECT k AS id, SUM(o) AS ce, SUM(i) AS ca FROM (SELECT source_block_id AS k, 1 AS o, 0 AS i FROM f_relationships UNION ALL SELECT target_block_id AS k, 0 AS o, 1 AS i FROM f_relationships) e GROUP BY k",
-    "w01_version_numbers": "SELECT id, block_id, SUM(CASE WHEN breaking_change THEN 10 ELSE 1 END) OVER (PARTITION BY block_id ORDER BY version_number ROWS UNBOUNDED PRECEDING) AS number FROM f_versions",
+    "w01_version_numbers": "SELECT id, block_id, SUM(CASE WHEN change_type IN ('minor', 'feature') THEN 3 WHEN change_type IN ('patch', 'fix', 'optimization') THEN 1 WHEN breaking_change THEN 10 WHEN change_type IN ('major', 'breaking') THEN 5 ELSE 1 END) OVER (PARTITION BY block_id ORDER BY version_number ROWS UNBOUNDED PRECEDING) AS number FROM f_versions",
     "x12_version_history": "SELECT block_id, version_number, change_type FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY block_id ORDER BY version_number DESC) AS age FROM f_versions) v WHERE age <= 10",
-    "p07_complexity_bands": "SELECT CASE WHEN cc <= 5 THEN 'low' WHEN cc <= 10 THEN 'medium' WHEN cc <= 20 THEN 'high' ELSE 'very_high' END AS band, COUNT(*) AS n FROM f_blocks WHERE cc > 0 GROUP BY CASE WHEN cc <= 5 THEN 'low' WHEN cc <= 10 THEN 'medium' WHEN cc <= 20 THEN 'high' ELSE 'very_high' END",
+    "p07_complexity_bands": """SELECT x.band, x.n, t.average, t.minimum, t.maximum FROM (SELECT CASE WHEN cc <= 5 THEN 'low' WHEN cc <= 10 THEN 'medium' WHEN cc <= 20 THEN 'high' ELSE 'very_high' END AS band, COUNT(*) AS n FROM f_blocks WHERE cc > 0 GROUP BY CASE WHEN cc <= 5 THEN 'low' WHEN cc <= 10 THEN 'medium' WHEN cc <= 20 THEN 'high' ELSE 'very_high' END) x
+CROSS JOIN (SELECT ROUND(AVG(cc), 6) AS average, MIN(cc) AS minimum, MAX(cc) AS maximum FROM f_blocks WHERE cc > 0) t""",
     "p11_types_by_language": "SELECT c.language, b.block_type, COUNT(*) AS n FROM f_blocks b JOIN f_containers c ON b.container_id = c.id GROUP BY c.language, b.block_type",
     "v05_sql_injection_risks": f"SELECT id, semantic_name FROM f_blocks WHERE {FUNCTION} AND ({ANY(map(TEXT, ('execute(', 'query(', 'select', 'insert', 'update', 'delete')))}) AND ({ANY(map(TEXT, ('+', 'format', 'f\"', '${')))})",
     "v08_nested_loops": f"SELECT id, semantic_name, cc FROM f_blocks WHERE {FUNCTION} AND cc > 15 AND (raw_text ILIKE '%for%for%' OR raw_text ILIKE '%while%while%' OR raw_text ILIKE '%for%while%')",
-    "v14_migration_quality": """SELECT c.migration_id, COUNT(DISTINCT c.id) AS n_containers, COUNT(b.id) AS n_blocks, COUNT(b.semantic_name) AS n_named, ROUND(AVG(b.cc), 6) AS avg_cc, COALESCE(SUM(e.n), 0) AS n_edge_ends
-FROM f_containers c LEFT JOIN f_blocks b ON b.container_id = c.id LEFT JOIN (SELECT k, COUNT(*) AS n FROM (SELECT source_block_id AS k FROM f_relationships UNION ALL SELECT target_block_id AS k FROM f_relationships WHERE target_block_id <> source_block_id) x GROUP BY k) e ON e.k = b.id GROUP BY c.migration_id""",
+    "v14_migration_quality": """SELECT m.id AS migration_id, m.repository_name, m.created_at, COALESCE(x.n_containers, 0) AS n_containers, COALESCE(x.n_blocks, 0) AS n_blocks, COALESCE(x.n_named, 0) AS n_named,
+ROUND(CASE WHEN COALESCE(x.n_blocks, 0) = 0 THEN 0.0E0 ELSE 100.0E0 * x.n_named / x.n_blocks END, 6) AS semantic_coverage_percentage, x.avg_cc, COALESCE(e.n, 0) AS n_relationships
+FROM f_migrations m LEFT JOIN (SELECT c.migration_id, COUNT(DISTINCT c.id) AS n_containers, COUNT(b.id) AS n_blocks, COUNT(b.semantic_name) AS n_named, ROUND(AVG(b.cc), 6) AS avg_cc FROM f_containers c LEFT JOIN f_blocks b ON b.container_id = c.id GROUP BY c.migration_id) x ON x.migration_id = m.id
+LEFT JOIN (SELECT migration_id, COUNT(*) AS n FROM (SELECT DISTINCT c.migration_id, r.source_block_id, r.target_block_id, r.relationship_type
+FROM (SELECT source_block_id AS k, source_block_id, target_block_id, relationship_type FROM f_relationships UNION ALL SELECT target_block_id AS k, source_block_id, target_block_id, relationship_type FROM f_relationships) r
+JOIN f_blocks b ON b.id = r.k JOIN f_containers c ON c.id = b.container_id) d GROUP BY migration_id) e ON e.migration_id = m.id""",
     "v16_sync_operations": f"SELECT id, semantic_name FROM f_blocks WHERE {FUNCTION} AND NOT raw_text ILIKE 'async %' AND ({ANY(map(TEXT, ('requests.get', 'requests.post', 'urllib.request', 'file.read', 'open(', 'database', 'query')))})",
     "v24_container_completeness": "SELECT c.id, COUNT(b.id) AS n_blocks, ROUND(AVG(CASE WHEN b.semantic_name IS NOT NULL AND b.raw_text IS NOT NULL THEN 1.0E0 WHEN b.raw_text IS NOT NULL THEN 0.8E0 WHEN b.semantic_name IS NOT NULL THEN 0.6E0 ELSE 0.0E0 END), 6) AS completeness, COUNT(DISTINCT b.block_type) AS n_types FROM f_containers c LEFT JOIN f_blocks b ON b.container_id = c.id GROUP BY c.id",
     "r12_block_history": "SELECT block_id, change_id, change_type, ROW_NUMBER() OVER (PARTITION BY block_id ORDER BY changed_at DESC, change_id) AS age FROM f_changes",
@@ -48,5 +55,7 @@ FROM f_containers c LEFT JOIN f_blocks b ON b.container_id = c.id LEFT JOIN (SEL
     "r26_readiness": "SELECT COUNT(*) >= 100 AND COUNT(CASE WHEN language = 'python' THEN 1 END) >= 10 AND COUNT(CASE WHEN language = 'rust' THEN 1 END) >= 10 AND COUNT(CASE WHEN language = 'javascript' THEN 1 END) >= 10 AND COUNT(CASE WHEN language = 'typescript' THEN 1 END) >= 10 AS ready FROM f_containers",
     "p05_package_metrics": "SELECT SUBSTR(c.original_path, 1, INSTR(c.original_path, '/f') - 1) AS package, SUM(b.loc) AS loc, ROUND(AVG(CASE WHEN b.cc > 0 THEN b.cc END), 6) AS avg_cc FROM f_containers c JOIN f_blocks b ON b.container_id = c.id GROUP BY SUBSTR(c.original_path, 1, INSTR(c.original_path, '/f') - 1)",
     "q12_block_histogram": "SELECT container_id, block_type, COUNT(*) AS n, 1.2E0 * COUNT(*) AS complexity FROM f_blocks GROUP BY container_id, block_type",
-    "q15_version_stability": "SELECT block_id, COUNT(*) AS n, ROUND(1.0E0 - CAST(COUNT(CASE WHEN breaking_change THEN 1 END) AS DOUBLE) / COUNT(*), 6) AS stability FROM f_versions GROUP BY block_id",
+    "q15_version_stability": """SELECT block_id, n, stability, CASE WHEN n < 2 THEN 'Stable' WHEN n_breaking >= 2 THEN 'Volatile' WHEN n <= 3 THEN 'Growing' ELSE 'Refactoring' END AS trend, ROUND(CASE WHEN n >= 2 AND days > 0 THEN CAST(n AS DOUBLE) / days ELSE 0.0E0 END, 6) AS frequency
+FROM (SELECT block_id, COUNT(*) AS n, ROUND(1.0E0 - CAST(COUNT(CASE WHEN breaking_change THEN 1 END) AS DOUBLE) / COUNT(*), 6) AS stability, COUNT(CASE WHEN breaking_change AND age <= 10 THEN 1 END) AS n_breaking, EXTRACT(DAY FROM MAX(created_at) - MIN(created_at)) AS days
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY block_id ORDER BY version_number DESC) AS age FROM f_versions) v GROUP BY block_id) x""",
 }

@@ -1,6 +1,7 @@
 """Each relational query against its SQL in DuckDB."""
 
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -64,3 +65,42 @@ def test_text_screens_in_plain_python(spark, name):
     finally:
         spark.catalog.dropTempView("f_blocks")
     assert made == {i for i, t in enumerate(TEXTS) if SCREENS[name](t.lower())}
+
+
+def test_statistics_in_plain_python(spark):
+    """Outputs that once were missing, from the adapter's rows."""
+    got = lambda name: [r.asDict() for r in registry.queries()[name](spark, SF).collect()]
+    blocks, containers, edges = (rows_of(spark, f"f_{t}") for t in ("blocks", "containers", "relationships"))
+    kinds, home = Counter(b["block_type"] for b in blocks), {c["id"]: c for c in containers}
+    own = {b["id"]: home[b["container_id"]] for b in blocks}
+    v22 = got("v22_codebase_statistics")[0]
+    assert [v22[c] for c in ("n_functions", "n_classes", "n_interfaces", "max_cc", "n_relationships")] == [kinds["Function"], kinds["Class"], kinds["Interface"], max(b["cc"] for b in blocks), sum(e["source_block_id"] in own for e in edges)]
+    v09 = got("v09_language_statistics")
+    assert sum(r["n_modules"] for r in v09) == kinds["Module"] and sum(r["n_interfaces"] for r in v09) == kinds["Interface"]
+    assert all(r["coverage_percentage"] == pytest.approx(100 * r["n_tested"] / r["n_functions"], abs=1e-5) for r in got("v12_test_coverage"))
+    ends = {(own[k]["migration_id"], *e.values()) for e in edges for k in (e["source_block_id"], e["target_block_id"]) if k in own}
+    count = Counter(x[0] for x in ends)
+    v14 = got("v14_migration_quality")
+    assert {r["migration_id"]: r["n_relationships"] for r in v14} == {m["id"]: count[m["id"]] for m in rows_of(spark, "f_migrations")}
+    assert all(r["semantic_coverage_percentage"] == pytest.approx(100 * r["n_named"] / r["n_blocks"], abs=1e-5) for r in v14)
+    assert sum(r["technical_debt_ratio"] for r in got("r16_quality_trends")) == pytest.approx(sum(c["change_type"] == "BugFixed" for c in rows_of(spark, "f_changes")) / 100)
+    cc = [b["cc"] for b in blocks if b["cc"] > 0]
+    assert {(r["average"], r["minimum"], r["maximum"]) for r in got("p07_complexity_bands")} == {(round(sum(cc) / len(cc), 6), min(cc), max(cc))}
+    versions = {}
+    for v in sorted(rows_of(spark, "f_versions"), key=lambda v: -v["version_number"]):
+        versions.setdefault(v["block_id"], []).append(v)
+    for r in got("q15_version_stability"):
+        v = versions[r["block_id"]]
+        days, broken = (v[0]["created_at"] - v[-1]["created_at"]).days, sum(x["breaking_change"] for x in v[:10])
+        assert r["trend"] == ("Stable" if len(v) < 2 else "Volatile" if broken >= 2 else "Growing" if len(v) <= 3 else "Refactoring")
+        assert r["frequency"] == pytest.approx(len(v) / days if days > 0 else 0, abs=1e-6)
+
+
+def test_version_numbers_by_change_type(spark):
+    rows = [("minor", False), ("major", False), ("major", True), ("fix", True), ("feature", True), ("other", False), ("breaking", False)]
+    spark.createDataFrame([(i, 1, i, *r) for i, r in enumerate(rows)], "id long, block_id long, version_number long, change_type string, breaking_change boolean").createOrReplaceTempView("f_versions")
+    try:
+        made = spark.sql(QUERIES["w01_version_numbers"]).collect()
+    finally:
+        spark.catalog.dropTempView("f_versions")
+    assert [r["number"] for r in sorted(made, key=lambda r: r["id"])] == [3, 8, 18, 19, 22, 23, 28]
