@@ -3,9 +3,9 @@
 Patterns give the base spans. The method reads every run of secret-like characters, sorts it into
 a character class (hexadecimal, or letters with digits) and slides a window over it: counts of the
 characters in the window change by two per step, and with them sum(c * log2 c), so each step costs
-a constant. Windows at or above the class's entropy are merged into spans; allow-listed strings
-(UUIDs, checksums with a named algorithm, placeholders, given strings) give none. A span inside a
-base span is not reported twice.
+a constant. Windows at or above the class's entropy are merged into spans; windows that overlap an
+allow-listed string (UUIDs, placeholders) give none, nor do whole runs that are checksums with a
+named algorithm or given strings. A span inside a base span is not reported twice.
 
 Nulls: null text is the empty text, with no spans. Rows with null or repeated doc_id are scanned
 like any other. Columns of docs other than doc_id and text are ignored by scan() and kept by
@@ -33,7 +33,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 IS_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-CHECKSUM = re.compile(r"(md5|sha\d*|crc\d*|integrity|checksum)[^A-Za-z0-9]{0,3}$", re.IGNORECASE)
+CHECKSUM = re.compile(r"(?<![A-Za-z0-9])(md5|sha\d*|crc\d*|integrity|checksum)[^A-Za-z0-9]{0,3}$", re.IGNORECASE)
 PLACEHOLDER = re.compile(r"example|placeholder|changeme|xxxx|0000000|1234567", re.IGNORECASE)
 WINDOW = 20
 #: Least entropy in bits of a window of 20 characters.
@@ -41,8 +41,8 @@ ENTROPY = {"entropy_hex": 2.9, "entropy_mixed": 3.6}
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
-def entropy_spans(text: str, window: int = WINDOW, least: dict[str, float] = ENTROPY) -> list[tuple[int, int]]:
-    """(start, end) of merged windows whose entropy is at least the class's bound."""
+def entropy_spans(text: str, window: int = WINDOW, least: dict[str, float] = ENTROPY, barred: Collection[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """(start, end) of merged windows whose entropy is at least the class's bound and that overlap no barred place."""
     kind = "entropy_hex" if IS_HEX.fullmatch(text) else "entropy_mixed"
     if len(text) < window or not any(c.isdigit() for c in text) or not any(c.isalpha() for c in text):
         return []
@@ -57,8 +57,8 @@ def entropy_spans(text: str, window: int = WINDOW, least: dict[str, float] = ENT
         if i >= window:
             n = counts[gone := text[i - window]]
             counts[gone], total = n - 1, total + weight[n - 1] - weight[n]
-        if i >= window - 1 and total <= most:
-            a = i - window + 1
+        a = i - window + 1
+        if a >= 0 and total <= most and not any(x <= i and a < y for x, y in barred):
             if spans and a <= spans[-1][1]:
                 spans[-1] = spans[-1][0], i + 1
             else:
@@ -67,8 +67,13 @@ def entropy_spans(text: str, window: int = WINDOW, least: dict[str, float] = ENT
 
 
 def allowed(text: str, match: re.Match, allow: Collection[str]) -> bool:
-    own = match[0]
-    return own in allow or bool(UUID.search(own) or PLACEHOLDER.search(own) or CHECKSUM.search(text, max(0, match.start() - 12), match.start()))
+    """Whether the run is a given string, or a checksum behind its algorithm's name."""
+    return match[0] in allow or bool(CHECKSUM.search(text, max(0, match.start() - 12), match.start()))
+
+
+def harmless(run: str) -> list[tuple[int, int]]:
+    """(start, end) of the UUIDs and placeholders in a run."""
+    return [m.span() for pattern in (UUID, PLACEHOLDER) for m in pattern.finditer(run)]
 
 
 def find(text: str, allow: Collection[str] = ()) -> list[tuple[str, int, int]]:
@@ -82,7 +87,7 @@ def find(text: str, allow: Collection[str] = ()) -> list[tuple[str, int, int]]:
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
     base = list(spans)
     for m in CANDIDATE.finditer(text):
-        for a, b in () if m[0].isalpha() or allowed(text, m, allow) else entropy_spans(m[0]):
+        for a, b in () if m[0].isalpha() or allowed(text, m, allow) else entropy_spans(m[0], barred=harmless(m[0])):
             a, b = a + m.start(), b + m.start()
             if not any(x <= a and b <= y for _, x, y in base):
                 spans.append(("entropy_hex" if IS_HEX.fullmatch(m[0]) else "entropy_mixed", a, b))

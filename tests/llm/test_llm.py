@@ -76,6 +76,15 @@ def test_entropy_is_that_of_the_window():
     assert bool(secrets.entropy_spans(text, least={"entropy_hex": h - 1e-6})) and not secrets.entropy_spans(text, least={"entropy_hex": h + 1e-3})
 
 
+def test_allow_list_spares_the_rest_of_a_run():
+    key = "q7Gh2Kd9Lm4Np8Rt3Vx6Zb1Yc5"
+    held = lambda text: [text[a:b] for _, a, b in secrets.find(text)]
+    uuid = "550e8400-e29b-41d4-a716-446655440000"
+    assert held(f"h.io/d/{uuid}/{key}") == [f"/{key}"] and held(f"h.io/d/{uuid}") == []
+    assert held(f"example/{key}") == [f"/{key}"]
+    assert held(f"Natasha: {key}") == [key] and held(f"sha256: {key}") == []
+
+
 def test_quality_rules_against_brute_force(docs, labels):
     for r in quality_rules.measure(docs, labels).collect():
         if r["doc_id"] == 7:
