@@ -6,7 +6,8 @@ The corpus labels documents, so labelled tokens are made first, from the learnin
 a toxic document, a token is toxic if its word or beginning is many times as frequent in toxic
 documents as in others. Gradients are feature counts less their forward-backward expectations.
 A document's score is the calibrated chance that at least one of its tokens is toxic; tokens with
-a marginal of a half or more are its offending spans. Chains are runs of at most CHAIN tokens.
+a marginal of a half or more are its offending spans. A text is one chain; it is laid out in rows of CHAIN
+tokens, and messages pass from row to row by the rows' 2 x 2 products.
 
 The model is fitted on at most SAMPLE labelled rows. Nulls: null text is the empty text, which
 scores as a text without toxic tokens; without labels every score is the prior 0.5. Rows with a
@@ -65,32 +66,75 @@ class Model:
     offset: float
 
 
-def grid(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of each token in a padded table of chains."""
+def grid(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and column of each token in a padded table, and by row whether it goes on with the row before."""
     lens = np.diff(bounds)
     rows = -(-lens // CHAIN)
     place = np.arange(bounds[-1]) - np.repeat(bounds[:-1], lens)
-    return np.repeat(np.cumsum(rows) - rows, lens) + place // CHAIN, place % CHAIN
-
-
-def marginals(delta: np.ndarray, there: np.ndarray, pair: np.ndarray, pairs: bool = False):
-    """Chance of toxic for each place of each chain, by forward-backward; also the expected number
-    of each pair of states if asked for. delta: potential of toxic less plain; there: place is real."""
+    follows = np.ones(rows.sum(), bool)
+    follows[(np.cumsum(rows) - rows)[rows > 0]] = False
+    return np.repeat(np.cumsum(rows) - rows, lens) + place // CHAIN, place % CHAIN, follows
+
+
+def messages(ratio: np.ndarray, there: np.ndarray, step: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Share of toxic that enters each row from the row before it, and from the row behind it."""
+    n, width = ratio.shape
+    ahead, behind = np.full(n, 0.5), np.full(n, 0.5)
+    used = np.flatnonzero(follows | np.append(follows[1:], False))
+    if not len(used):
+        return ahead, behind
+    at = np.zeros(n, np.int64)
+    at[used] = np.arange(len(used))
+    # by state before the row (plain, toxic, or no row): weights of its last token's two states
+    r = ratio[used, 0]
+    plain = np.stack([np.full(len(r), step[0, 0]), np.full(len(r), step[1, 0]), np.ones(len(r))])
+    toxic = np.stack([r * step[0, 1], r * step[1, 1], r])
+    for t in range(1, width):
+        r, live = ratio[used, t], there[used, t]
+        new_plain, new_toxic = plain * step[0, 0] + toxic * step[1, 0], r * (plain * step[0, 1] + toxic * step[1, 1])
+        plain, toxic = np.where(live, new_plain, plain), np.where(live, new_toxic, toxic)
+        both = plain + toxic
+        total = np.stack([both[0] + both[1], both[0] + both[1], both[2]])
+        plain, toxic = plain / total, toxic / total
+    rows = np.arange(n)
+    depth = rows - np.maximum.accumulate(np.where(follows, 0, rows))
+    order = np.argsort(depth, kind="stable")
+    cuts = np.searchsorted(depth[order], np.arange(1, depth.max() + 2))
+    levels = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    for d, own in enumerate(levels):
+        k, a = at[own - 1], ahead[own - 1]
+        x, y = (toxic[2, k], plain[2, k]) if d == 0 else ((1 - a) * toxic[0, k] + a * toxic[1, k], (1 - a) * plain[0, k] + a * plain[1, k])
+        ahead[own] = x / (x + y)
+    for own in reversed(levels):
+        k, b = at[own], behind[own]
+        x, y = plain[1, k] * (1 - b) + toxic[1, k] * b, plain[0, k] * (1 - b) + toxic[0, k] * b
+        behind[own - 1] = x / (x + y)
+    return ahead, behind
+
+
+def marginals(delta: np.ndarray, there: np.ndarray, pair: np.ndarray, pairs: bool = False, follows: np.ndarray | None = None):
+    """Chance of toxic for each place of each row, by forward-backward; also the expected number
+    of each pair of states if asked for. delta: potential of toxic less plain; there: place is real;
+    follows: the row's chain goes on from the row before (none does, if not given)."""
     n, width = delta.shape
     step, ratio = np.exp(pair), np.exp(np.clip(delta, -30, 30))
-    forward, a = np.empty((width, n)), np.full(n, 0.5)  # share of toxic
+    follows = np.zeros(n, bool) if follows is None else follows
+    ahead, behind = messages(ratio, there, step, follows)
+    forward, a = np.empty((width, n)), ahead  # share of toxic
     for t in range(width):
-        plain, toxic = (1.0, ratio[:, t]) if t == 0 else ((1 - a) * step[0, 0] + a * step[1, 0], ratio[:, t] * ((1 - a) * step[0, 1] + a * step[1, 1]))
+        plain, toxic = (1 - a) * step[0, 0] + a * step[1, 0], ratio[:, t] * ((1 - a) * step[0, 1] + a * step[1, 1])
+        if t == 0:
+            plain, toxic = np.where(follows, plain, 1.0), np.where(follows, toxic, ratio[:, 0])
         a = np.where(there[:, t], toxic / (plain + toxic), a)
         forward[t] = a
     out, expected = np.empty((n, width)), np.zeros((2, 2))
-    b = np.full(n, 0.5)  # share of toxic in the backward vector
+    b = behind  # share of toxic in the backward vector
     for t in range(width - 1, -1, -1):
         toxic, plain = forward[t] * b, (1 - forward[t]) * (1 - b)
         out[:, t] = toxic / (toxic + plain)
-        if pairs and t:
-            live = there[:, t]
-            f0, f1, r, b1 = 1 - forward[t - 1][live], forward[t - 1][live], ratio[live, t], b[live]
+        if pairs:
+            live, last = (there[:, t], forward[t - 1]) if t else (follows, ahead)
+            f0, f1, r, b1 = 1 - last[live], last[live], ratio[live, t], b[live]
             p = np.stack([f0 * step[0, 0] * (1 - b1), f0 * step[0, 1] * r * b1, f1 * step[1, 0] * (1 - b1), f1 * step[1, 1] * r * b1])
             expected += (p / p.sum(axis=0)).sum(axis=1).reshape(2, 2)
         up0 = step[0, 0] * (1 - b) + step[0, 1] * ratio[:, t] * b
@@ -99,17 +143,17 @@ def marginals(delta: np.ndarray, there: np.ndarray, pair: np.ndarray, pairs: boo
     return (out, expected) if pairs else out
 
 
-def around(codes: np.ndarray, column: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the words before and after, `none` at a chain's ends."""
+def around(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the words before and after each, one past the last code at a text's ends."""
+    codes, text, none = words.codes, words.texts(), len(words.words)
     before, after = np.full(len(codes), none), np.full(len(codes), none)
-    inner = np.flatnonzero(column[1:] > 0) + 1
+    inner = np.flatnonzero(text[1:] == text[:-1]) + 1
     before[inner], after[inner - 1] = codes[inner - 1], codes[inner]
     return before, after
 
 
-def potentials(model: Model, hashes: np.ndarray, codes: np.ndarray, column: np.ndarray) -> np.ndarray:
+def potentials(model: Model, hashes: np.ndarray, codes: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
     at = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
-    before, after = around(codes, column, at.shape[1])
     own = model.word[at].sum(axis=0) + model.bias
     return own[codes] + np.append(model.before[at[0]], 0)[before] + np.append(model.after[at[0]], 0)[after]
 
@@ -117,11 +161,11 @@ def potentials(model: Model, hashes: np.ndarray, codes: np.ndarray, column: np.n
 def token_marginals(model: Model, words: Words) -> np.ndarray:
     if not len(words.codes):
         return np.zeros(0)
-    row, column = grid(words.bounds)
+    row, column, follows = grid(words.bounds)
     delta = np.zeros((row[-1] + 1, CHAIN))
     there = np.zeros(delta.shape, bool)
-    delta[row, column], there[row, column] = potentials(model, features(words.words), words.codes, column), True
-    return marginals(delta, there, model.pair)[row, column]
+    delta[row, column], there[row, column] = potentials(model, features(words.words), words.codes, *around(words)), True
+    return marginals(delta, there, model.pair, follows=follows)[row, column]
 
 
 def evidence(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -147,28 +191,34 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
         hot = (n[1] >= LEAST) & (n[1] / toxic.sum() >= RATIO * (n[0] + 0.5) / (~toxic).sum())
         marked |= hot[np.unique(h, return_inverse=True)[1]]
     gold = marked[words.codes] & toxic[text]
-    row, column = grid(words.bounds)
-    # chains with a toxic token, and as bounded a number of others
-    hit = np.zeros(row[-1] + 1, bool)
-    hit[row[gold]] = True
+    row, column, follows = grid(words.bounds)
+    # rows with a toxic token, their neighbours in the text, and as bounded a number of others
+    toxic_rows = np.zeros(row[-1] + 1, bool)
+    toxic_rows[row[gold]] = True
+    hit = toxic_rows.copy()
+    hit[1:] |= toxic_rows[:-1] & follows[1:]
+    hit[:-1] |= toxic_rows[1:] & follows[1:]
     plain = np.flatnonzero(~hit)
     hit[plain[:: max(1, len(plain) // 4000)]] = True
     use = hit[row]
+    follows = (follows & np.append(False, hit[:-1]))[hit]
+    before, after = (x[use] for x in around(words))
     row, column, codes, gold = np.unique(row[use], return_inverse=True)[1], column[use], words.codes[use], gold[use].astype(float)
     at = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
-    before, after = around(codes, column, at.shape[1])
     lost = np.append(at[0], size)
     there = np.zeros((row[-1] + 1, CHAIN), bool)
     there[row, column] = True
     state = np.zeros(there.shape, int)
     state[row, column] = gold.astype(int)
     inner = there[:, 1:]
-    seen_pairs = np.bincount((2 * state[:, :-1] + state[:, 1:])[inner], minlength=4).reshape(2, 2)
+    joins = np.flatnonzero(follows)
+    seen_pairs = np.append((2 * state[:, :-1] + state[:, 1:])[inner], 2 * state[joins - 1, -1] + state[joins, 0])
+    seen_pairs = np.bincount(seen_pairs, minlength=4).reshape(2, 2)
     squares = [np.full(size, 1e-8), np.full(size, 1e-8), np.full(size, 1e-8), 1e-8, np.full((2, 2), 1e-8)]
     for _ in range(STEPS):
         delta = np.zeros(there.shape)
-        delta[row, column] = potentials(model, hashes, codes, column)
-        p, expected = marginals(delta, there, model.pair, pairs=True)
+        delta[row, column] = potentials(model, hashes, codes, before, after)
+        p, expected = marginals(delta, there, model.pair, pairs=True, follows=follows)
         off = gold - p[row, column]
         by_word = np.bincount(codes, off, at.shape[1])
         grads = [

@@ -140,6 +140,25 @@ def test_crf_marginals_against_enumeration():
     assert np.allclose(toxicity.marginals(delta, np.ones((1, 5), bool), pair)[0], total / z)
 
 
+def test_texts_are_one_chain_each():
+    """Rows of CHAIN tokens against the same text in one row, whatever its length."""
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(*(rng.normal(size=1 << toxicity.BITS) for _ in range(3)), 0.1, rng.normal(size=(2, 2)), 1.0, 0.0)
+    for n in (1, 63, 64, 65, 128, 200, 321):
+        words = toxicity.tokens(["other text", " ".join(rng.choice(WORDS, n)), "", "last"])
+        own = words.codes[words.bounds[1] : words.bounds[2]]
+        at = (toxicity.features(words.words) >> np.uint64(64 - toxicity.BITS)).astype(np.int64)
+        delta = model.word[at].sum(axis=0)[own] + model.bias
+        delta[1:] += model.before[at[0]][own[:-1]]
+        delta[:-1] += model.after[at[0]][own[1:]]
+        whole, pairs = toxicity.marginals(delta[None], np.ones((1, n), bool), model.pair, pairs=True)
+        assert np.allclose(toxicity.token_marginals(model, words)[words.bounds[1] : words.bounds[2]], whole[0])
+        row, column, follows = toxicity.grid(np.array([0, n]))
+        split, there = np.zeros((row[-1] + 1, toxicity.CHAIN)), np.zeros((row[-1] + 1, toxicity.CHAIN), bool)
+        split[row, column], there[row, column] = delta, True
+        assert np.allclose(toxicity.marginals(split, there, model.pair, pairs=True, follows=follows)[1], pairs)
+
+
 def test_classifiers_take_edge_rows(docs, labels):
     assert quality_classifier.score(docs, quality_classifier.fit(docs, labels)).count() == len(ROWS)
     assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == len(ROWS)
