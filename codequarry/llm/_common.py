@@ -16,10 +16,22 @@ from pyspark.sql import functions as F
 WHITE = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of rows that reach a Python worker at once: texts may be very long.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most, where the session allows larger ones."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a new one only where the session names none."""
+    """The folder that driver and executors share. A temporary one only in local mode, where the session names none."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="codequarry-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -27,12 +39,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and outlives executors."""
+    bounded(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -4,7 +4,9 @@ Only the lengths 1..capacity matter, so the search runs on a histogram that neve
 corpus. Each bin starts with the longest piece left; a bitset subset-sum over the lengths that
 remain finds the fullest feasible combination; it is taken as often as its pieces allow and then
 removed. Every take uses up some length or nearly so, hence a few thousand patterns at most.
-Pieces get their bin by their rank within their length, which salts keep out of one task.
+Pieces as long as a bin are a bin each, numbered where they are made. The others get their bin by
+their rank within their length; lengths are dealt into salts of some SALT_PIECES pieces, as many as
+the corpus needs, so that no length is ranked in one task.
 
 Nulls: null text is the empty text (only the end id). Rows with a null or repeated doc_id are
 packed like any other. Extra columns are ignored; an empty table gives an empty result.
@@ -25,8 +27,8 @@ from codequarry.llm._tokenizer import encoder, tokenizer_path
 
 CAPACITY = 1024
 END_ID = 2
-#: Parts into which the pieces of one length are dealt.
-SALTS = 64
+#: Pieces of one length in a salt, about.
+SALT_PIECES = 250_000
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -77,35 +79,47 @@ def patterns(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int,
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece."""
+    """doc_id, piece, start, length, ids_crc32 of every piece; full, a number below 0 of its own for a piece of capacity ids."""
     path = path or tokenizer_path()
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         own, end = encoder(path), np.array([end_id], np.uint32)
+        full = -(TaskContext.get().partitionId() << 40)
         for batch in batches:
-            rows: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
+            rows: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "full": []}
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.encode(batch.column("text")), strict=True):
                 raw = np.concatenate([ids, end]).astype("<u4").tobytes()
                 for k, (a, n) in enumerate(cut(len(raw) // 4, capacity)):
-                    for name, x in zip(rows, (doc_id, k, a, n, zlib.crc32(raw[4 * a : 4 * (a + n)])), strict=True):
+                    full -= n == capacity
+                    for name, x in zip(rows, (doc_id, k, a, n, zlib.crc32(raw[4 * a : 4 * (a + n)]), full if n == capacity else None), strict=True):
                         rows[name].append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if c == "piece" else pa.int64()) for c, x in rows.items()], list(rows))
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return own.mapInArrow(tokenised, "doc_id long, piece int, start long, length long, ids_crc32 long")
-
-
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
-    """Every piece with its sequence_id and offset."""
-    salted = pieces(docs, path, capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    held = materialise(salted, "pieces")
-    # capacity * salts rows at most, whatever the corpus
-    counted = held.groupBy("length", "salt").count().collect()
-    counts = np.zeros((capacity + 1, salts), np.int64)
-    for r in counted:
-        counts[r["length"], r["salt"]] = r["count"]
-    base = np.cumsum(counts, axis=1) - counts
-    totals = counts.sum(axis=1)
+    return own.mapInArrow(tokenised, "doc_id long, piece int, start long, length long, ids_crc32 long, full long")
+
+
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, salt_pieces: int = SALT_PIECES) -> DataFrame:
+    """Every piece with its sequence_id (below 0 for full pieces) and offset."""
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    held = materialise(pieces(docs, path, capacity), "pieces")
+    rest = held.where("full IS NULL")
+    # capacity rows, then one for each salt: some rows in a million pieces
+    totals = np.zeros(capacity + 1, np.int64)
+    for r in rest.groupBy("length").count().collect():
+        totals[r["length"]] = r["count"]
+    salts = -(-totals // salt_pieces)
+    ends = np.cumsum(salts)
+    dealt = F.element_at(F.split(F.lit(",".join(map(str, salts.tolist()))), ",").cast("array<long>"), F.col("length").cast("int") + 1)
+    rest = rest.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), dealt))
+    counts = np.zeros(int(ends[-1]), np.int64)
+    for r in rest.groupBy("length", "salt").count().collect():
+        counts[ends[r["length"]] - salts[r["length"]] + r["salt"]] = r["count"]
+    before = np.cumsum(counts) - counts  # of all shorter pieces and of lower salts
+    first_of = (np.cumsum(totals) - totals)[np.repeat(np.arange(capacity + 1), salts)]
+    base = before - first_of
     spans: dict[int, list] = {}  # by length: first rank, pieces a bin, first sequence, offset of the first piece
     taken, sequence = np.zeros(capacity + 1, np.int64), 0
     for times, used in patterns({int(x): int(totals[x]) for x in np.flatnonzero(totals)}, capacity):
@@ -120,19 +134,19 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, sal
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, salt, rank = (batch.column(c).to_numpy() for c in ("length", "salt", "rank"))
-            rank = rank - 1 + base[length, salt]
+            rank = rank - 1 + base[(ends - salts)[length] + salt] if len(rank) else rank
             sequence_id, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             for x in np.unique(length):
                 own, (first, k, seq, off) = length == x, table[int(x)]
                 j = np.searchsorted(first, rank[own], "right") - 1
                 nth = rank[own] - first[j]
                 sequence_id[own], offset[own] = seq[j] + nth // k[j], off[j] + nth % k[j] * x
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence_id), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = held.withColumn("rank", F.row_number().over(order).cast("long"))
-    return ranked.mapInArrow(placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    ranked = rest.withColumn("rank", F.row_number().over(order).cast("long"))
+    own = ranked.mapInArrow(placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return own.unionByName(held.where("full IS NOT NULL").select(*names, F.col("full").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
