@@ -4,7 +4,7 @@ A file is a run of shards, one row each of a Parquet table in the shared folder,
 is atomic, survives lost executors and works on any file system Spark knows. A shard's blob:
 
     magic "CQT1", id width (2 or 4 bytes), n documents, n null doc_ids, n ids  (little-endian)
-    the ids, concatenated in ascending doc_id order (nulls first, ties by text hash)
+    the ids, concatenated in ascending doc_id order (nulls first, ties in any order)
     Elias-Fano of the documents' ends, Elias-Fano of the doc_ids less their smallest
 
 Elias-Fano stores value >> l in unary and the low l bits packed, about 2 + log2(universe / n) bits
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codequarry.llm._common import documents, materialise
@@ -93,7 +93,7 @@ class EliasFano:
 
 def pack_shard(doc_ids: list[int | None], ids: list[np.ndarray], width: int) -> bytes:
     known = np.array([x for x in doc_ids if x is not None], np.int64)
-    flat = np.concatenate(ids).astype("<u2" if width == 2 else "<u4") if ids else np.zeros(0, "<u2")
+    flat = np.concatenate(ids).astype(f"<u{width}", copy=False) if ids else np.zeros(0, "<u2")
     base = int(known[0]) if len(known) else 0
     ends = EliasFano.of(np.cumsum([len(x) for x in ids], dtype=np.int64))
     offsets = EliasFano.of(known.astype(np.uint64) - np.uint64(base % (1 << 64)))  # exact also for negative ids
@@ -125,68 +125,98 @@ class Shard:
         return [None] * self.n_null + shifted.astype(np.int64).tolist()
 
 
+def key() -> Column:
+    """The id that orders documents; null ids count as the least."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+
+
+def bounds_of(docs: DataFrame, parts: int) -> list[int]:
+    """parts - 1 quantiles of the ids; an id that fills several parts stands there several times."""
+    shares = [k / parts for k in range(1, parts)]
+    made = docs.agg(F.percentile_approx(key(), shares, 100 * parts).alias("x")).first()["x"] if shares else None
+    return list(made or [])
+
+
 def write_shards(docs: DataFrame, path: str | None = None, end_id: int = END_ID, shard_ids: int = 4_000_000) -> DataFrame:
     """Tokenise docs and write their shards to the shared folder; the table of shards, read back.
 
-    One range shuffle of the texts puts ids in order; long runs of one doc_id are split by text
-    hash. A task holds one Arrow batch and at most about shard_ids ids at a time.
+    Texts are encoded where they are read; their ids, two bytes each, are then dealt to parts by
+    quantiles of the doc_ids and sorted. An id that repeats often is dealt to all the parts that it
+    fills. A task holds one Arrow batch and at most about shard_ids ids at a time.
     """
     path = path or tokenizer_path()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = np.array(bounds_of(docs, parts), np.int64)
+    width = 2 if max(encoder(path).vocabulary, end_id + 1) <= 1 << 16 else 4
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, end = encoder(path), np.array([end_id], np.uint32)
+        for batch in batches:
+            key, tie = batch.column("key").to_numpy(), batch.column("tie").to_numpy()
+            low, high = np.searchsorted(cuts, key, "left"), np.searchsorted(cuts, key, "right")
+            part = low + (tie.view(np.uint64) % (high - low + 1).astype(np.uint64)).astype(np.int64)
+            at, made, size = 0, [], 0
+            for ids in own.encode(batch.column("text")):
+                made.append(np.concatenate([ids, end]).astype(f"<u{width}").tobytes())
+                size += len(made[-1])
+                if size > 4 << 20 or at + len(made) == batch.num_rows:
+                    to = at + len(made)
+                    yield pa.RecordBatch.from_arrays([pa.array(part[at:to], pa.int32()), *(batch.column(c).slice(at, len(made)) for c in ("doc_id", "tie")), pa.array(made, pa.binary())], ["part", "doc_id", "tie", "ids"])
+                    at, made, size = to, [], 0
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
-        width = 2 if max(own.vocabulary, end_id + 1) <= 1 << 16 else 4
+        from pyspark import TaskContext
+
+        part, number = TaskContext.get().partitionId(), 0
         doc_ids: list = []
         held: list = []
-        size, key = 0, None
+        size = 0
 
         def flush():
-            first, tie = key
-            return pa.RecordBatch.from_pydict(
-                {"first_id": pa.array([first], pa.int64()), "tie": pa.array([tie], pa.int64()), "n_ids": pa.array([size], pa.int64()), "n_docs": pa.array([len(doc_ids)], pa.int64()), "blob": pa.array([pack_shard(doc_ids, held, width)], pa.binary())}
-            )
+            row = {"part": [part], "number": [number], "n_ids": [size], "n_docs": [len(doc_ids)]}
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in row.values()), pa.array([pack_shard(doc_ids, held, width)], pa.binary())], [*row, "blob"])
 
-        end = np.array([end_id], np.uint32)
         for batch in batches:
-            for doc_id, tie, ids in zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist(), own.encode(batch.column("text")), strict=True):
-                key = key or (doc_id, tie)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 doc_ids.append(doc_id)
-                held.append(np.concatenate([ids, end]))
-                size += len(ids) + 1
+                held.append(np.frombuffer(ids, f"<u{width}"))
+                size += len(held[-1])
                 if size >= shard_ids:
                     yield flush()
-                    doc_ids, held, size, key = [], [], 0, None
+                    doc_ids, held, size, number = [], [], 0, number + 1
         if doc_ids:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return materialise(rows.mapInArrow(shards, "first_id long, tie long, n_ids long, n_docs long, blob binary"), "token-shards")
+    rows = docs.select(key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text", F.monotonically_increasing_id()))  # equal rows too are spread
+    rows = rows.mapInArrow(encoded, "part int, doc_id long, tie long, ids binary").repartitionById(parts, "part")
+    return materialise(rows.select("doc_id", "tie", "ids").sortWithinPartitions("doc_id", "tie").mapInArrow(shards, "part long, number long, n_ids long, n_docs long, blob binary"), "token-shards")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, out of the shards' bytes alone.
 
-    The only step in one task is a running sum over one small row per shard of millions of ids.
+    Shards know their part and their number in it: starts are running sums over the shards of a part
+    and over the parts, of which there are as many as shuffle partitions.
     """
 
     def documents_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, tie, blob in zip(*(batch.column(c).to_pylist() for c in ("first_id", "tie", "blob")), strict=True):
+            for part, number, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "number", "blob")), strict=True):
                 shard = Shard(blob)
                 ends = shard.ends.decode().astype(np.int64)
                 starts = np.concatenate([[0], ends[:-1]])
                 crc = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends, strict=True)]
                 n = len(ends)
                 yield pa.RecordBatch.from_pydict(
-                    {"first_id": pa.array([first] * n, pa.int64()), "tie": pa.array([tie] * n, pa.int64()), "doc_id": pa.array(shard.doc_ids(), pa.int64()), "within": pa.array(starts), "n_tokens": pa.array(ends - starts), "ids_crc32": pa.array(crc, pa.int64())}
+                    {"part": pa.array([part] * n, pa.int64()), "number": pa.array([number] * n, pa.int64()), "doc_id": pa.array(shard.doc_ids(), pa.int64()), "within": pa.array(starts), "n_tokens": pa.array(ends - starts), "ids_crc32": pa.array(crc, pa.int64())}
                 )
 
-    rows = shards.select("first_id", "tie", "blob").mapInArrow(documents_of, "first_id long, tie long, doc_id long, within long, n_tokens long, ids_crc32 long")
-    before = Window.orderBy(F.col("first_id").asc_nulls_first(), "tie").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select(F.col("first_id").alias("f"), F.col("tie").alias("t"), F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    joined = rows.join(starts, rows.first_id.eqNullSafe(starts.f) & (rows.tie == starts.t))
-    return joined.select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    rows = shards.select("part", "number", "blob").mapInArrow(documents_of, "part long, number long, doc_id long, within long, n_tokens long, ids_crc32 long")
+    earlier = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", earlier(Window.orderBy("part")).alias("before"))
+    starts = shards.select("part", "number", earlier(Window.partitionBy("part").orderBy("number")).alias("base")).join(parts, "part")
+    return rows.join(starts, ["part", "number"]).select("doc_id", (F.col("before") + F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
