@@ -7,17 +7,19 @@ signature, each of which keeps its earliest. A text's processes end as soon as t
 all its components. Two signatures agree in a component with a chance equal to the texts'
 probability Jaccard, which for equal weights is the Jaccard similarity of the sets.
 
-Equal texts are one node. Bands of the signature put nodes into buckets. Every node first meets two
+Equal texts are one node (by 128 bits of hashes). Bands of the signature put nodes into buckets. Every node first meets two
 leaders of its buckets, which joins most classes; then the nodes of a bucket that share no class
 meet in blocks of bounded size, so that in the end every two nodes of a bucket either share a class
-or have been compared. Compared nodes whose signatures agree well enough are checked exactly: links
-are pairs whose sets of shingles have a Jaccard similarity of SIMILARITY or more. Classes are the
-links' connected components. Rounds are three, whatever the data.
-
-Nodes are 64-bit hashes of texts. Nulls: null text is the empty text; texts without words are
-linked to their exact copies alone. A class's id is its least doc_id;
-null ids get the class of their text. Repeated ids or rows appear once for each row. Extra columns are ignored by classes() and kept by
-representatives(), whatever their names; empty tables give empty results.
+or have been compared, once, in the first bucket that they share. Compared nodes whose signatures agree well
+enough are checked exactly: links are pairs whose sets of shingles have a Jaccard similarity of
+SIMILARITY or more. A block returns no more links than join its nodes. Classes are the
+links' connected components. Rounds are two, whatever the data.
+
+Nulls: null text is the empty text; texts without words are linked to their exact copies alone.
+Very long texts are compared whole, by hashes of all their shingles. A class's id is its least
+doc_id; null ids get the class of their text. Repeated ids or rows appear once for each row. Extra
+columns are ignored by classes() and kept by representatives(), whatever their names; of rows that
+tie for a class's first place, with one id or none, any one stays. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ BANDS, ROWS = 20, 5
 #: Components of 100 that agree if the similarity is 0.8: fewer are four standard deviations away.
 AGREEING = 62
 #: Members of a class, or of the others, that meet in one block.
-CHUNK = 64
+CHUNK = 128
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,16 +91,19 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def node_of(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+def hashes_of(text: Column) -> list[Column]:
+    """128 bits of a text, as h1 and h2."""
+    text = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")]
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """node, keys (one a band) and sketch (a byte of each component) of the texts that have words."""
+    """h1, h2, keys (one a band) and sketch (a byte of each component) of the texts that have words."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, firsts = np.unique(batch.column("node").to_numpy(), return_index=True)  # copies once a batch
+            both = np.stack([batch.column(c).to_numpy() for c in ("h1", "h2")])
+            _, firsts = np.unique(both, axis=1, return_index=True)  # copies once a batch
             for a in range(0, len(firsts), 500):
                 some = batch.take(pa.array(np.sort(firsts)[a : a + 500]))
                 owner, element, _ = shingles(some.column("text"))
@@ -106,31 +111,40 @@ def signatures(docs: DataFrame) -> DataFrame:
                 made = prob_min_hash(np.searchsorted(kept, owner), element, np.ones(len(element)), len(kept), BANDS * ROWS)
                 sketch = (made >> np.uint64(56)).astype(np.uint8)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1) * BANDS, pa.int32()), pa.array(band_keys(made).ravel()))
-                yield pa.RecordBatch.from_arrays([some.column("node").take(pa.array(kept)), keys, pa.array([x.tobytes() for x in sketch], pa.binary())], ["node", "keys", "sketch"])
+                yield pa.RecordBatch.from_arrays([*(some.column(c).take(pa.array(kept)) for c in ("h1", "h2")), keys, pa.array([x.tobytes() for x in sketch], pa.binary())], ["h1", "h2", "keys", "sketch"])
 
-    return docs.select(node_of(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(signed, "node long, keys array<long>, sketch binary")
+    return docs.select(*hashes_of(F.col("text")), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(signed, "h1 long, h2 long, keys array<long>, sketch binary")
 
 
-def similar(pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b, text_a, text_b), those whose shingle sets are similar."""
+def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and shingles (their sorted 64-bit hashes) of nodes (node, h1, h2)."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, element, _ = shingles(batch.column("text"))
+            cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([element[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["node", "shingles"])
+
+    own = docs.select(*hashes_of(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
+    texts = own.join(nodes, ["h1", "h2"]).groupBy("node").agg(F.first("text").alias("text"))
+    return texts.mapInArrow(made, "node long, shingles binary")
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of nodes, those whose shingle sets are similar."""
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                sides = []
-                for name in ("a", "b"):
-                    nodes, firsts, back = np.unique(some.column(name).to_numpy(), return_index=True, return_inverse=True)
-                    owner, element, _ = shingles(some.column(f"text_{name}").take(pa.array(firsts)))
-                    cuts = np.searchsorted(owner, np.arange(len(nodes) + 1))
-                    sides.append([element[cuts[i] : cuts[i + 1]] for i in back])
-                good = []
-                for x, y in zip(*sides, strict=True):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(common >= SIMILARITY * (len(x) + len(y) - common) - 1e-9)
-                yield some.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(checked, "a long, b long")
+            good = []
+            for x, y in zip(*(batch.column(f"set_{s}").to_pylist() for s in "ab"), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(common >= SIMILARITY * (len(x) + len(y) - common) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    for x in "ba":
+        pairs = pairs.join(sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")), x)
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(checked, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -149,30 +163,21 @@ def components(links: DataFrame) -> DataFrame:
         labels = jumped.select("node", "label")
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b) of nodes of docs, those whose texts are similar."""
-    needed = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "needed")
-    own = docs.select(node_of(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = materialise(own.join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    for x in "ba":
-        pairs = pairs.join(texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")), x)
-    return similar(pairs)
-
-
-def star_pairs(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Two pairs a node at most: of its buckets' leaders whose sketches agree with its own, with the
-    least and with the one that agrees best. A bucket is led by its least node and by one drawn by hash."""
-    drawn = F.min(F.struct(F.xxhash64("node", "bucket").alias("by"), "node")).getField("node")
-    leaders = members.groupBy("bucket").agg(F.array(F.min("node"), drawn).alias("led")).select("bucket", F.explode(F.array_distinct("led")).alias("a"))
-    leaders = leaders.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-    met = members.withColumnRenamed("node", "b").join(leaders, "bucket").where("a <> b").groupBy("b", "a").agg(F.first("sketch_a").alias("sketch_a"))
-    met = agreeing(met.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b"))
-    chosen = met.groupBy("b").agg(F.array(F.min("a"), F.max_by("a", F.struct("agree", "a"))).alias("a")).select("b", F.explode("a").alias("a"))
+def star_pairs(members: DataFrame) -> DataFrame:
+    """Two pairs a node at most: with those of its buckets' leaders that it meets in most of them.
+
+    A bucket is led by its first node in each of two orders that hold for all buckets, so that the
+    members of a large class meet the same few leaders everywhere."""
+    drawn = F.min(F.struct(F.xxhash64("node").alias("by"), "node")).getField("node")
+    leaders = members.groupBy("bucket").agg(F.array_distinct(F.array(F.min("node"), drawn)).alias("led"))
+    met = members.join(leaders, "bucket").select(F.col("node").alias("b"), F.explode("led").alias("a")).where("a <> b").groupBy("b", "a").agg(F.count("*").alias("n"))
+    best = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "a")))  # two leaders a bucket, BANDS buckets
+    chosen = met.groupBy("b").agg(F.slice(best, 1, 2).alias("x")).select("b", F.explode("x.a").alias("a"))
     return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def apart(members: DataFrame, sketches: DataFrame, labels: DataFrame) -> DataFrame:
-    """Blocks of bounded size in which every two nodes that share a bucket and no class meet.
+def apart(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Blocks of bounded size in which every two nodes that share a bucket and no class meet: block, band, met, x.
 
     A bucket's largest class does not meet itself: CHUNK of its members meet CHUNK of the others at a
     time, and the others meet each other in blocks of two chunks. Rows grow with the members times the
@@ -182,7 +187,7 @@ def apart(members: DataFrame, sketches: DataFrame, labels: DataFrame) -> DataFra
     sizes = own.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket")
     sizes = sizes.agg(F.count("*").alias("k"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n")).where("k > 1").drop("k")
     sizes = materialise(sizes.selectExpr("bucket", "main", "n", f"ceil(n_main / {CHUNK}) AS mains", f"ceil((n - n_main) / {CHUNK}) AS others"), "sizes")
-    own = own.join(sizes, "bucket").join(sketches, "node").withColumn("leads", F.expr("label = main"))
+    own = own.join(sizes, "bucket").join(nodes.select("node", "keys", "sketch"), "node").withColumn("leads", F.expr("label = main"))
     blocks = F.expr(
         f"""CASE WHEN n <= {CHUNK} THEN array(named_struct('met', false, 'i', 0L, 'j', 0L))
         WHEN leads THEN transform(sequence(0L, others - 1), j -> named_struct('met', true, 'i', pmod(xxhash64(node), mains), 'j', j))
@@ -190,105 +195,139 @@ def apart(members: DataFrame, sketches: DataFrame, labels: DataFrame) -> DataFra
           transform(sequence(0L, others - 1), j -> named_struct('met', false, 'i', least(j, pmod(xxhash64(node), others)), 'j', greatest(j, pmod(xxhash64(node), others)))))
         END"""
     )
-    dealt = own.select("bucket", F.explode(blocks).alias("block"), F.struct("node", "label", "leads", "sketch").alias("x"))
-    return dealt.groupBy("bucket", "block").agg(F.collect_list("x").alias("x")).where("size(x) > 1").select(F.col("block.met").alias("met"), "x")
+    dealt = own.select("bucket", F.explode(blocks).alias("block"), F.struct("node", "label", "leads", "keys", "sketch").alias("x"))
+    return dealt.groupBy("bucket", "block").agg(F.collect_list("x").alias("x")).where("size(x) > 1").select("bucket", "block", F.col("block.met").alias("met"), "x")
 
 
-def candidates(blocks: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) of different classes whose sketches agree; with best, one of every two classes."""
+def candidates(blocks: DataFrame) -> DataFrame:
+    """Blocks' pairs of different classes whose sketches agree: block (a number), nodes (those of any pair), labels and pairs
+    (i * size + j of places in nodes). A pair counts in the bucket of the first band that its nodes share."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = []
             lists = batch.column("x")
             flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             node, label = (flat.field(c).to_numpy() for c in ("node", "label"))
             leads = flat.field("leads").to_numpy(zero_copy_only=False)
+            keys = flat.field("keys").flatten().to_numpy().reshape(len(node), BANDS)
             sketch = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
-            out = [np.zeros((5, 0), np.int64)]
-            for met, s, e in zip(batch.column("met").to_pylist(), ends[:-1], ends[1:], strict=True):
+            for bucket, met, s, e in zip(batch.column("bucket").to_pylist(), batch.column("met").to_pylist(), ends[:-1], ends[1:], strict=True):
+                found = []
                 for i in range(s, e - 1):
                     rest = slice(i + 1, e)
-                    agree = (sketch[i] == sketch[rest]).sum(axis=1)
-                    good = (agree >= AGREEING) & (label[i] != label[rest])
+                    good = ((sketch[i] == sketch[rest]).sum(axis=1) >= AGREEING) & (label[i] != label[rest])
                     if met:
                         good &= leads[i] != leads[rest]
                     at = np.flatnonzero(good) + i + 1
-                    if len(at):
-                        out.append(np.stack([np.full(len(at), node[i]), node[at], np.full(len(at), label[i]), label[at], agree[at - i - 1]]))
-            made = np.concatenate(out, axis=1)
-            swap = made[0] > made[1]
-            made[:4, swap] = made[:4, swap][[1, 0, 3, 2]]
-            if best:  # of every two classes
-                low, high = np.minimum(made[2], made[3]), np.maximum(made[2], made[3])
-                order = np.lexsort((-made[4], high, low))
-                fresh = np.ones(len(order), bool)
-                fresh[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
-                made = made[:, order[fresh]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["a", "b", "label_a", "label_b", "agree"])
-
-    found = blocks.mapInArrow(compared, "a long, b long, label_a long, label_b long, agree long")
-    if not best:
-        return found.select("a", "b").distinct()
-    classes_of = (F.least("label_a", "label_b").alias("low"), F.greatest("label_a", "label_b").alias("high"))
-    return found.groupBy(*classes_of).agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-
-
-def linked(docs: DataFrame) -> DataFrame:
-    """node and label of every node that is linked to another: its class is its label's.
-
-    First every node meets leaders of its buckets, then the best pair of every two classes that
-    share a bucket, then all pairs left that share a bucket and no class.
-    """
-    signed = materialise(signatures(docs).groupBy("node").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "signatures")
-    entries = signed.select("node", F.explode("keys").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members, sketches = materialise(entries.join(shared, "bucket"), "members"), signed.select("node", "sketch")
-    labels = components(verified(docs, materialise(star_pairs(members, sketches), "pairs")))
-    for best in (True, False):
-        pairs = materialise(candidates(apart(members, sketches, labels), best), "pairs")
-        if pairs.isEmpty():
-            break
-        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(verified(docs, pairs)))
-    return labels
+                    shared = keys[i] == keys[at]  # each in at least one band
+                    at = at[keys[at, shared.argmax(axis=1)] == bucket]
+                    found.append(np.stack([np.full(len(at), i), at]))
+                found = np.concatenate(found, axis=1)
+                if found.size:
+                    own, places = np.unique(found, return_inverse=True)
+                    i, j = places.reshape(2, -1)
+                    rows.append((node[own].tolist(), label[own].tolist(), (i * len(own) + j).tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.int64())) for x in (zip(*rows, strict=True) if rows else ([], [], []))], ["nodes", "labels", "pairs"])
 
+    found = blocks.mapInArrow(compared, "nodes array<long>, labels array<long>, pairs array<long>")
+    return found.withColumn("block", F.monotonically_increasing_id())
 
-def agreeing(pairs: DataFrame) -> DataFrame:
-    """a, b and agree of pairs whose sketches agree in AGREEING components or more."""
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(f"sketch_{s}").to_pylist()), np.uint8).reshape(batch.num_rows, -1) for s in "ab")
-                agree = (x == y).sum(axis=1)
-                made = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(agree.astype(np.int64))], ["a", "b", "agree"])
-                yield made.filter(pa.array(agree >= AGREEING))
+def links_within(blocks: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of different classes of a block: as many as join what its similar pairs join."""
 
-    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(kept, "a long, b long, agree long")
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, nodes, labels, pairs in zip(*(batch.column(c).to_pylist() for c in ("x", "nodes", "labels", "pairs")), strict=True):
+                held = {r["node"]: np.frombuffer(r["shingles"], np.uint64) for r in x}
+                group, i, j = dict(zip(nodes, labels, strict=True)), np.array(pairs) // len(nodes), np.array(pairs) % len(nodes)
+                common, size = intersections([held[n] for n in nodes]), np.array([len(held[n]) for n in nodes])
+                good = common[i, j] >= SIMILARITY * (size[i] + size[j] - common[i, j]) - 1e-9
+                joined: dict = {}
+
+                def root(k, joined=joined):
+                    while k in joined:
+                        k = joined[k]
+                    return k
+
+                for a, b in zip(i[good].tolist(), j[good].tolist(), strict=True):
+                    p, q = root(group[nodes[a]]), root(group[nodes[b]])
+                    if p != q:
+                        joined[p] = q
+                        out.append((nodes[a], nodes[b]))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else ([], []))], ["a", "b"])
+
+    own = blocks.select("block", F.explode("nodes").alias("node")).join(sets, "node")
+    own = own.groupBy("block").agg(F.collect_list(F.struct("node", "shingles")).alias("x"))
+    return own.join(blocks, "block").select("x", "nodes", "labels", "pairs").mapInArrow(checked, "a long, b long")
+
+
+def intersections(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every two sets, in slices of the elements that two sets share."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, code, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = n[code] > 1
+    owner, code = owner[shared], (np.cumsum(n > 1) - 1)[code[shared]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for a in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+        at = slice(*np.searchsorted(code, [a, a + width]))
+        has = np.zeros((len(sets), width), np.float32)
+        has[owner[at], code[at] - a] = 1
+        out += (has @ has.T).astype(np.int64)
+    return out
+
+
+def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, h1, h2) of the texts that have words, and node and label of every node that is
+    linked to another: its class is its label's.
+
+    First every node meets leaders of its buckets, then all nodes that share a bucket and no class.
+    """
+    signed = signatures(docs).groupBy("h1", "h2").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    signed = materialise(signed.withColumn("node", F.monotonically_increasing_id()), "signatures")
+    entries = signed.select("node", F.explode("keys").alias("bucket"))
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    members = materialise(entries.join(shared, "bucket"), "members")
+    sets = materialise(shingle_sets(docs, signed.select("node", "h1", "h2").join(members.select("node").distinct(), "node", "left_semi")), "shingles")
+    links = materialise(similar(star_pairs(members), sets), "links")
+    labels = components(links)
+    blocks = materialise(candidates(apart(members, signed, labels)), "blocks")
+    more = materialise(links_within(blocks, sets), "links")
+    if not more.isEmpty():
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+    return signed.select("node", "h1", "h2"), labels
 
 
 def labelled_nodes(docs: DataFrame) -> DataFrame:
-    """node, least doc_id, number of rows and class label of every distinct text."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node_of(F.col("text")).alias("node"))
-    labels = linked(docs)
-    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    return materialise(nodes.join(labels, "node", "left").select("node", "least", "n", F.coalesce("label", "node").alias("label")), "nodes")
+    """h1, h2, least doc_id, number of rows and class (a struct) of every distinct text."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *hashes_of(F.col("text")))
+    nodes, labels = linked(docs)
+    labels = nodes.join(labels, "node").select("h1", "h2", "label")
+    texts = own.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    alone = F.col("label").isNull()
+    in_class = F.struct("label", F.when(alone, F.col("h1")).alias("h1"), F.when(alone, F.col("h2")).alias("h2"))
+    return materialise(texts.join(labels, ["h1", "h2"], "left").select("h1", "h2", "least", "n", in_class.alias("class")), "nodes")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (least doc_id of the class) and class_size of every row."""
     nodes = labelled_nodes(docs)
-    made = nodes.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node_of(F.col("text")).alias("node"))
-    return own.join(nodes.join(made, "label").select("node", "class_id", "class_size"), "node").select("doc_id", "class_id", "class_size")
+    made = nodes.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *hashes_of(F.col("text")))
+    return own.join(nodes.join(made, "class").select("h1", "h2", "class_id", "class_size"), ["h1", "h2"]).select("doc_id", "class_id", "class_size")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """docs with one row of each class, that with the least doc_id (any of equal rows), all columns kept."""
-    first = labelled_nodes(docs).groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("x"))
-    wanted = first.select(F.col("x.node").alias("__chosen"), F.col("x.least").alias("__least"))
-    named = docs.withColumn("__node", node_of(F.col("text")))
-    kept = named.join(wanted, (F.col("__node") == F.col("__chosen")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__least")))
-    return kept.drop("__chosen", "__least").dropDuplicates(["__node"]).drop("__node")
+    first = labelled_nodes(docs).groupBy("class").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "h1", "h2")).alias("x"))
+    wanted = first.select("x.least", "x.h1", "x.h2")
+    named = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *hashes_of(docs["text"]))
+    kept = named.join(wanted, ["h1", "h2"]).where(F.col("row.doc_id").cast("long").eqNullSafe(F.col("least")))
+    return kept.dropDuplicates(["h1", "h2"]).select("row.*")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
