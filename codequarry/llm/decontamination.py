@@ -2,18 +2,21 @@
 
 Test items are the indexed side and every passage of every training document is a query. A score
 is the BM25 sum over the passage's distinct terms, divided by what the item's own text scores, so
-that one threshold fits every item. Passages are windows long enough, and with enough overlap, for
-every stretch of an item's length to lie whole within one. Of every item, the terms that most items
+that one threshold fits every item. Items are indexed by classes of length, each twice as long as the last; a
+class's passages are windows of twice its length, with enough overlap for every stretch of an item's
+length to lie whole within one, so that an item is judged alike whatever else is indexed. Of every item, the terms that most items
 share, up to half the threshold together, are set aside; passages whose impacts on the others
 can't reach what an item then lacks are passed over (exactly, in whole batches); the others run
 WAND over posting lists with block maxima and yield every item above the threshold. An item counts
 as leaked if both its question and its answer (its last sentence) stand in the passage: at least
-OVERLAP of the word trigrams of each.
+OVERLAP of the word trigrams of each. A half of one or two words stands there if these follow each other; if
+both halves are so short, the item is one half.
 
-The index is built from blocks of items of bounded size, each of which meets all documents; terms'
+The index is built from blocks of items of bounded size, each of which meets all documents once; terms'
 document frequencies are those of all items. Documents are never shuffled.
 
-Nulls: null texts have no words; such items and documents match nothing. Repeated items count once.
+Nulls: null texts have no words; such items and documents match nothing. Repeated items count once; of passages
+with equal scores the first is reported. Very long texts are searched whole, passage by passage.
 Rows with null or repeated doc_id are searched like any other. Extra columns are ignored by
 search() and kept by clean(), whatever their names; empty tables give no matches.
 """
@@ -39,7 +42,8 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 #: Least share of the trigrams of the question, and of the answer.
 OVERLAP = 0.6
-WINDOW = 128
+#: Words of the longest item in the shortest class.
+SHORTEST = 64
 POSTING_BLOCK = 32
 #: Bytes of item text in one block of the index, about.
 BLOCK_BYTES = 8 << 20
@@ -51,16 +55,27 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode(errors="replace").translate(SPACED).split()
 
 
-def trigrams(own: list[bytes]) -> set[tuple[bytes, ...]]:
-    return {tuple(own[i : i + 3]) for i in range(max(1, len(own) - 2))} if own else set()
+def grams(own: list[bytes], n: int = 3) -> set[tuple[bytes, ...]]:
+    """Runs of n words."""
+    return {tuple(own[i : i + n]) for i in range(len(own) - n + 1)}
 
 
 def halves(text: str) -> tuple[list[bytes], list[bytes]]:
-    """Words of the question and of the answer: the last sentence, or both the whole if there is one."""
+    """Words of the question and of the answer: the last sentence, or both the whole if there is one
+    or if both are short."""
     parts = [w for x in re.split(r"(?<=[.?!])\s+|\n+", text) if (w := words(x))]
-    if len(parts) < 2:
+    question, answer = [w for x in parts[:-1] for w in x], parts[-1] if parts else []
+    if not question or len(question) < 3 > len(answer):
         return words(text), words(text)
-    return [w for x in parts[:-1] for w in x], parts[-1]
+    return question, answer
+
+
+def length_class(n: int) -> int:
+    """Least SHORTEST * 2 ** k that is n or more."""
+    size = SHORTEST
+    while size < n:
+        size *= 2
+    return size
 
 
 class Index:
@@ -70,8 +85,8 @@ class Index:
         self.threshold = threshold
         self.items = [i for i, _ in items]
         tokens = [words(t) for _, t in items]
-        self.longest = max(map(len, tokens), default=0)
-        self.sides = [tuple(map(trigrams, halves(t))) for _, t in items]
+        longest = length_class(max(map(len, tokens), default=0))
+        self.sides = [tuple((n := min(3, len(own)), grams(own, n)) for own in halves(t)) for _, t in items]
         self.vocabulary: dict[bytes, int] = {}
         lists: list[list[tuple[int, float]]] = []
         essential: list[tuple[int, int, float]] = []
@@ -99,8 +114,8 @@ class Index:
         essential.sort()
         self.terms, self.owners, self.shares = (np.array(x, kind) for x, kind in zip(zip(*essential, strict=True), (np.int64, np.int64, np.float64), strict=True))
         self.first = np.searchsorted(self.terms, np.arange(len(lists) + 2))
-        self.window = max(WINDOW, 2 * self.longest)
-        self.step = self.window - self.longest + 1
+        self.window = 2 * longest
+        self.step = self.window - longest + 1
 
     def passages(self, coded: list[np.ndarray]) -> list[list[int]]:
         """By text, the starts of the passages in which some item may reach the threshold."""
@@ -180,17 +195,37 @@ class Index:
         for own, terms, starts in zip(split, coded, self.passages(coded), strict=True):
             best: dict = {}
             for a in starts:
-                passage, grams = terms[a : a + self.window], None
+                passage, there = terms[a : a + self.window], {}
                 for item, score in self.wand(np.unique(passage[passage < none]).tolist(), self.threshold):
-                    grams = grams or trigrams(own[a : a + self.window])
-                    shares = [len(side & grams) / len(side) for side in self.sides[item]]
-                    if min(shares) >= overlap and score > best.get(self.items[item], (0, 0.0))[1]:
+                    for n, _ in self.sides[item]:
+                        there[n] = there[n] if n in there else grams(own[a : a + self.window], n)
+                    shares = [len(side & there[n]) / len(side) for n, side in self.sides[item]]
+                    if min(shares) >= overlap and min(1.0, score) > best.get(self.items[item], (0, 0.0))[1]:
                         best[self.items[item]] = (a, min(1.0, score), *shares)
             out.append(best)
         return out
 
 
-def indexes(items: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
+class Indexes:
+    """The indexes of a block of items, one for each class of length."""
+
+    def __init__(self, items: list[tuple[int, str]], df: dict[bytes, int], n_items: int, average: float, threshold: float = THRESHOLD):
+        classes: dict[int, list] = {}
+        for item in items:
+            classes.setdefault(length_class(len(words(item[1]))), []).append(item)
+        self.own = [Index(classes[k], df, n_items, average, threshold) for k in sorted(classes)]
+
+    def search(self, texts: list[str | None], overlap: float = OVERLAP) -> list[dict[int, tuple[int, float, float, float]]]:
+        out: list[dict] = [{} for _ in texts]
+        for index in self.own:
+            for best, found in zip(out, index.search(texts, overlap), strict=True):
+                for item, hit in found.items():
+                    if hit[1] > best.get(item, (0, 0.0))[1]:
+                        best[item] = hit
+        return out
+
+
+def indexes(items: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> Iterator[Indexes]:
     """The items' indexes, block after block; each collects about block_bytes at most."""
     own = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).distinct()
 
@@ -210,16 +245,16 @@ def indexes(items: DataFrame, threshold: float = THRESHOLD, block_bytes: int = B
         known = each.where(F.col("block") == k).select("word").distinct().join(df, "word").collect()
         block = own.where(F.col("block") == k).select("item_id", "text").collect()
         if block:
-            yield Index(sorted((r["item_id"], r["text"]) for r in block), {bytes(r["word"]): r["count"] for r in known}, total["n"], total["average"], threshold)
+            yield Indexes(sorted((r["item_id"], r["text"]) for r in block), {bytes(r["word"]): r["count"] for r in known}, total["n"], total["average"], threshold)
 
 
-def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document and leaked item: doc_id, item_id, first_word, score and both overlaps."""
     schema = "doc_id long, item_id long, first_word long, score double, question_overlap double, answer_overlap double"
     fields = [(x.split()[0], pa.float64() if x.endswith("double") else pa.int64()) for x in schema.split(", ")]
     own, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), []
 
-    def over(index: Index):
+    def over(index: Indexes):
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = [(doc_id, item, *hit) for doc_id, hits in zip(batch.column("doc_id").to_pylist(), index.search(texts_of(batch.column("text")), overlap), strict=True) for item, hit in sorted(hits.items())]
@@ -228,7 +263,7 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, over
 
         return own.mapInArrow(found, schema)
 
-    for index in indexes(items, threshold):
+    for index in indexes(items, threshold, block_bytes):
         out.append(over(index))
     if not out:
         return docs.sparkSession.createDataFrame([], schema)
@@ -246,7 +281,7 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
         def leaks(texts, index=index):
             return pd.Series(list(map(bool, index.search(list(texts), overlap))), dtype=bool)
 
-        docs = docs.where(~leaks("text"))
+        docs = docs.where(~leaks(docs["text"]))
     return docs
 
 
