@@ -205,3 +205,20 @@ def test_near_dedup_links_copies_with_a_repeated_paragraph(spark):
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:120] * 100 + words[120:]))]
     made = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["class_id"] for r in made} == {i: i - i % 2 for i in range(24)}
+
+
+def test_intersections_against_sets():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in (0, 1, 50, 200, 200, 400)]
+    made = near_dedup.intersections(sets, width=16)
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        assert made[i, j] == made[j, i] == len(set(sets[i].tolist()) & set(sets[j].tolist()))
+
+
+def test_representatives_keep_columns_of_any_name(spark):
+    rows = [(1, LONG, 1, 2, 3, 4), (1, LONG, 5, 6, 7, 8), (None, "lone", 0, 0, 0, 0), (3, None, 0, 0, 0, 0), (2, "", 0, 0, 0, 0), (4, LONG.replace("w9 ", "x "), 0, 0, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h1 long, least long, row int, class int")
+    kept = near_dedup.representatives(docs)
+    assert kept.schema == docs.schema
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2]
+    assert near_dedup.representatives(docs.limit(0)).count() == 0 == near_dedup.classes(docs.limit(0)).count()
