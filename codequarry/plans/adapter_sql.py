@@ -1,36 +1,38 @@
-"""Code tables (containers, blocks, relationships, versions, commits) from the driver's tables."""
+"""The code tables as SQL that DuckDB runs: what the oracles read. The engine builds its own in sources/code.py."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
-
-#: In order; each may use the ones before. The same text runs in Spark and in DuckDB.
+#: In order; each may use the ones before.
 VIEWS = {
     "f_migrations": "SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS repository_name, TIMESTAMP '2024-01-01 00:00:00' AS created_at FROM region",
     "f_containers": """SELECT o_orderkey AS id, CAST(o_custkey % 5 AS BIGINT) AS migration_id,
-  CASE WHEN o_orderkey % 9 = 0 THEN 'test_' ELSE 'mod_' END || CAST(o_orderkey AS VARCHAR(20)) AS name,
+  CASE WHEN o_orderkey % 9 = 0 THEN 'test_' ELSE 'mod_' END || CAST(o_orderkey AS VARCHAR) AS name,
   CASE o_orderkey % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'rust' WHEN 2 THEN 'javascript' WHEN 3 THEN 'typescript' ELSE NULL END AS language,
-  'src/pkg' || CAST(o_custkey % 20 AS VARCHAR(20)) || '/f' || CAST(o_orderkey AS VARCHAR(20)) AS original_path, o_orderdate AS created_at FROM orders""",
+  'src/pkg' || CAST(o_custkey % 20 AS VARCHAR) || '/f' || CAST(o_orderkey AS VARCHAR) AS original_path, o_orderdate AS created_at,
+  CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'def f' || CAST(o_orderkey AS VARCHAR) || '():' || chr(10) || '    return ' || CAST(o_custkey AS VARCHAR) END AS source_code FROM orders""",
     "f_numbered": "SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem",
-    "f_blocks": """SELECT l_orderkey * 100 + rn AS id, l_orderkey AS container_id,
+    "f_raw": """SELECT l_orderkey * 100 + rn AS id, l_orderkey AS container_id,
   CASE l_partkey % 8 WHEN 0 THEN 'Class' WHEN 1 THEN 'Import' WHEN 2 THEN 'Variable' WHEN 3 THEN 'Module' WHEN 4 THEN 'Interface' ELSE 'Function' END AS block_type,
-  CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE CASE l_partkey % 7 WHEN 0 THEN 'test_' WHEN 1 THEN 'get_api_key_' WHEN 2 THEN 'UserFactory_' WHEN 3 THEN 'RouteHandler_' WHEN 4 THEN 'HandlerManager_' ELSE 'fn_' END || CAST(l_partkey % 500 AS VARCHAR(20)) END AS semantic_name,
+  CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE CASE l_partkey % 7 WHEN 0 THEN 'test_' WHEN 1 THEN 'get_api_key_' WHEN 2 THEN 'UserFactory_' WHEN 3 THEN 'RouteHandler_' WHEN 4 THEN 'HandlerManager_' ELSE 'fn_' END || CAST(l_partkey % 500 AS VARCHAR) END AS semantic_name,
   CASE l_suppkey % 8 WHEN 0 THEN 'cursor.execute(SELECT + x)' WHEN 1 THEN 'return eval(x)' WHEN 2 THEN 'for a in b: for c in d: query(c)' WHEN 3 THEN '@app.route GET' WHEN 4 THEN 'password = 1' WHEN 5 THEN 'async def f(): pass' WHEN 6 THEN 'if a: if b: if c: if d: pass' ELSE 'open(path)' END AS raw_text,
-  CAST(rn AS INT) AS position, CASE WHEN rn = 1 THEN NULL ELSE l_orderkey * 100 + CAST(FLOOR(rn / 2.0) AS BIGINT) END AS parent_block_id,
-  CAST(l_quantity AS INT) AS cc, CAST(l_quantity AS INT) * 2 AS loc, CAST(l_suppkey % 8 AS INT) AS n_params FROM f_numbered""",
-    "f_counted": "SELECT id, container_id, position, COUNT(*) OVER (PARTITION BY container_id) AS n FROM f_blocks",
+  CAST(rn AS INT) AS position, CASE WHEN rn = 1 THEN NULL ELSE l_orderkey * 100 + rn // 2 END AS parent_block_id,
+  CASE WHEN l_partkey % 19 = 0 THEN NULL ELSE CAST(l_quantity AS INT) END AS cc, CAST(l_quantity AS INT) * 2 AS loc, CAST(l_quantity AS INT) + CAST(l_suppkey % 8 AS INT) AS cognitive, CAST(l_suppkey % 8 AS INT) AS n_params,
+  CASE WHEN l_suppkey % 8 = 0 THEN '[]' ELSE '["p"' || repeat(',"p"', CAST(l_suppkey % 8 - 1 AS INT)) || ']' END AS parameters,
+  CASE WHEN l_suppkey % 3 = 0 THEN '{}' END AS language_features, CASE WHEN l_suppkey % 3 = 1 THEN '{}' END AS body_ast, CASE WHEN l_partkey % 2 = 0 THEN 'int' END AS return_type, CAST(rn % 4 AS INT) AS indent FROM f_numbered""",
+    "f_blocks": "SELECT b.*, len(string_split(b.parameters, ',')) AS param_count, c.name AS file_name, c.language, c.original_path, c.migration_id FROM f_raw b JOIN f_containers c ON b.container_id = c.id",
+    "f_counted": "SELECT id, container_id, position, COUNT(*) OVER (PARTITION BY container_id) AS n FROM f_raw",
     "f_relationships": """SELECT id AS source_block_id, container_id * 100 + (position % n) + 1 AS target_block_id,
   CASE WHEN container_id % 6 = 0 THEN 'depends_on' ELSE CASE (id % 4) WHEN 0 THEN 'calls' WHEN 1 THEN 'depends_on' WHEN 2 THEN 'tests' ELSE 'imports' END END AS relationship_type
 FROM f_counted WHERE (n > 1 OR container_id % 6 = 0) AND container_id % 7 <> 3
 UNION ALL SELECT a.id AS source_block_id, b.id AS target_block_id, 'calls' AS relationship_type
-FROM f_blocks a JOIN f_blocks b ON b.container_id = a.container_id + 1
+FROM f_raw a JOIN f_raw b ON b.container_id = a.container_id + 1
 WHERE a.position = 1 AND b.position = 1 AND a.container_id % 10 <> 0 AND a.container_id % 7 <> 3 AND b.container_id % 7 <> 3""",
     "f_versions": """SELECT event_id AS id, user_id AS block_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS version_number,
   event_type AS change_type, event_type = 'error' AS breaking_change, md5(event_type) AS semantic_hash, ts AS created_at FROM events""",
-    "f_changes": """SELECT event_id AS change_id, user_id AS block_id, ts AS changed_at, CASE event_type WHEN 'view' THEN 'DocumentationAdded' WHEN 'click' THEN 'DependencyAdded'
-  WHEN 'purchase' THEN 'TestAdded' WHEN 'signup' THEN 'PatternIntroduced' ELSE 'BugFixed' END AS change_type FROM events""",
+    "f_changes": """SELECT event_id AS change_id, event_id AS commit_id, user_id AS block_id, 'u' || CAST(user_id % 10 AS VARCHAR) AS author, ts AS changed_at, CASE event_type WHEN 'view' THEN 'DocumentationAdded' WHEN 'click' THEN 'DependencyAdded'
+  WHEN 'purchase' THEN 'TestAdded' WHEN 'signup' THEN 'PatternIntroduced' ELSE 'BugFixed' END AS change_type, CAST(json_extract(props, '$.k') AS INT) AS cc_after FROM events""",
 }
-BASE = ("region", "orders", "lineitem", "events")
+BASE = ("region", "orders", "lineitem", "events", "documents", "conversations", "pages")
 
 
 def with_views(query: str) -> str:
@@ -44,9 +46,9 @@ def with_views(query: str) -> str:
                 needed.append(name)
 
     need(query)
-    return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in needed) + " " + query
-
-
-def register(spark: SparkSession, sf_dir: str) -> None:
-    for name in BASE:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+    more = [f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in needed]
+    if query.startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ", ".join([*more, query.removeprefix("WITH RECURSIVE ")])
+    if more and query.startswith("WITH "):
+        return "WITH " + ", ".join([*more, query.removeprefix("WITH ")])
+    return "WITH " + ", ".join(more) + " " + query if more else query

@@ -1,21 +1,46 @@
-"""Every query of the library by name, with its SQL."""
+"""Every query of the library by name, with the SQL that states its result.
+
+Queries are plans over DataFrames (operators, streaming); the SQL is written apart from them, from the
+definition of each operator, and is run by DuckDB alone.
+"""
 
 from __future__ import annotations
 
-from codequarry.operators.views import QUERIES
-from codequarry.sources.adapter import register, with_views
+from collections.abc import Callable
+from importlib import import_module
 
+from pyspark.sql import DataFrame
 
-def queries() -> dict:
-    def made(text: str):
-        def run(spark, sf_dir):
-            register(spark, sf_dir)
-            return spark.sql(with_views(text))
+from codequarry.plans.adapter_sql import with_views
+from codequarry.sources.code import Code, code
+
+MODULES = ("screens", "lookups", "graph", "scores", "history", "project", "text")
+PLANS: dict[str, Callable[[Code], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a plan by its function's name."""
 
-        return run
+    def add(plan):
+        PLANS[plan.__name__] = plan
+        if sql:
+            SQL[plan.__name__] = " ".join(sql.split())
+        return plan
 
-    return {name: made(text) for name, text in QUERIES.items()}
+    return add
+
+
+def load() -> None:
+    for name in MODULES:
+        import_module(f"codequarry.operators.{name}")
+
+
+def queries() -> dict:
+    load()
+    return {name: lambda spark, sf_dir, plan=plan: plan(code(spark, sf_dir)) for name, plan in PLANS.items()}
 
 
 def oracle_sql() -> dict:
-    return {name: with_views(text) for name, text in QUERIES.items()}
+    load()
+    return {name: with_views(text) for name, text in SQL.items()}
