@@ -1 +1 @@
-"""See README.md for what this subpackage holds."""
+"""Functions over code texts that have no counterpart among Spark's own."""

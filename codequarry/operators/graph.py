@@ -154,7 +154,9 @@ def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
         found = tarjan(list(zip(rows["s"].tolist(), rows["t"].tolist(), strict=True)))
         return pd.DataFrame({"node": list(found), "label": list(found.values())}, dtype="int64")
 
-    found = within.where(col("n") <= small).groupBy("label").applyInPandas(one, "node long, label long")
+    few = within.where(col("n") <= small)
+    tasks = -(-few.count() // max(small, 1)) * 8  # whole components, many to a task
+    found = few.groupBy(F.pmod(F.xxhash64("label"), F.lit(tasks)).alias("task")).applyInPandas(one, "node long, label long") if tasks else few.select(col("s").alias("node"), "label")
     large = within.where(col("n") > small)
     if not large.isEmpty():
         found = found.unionByName(by_colours(large.select("s", "t")))

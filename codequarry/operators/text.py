@@ -1 +1,239 @@
-"""."""
+"""Extraction from source texts, intents of users, generation of texts."""
+
+from __future__ import annotations
+
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from codequarry.functions import python_source, source_text
+from codequarry.operators.scores import words
+from codequarry.operators.screens import first_match
+from codequarry.plans.registry import query
+from codequarry.sources.code import Code
+
+col = F.col
+
+
+def sources(c: Code, *languages: str) -> DataFrame:
+    """path (the container's id as text) and content of the containers that have a source in some languages."""
+    own = c.containers.where(col("language").isin(*languages) & (col("source_code") != ""))
+    return own.select(col("id").cast("string").alias("path"), col("source_code").alias("content"))
+
+
+def having(language: str) -> str:
+    return f"(SELECT CAST(id AS VARCHAR) AS path FROM f_containers WHERE source_code <> '' AND language IN ({language}))"
+
+
+@query("SELECT id, CASE WHEN source_code IS NULL THEN NULL ELSE language END AS parser, language IN ('python', 'javascript', 'typescript', 'rust') AS supported FROM f_containers WHERE language IS NOT NULL")
+def ext01_parsers(c):
+    return c.containers.where("language IS NOT NULL").select("id", F.when(col("source_code").isNotNull(), col("language")).alias("parser"), col("language").isin("python", "javascript", "typescript", "rust").alias("supported"))
+
+
+@query(f"""SELECT path, unnest([0, 1, 2, 3]) AS position, unnest([NULL, NULL, 1, NULL]) AS parent, unnest(['Import', 'Class', 'Function', 'Function']) AS block_type, unnest(['os', 'C' || path, 'm', 'g']) AS name, unnest(['[]', '[]', '["self", "a"]', '["x"]']) AS parameters,
+unnest([1, 2, 3, 8]) AS start_line, unnest([1, 6, 6, 9]) AS end_line FROM {having("'python'")}""")
+def ext05_python_blocks(c):
+    return python_source.blocks(sources(c, "python")).select("path", "position", "parent", "block_type", "name", "parameters", "start_line", "end_line")
+
+
+@query(f"SELECT path, 2 AS source, 3 AS target, 'calls' AS kind FROM {having(chr(39) + 'python' + chr(39))}")
+def ext04_python_relations(c):
+    """The class's base is not defined in the file, so its relation is dropped."""
+    return python_source.relations(sources(c, "python"))
+
+
+@query(f"""SELECT path, unnest(['m', 'g']) AS name, unnest(['if', '']) AS control_flow, unnest(['g(a),os.path', 'x']) AS returned, unnest(['g', '']) AS calls FROM {having("'python'")}""")
+def ext06_python_details(c):
+    own = python_source.blocks(sources(c, "python")).where("details IS NOT NULL")
+    parts = F.from_json("details", "control_flow array<string>, returns array<string>, calls array<string>")
+    own = own.select("path", "name", parts.alias("d"))
+    return own.select("path", "name", F.array_join("d.control_flow", ",").alias("control_flow"), F.array_join("d.returns", ",").alias("returned"), F.array_join("d.calls", ",").alias("calls"))
+
+
+@query(f"""SELECT path, unnest(['Class', 'Method', 'Import', 'Function']) AS block_type, unnest(['K' || path, 'm', './a', 'f' || path]) AS name FROM {having("'javascript', 'typescript'")}""")
+def ext07_javascript_blocks(c):
+    return source_text.blocks(sources(c, "javascript", "typescript"), "javascript")
+
+
+@query(f"""SELECT path, unnest(['Class', 'Import', 'Function']) AS block_type, unnest(['S' || path, 'std::fs', 'f' || path]) AS name FROM {having("'rust'")}""")
+def ext08_rust_blocks(c):
+    return source_text.blocks(sources(c, "rust"), "rust")
+
+
+@query(f"""SELECT path, 'ConsoleIO' AS effects, 'MostlyPure' AS purity, 'std::fs' AS uses, FALSE AS is_mutable FROM {having("'rust'")}""")
+def ext10_rust_effects(c):
+    own = sources(c, "rust").withColumn("e", source_text.side_effects(col("content")))
+    return own.select("path", F.array_join("e.effect", ",").alias("effects"), source_text.purity(col("e")).alias("purity"), F.array_join(source_text.uses(col("content")), ",").alias("uses"), source_text.mutability(col("content"))["is_mutable"].alias("is_mutable"))
+
+
+@query("SELECT id, ROUND(CASE WHEN LEAST(cc, cognitive, loc) <= 0 THEN 100 ELSE LEAST(100, GREATEST(0, 171 - 5.2 * ln(cc) - 0.23 * ln(cognitive) - 16.2 * ln(loc))) END, 6)::DOUBLE AS maintainability_index FROM f_blocks WHERE cc IS NOT NULL")
+def ext13_maintainability(c):
+    return c.blocks.where("cc IS NOT NULL").select("id", F.round(source_text.maintainability(col("cc"), col("cognitive"), col("loc")), 6).alias("maintainability_index"))
+
+
+@query(f"""SELECT path, unnest(['import', 'class', 'function', 'function', 'if', 'return', 'return', 'return', 'call']) AS type, unnest([1, 2, 3, 8, 4, 6, 5, 9, 5]) AS line, unnest([1, 2, 2, 1, 1, 1, 1, 1, 1]) AS complexity FROM {having("'python'")}""")
+def ext14_python_nodes(c):
+    return python_source.nodes(sources(c, "python")).select("path", "type", "line", "complexity")
+
+
+@query(f"""SELECT path, 'os' AS imports, '' AS exports, 'C' || path AS classes, 'm,g' AS functions, '' AS variables, 2.0::DOUBLE AS complexity, 1.0::DOUBLE AS simple_complexity, 10 AS lines FROM {having("'python'")}""")
+def ext15_python_figures(c):
+    listed = [F.array_join(k, ",").alias(k) for k in ("imports", "exports", "classes", "functions", "variables")]
+    return python_source.figures(sources(c, "python")).select("path", *listed, "complexity", "simple_complexity", "lines")
+
+
+@query("SELECT page_id, regexp_extract(url, '[^/]*$') AS file, CASE WHEN ends_with(url, '.py') THEN 'python' WHEN ends_with(url, '.js') THEN 'javascript' END AS language FROM pages")
+def ext21_languages(c):
+    return c.table("pages").select("page_id", F.element_at(F.split("url", "/"), -1).alias("file"), source_text.language_of(col("url")).alias("language"))
+
+
+@query(r"SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(w), lambda x: list_position(w, x))), lambda i: w[i]), ' ') AS distinct_words FROM (SELECT doc_id, list_filter(regexp_split_to_array(COALESCE(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents)")
+def ext22_distinct_in_order(c):
+    """Repeated words go, the first ones stay in their order."""
+    return c.table("documents").select("doc_id", F.array_join(F.array_distinct(words(F.coalesce("text", F.lit("")))), " ").alias("distinct_words"))
+
+
+@query("SELECT id, CASE WHEN contains(lower(name), 'test') THEN 'test' ELSE 'code' END AS container_type FROM f_containers")
+def ext23_container_types(c):
+    return c.containers.select("id", source_text.container_type(col("name")).alias("container_type"))
+
+
+@query("""SELECT id, CASE WHEN semantic_name IS NULL THEN 'unknown' WHEN language = 'python' THEN CASE WHEN starts_with(semantic_name, 'std') OR contains(semantic_name, 'os') OR contains(semantic_name, 'sys') OR contains(semantic_name, 'json') OR contains(semantic_name, 're') OR contains(semantic_name, 'datetime') THEN 'stdlib' WHEN starts_with(semantic_name, '.') THEN 'local' ELSE 'third_party' END
+WHEN language = 'rust' THEN CASE WHEN starts_with(semantic_name, 'std::') THEN 'stdlib' WHEN starts_with(semantic_name, 'crate::') OR starts_with(semantic_name, 'super::') THEN 'local' ELSE 'third_party' END
+WHEN language IN ('javascript', 'typescript') THEN CASE WHEN starts_with(semantic_name, '.') THEN 'local' WHEN starts_with(semantic_name, '@') OR NOT contains(semantic_name, '/') THEN 'third_party' ELSE 'stdlib' END ELSE 'unknown' END AS category FROM f_blocks WHERE block_type = 'Import'""")
+def t06_import_categories(c):
+    name, language = col("semantic_name"), col("language")
+    python = first_match((name.startswith("std") | source_text.any_of(name, ("os", "sys", "json", "re", "datetime")), "stdlib"), (name.startswith("."), "local"), other="third_party")
+    rust = first_match((name.startswith("std::"), "stdlib"), (name.startswith("crate::") | name.startswith("super::"), "local"), other="third_party")
+    js = first_match((name.startswith("."), "local"), (name.startswith("@") | ~name.contains("/"), "third_party"), other="stdlib")
+    kind = F.when(name.isNull(), "unknown").when(language == "python", python).when(language == "rust", rust).when(language.isin("javascript", "typescript"), js).otherwise("unknown")
+    return c.blocks.where("block_type = 'Import'").select("id", kind.alias("category"))
+
+
+#: Words of intents, by pattern.
+INTENTS = {
+    "error_handling": ("error", "exception", "handle", "graceful", "retry", "fallback"),
+    "performance": ("optimize", "performance", "faster", "cache", "speed", "efficient"),
+    "security": ("secure", "validate", "sanitize", "authenticate", "authorize", "encrypt"),
+    "testing": ("test", "coverage", "unit", "integration", "verify"),
+}
+ACTIONS = ("create", "add", "remove", "update", "modify", "optimize", "fix", "implement")
+GOOD, BAD = ("good", "great", "excellent", "improve", "optimize", "better"), ("bad", "broken", "fix", "error", "problem", "issue")
+
+
+def intent(text: Column) -> list[Column]:
+    """Confidence of every pattern, the first action word and the sentiment of a text."""
+    own = words(F.lower(text))
+    seen = lambda k: F.exists(own, lambda w: w.contains(k)).cast("int")
+    share = lambda keys: F.round(reduce(add, map(seen, keys)) / len(keys), 6)
+    n = lambda of: F.size(F.filter(own, lambda w: w.isin(*of)))
+    mood = F.when(n(GOOD) + n(BAD) == 0, 0.0).otherwise((n(GOOD) - n(BAD)) / (n(GOOD) + n(BAD)))
+    return [*(share(keys).alias(k) for k, keys in INTENTS.items()), F.get(F.filter(own, lambda w: w.isin(*ACTIONS)), F.lit(0)).alias("primary_action"), F.round(mood, 6).alias("sentiment")]
+
+
+def _listed(of) -> str:
+    return ", ".join(f"'{x}'" for x in of)
+
+
+def _share(keys) -> str:
+    return "ROUND((" + " + ".join(f"CASE WHEN len(list_filter(w, lambda x: contains(x, '{k}'))) > 0 THEN 1 ELSE 0 END" for k in keys) + f")::DOUBLE / {len(keys)}, 6)"
+
+
+TURNS = r"(SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(COALESCE(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM conversations WHERE role = 'user')"
+MOOD = f"len(list_filter(w, lambda x: x IN ({_listed(GOOD)}))) AS g, len(list_filter(w, lambda x: x IN ({_listed(BAD)}))) AS b"
+SHARES = ", ".join(f"{_share(keys)} AS {k}" for k, keys in INTENTS.items())
+
+
+@query(f"SELECT conv_id, turn, {SHARES}, list_filter(w, lambda x: x IN ({_listed(ACTIONS)}))[1] AS primary_action, ROUND(CASE WHEN g + b = 0 THEN 0 ELSE (g - b)::DOUBLE / (g + b) END, 6) AS sentiment FROM (SELECT *, {MOOD} FROM {TURNS})")
+def t07_intents(c):
+    return c.table("conversations").where("role = 'user'").select("conv_id", "turn", *intent(F.coalesce("text", F.lit(""))))
+
+
+@query(f"SELECT conv_id, turn, n AS operations, 2.0::DOUBLE * n AS hours, CASE WHEN n > 5 THEN 'Complex' WHEN n > 2 THEN 'Moderate' ELSE 'Simple' END AS difficulty, n > 3 AS at_risk FROM (SELECT conv_id, turn, " + " + ".join(f"CASE WHEN {k} > 0 THEN 1 ELSE 0 END" for k in INTENTS) + f" AS n FROM (SELECT conv_id, turn, {SHARES} FROM {TURNS}))")
+def t08_effort(c):
+    """An operation for each pattern that a text matches."""
+    n = reduce(add, ((col(k) > 0).cast("int") for k in INTENTS))
+    own = t07_intents(c).select("conv_id", "turn", n.alias("operations"))
+    return own.withColumns({"hours": 2.0 * col("operations"), "difficulty": first_match((col("operations") > 5, "Complex"), (col("operations") > 2, "Moderate"), other="Simple"), "at_risk": col("operations") > 3})
+
+
+@query("""SELECT id, CASE WHEN block_type = 'Class' THEN CASE WHEN contains(n, 'getInstance') OR contains(d, 'single instance') THEN 'singleton' WHEN contains(n, 'create') OR contains(n, 'make') OR contains(d, 'factory') OR contains(d, 'create object') THEN 'factory' WHEN contains(n, 'build') OR contains(n, 'with') OR contains(d, 'builder') OR contains(d, 'step by step') THEN 'builder'
+WHEN contains(n, 'notify') OR contains(n, 'subscribe') OR contains(n, 'observe') OR contains(n, 'listen') OR contains(d, 'observer') OR contains(d, 'event') THEN 'observer' WHEN contains(n, 'execute') OR contains(n, 'algorithm') OR contains(d, 'strategy') OR contains(d, 'algorithm') THEN 'strategy' WHEN contains(d, 'facade') OR contains(d, 'simplified interface') OR contains(d, 'unified interface') THEN 'facade' ELSE 'class' END
+WHEN block_type = 'Function' THEN CASE WHEN starts_with(lower(raw_text), 'async ') THEN 'async_function' ELSE 'function' END ELSE 'default' END AS pattern FROM (SELECT *, COALESCE(semantic_name, '') AS n, lower(COALESCE(semantic_name, '') || ' ' || raw_text) AS d FROM f_blocks)""")
+def t09_pattern_selection(c):
+    """A block's name is its behaviour's, its name and text the description."""
+    name = F.coalesce("semantic_name", F.lit(""))
+    said = F.lower(F.concat_ws(" ", name, "raw_text"))
+    hit = lambda names, parts: source_text.any_of(said, parts) | source_text.any_of(name, names) if names else source_text.any_of(said, parts)
+    kinds = (
+        ("singleton", ("getInstance",), ("single instance",)), ("factory", ("create", "make"), ("factory", "create object")), ("builder", ("build", "with"), ("builder", "step by step")), ("observer", ("notify", "subscribe", "observe", "listen"), ("observer", "event")),
+        ("strategy", ("execute", "algorithm"), ("strategy", "algorithm")), ("facade", (), ("facade", "simplified interface", "unified interface")),
+    )
+    of_class = first_match(*((hit(names, parts), kind) for kind, names, parts in kinds), other="class")
+    of_function = F.when(col("raw_text").ilike("async %"), "async_function").otherwise("function")
+    return c.blocks.select("id", F.when(col("block_type") == "Class", of_class).when(col("block_type") == "Function", of_function).otherwise("default").alias("pattern"))
+
+
+@query("""SELECT conv_id, 1 + COUNT(*) AS complexity_score, CASE WHEN bool_or(contains(t, 'validate') OR contains(t, 'check')) THEN 1 ELSE 0 END + CASE WHEN bool_or(contains(t, 'async') OR contains(t, 'await')) THEN 1 ELSE 0 END + CASE WHEN bool_or(contains(t, 'error') OR contains(t, 'exception')) THEN 1 ELSE 0 END + CASE WHEN bool_or(contains(t, 'concurrent')) THEN 1 ELSE 0 END AS n_patterns
+FROM (SELECT conv_id, COALESCE(text, '') AS t FROM conversations) GROUP BY conv_id""")
+def t10_specifications(c):
+    """A conversation is a specification, its turns the examples."""
+    said = lambda *parts: F.bool_or(source_text.any_of(F.coalesce("text", F.lit("")), parts)).cast("int")
+    n = said("validate", "check") + said("async", "await") + said("error", "exception") + said("concurrent")
+    return c.table("conversations").groupBy("conv_id").agg((1 + F.count("*")).alias("complexity_score"), n.alias("n_patterns"))
+
+
+@query("""WITH RECURSIVE tree AS (SELECT id, container_id, block_type, semantic_name, raw_text, lpad(CAST(position AS VARCHAR), 6, '0') AS key, 0 AS level FROM f_blocks WHERE parent_block_id IS NULL
+UNION ALL SELECT b.id, b.container_id, b.block_type, b.semantic_name, b.raw_text, t.key || '/' || lpad(CAST(b.position AS VARCHAR), 6, '0'), t.level + 1 FROM f_blocks b JOIN tree t ON b.parent_block_id = t.id)
+SELECT container_id, string_agg(repeat('  ', level) || raw_text, chr(10) ORDER BY block_type <> 'Import', CASE WHEN block_type = 'Import' THEN COALESCE(semantic_name, '') ELSE '' END, key) AS code FROM tree GROUP BY container_id""")
+def t01_generated_files(c):
+    """A file's imports first, by name, then its blocks in pre-order, indented by level."""
+    from codequarry.operators.screens import v26_block_hierarchy
+
+    own = v26_block_hierarchy(c).select("id", "path", "level").join(c.blocks.select("id", "container_id", "block_type", "semantic_name", "raw_text"), "id")
+    late = col("block_type") != "Import"
+    # positions are the last two digits of ids, so that paths of ids of one file sort as those of positions
+    place = F.transform(F.split("path", "/"), lambda x: F.lpad(x, 20, "0"))
+    row = F.struct(late.alias("late"), F.when(late, "").otherwise(F.coalesce("semantic_name", F.lit(""))).alias("name"), place.alias("place"), F.concat(F.repeat(F.lit("  "), col("level")), "raw_text").alias("text"))
+    return own.groupBy("container_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["text"]), "\n").alias("code"))
+
+
+def filled(template: Column, values: dict[str, Column]) -> Column:
+    """Template with {{name}} replaced by values."""
+    return reduce(lambda t, kv: F.replace(t, F.lit("{{" + kv[0] + "}}"), kv[1]), values.items(), template)
+
+
+@query("SELECT id, CASE block_type WHEN 'Class' THEN 'class ' || COALESCE(semantic_name, 'unnamed') || ':' || chr(10) || '    pass' ELSE 'def ' || COALESCE(semantic_name, 'unnamed') || '(' || parameters || '):' || chr(10) || '    pass' END AS code FROM f_blocks WHERE block_type IN ('Class', 'Function')")
+def t02_templates(c):
+    template = F.when(col("block_type") == "Class", "class {{name}}:\n    pass").otherwise("def {{name}}({{parameters}}):\n    pass")
+    name = F.coalesce("semantic_name", F.lit("unnamed"))
+    return c.blocks.where(col("block_type").isin("Class", "Function")).select("id", filled(template, {"name": name, "parameters": col("parameters")}).alias("code"))
+
+
+@query("SELECT l.language, k.block_type, TRUE AS renderable FROM (SELECT DISTINCT language FROM f_containers WHERE language IS NOT NULL) l, (SELECT DISTINCT block_type FROM f_blocks) k")
+def x05_template_coverage(c):
+    """The grid of languages and block types, a few dozen rows."""
+    languages = c.containers.where("language IS NOT NULL").agg(F.collect_set("language").alias("l"))
+    kinds = c.blocks.agg(F.collect_set("block_type").alias("k"))
+    return languages.join(kinds, F.lit(True)).select(F.explode("l").alias("language"), "k").select("language", F.explode("k").alias("block_type"), F.lit(True).alias("renderable"))
+
+
+@query("SELECT migration_id, ROUND(100 * AVG(CASE WHEN cc IS NOT NULL THEN 1 ELSE 0 END), 6) AS accuracy FROM f_blocks GROUP BY migration_id")
+def x06_round_trip_accuracy(c):
+    """A block passes if it was measured."""
+    return c.blocks.groupBy("migration_id").agg(F.round(100 * F.avg(col("cc").isNotNull().cast("int")), 6).alias("accuracy"))
+
+
+@query("SELECT b.migration_id, COUNT(*) AS n, COUNT(CASE WHEN q >= 0.5 THEN 1 END) AS successes, ROUND(AVG(CASE WHEN q >= 0.5 THEN q END), 6) AS mean_quality, ROUND(100.0 * COUNT(CASE WHEN q >= 0.5 THEN 1 END) / COUNT(*), 6) AS progress FROM (SELECT container_id, migration_id, COUNT(semantic_name)::DOUBLE / COUNT(*) AS q FROM f_blocks GROUP BY 1, 2) b GROUP BY b.migration_id")
+def x07_elimination_run(c):
+    """Quality of a container: its share of named blocks; averages over the successes, 0.5 or more."""
+    q = c.blocks.groupBy("container_id", "migration_id").agg((F.count("semantic_name") / F.count("*")).alias("q"))
+    good = col("q") >= 0.5
+    return q.groupBy("migration_id").agg(F.count("*").alias("n"), F.count_if(good).alias("successes"), F.round(F.avg(F.when(good, col("q"))), 6).alias("mean_quality"), F.round(100.0 * F.count_if(good) / F.count("*"), 6).alias("progress"))
+
+
+@query("SELECT id, semantic_name, block_type FROM f_blocks WHERE body_ast IS NOT NULL AND semantic_name <> ''")
+def x18_generation_ready(c):
+    return c.blocks.where("body_ast IS NOT NULL AND semantic_name <> ''").select("id", "semantic_name", "block_type")

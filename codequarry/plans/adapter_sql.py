@@ -9,7 +9,33 @@ VIEWS = {
   CASE WHEN o_orderkey % 9 = 0 THEN 'test_' ELSE 'mod_' END || CAST(o_orderkey AS VARCHAR) AS name,
   CASE o_orderkey % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'rust' WHEN 2 THEN 'javascript' WHEN 3 THEN 'typescript' ELSE NULL END AS language,
   'src/pkg' || CAST(o_custkey % 20 AS VARCHAR) || '/f' || CAST(o_orderkey AS VARCHAR) AS original_path, o_orderdate AS created_at,
-  CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'def f' || CAST(o_orderkey AS VARCHAR) || '():' || chr(10) || '    return ' || CAST(o_custkey AS VARCHAR) END AS source_code FROM orders""",
+  CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE replace(CASE o_orderkey % 5 WHEN 0 THEN 'import os
+class C#(Base):
+    def m(self, a):
+        if a:
+            return g(a)
+        return os.path
+
+def g(x):
+    return x
+' WHEN 1 THEN 'use std::fs;
+struct S# {
+    a: i32,
+}
+pub fn f#(x: i32) -> i32 {
+    println!("{}", x);
+    x
+}
+' WHEN 4 THEN 'text #' ELSE 'import { a } from ''./a'';
+class K# {
+  m(x) {
+    return x;
+  }
+}
+function f#(y) {
+  return y;
+}
+' END, '#', CAST(o_orderkey AS VARCHAR)) END AS source_code FROM orders""",
     "f_numbered": "SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem",
     "f_raw": """SELECT l_orderkey * 100 + rn AS id, l_orderkey AS container_id,
   CASE l_partkey % 8 WHEN 0 THEN 'Class' WHEN 1 THEN 'Import' WHEN 2 THEN 'Variable' WHEN 3 THEN 'Module' WHEN 4 THEN 'Interface' ELSE 'Function' END AS block_type,

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from codequarry.plans.adapter_sql import with_views
 from codequarry.sources.code import Code, code
 
-MODULES = ("screens", "lookups", "graph", "scores", "history", "project", "text")
+MODULES = (*(f"operators.{x}" for x in ("screens", "lookups", "graph", "scores", "history", "project", "text")), "streaming.changes")
 PLANS: dict[str, Callable[[Code], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -25,7 +25,7 @@ def query(sql: str | None = None):
     def add(plan):
         PLANS[plan.__name__] = plan
         if sql:
-            SQL[plan.__name__] = " ".join(sql.split())
+            SQL[plan.__name__] = sql.strip()
         return plan
 
     return add
@@ -33,7 +33,7 @@ def query(sql: str | None = None):
 
 def load() -> None:
     for name in MODULES:
-        import_module(f"codequarry.operators.{name}")
+        import_module(f"codequarry.{name}")
 
 
 def queries() -> dict:

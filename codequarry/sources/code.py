@@ -18,6 +18,12 @@ TEXTS = ("cursor.execute(SELECT + x)", "return eval(x)", "for a in b: for c in d
 KINDS = ("Class", "Import", "Variable", "Module", "Interface")
 NAMES = ("test_", "get_api_key_", "UserFactory_", "RouteHandler_", "HandlerManager_")
 LANGUAGES = ("python", "rust", "javascript", "typescript")
+#: Source texts by language, # for the container's id.
+SOURCES = {
+    "python": "import os\nclass C#(Base):\n    def m(self, a):\n        if a:\n            return g(a)\n        return os.path\n\ndef g(x):\n    return x\n",
+    "rust": "use std::fs;\nstruct S# {\n    a: i32,\n}\npub fn f#(x: i32) -> i32 {\n    println!(\"{}\", x);\n    x\n}\n",
+    "javascript": "import { a } from './a';\nclass K# {\n  m(x) {\n    return x;\n  }\n}\nfunction f#(y) {\n  return y;\n}\n",
+}
 CHANGES = {"view": "DocumentationAdded", "click": "DependencyAdded", "purchase": "TestAdded", "signup": "PatternIntroduced"}
 
 
@@ -48,7 +54,8 @@ class Code:
     @cached_property
     def containers(self) -> DataFrame:
         key = F.col("o_orderkey")
-        source = F.when(key % 4 == 0, F.lit(None)).when(key % 4 == 1, "").otherwise(F.concat(F.lit("def f"), text("o_orderkey"), F.lit("():\n    return "), text("o_custkey")))
+        written = F.when(key % 5 == 0, SOURCES["python"]).when(key % 5 == 1, SOURCES["rust"]).when(key % 5 < 4, SOURCES["javascript"]).otherwise("text #")
+        source = F.when(key % 4 == 1, "").when(key % 4 != 0, F.replace(written, F.lit("#"), text("o_orderkey")))
         return self.table("orders").select(
             key.alias("id"),
             (F.col("o_custkey") % 5).cast("long").alias("migration_id"),

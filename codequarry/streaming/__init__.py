@@ -1 +1 @@
-"""See README.md for what this subpackage holds."""
+"""Windows and state over streams of changes. Each function takes a streaming or a plain DataFrame."""
