@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +20,40 @@ MOST_BYTES, TOTAL_BYTES, MOST_FILES = 10 << 20, 500 << 20, 10_000
 EMPTY_INIT = "# Empty __init__.py file\n"
 
 
+def underscored(spark: SparkSession, directory: str) -> list[str]:
+    """Files whose names begin with an underscore, such as __init__.py: Spark's own reader leaves them out."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    found, out = top.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(top, True), []
+    while found.hasNext():
+        path = found.next().getPath()
+        if path.getName().startswith("_"):
+            out.append(path.toString())
+    return out
+
+
 def raw(spark: SparkSession, directory: str) -> DataFrame:
     """path, length and content (bytes) of every file below a directory of any file system that Spark reads."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory).select("path", "length", "content")
+    read = spark.read.format("binaryFile")
+    own = read.option("recursiveFileLookup", True).load(directory)
+    own = own.select("path", "length", "content")
+    if more := underscored(spark, directory):
+        paths = spark.createDataFrame([(x,) for x in more], "path string").repartition(max(1, len(more) // 1000))
+        own = own.unionByName(paths.mapInPandas(opened, "path string, length long, content binary"))
+    return own
+
+
+def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Files read by Arrow's file systems, where they are asked for."""
+    from pyarrow import fs
+
+    for batch in batches:
+        rows = []
+        for path in batch["path"]:
+            store, place = fs.FileSystem.from_uri("file://" + path.removeprefix("file:").removeprefix("//") if path.startswith("file:") else path)
+            with store.open_input_file(place) as f:
+                content = f.read()
+            rows.append((path, len(content), content))
+        yield pd.DataFrame(rows, columns=["path", "length", "content"])
 
 
 def decoded(content: Column) -> Column:
@@ -52,8 +85,7 @@ def scan(spark: SparkSession, directory: str) -> DataFrame:
 def discover(spark: SparkSession, directory: str, most_bytes: int = MOST_BYTES, total_bytes: int = TOTAL_BYTES, most_files: int = MOST_FILES) -> DataFrame:
     """The files to analyse, in order of their paths: none above most_bytes, and no more than add up to
     total_bytes and most_files. The limits are the feature; only paths and lengths meet in one task."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory).select("path", "length")
-    own = listed.where(~ignored(F.col("path")) & language_of(F.col("path")).isNotNull() & (F.col("length") <= most_bytes))
+    own = raw(spark, directory).select("path", "length").where(~ignored(F.col("path")) & language_of(F.col("path")).isNotNull() & (F.col("length") <= most_bytes))
     order = Window.orderBy("path")
     own = own.withColumns({"upto": F.sum("length").over(order), "place": F.row_number().over(order)})
     return own.where((F.col("upto") <= total_bytes) & (F.col("place") <= most_files)).select("path", "length")
