@@ -94,13 +94,16 @@ def q04_solid_line_similarity(c):
 @query(f"""WITH {P}, l AS (SELECT id, len(list_filter({L.format('a')}, lambda z: {TRIM.format('z')} <> '')) AS n, len(list_filter({L.format('b')}, lambda z: {TRIM.format('z')} <> '')) AS m, {W.format('a')} AS x, {W.format('b')} AS y FROM p)
 SELECT id, ROUND(CASE WHEN n = 0 THEN CASE WHEN m = 0 THEN 1 ELSE 0 END ELSE 0.3 * LEAST(m::DOUBLE / n, CASE WHEN m = 0 THEN 0 ELSE n::DOUBLE / m END) + 0.7 * len(list_filter(x, lambda w: list_contains(y, w)))::DOUBLE / len(x) END, 6) AS quality FROM l""")
 def q05_reconstruction_quality(c):
-    """Tokens are held against the set of the other's, as many times as they occur."""
+    """Tokens are held against the set of the other's, as many times as they occur, by a join: texts may be long."""
     full = lambda k: F.size(F.array_remove(F.transform(lines(k), trimmed), ""))
-    own = pairs(c).select("id", full("a").alias("n"), full("b").alias("m"), words("a").alias("x"), F.array_distinct(words("b")).alias("y"))
-    counted = own.select("id", "n", "m", F.size("x").alias("tokens"), "x", "y")
-    kept = counted.withColumn("found", F.size("x") - F.size(F.filter("x", lambda w: ~F.array_contains("y", w))))
+    both = pairs(c)
+    own = both.select("id", full("a").alias("n"), full("b").alias("m"), F.size(words("a")).alias("tokens"))
+    x = both.select("id", F.explode(words("a")).alias("token")).groupBy("id", "token").agg(F.count("*").alias("times"))
+    y = both.select("id", F.explode(F.array_distinct(words("b"))).alias("token"))
+    found = x.join(y, ["id", "token"], "left_semi").groupBy("id").agg(F.sum("times").alias("found"))
     by_line = F.when(col("m") == 0, 0.0).otherwise(F.least(col("m") / col("n"), col("n") / col("m")))
-    return kept.select("id", F.round(F.when(col("n") == 0, (col("m") == 0).cast("double")).otherwise(0.3 * by_line + 0.7 * col("found") / col("tokens")), 6).alias("quality"))
+    quality = F.when(col("n") == 0, (col("m") == 0).cast("double")).otherwise(0.3 * by_line + 0.7 * F.coalesce("found", F.lit(0)) / col("tokens"))
+    return own.join(found, "id", "left").select("id", F.round(quality, 6).alias("quality"))
 
 
 @query(f"WITH {P} SELECT id, ROUND(CASE WHEN GREATEST({S.format('a')}, {S.format('b')}) = 0 THEN 0 ELSE ABS({S.format('a')} - {S.format('b')})::DOUBLE / GREATEST({S.format('a')}, {S.format('b')}) END, 6) AS variance FROM p")
