@@ -1,20 +1,21 @@
 """Operator 2: a Katz backoff language model over words, learnt from and applied to whole corpora.
 
-P(w | h) is d(c) * c(h, w) / c(h) where the pair was seen, else a(h) * P(w); P(w) likewise backs
-off to one class of unknown words. d(r) are Good-Turing discounts for counts up to CUTOFF, and a(h)
-is what makes all words' probabilities sum to exactly 1. A history whose pairs were all seen too
-often to be discounted counts one time more. Histories are words, or the start of a text.
+With h' for h without its first word, P(w | h) is d(c) * c(h, w) / c(h) where the gram was seen, else a(h) * P(w | h'), down to single words,
+which back off to one class of unknown words. d(r) are Good-Turing discounts for counts up to CUTOFF, by order, and a(h)
+is what makes all words' probabilities sum to exactly 1. A history whose grams were all seen too
+often to be discounted counts one time more. Histories are words, or one start before each text's first.
 
 Nothing is exploded into a row per token. Texts are cut into chunks of some thousand; a chunk asks
-once for each of its distinct words, and once for each of its distinct pairs, in blocks of packed
+once for each of its distinct words, then for each of its distinct grams of two words, of three and so on, in blocks of packed
 arrays. Blocks are dealt by word, then by history, to buckets, which sum the training counts of
-all chunks and answer each chunk in its own order. Histories that make up more than 1 / HOT of the
-corpus (at most HOT of them) are dealt by pair instead, and their sums are put together from the
+all chunks and answer each chunk in its own order. What a history gives away rests on the counts of the order
+below, which the chunks send along. Histories that make up more than 1 / HOT of the
+corpus (at most HOT of them) are dealt by gram instead, and their sums are put together from the
 buckets' partial sums. Buckets grow in number, not in size, with the corpus. Chunks' tokens stay in
-a table bucketed by chunk, which is read three times and never shuffled.
+a table bucketed by chunk, which is read once an order and never shuffled.
 
 Nulls: null text is the empty text (one end token). A null doc_id is not held out. Repeated ids and
-rows are learnt and scored each. Without training tokens every token is unknown, at probability 1.
+rows are learnt and scored each; very long texts make chunks of their own. Without training tokens every token is unknown, at probability 1.
 Extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -31,11 +32,13 @@ from pyspark.sql import functions as F
 from codequarry.llm._common import Words, documents, fold, materialise, mix
 
 FOLDS, HELD_OUT = 7, 2
+#: Words of the longest grams, unless a caller asks for more.
+ORDER = 2
 CUTOFF = 5
 #: Texts and about bytes of text in a chunk.
-CHUNK, CHUNK_BYTES = 4_000, 8 << 20
+CHUNK, CHUNK_BYTES = 2_000, 4 << 20
 #: Entries that a bucket gets from all chunks, about.
-BUCKET_ENTRIES = 1_500_000
+BUCKET_ENTRIES = 1_000_000
 HOT = 1_000
 END_HASH = np.uint64(0)
 START = np.uint64(1 << 62)
@@ -110,13 +113,12 @@ def chunks(docs: DataFrame, n_buckets: int) -> DataFrame:
     return docs.sparkSession.table(name)
 
 
-def sliced(values: np.ndarray, bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The places of values by bucket, in order."""
+def sliced(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of values by bucket, in order; empty buckets are passed over."""
     order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(n + 1))
-    for b in range(n):
-        if cuts[b] < cuts[b + 1]:
-            yield b, order[cuts[b] : cuts[b + 1]]
+    there, cuts = np.unique(bucket[order], return_index=True)
+    for b, x, y in zip(there.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+        yield b, order[x:y]
 
 
 def word_bucket(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -131,7 +133,7 @@ def vocabulary(table: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for chunk, words, counts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "words", "counts")), strict=True):
                 words, counts = unpacked(words, np.uint64, True), unpacked(counts, np.uint32)
-                rows = [(b, chunk, packed(words[at], True), packed(counts[at])) for b, at in sliced(words, word_bucket(words, n), n)]
+                rows = [(b, chunk, packed(words[at], True), packed(counts[at])) for b, at in sliced(word_bucket(words, n))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk", "words", "counts"])
 
     def answered(key: tuple, rows: pa.Table) -> pa.Table:
@@ -151,80 +153,131 @@ def vocabulary(table: DataFrame, n: int) -> DataFrame:
     return materialise(requests.groupBy("bucket").applyInArrow(answered, "chunk long, bucket int, ids binary, counts binary, stats array<long>"), "lm-words")
 
 
-class Pairs:
-    """A chunk's distinct pairs of history and word, in order of their ids, and what its words got."""
+def heads_of(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, int)
+
+
+class Grams:
+    """A chunk's distinct grams of one order, in order of history and word, with what is known of them.
 
-    def __init__(self, row: dict, n_words: int, n_pairs: int, hot: int):
-        """row: a chunk joined with its words' answers; hot: least count of a hot history."""
-        self.lens, tokens = unpacked(row["lens"], np.uint32).astype(np.int64), unpacked(row["tokens"], np.uint32)
+    back: for each token, the gram that ends there, or -1 where a text has too few words before it;
+    lower: the gram of the order below without the first word; hashes: of grams, as histories of the
+    order above; whole, count: of a gram's history and of the gram itself, in training.
+    """
+
+    def __init__(self, hashes, count, back, word=None):
+        self.hashes, self.count, self.back, self.word = hashes, count, back, word
+
+    @classmethod
+    def words(cls, row: dict, known: dict) -> tuple[Grams, np.ndarray]:
+        """The words of a chunk (a row with its answers), and the lengths of its texts; the start is the last word."""
+        lens, tokens = unpacked(row["lens"], np.uint32).astype(np.int64), unpacked(row["tokens"], np.uint32)
         words = unpacked(row["words"], np.uint64, True)
         ids, counts = np.empty(len(words), np.uint64), np.empty(len(words), np.int64)
-        answers = {x["bucket"]: x for x in row["answers"]}
-        for b, at in sliced(words, word_bucket(words, n_words), n_words):
+        answers = {x["bucket"]: x for x in row["answers1"]}
+        for b, at in sliced(word_bucket(words, known["n_words"])):
             ids[at], counts[at] = unpacked(answers[b]["ids"], np.uint64), unpacked(answers[b]["counts"], np.uint64).astype(np.int64)
         end = int(counts[words == END_HASH][0])
         order = np.argsort(ids)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        self.ids, self.counts = np.append(ids[order], START), np.append(counts[order], end)  # the start is seen once a text
-        self.tokens, self.size = rank[tokens], len(order) + 1
-        before = np.roll(self.tokens, 1)
-        before[np.cumsum(self.lens) - self.lens] = len(order)
-        keys, self.back = np.unique(before * self.size + self.tokens, return_inverse=True)
-        self.history, self.word = keys // self.size, keys % self.size
-        self.held = np.frombuffer(row["held"], np.uint8)
-        self.hot = self.counts[self.history] >= hot
-        own = mix(self.ids[self.history])
+        own = cls(np.append(ids[order], START), np.append(counts[order], end), rank[tokens], np.arange(len(order) + 1))  # the start is seen once a text
+        d, n = known["d"][1], own.count
+        own.chance = np.where(n > 0, discounted(n, d) / known["whole"], known["unknown"])
+        own.after = np.full(len(n), known["whole"])  # by word, what its count is divided by
+        own.seen = own.count[:-1]
+        return own, lens
+
+    def longer(self, words: Grams, lens: np.ndarray) -> Grams:
+        """The distinct grams of one word more."""
+        first = np.cumsum(lens) - lens
+        before = np.roll(self.back, 1)
+        before[first] = len(words.hashes) - 1 if self is words else -1  # the start, which is no history of two words
+        at = np.flatnonzero(before >= 0)
+        size = len(words.hashes)
+        keys, places, inverse = np.unique(before[at] * size + words.back[at], return_index=True, return_inverse=True)
+        back = np.full(len(before), -1)
+        back[at] = inverse
+        history, word = keys // size, keys % size
         with np.errstate(over="ignore"):
-            own = np.where(self.hot, mix(own * GOLDEN + self.ids[self.word]), own)
-        self.bucket = (own % np.uint64(n_pairs)).astype(np.int64)
-
-    def train_counts(self) -> np.ndarray:
-        return np.bincount(self.back[np.repeat(self.held == 0, self.lens)], minlength=len(self.history)).astype(np.uint32)
-
-
-def heads_of(values: np.ndarray) -> np.ndarray:
-    """Where runs of equal values begin."""
-    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, int)
-
-
-def learnt(docs: DataFrame, n_tables: int | None = None):
-    """(chunks with answers, answers to pairs, what scores need to know)."""
-    spark = docs.sparkSession
-    table = chunks(docs, n_tables or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    total = table.agg(F.sum("n_words")).first()[0] or 0
-    n_words = max(8, -(-total // BUCKET_ENTRIES))
-    answers = vocabulary(table, n_words)
-    stats = answers.where("stats IS NOT NULL").select(F.posexplode("stats").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
-    stats = np.array([0, *(r["x"] for r in sorted(stats, key=lambda r: r["k"]))] or [0] * (CUTOFF + 5), np.int64)
-    if len(stats) < CUTOFF + 5:
-        stats = np.zeros(CUTOFF + 5, np.int64)
-    seen, tokens = int(stats[CUTOFF + 2]), int(stats[CUTOFF + 3])
-    d_words = discounts(stats)
-    n_pairs = max(8, -(-total * 4 // BUCKET_ENTRIES))
-    hot = max(1, tokens // HOT)
-    # a chunk's answers are as many as its words; the chunk itself stays where it is
-    gathered = answers.where("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "ids", "counts")).alias("answers"))
-    joined = table.select("chunk", "doc_ids", "held", "lens", "tokens", "words").join(gathered, "chunk")
-    small_mass = float((d_words[1 : CUTOFF + 1] * np.arange(1, CUTOFF + 1) * stats[1 : CUTOFF + 1]).sum() + (tokens - (np.arange(1, CUTOFF + 1) * stats[1 : CUTOFF + 1]).sum()))
-    whole = tokens + 1.0 if tokens and tokens - small_mass < 1e-9 else float(max(tokens, 1))
-    known = {"n_words": n_words, "n_pairs": n_pairs, "hot": hot, "seen": seen, "tokens": tokens, "d_words": d_words, "whole": whole, "unknown": 1 - small_mass / whole}
+            hashes = mix(mix(self.hashes[history]) * GOLDEN + words.hashes[word])
+        own = Grams(hashes, np.zeros(len(keys), np.int64), back, word)
+        own.history, own.lower = history, self.back[at][places]
+        own.whole, own.of_history = self.count[history], self.hashes[history]
+        own.lower_count, own.lower_whole = self.count[own.lower], self.after[own.lower]
+        return own
+
+    def dealt(self, n: int, hot: int, words: Grams) -> np.ndarray:
+        """The bucket of each gram: that of its history, or its own if the history is hot."""
+        self.hot = self.whole >= hot
+        own = mix(self.of_history)
+        with np.errstate(over="ignore"):
+            own = np.where(self.hot, mix(own * GOLDEN + words.hashes[self.word]), own)
+        return (own % np.uint64(n)).astype(np.int64)
+
+    def answer(self, answers: list[dict], k: int, known: dict, words: Grams, lower: Grams) -> None:
+        """Take what the buckets say: counts, what they are divided by, and the chance of each gram."""
+        d, by = known["d"][k], {x["bucket"]: x for x in answers}
+        full, alpha = np.zeros(len(self.count), bool), np.ones(len(self.count))
+        for b, at in sliced(self.dealt(known["n"][k], known["hot"], words)):
+            x = by[b]
+            self.count[at] = unpacked(x["counts"], np.uint32)
+            heads = heads_of(self.history[at])
+            sizes = np.diff(np.append(heads, len(at)))
+            full[at] = np.repeat(unpacked(x["full"], np.uint8), sizes)
+            new = np.add.reduceat((self.count[at] == 0).astype(int), heads) > 0
+            made = np.ones(len(heads))
+            made[new] = backoff(unpacked(x["small"], np.uint32).reshape(CUTOFF, -1).T, unpacked(x["large"], np.uint64).astype(np.int64), unpacked(x["share"], np.float64), self.whole[at[heads]][new], d)
+            alpha[at] = np.repeat(made, sizes)
+        for history in np.unique(self.of_history[self.hot]):
+            small, large, share = known["histories"][k][int(history.view(np.int64))]
+            at = np.flatnonzero(self.of_history == history)
+            full[at] = small.sum() == 0
+            alpha[at] = backoff(small[None, :], np.array([large]), np.array([share]), self.whole[at[:1]], d)[0]
+        self.after = (self.whole + full).astype(np.float64)
+        self.chance = np.where(self.count > 0, discounted(self.count, d) / np.maximum(self.after, 1), alpha * lower.chance[self.lower])
+
+
+def asked_of(row: dict, order: int, known: dict) -> tuple[Grams, Grams, np.ndarray]:
+    """A chunk's words, its grams of an order (not yet answered) and its texts' lengths."""
+    words, lens = Grams.words(row, known)
+    own = words
+    for k in range(2, order):
+        above = own.longer(words, lens)
+        above.answer(row[f"answers{k}"], k, known, words, own)
+        own = above
+    return words, own.longer(words, lens), lens
+
+
+REQUEST = ["bucket", "chunk", "histories", "sizes", "words", "lower", "wholes", "counts", "hot"]
+HOT_TYPE = pa.struct([("history", pa.int64()), ("small", pa.list_(pa.int64())), ("large", pa.int64()), ("share", pa.float64())])
+ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("counts", "full", "small", "large", "share")), ("stats", pa.list_(pa.int64())), ("hot", pa.list_(HOT_TYPE))])
+ANSWER_SQL = "chunk long, bucket int, counts binary, full binary, small binary, large binary, share binary, stats array<long>, hot array<struct<history:long,small:array<long>,large:long,share:double>>"
+
+
+def gram_answers(joined: DataFrame, k: int, known: dict) -> DataFrame:
+    """Answers to chunks' grams of k words, by bucket."""
+    n, d_lower = known["n"][k], known["d"][k - 1]
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                p = Pairs(row, n_words, n_pairs, hot)
-                train, rows = p.train_counts(), []
-                for b, at in sliced(p.history, p.bucket, n_pairs):
+            for at_row in range(batch.num_rows):
+                row = batch.slice(at_row, 1).to_pylist()[0]
+                words, p, lens = asked_of(row, k, known)
+                held = np.repeat(np.frombuffer(row["held"], np.uint8), lens)
+                train = np.bincount(p.back[(held == 0) & (p.back >= 0)], minlength=len(p.word)).astype(np.uint32)
+                rows = []
+                for b, at in sliced(p.dealt(n, known["hot"], words)):
                     heads = heads_of(p.history[at])
-                    rows.append((b, row["chunk"], packed(p.ids[p.history[at][heads]], True), packed(np.diff(np.append(heads, len(at))).astype(np.uint32)), packed(p.ids[p.word[at]]), packed(p.counts[p.word[at]].astype(np.uint32)), packed(train[at]), packed(p.hot[at][heads].astype(np.uint8))))
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 6), strict=True)], names)
-
-    names = ["bucket", "chunk", "histories", "sizes", "words", "word_counts", "counts", "hot"]
+                    first = at[heads]
+                    rows.append((b, row["chunk"], packed(p.of_history[first], k == 2), packed(np.diff(np.append(heads, len(at))).astype(np.uint32)), packed(words.hashes[p.word[at]]), packed(p.lower_count[at].astype(np.uint32)), packed(p.lower_whole[first].astype(np.uint64)), packed(train[at]), packed(p.hot[first].astype(np.uint8))))
+                columns = zip(*rows, strict=True) if rows else [[]] * len(REQUEST)
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int32(), pa.int64(), *[pa.binary()] * 7), strict=True)], REQUEST)
 
     def answered(key: tuple, rows: pa.Table) -> pa.Table:
-        columns = {c: [unpacked(x, kind, c == "histories") for x in rows[c].to_pylist()] for c, kind in zip(names[2:], (np.uint64, np.uint32, np.uint64, np.uint32, np.uint32, np.uint8), strict=True)}
+        kinds = (np.uint64, np.uint32, np.uint64, np.uint32, np.uint64, np.uint32, np.uint8)
+        columns = {c: [unpacked(x, kind, c == "histories" and k == 2) for x in rows[c].to_pylist()] for c, kind in zip(REQUEST[2:], kinds, strict=True)}
         flat = {c: np.concatenate(x) for c, x in columns.items()}
         sizes = flat["sizes"].astype(np.int64)
         history = np.repeat(flat["histories"], sizes)
@@ -234,35 +287,66 @@ def learnt(docs: DataFrame, n_tables: int | None = None):
         total = np.add.reduceat(flat["counts"][order].astype(np.int64), heads)
         back = np.empty(len(order), np.int64)
         back[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
-        # by history: pairs seen 1 .. CUTOFF times, tokens of others, and what their words make without it
+        # by history: grams seen 1 .. CUTOFF times, tokens of others, and what their words make without its first word
         own, which = np.unique(h[heads], return_inverse=True)
         small = np.stack([np.bincount(which[total == r], minlength=len(own)) for r in range(1, CUTOFF + 1)], axis=1)
         large = np.bincount(which, np.where(total > CUTOFF, total, 0), len(own)).astype(np.int64)
-        share = np.bincount(which, np.where(total > 0, discounted(flat["word_counts"][order][heads].astype(np.int64), d_words) / whole, 0.0), len(own))
+        whole = np.repeat(flat["wholes"], sizes)[order][heads].astype(np.float64) if k > 2 else known["whole"]
+        below = discounted(flat["lower"][order][heads].astype(np.int64), d_lower) / np.maximum(whole, 1)
+        share = np.bincount(which, np.where(total > 0, below, 0.0), len(own))
         stats = [int((total == r).sum()) for r in range(1, CUTOFF + 2)]
-        out, a, g = [], 0, 0
+        out, a = [], 0
         for chunk, hs, ss in zip(rows["chunk"].to_pylist(), columns["histories"], columns["sizes"], strict=True):
-            n = int(ss.sum())
-            mine = total[back[a : a + n]]
+            size = int(ss.sum())
+            mine = total[back[a : a + size]]
             at = np.searchsorted(own, hs)
             new = np.bincount(np.repeat(np.arange(len(hs)), ss)[mine == 0], minlength=len(hs)) > 0  # backs off somewhere
             out.append({"chunk": chunk, "bucket": key[0].as_py(), "counts": packed(mine.astype(np.uint32)), "full": packed((small[at].sum(axis=1) == 0).astype(np.uint8)), "small": packed(small[at][new].astype(np.uint32).T.ravel()), "large": packed(large[at][new].astype(np.uint64)), "share": packed(share[at][new])})
-            a, g = a + n, g + len(hs)
+            a += size
         burning = np.unique(flat["histories"][flat["hot"] > 0])
         at = np.searchsorted(own, burning)
-        out.append({"chunk": None, "stats": stats, "hot": [{"history": int(x), "small": small[i].tolist(), "large": int(large[i]), "share": float(share[i])} for x, i in zip(burning, at, strict=True)]})
-        return pa.Table.from_pylist(out, answer)
+        out.append({"chunk": None, "stats": stats, "hot": [{"history": int(x), "small": small[i].tolist(), "large": int(large[i]), "share": float(share[i])} for x, i in zip(burning.view(np.int64), at, strict=True)]})
+        return pa.Table.from_pylist(out, ANSWER)
+
+    requests = joined.mapInArrow(asked, "bucket int, chunk long, " + ", ".join(f"{c} binary" for c in REQUEST[2:]))
+    return materialise(requests.groupBy("bucket").applyInArrow(answered, ANSWER_SQL), f"lm-grams{k}")
+
+
+def summed(answers: DataFrame) -> list[int]:
+    """The buckets' stats, added up by place."""
+    rows = answers.where("stats IS NOT NULL").select(F.posexplode("stats").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()
+    return [r["x"] for r in sorted(rows, key=lambda r: r["k"])]
+
 
-    hot_type = pa.struct([("history", pa.int64()), ("small", pa.list_(pa.int64())), ("large", pa.int64()), ("share", pa.float64())])
-    answer = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("counts", "full", "small", "large", "share")), ("stats", pa.list_(pa.int64())), ("hot", pa.list_(hot_type))])
-    requests = joined.mapInArrow(asked, "bucket int, chunk long, histories binary, sizes binary, words binary, word_counts binary, counts binary, hot binary")
-    schema = "chunk long, bucket int, counts binary, full binary, small binary, large binary, share binary, stats array<long>, hot array<struct<history:long,small:array<long>,large:long,share:double>>"
-    pairs = materialise(requests.groupBy("bucket").applyInArrow(answered, schema), "lm-pairs")
-    n_r = {r["k"]: r["x"] for r in pairs.where("stats IS NOT NULL").select(F.posexplode("stats").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect()}
-    known["d_pairs"] = discounts(np.array([0, *(n_r.get(k, 0) for k in range(CUTOFF + 1))]))
-    rows = pairs.where("hot IS NOT NULL").select(F.inline("hot")).groupBy("history").agg(*(F.sum(F.get("small", F.lit(k))).alias(f"s{k}") for k in range(CUTOFF)), F.sum("large").alias("large"), F.sum("share").alias("share"))
-    known["histories"] = {r["history"]: (np.array([r[f"s{k}"] for k in range(CUTOFF)]), r["large"], r["share"]) for r in rows.collect()}  # HOT + 1 at most
-    return joined, pairs, known
+def with_answers(table: DataFrame, answers: DataFrame, k: int) -> DataFrame:
+    """Chunks with their answers of one order, which are as many as their grams; the chunks stay where they are."""
+    columns = [c for c in answers.columns if c not in ("chunk", "stats", "hot")]
+    return table.join(answers.where("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct(*columns)).alias(f"answers{k}")), "chunk")
+
+
+def learnt(docs: DataFrame, order: int = ORDER, n_tables: int | None = None) -> tuple[DataFrame, dict]:
+    """Chunks with answers of all orders, and what scores need to know."""
+    spark = docs.sparkSession
+    table = chunks(docs, n_tables or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    total = table.agg(F.sum("n_words")).first()[0] or 0
+    n_words = max(8, -(-total // BUCKET_ENTRIES))
+    answers = vocabulary(table, n_words)
+    stats = np.array([0, *(summed(answers) or [0] * (CUTOFF + 4))], np.int64)
+    seen, tokens = int(stats[CUTOFF + 2]), int(stats[CUTOFF + 3])
+    d_words, r = discounts(stats), np.arange(1, CUTOFF + 1)
+    mass = float((d_words[1 : CUTOFF + 1] * r * stats[1 : CUTOFF + 1]).sum() + (tokens - (r * stats[1 : CUTOFF + 1]).sum()))
+    whole = tokens + 1.0 if tokens and tokens - mass < 1e-9 else float(max(tokens, 1))
+    n_grams = max(8, -(-tokens * FOLDS // ((FOLDS - 1) * BUCKET_ENTRIES)))
+    known = {"n_words": n_words, "hot": max(1, tokens // HOT), "seen": seen, "tokens": tokens, "whole": whole, "unknown": 1 - mass / whole, "d": {1: d_words}, "n": {}, "histories": {}}
+    joined = with_answers(table.select("chunk", "doc_ids", "held", "lens", "tokens", "words"), answers, 1)
+    for k in range(2, order + 1):
+        known["n"][k] = n_grams
+        answers = gram_answers(joined, k, known)
+        known["d"][k] = discounts(np.array([0, *(summed(answers) or [0] * (CUTOFF + 1))]))
+        rows = answers.where("hot IS NOT NULL").select(F.inline("hot")).groupBy("history").agg(*(F.sum(F.get("small", F.lit(x))).alias(f"s{x}") for x in range(CUTOFF)), F.sum("large").alias("large"), F.sum("share").alias("share"))
+        known["histories"][k] = {x["history"]: (np.array([x[f"s{i}"] for i in range(CUTOFF)]), x["large"], x["share"]) for x in rows.collect()}  # HOT + 1 at most
+        joined = with_answers(joined, answers, k)
+    return joined, known
 
 
 def backoff(small: np.ndarray, large: np.ndarray, share: np.ndarray, count: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -272,46 +356,30 @@ def backoff(small: np.ndarray, large: np.ndarray, share: np.ndarray, count: np.n
     return np.where(count > 0, (1 - kept / np.maximum(whole, 1)) / (1 - share), 1.0)
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    joined, pairs, known = learnt(docs)
-    d, d_words = known["d_pairs"], known["d_words"]
+    joined, known = learnt(docs, order)
     fields = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                p = Pairs(row, known["n_words"], known["n_pairs"], known["hot"])
-                answers = {x["bucket"]: x for x in row["pairs"]}
-                count, full, alpha = np.empty(len(p.history), np.int64), np.zeros(len(p.history), bool), np.ones(len(p.history))
-                for b, at in sliced(p.history, p.bucket, known["n_pairs"]):
-                    x = answers[b]
-                    count[at] = unpacked(x["counts"], np.uint32)
-                    heads = heads_of(p.history[at])
-                    sizes = np.diff(np.append(heads, len(at)))
-                    full[at] = np.repeat(unpacked(x["full"], np.uint8), sizes)
-                    new = np.add.reduceat((count[at] == 0).astype(int), heads) > 0
-                    made = np.ones(len(heads))
-                    made[new] = backoff(unpacked(x["small"], np.uint32).reshape(CUTOFF, -1).T, unpacked(x["large"], np.uint64).astype(np.int64), unpacked(x["share"], np.float64), p.counts[p.history[at][heads]][new], d)
-                    alpha[at] = np.repeat(made, sizes)
-                for local in np.unique(p.history[p.hot]):
-                    small, large, share = known["histories"][int(p.ids[local])]
-                    at = p.history == local
-                    full[at] = small.sum() == 0
-                    alpha[at] = backoff(small[None, :], np.array([large]), np.array([share]), p.counts[[local]], d)[0]
-                seen_words = p.counts[:-1]
-                single = np.where(seen_words > 0, discounted(seen_words, d_words) / known["whole"], known["unknown"])
-                whole = p.counts[p.history] + full
-                chance = np.where(count > 0, discounted(count, d) / np.maximum(whole, 1), alpha * single[p.word])
-                base = np.log10((seen_words + 1) / (known["tokens"] + known["seen"] + 1))[p.tokens]
-                text = np.repeat(np.arange(len(p.lens)), p.lens)
-                add = lambda x, text=text, n=len(p.lens): np.bincount(text, x, n)
-                columns = [row["doc_ids"], p.held.astype(bool), p.lens, add(seen_words[p.tokens] > 0).astype(np.int64), np.full(len(p.lens), known["tokens"]), add(base), add(np.log10(chance)[p.back])]
+            for at_row in range(batch.num_rows):
+                row = batch.slice(at_row, 1).to_pylist()[0]
+                words, lens = Grams.words(row, known)
+                own, chance = words, words.chance[words.back]
+                for k in range(2, order + 1):
+                    above = own.longer(words, lens)
+                    above.answer(row[f"answers{k}"], k, known, words, own)
+                    there = above.back >= 0
+                    chance[there] = above.chance[above.back[there]]
+                    own = above
+                base = np.log10((words.seen + 1) / (known["tokens"] + known["seen"] + 1))[words.back]
+                text = np.repeat(np.arange(len(lens)), lens)
+                add = lambda x, text=text, n=len(lens): np.bincount(text, x, n)
+                columns = [row["doc_ids"], np.frombuffer(row["held"], np.uint8).astype(bool), lens, add(words.seen[words.back] > 0).astype(np.int64), np.full(len(lens), known["tokens"]), add(base), add(np.log10(chance))]
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(columns, fields, strict=True)], [c for c, _ in fields])
 
-    gathered = pairs.where("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts", "full", "small", "large", "share")).alias("pairs"))
-    return joined.join(gathered, "chunk").mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return joined.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

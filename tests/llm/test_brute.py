@@ -118,25 +118,30 @@ def katz(texts, order):
     return p, counts[0]
 
 
-def test_language_model(docs):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(docs, order, monkeypatch):
+    """In chunks of a few texts, with hot histories."""
+    monkeypatch.setattr(ngram_lm, "CHUNK", 7)
+    monkeypatch.setattr(ngram_lm, "HOT", 300)
     own = [(i, [*WORD.findall(lowered(t)), "</s>"]) for i, t in ROWS]
     held = [i is not None and folded(i, 7) == 2 for i, _ in own]
-    p, known = katz([w for (_, w), h in zip(own, held) if not h], 2)
+    p, known = katz([w for (_, w), h in zip(own, held) if not h], order)
     n, v = known.total(), len(known)
     expected = []
     for (i, words), h in zip(own, held):
-        score = sum(math.log10(p([b], w)) for b, w in zip(["<s>", *words], words))
+        padded = ["<s>", *words]
+        score = sum(math.log10(p(padded[max(0, k + 2 - order) : k + 1], w)) for k, w in enumerate(words))
         base = sum(math.log10((known[w] + 1) / (n + v + 1)) for w in words)
         expected.append((-1 if i is None else i, h, len(words), sum(known[w] > 0 for w in words), n, base, score))
-    rows = [tuple(r) for r in ngram_lm.score(docs).collect()]
+    rows = [tuple(r) for r in ngram_lm.score(docs, order).collect()]
     rows = sorted((-1 if r[0] is None else r[0], *r[1:]) for r in rows)
     for made, wanted in zip(rows, sorted(expected), strict=True):
         assert made[:5] == wanted[:5] and made[5:] == pytest.approx(wanted[5:], rel=1e-9)
 
 
 def test_language_model_sums_to_one():
-    p, known = katz([WORD.findall(t) + ["</s>"] for t in PLAIN], 2)
-    for history in (["<s>"], ["word1"], ["word2"], ["unseen"]):
+    p, known = katz([WORD.findall(t) + ["</s>"] for t in PLAIN], 3)
+    for history in (["<s>"], ["word1"], ["word2"], ["unseen"], ["<s>", "word3"], PLAIN[3].split()[4:6], ["word1", "unseen"]):
         assert sum(p(history, w) for w in [*known, "never"]) == pytest.approx(1.0, abs=1e-9)
 
 
