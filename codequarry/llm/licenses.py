@@ -7,8 +7,8 @@ are merged, and a merged run counts if it covers COVERAGE of the template's gram
 at most STRETCH times its length. Phrases, the short templates behind the base columns, count only
 where all their grams lie on one diagonal, which is where their words stand consecutively.
 
-Only hits are shuffled, by document. Nulls: null text is the empty text. Rows with null or repeated
-doc_id are scanned like any other; equal rows get equal results. Extra columns are ignored; an
+Only hits are shuffled, by document. Nulls: null text is the empty text; very long texts are scanned whole. Rows with null or repeated
+doc_id are scanned like any other; equal rows get equal results. Of overlapping spans all that tie for the highest coverage stay. Extra columns are ignored; an
 empty table gives an empty result.
 """
 
@@ -131,4 +131,32 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_licenses": op4_licenses}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _listed(rows, exact: str) -> str:
+    return ", ".join(f"('{label}', '{text}', {exact})" for label, text in rows)
+
+
+#: The same by lists and words in place of hashes: every gram of every text, joined by its words to the templates' grams.
+_SQL = rf"""
+WITH t AS (SELECT row_number() OVER () AS template, * FROM (VALUES {_listed(PHRASES, 'TRUE')}, {_listed(TEMPLATES, 'FALSE')}) v(label, text, exact)),
+tw AS (SELECT *, string_split(text, ' ') AS w FROM t),
+tg AS (SELECT template, label, exact, len(w) AS length, len(w) - 2 AS n_grams, i - 1 AS spot, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM tw)),
+d AS (SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(lower(COALESCE(text, '')), '{BREAK}'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT k, i - 1 AS place, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+hit AS (SELECT k, place, spot, place - spot AS diagonal, template, label, exact, length, n_grams FROM g JOIN tg USING (gram)),
+whole AS (SELECT k, template, label, TRUE AS exact, MIN(place) AS first, MAX(place) + 2 AS last, COUNT(DISTINCT spot) / MAX(n_grams) AS coverage FROM hit WHERE exact GROUP BY k, template, label, diagonal HAVING COUNT(DISTINCT spot) = MAX(n_grams)),
+stepped AS (SELECT DISTINCT k, template, diagonal FROM hit WHERE NOT exact),
+apart AS (SELECT *, CASE WHEN diagonal - LAG(diagonal) OVER (PARTITION BY k, template ORDER BY diagonal) <= {GAP} THEN 0 ELSE 1 END AS new FROM stepped),
+run AS (SELECT *, SUM(new) OVER (PARTITION BY k, template ORDER BY diagonal) AS run FROM apart),
+merged AS (SELECT h.k, h.template, h.label, MIN(place) AS first, MAX(place) + 2 AS last, COUNT(DISTINCT spot)::DOUBLE / MAX(n_grams) AS coverage, MAX(length) AS length FROM hit h JOIN run r ON r.k = h.k AND r.template = h.template AND r.diagonal = h.diagonal WHERE NOT h.exact GROUP BY h.k, h.template, h.label, r.run),
+good AS (SELECT * FROM merged WHERE coverage >= {COVERAGE} AND last - first + 1 <= ceil(length * {STRETCH})),
+begun AS (SELECT *, CASE WHEN first > MAX(last) OVER (PARTITION BY k ORDER BY first, last, template ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS FALSE THEN 0 ELSE 1 END AS new FROM good),
+island AS (SELECT *, SUM(new) OVER (PARTITION BY k ORDER BY first, last, template) AS island FROM begun),
+best AS (SELECT *, MAX(coverage) OVER (PARTITION BY k, island) AS most FROM island),
+span AS (SELECT k, label, exact, first, coverage FROM whole UNION ALL SELECT k, label, FALSE, first, coverage FROM best WHERE coverage = most),
+found AS (SELECT k, COUNT(CASE WHEN exact THEN 1 END) AS n_base, MIN(CASE WHEN exact THEN first END) AS first_word, MAX(CASE WHEN exact THEN first END) AS last_word, array_to_string(list_sort(array_agg(DISTINCT label) FILTER (exact)), ',') AS base_labels,
+ array_to_string(list_sort(array_agg(DISTINCT label)), ',') AS labels, MAX(coverage) AS score FROM span GROUP BY k)
+SELECT doc_id, len(w) AS n_words, COALESCE(n_base, 0) AS n_base, first_word, last_word, COALESCE(base_labels, '') AS base_labels, COALESCE(labels, '') AS labels, COALESCE(score, 0.0) AS score FROM d LEFT JOIN found USING (k)
+"""
+ORACLE_SQL: dict[str, str] = {"op4_licenses": _SQL.strip()}

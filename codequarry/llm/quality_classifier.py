@@ -6,7 +6,7 @@ model is fitted on at most SAMPLE labelled rows of the learning folds, in a fixe
 
 Nulls: null text is the empty text, which scores by the bias alone; rows without a label in {0, 1}
 teach nothing; without any label every score is 0.5. Rows with a null id are held out. Repeated
-rows are scored each. Extra columns are ignored; an empty table gives an empty result.
+rows are scored each, very long texts whole; a score equal to CUT is predicted 1. Of a document's labels that differ each teaches. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

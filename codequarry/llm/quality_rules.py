@@ -12,7 +12,7 @@ neither side is broadcast; scoring is a third pass without a shuffle. The weight
 doubles, whatever the corpus.
 
 Nulls: null text has no words (base_failed). Rows with a null or repeated doc_id are judged like
-any other; a text counts as trusted if any row of its id is labelled good. Extra columns are
+any other, very long texts whole; equal rows get equal verdicts, and a ratio equal to THRESHOLD is kept; a text counts as trusted if any row of its id is labelled good. Extra columns are
 ignored by measure() and kept by accept(), whatever their names. Without trusted documents all
 ratios are 0 and only the base rules reject. An empty
 table gives an empty result.

@@ -7,8 +7,9 @@ a constant. Windows at or above the class's entropy are merged into spans; windo
 allow-listed string (UUIDs, placeholders) give none, nor do whole runs that are checksums with a
 named algorithm or given strings. A span inside a base span is not reported twice.
 
-Nulls: null text is the empty text, with no spans. Rows with null or repeated doc_id are scanned
-like any other. Columns of docs other than doc_id and text are ignored by scan() and kept by
+Nulls: null text is the empty text, with no spans; redact() leaves it null. Very long texts are scanned whole, in time
+linear in their length. Rows with null or repeated doc_id are scanned
+like any other, equal rows alike; spans of one start stand in the order of KINDS. Empty tables give empty results. Columns of docs other than doc_id and text are ignored by scan() and kept by
 redact(), whatever their names.
 """
 

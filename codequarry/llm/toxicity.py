@@ -9,7 +9,8 @@ A document's score is the calibrated chance that at least one of its tokens is t
 a marginal of a half or more are its offending spans. A text is one chain; it is laid out in rows of CHAIN
 tokens, and messages pass from row to row by the rows' 2 x 2 products.
 
-The model is fitted on at most SAMPLE labelled rows. Nulls: null text is the empty text, which
+The model is fitted on at most SAMPLE labelled rows: calibration on all of their tokens, potentials on the rows of CHAIN tokens that
+hold a toxic one, their neighbours, and about PLAIN_ROWS others, evenly spread. Very long texts are one chain like others; a score equal to CUT is predicted 1. Nulls: null text is the empty text, which
 scores as a text without toxic tokens; without labels every score is the prior 0.5. Rows with a
 null id are held out. Repeated rows are scored each. Extra columns are ignored; an empty table
 gives an empty result.
@@ -34,6 +35,8 @@ BITS = 18
 CHAIN = 64
 #: Rows that the model is fitted on, at most.
 SAMPLE = 4_000
+#: Rows of CHAIN tokens without toxic ones near that potentials are fitted on, about.
+PLAIN_ROWS = 4_000
 #: A feature marks a token if it is this many times as frequent in toxic documents, in so many at least.
 RATIO, LEAST = 15.0, 4
 STEPS, RATE, DECAY = 60, 0.5, 1e-4
@@ -199,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SA
     hit[1:] |= toxic_rows[:-1] & follows[1:]
     hit[:-1] |= toxic_rows[1:] & follows[1:]
     plain = np.flatnonzero(~hit)
-    hit[plain[:: max(1, len(plain) // 4000)]] = True
+    hit[plain[:: max(1, len(plain) // PLAIN_ROWS)]] = True
     use = hit[row]
     follows = (follows & np.append(False, hit[:-1]))[hit]
     before, after = (x[use] for x in around(words))
