@@ -335,4 +335,19 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_near_dedup": op8_near_dedup}
-ORACLE_SQL: dict[str, str] = {}
+
+#: The definition, from all pairs of texts that share a shingle; banding misses a link of similarity 0.8 once in some 2,500 times.
+_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, COALESCE(text, '') AS t FROM documents),
+n AS (SELECT row_number() OVER () AS k, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT t FROM d)),
+s AS (SELECT DISTINCT k, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS shingle FROM (SELECT k, w, unnest(range(1, GREATEST(len(w) - {SHINGLE - 2}, 2))) AS i FROM n WHERE len(w) > 0)),
+size AS (SELECT k, COUNT(*) AS m FROM s GROUP BY k),
+pair AS (SELECT a.k AS x, b.k AS y, COUNT(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.k < b.k GROUP BY 1, 2),
+link AS (SELECT x, y FROM pair JOIN size p ON p.k = x JOIN size q ON q.k = y WHERE c >= {SIMILARITY} * (p.m + q.m - c) - 1e-9),
+twoway AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT k AS x, k AS y FROM n UNION SELECT r.x, b.y FROM reach r JOIN twoway b ON b.x = r.y),
+label AS (SELECT x AS k, MIN(y) AS label FROM reach GROUP BY x),
+own AS (SELECT d.doc_id, l.label FROM d JOIN n ON n.t = d.t JOIN label l ON l.k = n.k)
+SELECT doc_id, MIN(doc_id) OVER (PARTITION BY label) AS class_id, COUNT(*) OVER (PARTITION BY label) AS class_size FROM own
+"""
+ORACLE_SQL: dict[str, str] = {"op8_near_dedup": _SQL.strip()}
