@@ -185,9 +185,13 @@ def t10_specifications(c):
     return c.table("conversations").groupBy("conv_id").agg((1 + F.count("*")).alias("complexity_score"), n.alias("n_patterns"))
 
 
-@query("""WITH RECURSIVE tree AS (SELECT id, container_id, block_type, semantic_name, raw_text, lpad(CAST(position AS VARCHAR), 6, '0') AS key, 0 AS level FROM f_blocks WHERE parent_block_id IS NULL
+SQL_GENERATED = """WITH RECURSIVE tree AS (SELECT id, container_id, block_type, semantic_name, raw_text, lpad(CAST(position AS VARCHAR), 6, '0') AS key, 0 AS level FROM f_blocks WHERE parent_block_id IS NULL
 UNION ALL SELECT b.id, b.container_id, b.block_type, b.semantic_name, b.raw_text, t.key || '/' || lpad(CAST(b.position AS VARCHAR), 6, '0'), t.level + 1 FROM f_blocks b JOIN tree t ON b.parent_block_id = t.id)
-SELECT container_id, string_agg(repeat('  ', level) || raw_text, chr(10) ORDER BY block_type <> 'Import', CASE WHEN block_type = 'Import' THEN COALESCE(semantic_name, '') ELSE '' END, key) AS code FROM tree GROUP BY container_id""")
+SELECT container_id, string_agg(repeat('  ', level) || raw_text, chr(10) ORDER BY block_type <> 'Import', CASE WHEN block_type = 'Import' THEN COALESCE(semantic_name, '') ELSE '' END, key) AS code FROM tree GROUP BY container_id"""
+SQL_FILES = SQL_GENERATED.replace("SELECT container_id, string_agg", "SELECT (SELECT original_path || CASE language WHEN 'python' THEN '.py' WHEN 'rust' THEN '.rs' WHEN 'javascript' THEN '.js' WHEN 'typescript' THEN '.ts' ELSE '.txt' END FROM f_containers c WHERE c.id = container_id) AS path, string_agg")
+
+
+@query(SQL_GENERATED)
 def t01_generated_files(c):
     """A file's imports first, by name, then its blocks in pre-order, indented by level."""
     from codequarry.operators.screens import v26_block_hierarchy
@@ -237,3 +241,50 @@ def x07_elimination_run(c):
 @query("SELECT id, semantic_name, block_type FROM f_blocks WHERE body_ast IS NOT NULL AND semantic_name <> ''")
 def x18_generation_ready(c):
     return c.blocks.where("body_ast IS NOT NULL AND semantic_name <> ''").select("id", "semantic_name", "block_type")
+
+
+@query(f"SELECT path, 'std::fs' AS dependency FROM {having(chr(39) + 'rust' + chr(39))}")
+def ext11_uses(c):
+    return sources(c, "rust").select("path", F.explode(source_text.uses(col("content"))).alias("dependency"))
+
+
+@query(f"SELECT path, FALSE AS is_mutable, FALSE AS mutates_self, FALSE AS mutates_parameters, FALSE AS mutates_globals, length(s) AS estimated_bytes, len(string_split(s, chr(10))) - 1 AS estimated_operations FROM (SELECT CAST(id AS VARCHAR) AS path, source_code AS s FROM f_containers WHERE source_code <> '' AND language = 'rust')")
+def ext12_resources(c):
+    """Flags of mutability, and the estimates of memory (bytes of text) and work (lines)."""
+    own = sources(c, "rust")
+    return own.select("path", F.inline(F.array(source_text.mutability(col("content")))), F.octet_length("content").alias("estimated_bytes"), (F.size(F.split("content", "\n")) - 1).alias("estimated_operations"))
+
+
+@query(f"SELECT path, unnest([0, 1, 2, 3]) AS position, unnest([0, 0, 1, 0]) AS depth FROM {having(chr(39) + 'python' + chr(39))}")
+def ext03_scopes(c):
+    """Pre-order positions of blocks and how many scopes hold them."""
+    own = python_source.blocks(sources(c, "python"))
+    parent = own.select("path", col("position").alias("parent"), F.lit(1).alias("inside"))
+    return own.join(parent, ["path", "parent"], "left").select("path", "position", F.coalesce("inside", F.lit(0)).alias("depth"))
+
+
+@query(f"SELECT path, 2.0::DOUBLE AS complexity FROM {having(chr(39) + 'python' + chr(39))}")
+def ext16_file_complexity(c):
+    return python_source.figures(sources(c, "python")).select("path", "complexity")
+
+
+@query(f"SELECT path, 1.0::DOUBLE AS complexity FROM {having(chr(39) + 'python' + chr(39))}")
+def ext17_simple_complexity(c):
+    return python_source.figures(sources(c, "python")).select("path", col("simple_complexity").alias("complexity"))
+
+
+@query(f"SELECT path, unnest(['m', 'g']) AS name, unnest([2, 1]) AS complexity FROM {having(chr(39) + 'python' + chr(39))}")
+def ext18_function_complexity(c):
+    return python_source.blocks(sources(c, "python")).where("block_type = 'Function'").select("path", "name", "complexity")
+
+
+@query(f"SELECT path, unnest(['class', 'function', 'function']) AS type, unnest(['C' || path, 'm', 'g']) AS name, unnest([2, 3, 8]) AS line FROM {having(chr(39) + 'python' + chr(39))}")
+def ext19_definitions(c):
+    return python_source.nodes(sources(c, "python")).where("type IN ('class', 'function', 'async_function')").select("path", "type", "name", "line")
+
+
+@query(SQL_FILES)
+def t04_repository(c):
+    """Every file of a repository: its path, by language, and its generated text."""
+    extension = F.when(col("language") == "python", ".py").when(col("language") == "rust", ".rs").when(col("language") == "javascript", ".js").when(col("language") == "typescript", ".ts").otherwise(".txt")
+    return t01_generated_files(c).join(c.containers.select(col("id").alias("container_id"), "original_path", "language"), "container_id").select(F.concat("original_path", extension).alias("path"), "code")

@@ -58,7 +58,7 @@ WHERE a.position = 1 AND b.position = 1 AND a.container_id % 10 <> 0 AND a.conta
     "f_changes": """SELECT event_id AS change_id, event_id AS commit_id, user_id AS block_id, 'u' || CAST(user_id % 10 AS VARCHAR) AS author, ts AS changed_at, CASE event_type WHEN 'view' THEN 'DocumentationAdded' WHEN 'click' THEN 'DependencyAdded'
   WHEN 'purchase' THEN 'TestAdded' WHEN 'signup' THEN 'PatternIntroduced' ELSE 'BugFixed' END AS change_type, CAST(json_extract(props, '$.k') AS INT) AS cc_after FROM events""",
 }
-BASE = ("region", "orders", "lineitem", "events", "documents", "conversations", "pages")
+BASE = ("region", "orders", "lineitem", "events", "documents", "conversations", "pages", "nation", "part")
 
 
 def with_views(query: str) -> str:

@@ -109,3 +109,9 @@ def checked_url(url: str) -> str:
     if made.hostname in ("localhost", "127.0.0.1", "0.0.0.0", "::1"):
         raise ValueError("an address of this machine")
     return url
+
+
+def valid_url(url: Column) -> Column:
+    """checked_url() as a condition on a column."""
+    host = F.regexp_extract(F.lower(url), r"^(?:https?|git)://(?:[^/@]*@)?(\[[^\]]*\]|[^/:?#]+)", 1)
+    return F.coalesce((host != "") & ~host.isin("localhost", "127.0.0.1", "0.0.0.0", "[::1]"), F.lit(False))
