@@ -2,7 +2,8 @@
 
 Quality rules reject documents; one document of each group of near duplicates stays; documents that
 hold a benchmark item go; secrets are masked in the texts that remain; and these are packed into
-sequences. All stages but the last return the columns of documents.
+sequences. All stages but the last return the columns of documents, extra ones too, whatever their
+names; empty tables give empty ones, and very long texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -14,22 +15,27 @@ from codequarry.llm._common import documents, materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules. Null texts have no words and go; equal rows share a verdict; without labels only the base rules reject."""
     return quality_rules.accept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, that with the least id; of rows that tie any one. Null ids come last, a null text is the empty text."""
     return near_dedup.representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item. Null texts hold none; without items all stay."""
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets masked in text and n_chars counted anew. Null texts stay null."""
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences. A null text is the empty text; rows of one id are packed each."""
     return packing.pack(docs)
 
 
