@@ -84,3 +84,25 @@ def test_run_against_plain_python(spark, tmp_path, monkeypatch):
     ids = encoder(tokenizer_path()).encode(pa.array(expected.values()))
     assert lengths == {i: len(own) + 1 for i, own in zip(expected, ids, strict=True)}
     assert max(filled.values()) <= packing.CAPACITY
+
+
+@pytest.mark.parametrize("n", [0, 9])
+def test_stages_take_odd_rows(spark, tmp_path, n):
+    """Nulls, empty and long texts, repeated rows, clashing columns; and no rows at all."""
+    words = " ".join(f"good{i % 90}" for i in range(25_000))
+    fine = " ".join(f"good{i}" for i in range(60))
+    rows = [(None, fine + " tail", 1, "a", 2), (1, None, None, None, None), (2, "", 0, "b", 1), (3, fine, 5, "c", 1), (3, fine, 5, "c", 1), (4, fine, 6, "d", 1), (5, words, 7, "e", 1), (6, f"{fine} more {SECRET}", 8, "f", 1), (7, " \n\t ", 9, "g", 1)]
+    docs = spark.createDataFrame(rows[:n], "doc_id long, text string, n_chars int, item_id string, length long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 1, 0)] if n else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, ITEM), (2, None)] if n else [], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.schema(docs.schema).parquet(f"{tmp_path}/{k}")
+        if name != "packing":
+            assert docs.columns == ["doc_id", "text", "n_chars", "item_id", "length"]
+        if n and name == "near_dedup":
+            kept = {r["doc_id"] for r in docs.collect()}
+            assert 3 in kept and 4 not in kept and not kept & {1, 2, 7}
+    assert bool(docs.count()) == bool(n)
