@@ -42,6 +42,8 @@ BUCKET_ENTRIES = 1_000_000
 HOT = 1_000
 END_HASH = np.uint64(0)
 START = np.uint64(1 << 62)
+#: Bits of a word's id beside the number of its history in a bucket.
+WORD_BITS = np.uint64(40)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,6 +117,8 @@ def chunks(docs: DataFrame, n_buckets: int) -> DataFrame:
 
 def sliced(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """The places of values by bucket, in order; empty buckets are passed over."""
+    if len(bucket) and bucket.max() < 1 << 16:
+        bucket = bucket.astype(np.uint16)  # sorted by radix
     order = np.argsort(bucket, kind="stable")
     there, cuts = np.unique(bucket[order], return_index=True)
     for b, x, y in zip(there.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
@@ -196,14 +200,19 @@ class Grams:
         before[first] = len(words.hashes) - 1 if self is words else -1  # the start, which is no history of two words
         at = np.flatnonzero(before >= 0)
         size = len(words.hashes)
-        keys, places, inverse = np.unique(before[at] * size + words.back[at], return_index=True, return_inverse=True)
+        keys = before[at] * size + words.back[at]
+        order = np.argsort(keys)
+        keys = keys[order]
+        heads = heads_of(keys)
         back = np.full(len(before), -1)
-        back[at] = inverse
-        history, word = keys // size, keys % size
+        back[at[order]] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(keys))))
+        keys, places = keys[heads], at[order[heads]]
+        history = keys // size
+        word = keys - history * size
         with np.errstate(over="ignore"):
             hashes = mix(mix(self.hashes[history]) * GOLDEN + words.hashes[word])
         own = Grams(hashes, np.zeros(len(keys), np.int64), back, word)
-        own.history, own.lower = history, self.back[at][places]
+        own.history, own.lower = history, self.back[places]
         own.whole, own.of_history = self.count[history], self.hashes[history]
         own.lower_count, own.lower_whole = self.count[own.lower], self.after[own.lower]
         return own
@@ -216,8 +225,8 @@ class Grams:
             own = np.where(self.hot, mix(own * GOLDEN + words.hashes[self.word]), own)
         return (own % np.uint64(n)).astype(np.int64)
 
-    def answer(self, answers: list[dict], k: int, known: dict, words: Grams, lower: Grams) -> None:
-        """Take what the buckets say: counts, what they are divided by, and the chance of each gram."""
+    def answer(self, answers: list[dict], k: int, known: dict, words: Grams, lower: Grams, chances: bool = True) -> None:
+        """Take what the buckets say: counts, what they are divided by, and the chance of each gram (the order above asks without)."""
         d, by = known["d"][k], {x["bucket"]: x for x in answers}
         full, alpha = np.zeros(len(self.count), bool), np.ones(len(self.count))
         for b, at in sliced(self.dealt(known["n"][k], known["hot"], words)):
@@ -226,6 +235,8 @@ class Grams:
             heads = heads_of(self.history[at])
             sizes = np.diff(np.append(heads, len(at)))
             full[at] = np.repeat(unpacked(x["full"], np.uint8), sizes)
+            if not chances:
+                continue
             new = np.add.reduceat((self.count[at] == 0).astype(int), heads) > 0
             made = np.ones(len(heads))
             made[new] = backoff(unpacked(x["small"], np.uint32).reshape(CUTOFF, -1).T, unpacked(x["large"], np.uint64).astype(np.int64), unpacked(x["share"], np.float64), self.whole[at[heads]][new], d)
@@ -236,7 +247,7 @@ class Grams:
             full[at] = small.sum() == 0
             alpha[at] = backoff(small[None, :], np.array([large]), np.array([share]), self.whole[at[:1]], d)[0]
         self.after = (self.whole + full).astype(np.float64)
-        self.chance = np.where(self.count > 0, discounted(self.count, d) / np.maximum(self.after, 1), alpha * lower.chance[self.lower])
+        self.chance = chances and np.where(self.count > 0, discounted(self.count, d) / np.maximum(self.after, 1), alpha * lower.chance[self.lower])
 
 
 def asked_of(row: dict, order: int, known: dict) -> tuple[Grams, Grams, np.ndarray]:
@@ -245,7 +256,7 @@ def asked_of(row: dict, order: int, known: dict) -> tuple[Grams, Grams, np.ndarr
     own = words
     for k in range(2, order):
         above = own.longer(words, lens)
-        above.answer(row[f"answers{k}"], k, known, words, own)
+        above.answer(row[f"answers{k}"], k, known, words, own, chances=False)
         own = above
     return words, own.longer(words, lens), lens
 
@@ -280,29 +291,30 @@ def gram_answers(joined: DataFrame, k: int, known: dict) -> DataFrame:
         columns = {c: [unpacked(x, kind, c == "histories" and k == 2) for x in rows[c].to_pylist()] for c, kind in zip(REQUEST[2:], kinds, strict=True)}
         flat = {c: np.concatenate(x) for c, x in columns.items()}
         sizes = flat["sizes"].astype(np.int64)
-        history = np.repeat(flat["histories"], sizes)
-        order = np.lexsort((flat["words"], history))
-        h, w = history[order], flat["words"][order]
-        heads = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]))
+        own, place = np.unique(flat["histories"], return_inverse=True)
+        code = (np.repeat(place, sizes).astype(np.uint64) << WORD_BITS) | flat["words"]
+        order = np.argsort(code)
+        code = code[order]
+        heads = heads_of(code)
         total = np.add.reduceat(flat["counts"][order].astype(np.int64), heads)
         back = np.empty(len(order), np.int64)
         back[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
         # by history: grams seen 1 .. CUTOFF times, tokens of others, and what their words make without its first word
-        own, which = np.unique(h[heads], return_inverse=True)
+        which = (code[heads] >> WORD_BITS).astype(np.int64)
         small = np.stack([np.bincount(which[total == r], minlength=len(own)) for r in range(1, CUTOFF + 1)], axis=1)
         large = np.bincount(which, np.where(total > CUTOFF, total, 0), len(own)).astype(np.int64)
         whole = np.repeat(flat["wholes"], sizes)[order][heads].astype(np.float64) if k > 2 else known["whole"]
         below = discounted(flat["lower"][order][heads].astype(np.int64), d_lower) / np.maximum(whole, 1)
         share = np.bincount(which, np.where(total > 0, below, 0.0), len(own))
         stats = [int((total == r).sum()) for r in range(1, CUTOFF + 2)]
-        out, a = [], 0
+        out, a, f = [], 0, 0
         for chunk, hs, ss in zip(rows["chunk"].to_pylist(), columns["histories"], columns["sizes"], strict=True):
             size = int(ss.sum())
             mine = total[back[a : a + size]]
-            at = np.searchsorted(own, hs)
+            at = place[f : f + len(hs)]
             new = np.bincount(np.repeat(np.arange(len(hs)), ss)[mine == 0], minlength=len(hs)) > 0  # backs off somewhere
             out.append({"chunk": chunk, "bucket": key[0].as_py(), "counts": packed(mine.astype(np.uint32)), "full": packed((small[at].sum(axis=1) == 0).astype(np.uint8)), "small": packed(small[at][new].astype(np.uint32).T.ravel()), "large": packed(large[at][new].astype(np.uint64)), "share": packed(share[at][new])})
-            a += size
+            a, f = a + size, f + len(hs)
         burning = np.unique(flat["histories"][flat["hot"] > 0])
         at = np.searchsorted(own, burning)
         out.append({"chunk": None, "stats": stats, "hot": [{"history": int(x), "small": small[i].tolist(), "large": int(large[i]), "share": float(share[i])} for x, i in zip(burning.view(np.int64), at, strict=True)]})
