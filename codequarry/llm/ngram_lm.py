@@ -45,22 +45,29 @@ START = np.uint64(1 << 62)
 #: Bits of a word's id beside the number of its history in a bucket.
 WORD_BITS = np.uint64(40)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+HALF, LOW = np.uint64(32), np.uint64((1 << 32) - 1)
+#: Words' ids from here on are hashed in codes of two words; smaller ids make codes below this bit.
+HASHED = np.uint64(1 << 63)
 
 
-def packed(values: np.ndarray, delta: bool = False) -> bytes:
-    """An array as bytes: of neighbours' differences if asked for, byte planes apart, compressed."""
+def packed(values: np.ndarray, delta: bool = False, upper: bool = False) -> bytes:
+    """An array as bytes: of neighbours' differences (or those of their upper 32 bits) if asked for, byte planes apart, compressed."""
     values = np.ascontiguousarray(values)
-    if delta and len(values):
+    if upper and len(values):
+        values = (np.diff(values >> HALF, prepend=np.uint64(0)) << HALF) | (values & LOW)
+    elif delta and len(values):
         values = np.diff(values, prepend=values.dtype.type(0))
     return values.dtype.str.encode() + pa.compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes(), codec="zstd", asbytes=True) + len(values).to_bytes(4, "little") if len(values) else b""
 
 
-def unpacked(blob: bytes, kind: type, delta: bool = False) -> np.ndarray:
+def unpacked(blob: bytes, kind: type, delta: bool = False, upper: bool = False) -> np.ndarray:
     if not blob:
         return np.zeros(0, kind)
     n, kind = int.from_bytes(blob[-4:], "little"), np.dtype(blob[:3].decode())
     planes = np.frombuffer(pa.decompress(blob[3:-4], n * kind.itemsize, codec="zstd", asbytes=True), np.uint8)
     values = np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind).ravel()
+    if upper:
+        return (np.cumsum(values >> HALF, dtype=kind) << HALF) | (values & LOW)
     return np.cumsum(values, dtype=kind) if delta else values
 
 
@@ -162,6 +169,13 @@ def heads_of(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, int)
 
 
+def two_words(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Codes of grams of two words: both ids side by side, or a hash with the top bit where they are too large."""
+    with np.errstate(over="ignore"):
+        hashed = mix(mix(first) * GOLDEN + second) | HASHED
+    return np.where((first >= HASHED >> HALF) | (second > LOW), hashed, (first << HALF) | second)
+
+
 class Grams:
     """A chunk's distinct grams of one order, in order of history and word, with what is known of them.
 
@@ -209,8 +223,11 @@ class Grams:
         keys, places = keys[heads], at[order[heads]]
         history = keys // size
         word = keys - history * size
-        with np.errstate(over="ignore"):
-            hashes = mix(mix(self.hashes[history]) * GOLDEN + words.hashes[word])
+        if self is words:
+            hashes = two_words(self.hashes[history], words.hashes[word])
+        else:
+            with np.errstate(over="ignore"):
+                hashes = mix(mix(self.hashes[history]) * GOLDEN + words.hashes[word])
         own = Grams(hashes, np.zeros(len(keys), np.int64), back, word)
         own.history, own.lower = history, self.back[places]
         own.whole, own.of_history = self.count[history], self.hashes[history]
@@ -282,13 +299,13 @@ def gram_answers(joined: DataFrame, k: int, known: dict) -> DataFrame:
                 for b, at in sliced(p.dealt(n, known["hot"], words)):
                     heads = heads_of(p.history[at])
                     first = at[heads]
-                    rows.append((b, row["chunk"], packed(p.of_history[first], k == 2), packed(np.diff(np.append(heads, len(at))).astype(np.uint32)), packed(words.hashes[p.word[at]]), packed(p.lower_count[at].astype(np.uint32)), packed(p.lower_whole[first].astype(np.uint64)), packed(train[at]), packed(p.hot[first].astype(np.uint8))))
+                    rows.append((b, row["chunk"], packed(p.of_history[first], k == 2, k == 3), packed(np.diff(np.append(heads, len(at))).astype(np.uint32)), packed(words.hashes[p.word[at]]), packed(p.lower_count[at].astype(np.uint32)), packed(p.lower_whole[first].astype(np.uint64)), packed(train[at]), packed(p.hot[first].astype(np.uint8))))
                 columns = zip(*rows, strict=True) if rows else [[]] * len(REQUEST)
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int32(), pa.int64(), *[pa.binary()] * 7), strict=True)], REQUEST)
 
     def answered(key: tuple, rows: pa.Table) -> pa.Table:
         kinds = (np.uint64, np.uint32, np.uint64, np.uint32, np.uint64, np.uint32, np.uint8)
-        columns = {c: [unpacked(x, kind, c == "histories" and k == 2) for x in rows[c].to_pylist()] for c, kind in zip(REQUEST[2:], kinds, strict=True)}
+        columns = {c: [unpacked(x, kind, c == "histories" and k == 2, c == "histories" and k == 3) for x in rows[c].to_pylist()] for c, kind in zip(REQUEST[2:], kinds, strict=True)}
         flat = {c: np.concatenate(x) for c, x in columns.items()}
         sizes = flat["sizes"].astype(np.int64)
         own, place = np.unique(flat["histories"], return_inverse=True)
