@@ -37,6 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders that materialise() has written, until release().
 WRITTEN: list[str] = []
 
@@ -49,12 +50,20 @@ def release(spark: SparkSession) -> None:
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and outlives executors."""
-    bounded(df.sparkSession)
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    """Write df to the shared folder and read it back: cuts the lineage and outlives executors.
+
+    The shuffles that made df are deleted once it is written."""
+    spark = df.sparkSession
+    bounded(spark)
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     WRITTEN.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, kept)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
