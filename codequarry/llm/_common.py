@@ -130,6 +130,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def hash_bytes(words: pa.Array) -> np.ndarray:
     """64-bit hashes of a binary array: two crc32 passes, mixed."""
-    first = np.fromiter(map(zlib.crc32, words.to_pylist()), np.uint64, len(words))
-    second = np.fromiter((zlib.crc32(w[::-1], 0x5BD1E995) for w in words.to_pylist()), np.uint64, len(words))
+    words = words.to_pylist()
+    first = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    second = np.fromiter((zlib.crc32(w[::-1], 0x5BD1E995) for w in words), np.uint64, len(words))
     return mix((first << np.uint64(32)) | second)

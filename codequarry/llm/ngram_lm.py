@@ -57,15 +57,17 @@ def packed(values: np.ndarray, delta: bool = False, upper: bool = False) -> byte
         values = (np.diff(values >> HALF, prepend=np.uint64(0)) << HALF) | (values & LOW)
     elif delta and len(values):
         values = np.diff(values, prepend=values.dtype.type(0))
+    if values.dtype == np.uint64 and len(values) and values.max() <= LOW:
+        values = values.astype(np.uint32)
     return values.dtype.str.encode() + pa.compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes(), codec="zstd", asbytes=True) + len(values).to_bytes(4, "little") if len(values) else b""
 
 
 def unpacked(blob: bytes, kind: type, delta: bool = False, upper: bool = False) -> np.ndarray:
     if not blob:
         return np.zeros(0, kind)
-    n, kind = int.from_bytes(blob[-4:], "little"), np.dtype(blob[:3].decode())
-    planes = np.frombuffer(pa.decompress(blob[3:-4], n * kind.itemsize, codec="zstd", asbytes=True), np.uint8)
-    values = np.ascontiguousarray(planes.reshape(kind.itemsize, n).T).view(kind).ravel()
+    n, sent = int.from_bytes(blob[-4:], "little"), np.dtype(blob[:3].decode())
+    planes = np.frombuffer(pa.decompress(blob[3:-4], n * sent.itemsize, codec="zstd", asbytes=True), np.uint8)
+    values = np.ascontiguousarray(planes.reshape(sent.itemsize, n).T).view(sent).ravel().astype(kind, copy=False)
     if upper:
         return (np.cumsum(values >> HALF, dtype=kind) << HALF) | (values & LOW)
     return np.cumsum(values, dtype=kind) if delta else values
@@ -170,10 +172,10 @@ def heads_of(values: np.ndarray) -> np.ndarray:
 
 
 def two_words(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Codes of grams of two words: both ids side by side, or a hash with the top bit where they are too large."""
+    """Codes of grams of two words: both ids side by side, the second above, or a hash with the top bit where they are too large."""
     with np.errstate(over="ignore"):
         hashed = mix(mix(first) * GOLDEN + second) | HASHED
-    return np.where((first >= HASHED >> HALF) | (second > LOW), hashed, (first << HALF) | second)
+    return np.where((second >= HASHED >> HALF) | (first > LOW), hashed, (second << HALF) | first)
 
 
 class Grams:
@@ -214,7 +216,13 @@ class Grams:
         before[first] = len(words.hashes) - 1 if self is words else -1  # the start, which is no history of two words
         at = np.flatnonzero(before >= 0)
         size = len(words.hashes)
-        keys = before[at] * size + words.back[at]
+        if self is words:
+            keys = before[at] * size + words.back[at]
+        else:  # histories in order of their codes, by which those of two words are sent in fewer bytes
+            by_code = np.argsort(self.hashes)
+            rank = np.empty(len(by_code), np.int64)
+            rank[by_code] = np.arange(len(by_code))
+            keys = rank[before[at]] * size + words.back[at]
         order = np.argsort(keys)
         keys = keys[order]
         heads = heads_of(keys)
@@ -223,6 +231,8 @@ class Grams:
         keys, places = keys[heads], at[order[heads]]
         history = keys // size
         word = keys - history * size
+        if self is not words:
+            history = by_code[history]
         if self is words:
             hashes = two_words(self.hashes[history], words.hashes[word])
         else:
