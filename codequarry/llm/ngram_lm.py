@@ -129,8 +129,9 @@ def sliced(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     if len(bucket) and bucket.max() < 1 << 16:
         bucket = bucket.astype(np.uint16)  # sorted by radix
     order = np.argsort(bucket, kind="stable")
-    there, cuts = np.unique(bucket[order], return_index=True)
-    for b, x, y in zip(there.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+    bucket = bucket[order]
+    cuts = heads_of(bucket)
+    for b, x, y in zip(bucket[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
         yield b, order[x:y]
 
 
@@ -173,9 +174,11 @@ def heads_of(values: np.ndarray) -> np.ndarray:
 
 def two_words(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """Codes of grams of two words: both ids side by side, the second above, or a hash with the top bit where they are too large."""
+    codes = (second << HALF) | first
+    large = np.flatnonzero((second >= HASHED >> HALF) | (first > LOW))
     with np.errstate(over="ignore"):
-        hashed = mix(mix(first) * GOLDEN + second) | HASHED
-    return np.where((second >= HASHED >> HALF) | (first > LOW), hashed, (second << HALF) | first)
+        codes[large] = mix(mix(first[large]) * GOLDEN + second[large]) | HASHED
+    return codes
 
 
 class Grams:
@@ -209,8 +212,8 @@ class Grams:
         own.seen = own.count[:-1]
         return own, lens
 
-    def longer(self, words: Grams, lens: np.ndarray) -> Grams:
-        """The distinct grams of one word more."""
+    def longer(self, words: Grams, lens: np.ndarray, last: bool = False) -> Grams:
+        """The distinct grams of one word more; the last ones need no hashes."""
         first = np.cumsum(lens) - lens
         before = np.roll(self.back, 1)
         before[first] = len(words.hashes) - 1 if self is words else -1  # the start, which is no history of two words
@@ -233,23 +236,24 @@ class Grams:
         word = keys - history * size
         if self is not words:
             history = by_code[history]
-        if self is words:
-            hashes = two_words(self.hashes[history], words.hashes[word])
-        else:
+        of_history, hashes = self.hashes[history], None
+        if not last and self is words:
+            hashes = two_words(of_history, words.hashes[word])
+        elif not last:
             with np.errstate(over="ignore"):
-                hashes = mix(mix(self.hashes[history]) * GOLDEN + words.hashes[word])
+                hashes = mix(mix(of_history) * GOLDEN + words.hashes[word])
         own = Grams(hashes, np.zeros(len(keys), np.int64), back, word)
         own.history, own.lower = history, self.back[places]
-        own.whole, own.of_history = self.count[history], self.hashes[history]
+        own.whole, own.of_history = self.count[history], of_history
         own.lower_count, own.lower_whole = self.count[own.lower], self.after[own.lower]
         return own
 
     def dealt(self, n: int, hot: int, words: Grams) -> np.ndarray:
         """The bucket of each gram: that of its history, or its own if the history is hot."""
         self.hot = self.whole >= hot
-        own = mix(self.of_history)
+        own, at = mix(self.of_history), np.flatnonzero(self.hot)
         with np.errstate(over="ignore"):
-            own = np.where(self.hot, mix(own * GOLDEN + words.hashes[self.word]), own)
+            own[at] = mix(own[at] * GOLDEN + words.hashes[self.word[at]])
         return (own % np.uint64(n)).astype(np.int64)
 
     def answer(self, answers: list[dict], k: int, known: dict, words: Grams, lower: Grams, chances: bool = True) -> None:
@@ -258,13 +262,16 @@ class Grams:
         full, alpha = np.zeros(len(self.count), bool), np.ones(len(self.count))
         for b, at in sliced(self.dealt(known["n"][k], known["hot"], words)):
             x = by[b]
-            self.count[at] = unpacked(x["counts"], np.uint32)
+            counts = unpacked(x["counts"], np.uint32)
+            self.count[at] = counts
             heads = heads_of(self.history[at])
             sizes = np.diff(np.append(heads, len(at)))
             full[at] = np.repeat(unpacked(x["full"], np.uint8), sizes)
             if not chances:
                 continue
-            new = np.add.reduceat((self.count[at] == 0).astype(int), heads) > 0
+            new = np.logical_or.reduceat(counts == 0, heads)
+            if not new.any():
+                continue
             made = np.ones(len(heads))
             made[new] = backoff(unpacked(x["small"], np.uint32).reshape(CUTOFF, -1).T, unpacked(x["large"], np.uint64).astype(np.int64), unpacked(x["share"], np.float64), self.whole[at[heads]][new], d)
             alpha[at] = np.repeat(made, sizes)
@@ -285,7 +292,7 @@ def asked_of(row: dict, order: int, known: dict) -> tuple[Grams, Grams, np.ndarr
         above = own.longer(words, lens)
         above.answer(row[f"answers{k}"], k, known, words, own, chances=False)
         own = above
-    return words, own.longer(words, lens), lens
+    return words, own.longer(words, lens, last=True), lens
 
 
 REQUEST = ["bucket", "chunk", "histories", "sizes", "words", "lower", "wholes", "counts", "hot"]
@@ -407,7 +414,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 words, lens = Grams.words(row, known)
                 own, chance = words, words.chance[words.back]
                 for k in range(2, order + 1):
-                    above = own.longer(words, lens)
+                    above = own.longer(words, lens, last=k == order)
                     above.answer(row[f"answers{k}"], k, known, words, own)
                     there = above.back >= 0
                     chance[there] = above.chance[above.back[there]]
