@@ -33,7 +33,7 @@ from codequarry.llm._common import Words, documents, fold, materialise, mix
 
 FOLDS, HELD_OUT = 7, 2
 #: Words of the longest grams, unless a caller asks for more.
-ORDER = 2
+ORDER = 3
 CUTOFF = 5
 #: Texts and about bytes of text in a chunk.
 CHUNK, CHUNK_BYTES = 2_000, 4 << 20
