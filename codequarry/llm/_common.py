@@ -49,16 +49,16 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+def materialise(df: DataFrame, tag: str, cleanup: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and outlives executors.
 
-    The shuffles that made df are deleted once it is written."""
+    With cleanup, the shuffles that made df are deleted once it is written."""
     spark = df.sparkSession
     bounded(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     WRITTEN.append(path)
     kept = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    spark.conf.set(CLEANUP, "true" if cleanup else kept)
     try:
         df.write.parquet(path)
     finally:

@@ -164,7 +164,7 @@ def vocabulary(table: DataFrame, n: int) -> DataFrame:
         return pa.Table.from_pylist(out, pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("stats", pa.list_(pa.int64()))]))
 
     requests = table.select("chunk", "words", "counts").mapInArrow(asked, "bucket int, chunk long, words binary, counts binary")
-    return materialise(requests.groupBy("bucket").applyInArrow(answered, "chunk long, bucket int, ids binary, counts binary, stats array<long>"), "lm-words")
+    return materialise(requests.groupBy("bucket").applyInArrow(answered, "chunk long, bucket int, ids binary, counts binary, stats array<long>"), "lm-words", cleanup=True)
 
 
 def heads_of(values: np.ndarray) -> np.ndarray:
@@ -355,7 +355,7 @@ def gram_answers(joined: DataFrame, k: int, known: dict) -> DataFrame:
         return pa.Table.from_pylist(out, ANSWER)
 
     requests = joined.mapInArrow(asked, "bucket int, chunk long, " + ", ".join(f"{c} binary" for c in REQUEST[2:]))
-    return materialise(requests.groupBy("bucket").applyInArrow(answered, ANSWER_SQL), f"lm-grams{k}")
+    return materialise(requests.groupBy("bucket").applyInArrow(answered, ANSWER_SQL), f"lm-grams{k}", cleanup=True)
 
 
 def summed(answers: DataFrame) -> list[int]:
