@@ -81,6 +81,20 @@ def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+#: A-Z lower-cased; every other ASCII character that is neither letter nor digit is a space.
+TERM_BYTES = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256)], np.uint8)
+
+
+def as_terms(column: pa.Array) -> pa.Array:
+    """Texts as binary in which terms (runs of letters, digits and characters beyond ASCII, A-Z lower-cased) stand between spaces; '' for null."""
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    if column.offset:
+        column = column.take(pa.array(np.arange(len(column))))
+    raw = column.buffers()[2]
+    mapped = TERM_BYTES[np.frombuffer(raw, np.uint8)] if raw else np.zeros(0, np.uint8)
+    return pa.Array.from_buffers(pa.large_binary(), len(column), [None, column.buffers()[1], pa.py_buffer(mapped)])
+
+
 class Words:
     """The words of a batch of texts as codes into the batch's distinct words.
 
