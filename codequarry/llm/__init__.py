@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality_rules", "ngram_lm", "secrets", "licenses", "quality_classifier", "packing", "token_files", "near_dedup", "toxicity", "decontamination", "lexical_search", "resampling")
+MODULES = ("quality_rules", "ngram_lm", "secrets", "licenses", "quality_classifier", "packing", "token_files", "near_dedup", "toxicity", "decontamination", "nearest", "lexical_search", "resampling")
 
 
 def _gather(name: str) -> dict:

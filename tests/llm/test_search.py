@@ -1,4 +1,4 @@
-"""Ranked search and importance resampling against plain Python versions of their contracts, over odd texts."""
+"""Nearest neighbours, ranked search and importance resampling against plain Python versions of their contracts, over odd texts."""
 
 import hashlib
 import math
@@ -11,7 +11,7 @@ import pytest
 
 pytest.importorskip("codequarry.llm")
 
-from codequarry.llm import lexical_search, resampling  # noqa: E402
+from codequarry.llm import lexical_search, nearest, resampling  # noqa: E402
 from tests.llm.test_brute import ROWS  # noqa: E402
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -120,3 +120,67 @@ def test_crc32_of_joined_strings():
         for b in parts:
             made = resampling.longer(np.array([zlib.crc32(a)], np.uint32), np.array([zlib.crc32(b)], np.uint32), np.array([len(b)]))
             assert made[0] == zlib.crc32(a + b)
+
+
+def cosines(rows, k=5):
+    """Of every query (id divisible by 50), by brute force in double precision: (score, id) of every other row, best first."""
+    good = {(i, tuple(map(float, v))) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    cos = lambda a, b: sum(x / math.hypot(*a) * y / math.hypot(*b) for x, y in zip(a, b))
+    return {(i, v): sorted((-round(cos(v, w), 9), j) for j, w in good if j != i and len(w) == len(v))[:k] for i, v in good if i % 50 == 0}
+
+
+ODD = [
+    (0, [1.0, 0.0, 2.0]), (1, [1.0, 0.0, 2.0]), (2, [1.0, 0.0, 2.0]), (2, [1.0, 0.0, 2.0]), (3, [2.0, 0.0, 4.0]), (4, None), (5, []), (6, [0.0, 0.0, 0.0]), (7, [1.0, None, 0.0]), (8, [float("nan"), 1.0, 1.0]), (9, [float("inf"), 1.0, 1.0]),
+    (None, [1.0, 0.0, 2.0]), (50, [0.0, 1.0, 0.0]), (50, [0.0, 3.0, 1.0]), (100, [1.0, 1.0]), (11, [1.0, 2.0]), (150, [5.0]), (200, [1e-200, 0.0, 0.0]), (250, [1e200, 2e200, 1e200]), (300, [float("nan"), 1.0, 1.0]), *((400 + i, [1.0, 0.0, 2.0]) for i in range(60)),
+]
+
+
+def test_nearest_of_odd_vectors(spark):
+    """Few vectors are compared all: results are exact."""
+    rows = spark.createDataFrame([(i, v, "x", 1) for i, v in ODD], "vec_id long, embedding array<double>, ids string, dim int").repartition(3)
+    for shard in (8_192, 4):
+        found = nearest.search(rows, rows.where("vec_id % 50 = 0"), shard=shard, block=2)
+        assert found.columns == ["query_id", "rank", "vec_id", "score"]
+        made = [(r.query_id, r.rank, r.vec_id, -round(r.score, 9)) for r in found.collect()]
+        wanted = [(i, n, j, s) for (i, _), own in cosines(ODD).items() for n, (s, j) in enumerate(own, 1)]
+        assert sorted(made) == sorted(wanted)
+
+
+def test_nearest_of_nothing(spark):
+    rows = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert nearest.search(rows, rows).collect() == []
+
+
+def test_nearest_recall(spark):
+    """Of clustered vectors, a third of them equal, in shards of some thousand: at least 0.9, and exact scores."""
+    centres = RNG.normal(size=(40, 16))
+    vectors = (centres[RNG.integers(0, 40, 6_000)] + 0.4 * RNG.normal(size=(6_000, 16))).astype(np.float32)
+    vectors[::3] = vectors[0]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<float>")
+    made = {}
+    for r in nearest.search(rows, rows.where("vec_id % 50 = 0"), shard=2_500, block=64).collect():
+        made.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    exact = vectors.astype(float)
+    exact /= np.linalg.norm(exact, axis=1)[:, None]
+    hits = 0
+    assert sorted(made) == list(range(0, 6_000, 50))
+    for q, found in made.items():
+        own = exact @ exact[q]
+        own[q] = -2
+        wanted = np.lexsort((np.arange(6_000), -np.round(own, 12)))[:5].tolist()
+        assert sorted(found) == [1, 2, 3, 4, 5]
+        assert all(abs(own[i] - s) < 1e-12 for i, s in found.values())
+        hits += len({i for i, _ in found.values()} & set(wanted))
+    assert hits >= 0.9 * 5 * len(made)
+
+
+def test_graph_finds_near_nodes():
+    units = nearest.units_of(RNG.normal(size=(3_000, 24)))
+    level = np.sort(np.floor(-np.log(RNG.random(3_000)) / np.log(16)).astype(int))[::-1]
+    graph = nearest.Graph.built(units, nearest.layer_sizes(level))
+    assert [x.shape[1] for x in graph.links][:2] == [32, 16]
+    assert all((x < len(x)).all() for x in graph.links)
+    queries = units[RNG.integers(0, 3_000, 200)]
+    truth = np.argsort(-(queries @ units.T), axis=1)[:, :5]
+    found = graph.search(queries)
+    assert np.mean([len(set(a) & set(b[:5])) / 5 for a, b in zip(truth.tolist(), found.tolist())]) >= 0.95
