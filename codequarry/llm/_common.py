@@ -49,8 +49,8 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialise(df: DataFrame, tag: str, cleanup: bool = False) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and outlives executors.
+def materialise(df: DataFrame, tag: str, cleanup: bool = False, by: str | None = None) -> DataFrame:
+    """Write df to the shared folder, in a folder for each value of `by` if given, and read it back: cuts the lineage and outlives executors.
 
     With cleanup, the shuffles that made df are deleted once it is written."""
     spark = df.sparkSession
@@ -60,7 +60,7 @@ def materialise(df: DataFrame, tag: str, cleanup: bool = False) -> DataFrame:
     kept = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true" if cleanup else kept)
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(CLEANUP, kept)
     return spark.read.schema(df.schema).parquet(path)

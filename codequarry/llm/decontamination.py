@@ -15,7 +15,7 @@ both halves are so short, the item is one half.
 The index is built from blocks of items of bounded size, each of which meets all documents once; terms'
 document frequencies are those of all items. Documents are never shuffled.
 
-Nulls: null texts have no words; such items and documents match nothing. Repeated items count once; of passages
+Nulls: null texts have no words; such items and documents match nothing. An item without an id is an item like any other, and all of one text are one, reported with a null item_id. Repeated items count once, items of one id and different texts each, of which the best match is reported; of passages
 with equal scores the first is reported. Very long texts are searched whole, passage by passage.
 Rows with null or repeated doc_id are searched like any other. Extra columns are ignored by
 search() and kept by clean(), whatever their names; empty tables give no matches.
@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm._common import documents, texts_of
+from codequarry.llm._common import documents, materialise, texts_of
 
 K1, B = 1.2, 0.75
 #: Least share of an item's own score.
@@ -81,7 +82,7 @@ def length_class(n: int) -> int:
 class Index:
     """Normalised BM25 impacts of a block of items, as posting lists with block maxima."""
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[bytes, int], n_items: int, average: float, threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int | None, str]], df: dict[bytes, int], n_items: int, average: float, threshold: float = THRESHOLD):
         self.threshold = threshold
         self.items = [i for i, _ in items]
         tokens = [words(t) for _, t in items]
@@ -93,7 +94,7 @@ class Index:
         self.need = np.zeros(len(items))
         for i, own in enumerate(tokens):
             norm = K1 * (1 - B + B * len(own) / average)
-            tf = {w: own.count(w) for w in set(own)}
+            tf = Counter(own)
             impact = {w: math.log(1 + (n_items - df[w] + 0.5) / (df[w] + 0.5)) * n * (K1 + 1) / (n + norm) for w, n in tf.items()}
             total = sum(impact.values())
             aside = 0.0
@@ -186,7 +187,7 @@ class Index:
                     found.append((item, score))
             cursors.sort(key=lambda c: c[0])
 
-    def search(self, texts: list[str | None], overlap: float = OVERLAP) -> list[dict[int, tuple[int, float, float, float]]]:
+    def search(self, texts: list[str | None], overlap: float = OVERLAP) -> list[dict[int | None, tuple[int, float, float, float]]]:
         """By text, item_id → (first word, score, question overlap, answer overlap) of the best passage."""
         split = [words(t) for t in texts]
         none = len(self.ids)
@@ -209,13 +210,13 @@ class Index:
 class Indexes:
     """The indexes of a block of items, one for each class of length."""
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[bytes, int], n_items: int, average: float, threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int | None, str]], df: dict[bytes, int], n_items: int, average: float, threshold: float = THRESHOLD):
         classes: dict[int, list] = {}
         for item in items:
             classes.setdefault(length_class(len(words(item[1]))), []).append(item)
         self.own = [Index(classes[k], df, n_items, average, threshold) for k in sorted(classes)]
 
-    def search(self, texts: list[str | None], overlap: float = OVERLAP) -> list[dict[int, tuple[int, float, float, float]]]:
+    def search(self, texts: list[str | None], overlap: float = OVERLAP) -> list[dict[int | None, tuple[int, float, float, float]]]:
         out: list[dict] = [{} for _ in texts]
         for index in self.own:
             for best, found in zip(out, index.search(texts, overlap), strict=True):
@@ -227,25 +228,31 @@ class Indexes:
 
 def indexes(items: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> Iterator[Indexes]:
     """The items' indexes, block after block; each collects about block_bytes at most."""
-    own = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).distinct()
+    own = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where(F.col("text").isNotNull()).distinct()
 
     @F.pandas_udf("array<binary>")
     def terms(texts):
         return texts.map(words)
 
-    own = own.withColumn("words", terms("text")).where(F.size("words") > 0)
+    own = materialise(own.withColumn("words", terms("text")).where(F.size("words") > 0), "items")
     total = own.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n"), F.avg(F.size("words")).alias("average")).first()
     if not total["n"]:
         return
     blocks = math.ceil(total["bytes"] / block_bytes)
-    own = own.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    each = own.select("block", "item_id", F.explode(F.array_distinct("words")).alias("word"))
-    df = each.groupBy("word").count()
+    if blocks > 1:  # so that each block is read alone
+        own = own.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+        each = own.select("block", F.explode(F.array_distinct("words")).alias("word"))
+        df = each.groupBy("word").agg(F.count("*").alias("count"), F.collect_set("block").alias("blocks"))
+        df = materialise(df.select("word", "count", F.explode("blocks").alias("block")), "item-terms", by="block")
+        own = materialise(own.select("item_id", "text", "block"), "item-blocks", by="block")
+    else:
+        own = own.withColumn("block", F.lit(0))
+        df = own.select("block", F.explode(F.array_distinct("words")).alias("word")).groupBy("block", "word").count()
     for k in range(blocks):
-        known = each.where(F.col("block") == k).select("word").distinct().join(df, "word").collect()
+        known = df.where(F.col("block") == k).select("word", "count").collect()
         block = own.where(F.col("block") == k).select("item_id", "text").collect()
         if block:
-            yield Indexes(sorted((r["item_id"], r["text"]) for r in block), {bytes(r["word"]): r["count"] for r in known}, total["n"], total["average"], threshold)
+            yield Indexes(sorted(((r["item_id"], r["text"]) for r in block), key=lambda x: (x[0] is None, x)), {bytes(r["word"]): r["count"] for r in known}, total["n"], total["average"], threshold)
 
 
 def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -257,7 +264,7 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, over
     def over(index: Indexes):
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(doc_id, item, *hit) for doc_id, hits in zip(batch.column("doc_id").to_pylist(), index.search(texts_of(batch.column("text")), overlap), strict=True) for item, hit in sorted(hits.items())]
+                rows = [(doc_id, item, *hit) for doc_id, hits in zip(batch.column("doc_id").to_pylist(), index.search(texts_of(batch.column("text")), overlap), strict=True) for item, hit in sorted(hits.items(), key=lambda x: (x[0] is None, x[0] or 0))]
                 columns = zip(*rows, strict=True) if rows else [[]] * len(fields)
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(columns, fields, strict=True)], [c for c, _ in fields])
 

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -92,3 +93,19 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert d.search(docs.limit(0), items).count() == 0 == d.search(docs, items.limit(0)).count()
     assert d.clean(docs, items.limit(0)).count() == 1
+
+
+@pytest.mark.parametrize("block_bytes", [20, 8 << 20])
+def test_items_without_an_id(spark, block_bytes):
+    text = "which river flows past the old granite mill? it is the long silver water."
+    docs = spark.createDataFrame([(1, text), (2, "nothing of the kind stands here"), (None, text + " and more")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, text), (None, text), (7, "some other question of many words? with its own answer."), (None, None)], "item_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["item_id"]) for r in d.search(docs, items, block_bytes=block_bytes).collect()) == [(0, None), (1, None)]
+    assert [r["doc_id"] for r in d.clean(docs, items).collect()] == [2]
+
+
+def test_long_items_in_linear_time():
+    words = [f"w{i}" for i in range(100_000)]
+    began = time.process_time()
+    index = d.Index([(1, " ".join(words))], dict.fromkeys((w.encode() for w in words), 1), 1, len(words))
+    assert time.process_time() - began < 10 and len(index.ids) == 100_000  # a second; counting each word anew takes minutes

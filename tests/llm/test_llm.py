@@ -2,7 +2,10 @@
 
 import itertools
 import math
+import random
 import re
+import string
+import time
 from collections import Counter
 
 import numpy as np
@@ -67,13 +70,43 @@ def test_secrets():
     kinds = [k for k, _, _ in secrets.find(text)]
     assert kinds == ["assign", "access", "hex", "entropy_mixed"]
     assert "hunter22" not in secrets.masked(text, secrets.find(text))
-    assert secrets.entropy_spans("a" * 40) == []
+    assert secrets.entropy_spans("a" * 40, "entropy_mixed") == []
+    assert [k for k, _, _ in secrets.find("see QwErTzUiOpAsDfGhJkLyXcVbNmqweRtZuIoPasdF and 48201937562048175936204 or 31415926535897932384-62643383279502884197")] == ["entropy_letters", *["entropy_digits"] * 3]
+    assert secrets.find("Rechtsschutzversicherungsgesellschaften /usr/share/documentation/internationalization 00000000000000000000") == []
+
+
+def test_secrets_of_long_runs_in_linear_time():
+    rng = random.Random(2)
+    run = "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=1_000_000))
+    runs = [run, "example".join(run[i : i + 60] for i in range(0, 1_000_000, 60)), "deadbeef0123" * 80_000, "exampleexampleexample-" * 45_000, "".join(rng.choices(string.ascii_letters, k=1_000_000)), "token=abcdef12 " * 66_000]
+    for text in runs:
+        began = time.process_time()
+        spans = secrets.find(text)
+        assert time.process_time() - began < 8, text[:40]  # some 1.5 s; a quadratic scan takes an hour
+        assert all(a < b for _, a, b in spans)
+
+
+def test_entropy_spans_against_every_window():
+    rng = random.Random(3)
+    for k in range(200):
+        text = "".join(rng.choices("abcdefghij0123456789"[: rng.choice([6, 10, 20])], k=rng.randrange(0, 90)))
+        barred = sorted((a, a + rng.randrange(1, 9)) for a in rng.sample(range(90), rng.randrange(0, 3)))
+        bound = rng.uniform(2.0, 3.9)
+        entropy = lambda w: -sum(n / 20 * math.log2(n / 20) for n in Counter(w).values())
+        good = [a for a in range(len(text) - 19) if entropy(text[a : a + 20]) >= bound - 1e-12 and not any(x < a + 20 and a < y for x, y in barred)]
+        wanted = []
+        for a in good:
+            if wanted and a <= wanted[-1][1]:
+                wanted[-1] = wanted[-1][0], a + 20
+            else:
+                wanted.append((a, a + 20))
+        assert secrets.entropy_spans(text, "entropy_mixed", least={"entropy_mixed": bound}, barred=barred) == wanted
 
 
 def test_entropy_is_that_of_the_window():
     text = "0123456789abcdef0123"
     h = -sum(c / 20 * math.log2(c / 20) for c in Counter(text).values())
-    assert bool(secrets.entropy_spans(text, least={"entropy_hex": h - 1e-6})) and not secrets.entropy_spans(text, least={"entropy_hex": h + 1e-3})
+    assert bool(secrets.entropy_spans(text, "entropy_hex", least={"entropy_hex": h - 1e-6})) and not secrets.entropy_spans(text, "entropy_hex", least={"entropy_hex": h + 1e-3})
 
 
 def test_allow_list_spares_the_rest_of_a_run():
