@@ -7,6 +7,7 @@ parse give no rows.
 from __future__ import annotations
 
 import ast
+import io
 import json
 from collections.abc import Callable, Iterator
 
@@ -50,10 +51,20 @@ def function_complexity(node: ast.AST) -> int:
 
 def below(node: ast.AST, stop: tuple) -> Iterator[ast.AST]:
     """Nodes under node, in order; what stands inside a node of a kind in stop is left out."""
-    for x in ast.iter_child_nodes(node):
+    work = [*ast.iter_child_nodes(node)][::-1]
+    while work:
+        x = work.pop()
         yield x
         if not isinstance(x, stop):
-            yield from below(x, stop)
+            work += [*ast.iter_child_nodes(x)][::-1]
+
+
+def unparsed(node: ast.AST, text: str) -> str:
+    """The node's source, written anew where it isn't too deep for that."""
+    try:
+        return ast.unparse(node)
+    except RecursionError:
+        return ast.get_source_segment(text, node) or ""
 
 
 def called(node: ast.Call) -> str | None:
@@ -61,13 +72,19 @@ def called(node: ast.Call) -> str | None:
 
 
 def blocks_of(text: str, tree: ast.Module) -> tuple[list[dict], list[tuple[int, str, str]]]:
-    """Blocks in pre-order, with the place of their parent; and relations by name (place, name, kind)."""
-    out, relations = [], []
+    """Blocks in pre-order, with the place of their parent and how many hold them; and relations by name (place, name, kind)."""
+    out, relations, lines = [], [], list(io.StringIO(text, newline=""))
+
+    def segment(node: ast.stmt) -> str:
+        own = lines[node.lineno - 1 : node.end_lineno]
+        own[-1] = own[-1].encode()[: node.end_col_offset].decode()
+        own[0] = own[0].encode()[node.col_offset :].decode()
+        return "".join(own)
 
     def add(node: ast.stmt, kind: str, name: str, parent: int | None) -> int:
         out.append({
-            "position": len(out), "parent": parent, "block_type": kind, "name": name, "raw_text": ast.get_source_segment(text, node) or "", "start_line": node.lineno, "end_line": node.end_lineno, "parameters": "[]", "return_type": None,
-            "modifiers": "", "decorators": ",".join(ast.unparse(d) for d in getattr(node, "decorator_list", ())), "complexity": function_complexity(node), "details": None,
+            "position": len(out), "parent": parent, "depth": out[parent]["depth"] + 1 if parent is not None else 0, "block_type": kind, "name": name, "raw_text": segment(node), "start_line": node.lineno, "end_line": node.end_lineno, "parameters": "[]", "return_type": None,
+            "modifiers": "", "decorators": ",".join(unparsed(d, text) for d in getattr(node, "decorator_list", ())), "complexity": function_complexity(node), "details": None,
         })
         return len(out) - 1
 
@@ -75,28 +92,27 @@ def blocks_of(text: str, tree: ast.Module) -> tuple[list[dict], list[tuple[int,
         inner = list(below(node, (ast.ClassDef,)))
         literal = {t.id: x.value.value for x in inner if isinstance(x, ast.Assign) and isinstance(x.value, ast.Constant) for t in x.targets if isinstance(t, ast.Name)}
         flow = [type(x).__name__.lower() for x in inner if isinstance(x, (ast.If, ast.For, ast.While, ast.Try, ast.With))]
-        given = [ast.unparse(x.value) if x.value else "" for x in inner if isinstance(x, ast.Return)]
+        given = [unparsed(x.value, text) if x.value else "" for x in inner if isinstance(x, ast.Return)]
         return json.dumps({"assignments": literal, "control_flow": flow, "returns": given, "calls": [n for x in inner if isinstance(x, ast.Call) and (n := called(x))]}, default=str)
 
-    def visit(node: ast.AST, parent: int | None) -> None:
-        for x in ast.iter_child_nodes(node):
-            at = parent
-            if isinstance(x, FUNCTIONS):
-                at = add(x, "Function", x.name, parent)
-                plain = [a.arg for a in (*x.args.posonlyargs, *x.args.args) if a.annotation is None]  # bare names only
-                out[at] |= {"parameters": json.dumps(plain), "return_type": ast.unparse(x.returns) if x.returns else None, "modifiers": "async" if isinstance(x, ast.AsyncFunctionDef) else "", "details": details(x)}
-            elif isinstance(x, ast.ClassDef):
-                at = add(x, "Class", x.name, parent)
-                relations.extend((at, b.id, "inherits") for b in x.bases if isinstance(b, ast.Name))
-            elif isinstance(x, (ast.Import, ast.ImportFrom)):
-                add(x, "Import", (x.module or ".") if isinstance(x, ast.ImportFrom) else x.names[0].name, parent)
-            elif isinstance(x, ast.Assign) and isinstance(node, ast.Module) and isinstance(x.targets[0], ast.Name):
-                add(x, "Variable", x.targets[0].id, parent)
-            elif isinstance(x, ast.Call) and parent is not None and (name := called(x)):
-                relations.append((parent, name, "calls"))
-            visit(x, at)
-
-    visit(tree, None)
+    work = [(x, tree, None) for x in ast.iter_child_nodes(tree)][::-1]  # node, the node that holds it, the block that does
+    while work:
+        x, holder, parent = work.pop()
+        at = parent
+        if isinstance(x, FUNCTIONS):
+            at = add(x, "Function", x.name, parent)
+            plain = [a.arg for a in (*x.args.posonlyargs, *x.args.args) if a.annotation is None]  # bare names only
+            out[at] |= {"parameters": json.dumps(plain), "return_type": unparsed(x.returns, text) if x.returns else None, "modifiers": "async" if isinstance(x, ast.AsyncFunctionDef) else "", "details": details(x)}
+        elif isinstance(x, ast.ClassDef):
+            at = add(x, "Class", x.name, parent)
+            relations.extend((at, b.id, "inherits") for b in x.bases if isinstance(b, ast.Name))
+        elif isinstance(x, (ast.Import, ast.ImportFrom)):
+            add(x, "Import", (x.module or ".") if isinstance(x, ast.ImportFrom) else x.names[0].name, parent)
+        elif isinstance(x, ast.Assign) and isinstance(holder, ast.Module) and isinstance(x.targets[0], ast.Name):
+            add(x, "Variable", x.targets[0].id, parent)
+        elif isinstance(x, ast.Call) and parent is not None and (name := called(x)):
+            relations.append((parent, name, "calls"))
+        work += [(y, x, at) for y in ast.iter_child_nodes(x)][::-1]
     return out, relations
 
 
@@ -111,7 +127,7 @@ def by_file(files: DataFrame, rows_of: Callable[[str, str, ast.Module], list[dic
     return files.select("path", F.coalesce("content", F.lit("")).alias("content")).mapInPandas(made, schema)
 
 
-BLOCKS = "path string, position long, parent double, block_type string, name string, raw_text string, start_line long, end_line long, parameters string, return_type string, modifiers string, decorators string, complexity long, details string"
+BLOCKS = "path string, position long, parent double, depth long, block_type string, name string, raw_text string, start_line long, end_line long, parameters string, return_type string, modifiers string, decorators string, complexity long, details string"
 
 
 def blocks(files: DataFrame) -> DataFrame:

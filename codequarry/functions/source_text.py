@@ -1,33 +1,13 @@
-"""What patterns find in source texts: blocks of JavaScript, TypeScript and Rust, side effects, uses, languages.
-
-All are columns of Spark's own functions; there is no parser for these languages here.
-"""
+"""What columns of Spark's own functions tell about source texts: side effects, uses, languages, kinds of containers."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 col = F.col
-#: By language: block type and pattern, whose first group is the name.
-PATTERNS = {
-    "javascript": (
-        ("Function", r"(?m)^[ \t]*(?:export[ ]+)?(?:default[ ]+)?(?:async[ ]+)?function[ *]+([A-Za-z_$][\w$]*)"),
-        ("Function", r"(?m)^[ \t]*(?:export[ ]+)?(?:const|let|var)[ ]+([A-Za-z_$][\w$]*)[ ]*=[ ]*(?:async[ ]*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)[ ]*=>"),
-        ("Class", r"(?m)^[ \t]*(?:export[ ]+)?(?:default[ ]+)?(?:abstract[ ]+)?class[ ]+([A-Za-z_$][\w$]*)"),
-        ("Method", r"(?m)^[ \t]+(?:static[ ]+)?(?:async[ ]+)?(?!(?:if|for|while|switch|catch|return|function)\b)([A-Za-z_$][\w$]*)[ ]*\([^)]*\)[ ]*\{"),
-        ("Import", r"(?m)^[ \t]*import\b[^;\n]*?[\"']([^\"']+)[\"']"),
-    ),
-    "rust": (
-        ("Function", r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?[ ]+)?(?:const[ ]+)?(?:async[ ]+)?(?:unsafe[ ]+)?fn[ ]+([A-Za-z_]\w*)"),
-        ("Class", r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?[ ]+)?(?:struct|enum)[ ]+([A-Za-z_]\w*)"),
-        ("Impl", r"(?m)^[ \t]*impl(?:<[^>]*>)?[ ]+(?:[\w:<>]+[ ]+for[ ]+)?([A-Za-z_]\w*)"),
-        ("Import", r"(?m)^[ \t]*(?:pub[ ]+)?use[ ]+([^;]+);"),
-    ),
-}
-ALIKE = {"typescript": "javascript", "tsx": "javascript"}
 EXTENSIONS = {"py": "python", "js": "javascript", "mjs": "javascript", "jsx": "javascript", "ts": "typescript", "mts": "typescript", "tsx": "tsx", "rs": "rust"}
 NAMED = {"Dockerfile": "dockerfile", "Makefile": "makefile", "Rakefile": "ruby", "Gemfile": "ruby", "Cargo.toml": "toml", "package.json": "json", "tsconfig.json": "json", "pyproject.toml": "toml"}
 EFFECTS = (("ConsoleIO", "Low", ("println!", "eprintln!")), ("FileIO", "Medium", ("std::fs::", "File::")), ("NetworkIO", "High", ("reqwest::", "hyper::")), ("AsyncOperation", "Medium", ("std::thread::", "tokio::")), ("ExceptionThrowing", "High", ("panic!", "unwrap()")))
@@ -44,15 +24,6 @@ def language_of(path: Column) -> Column:
     return F.coalesce(mapped(extension, EXTENSIONS), mapped(name, NAMED))
 
 
-def blocks(files: DataFrame, language: str) -> DataFrame:
-    """path, block_type and name of what the language's patterns find in content, in order of type and place."""
-
-    def named(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all("content", F.lit(pattern)), lambda n: F.struct(F.lit(kind).alias("block_type"), F.trim(n).alias("name")))
-
-    return files.select("path", F.inline(F.concat(*(named(*x) for x in PATTERNS[ALIKE.get(language, language)]))))
-
-
 def any_of(text: Column, parts) -> Column:
     return reduce(lambda a, b: a | b, (text.contains(p) for p in parts))
 

@@ -12,7 +12,7 @@ from codequarry.functions import source_text
 from codequarry.operators.graph import facts, modifiers
 from codequarry.operators.scores import lines, q08_syntax
 from codequarry.operators.screens import coupling, first_match, flagged_tested
-from codequarry.operators.text import filled, sources
+from codequarry.operators.text import filled, nodes, sources
 from codequarry.plans.registry import query
 from codequarry.sources import sinks
 from codequarry.sources.code import Code
@@ -37,17 +37,12 @@ def block_type_of(language: Column, kind: Column) -> Column:
     return F.coalesce(look(language), F.when(script, look(F.lit("javascript"))), F.when(language == "tsx", look(F.lit("typescript"))), look(F.lit("")))
 
 
-NODE_KINDS = "CASE id % 5 WHEN 0 THEN 'class_declaration' WHEN 1 THEN 'function_item' WHEN 2 THEN 'while_statement' WHEN 3 THEN 'import_statement' ELSE 'other' END"
-
-
-@query(f"""SELECT * FROM (SELECT id, CASE WHEN k = 'while_statement' THEN 'Loop' WHEN language IN ('javascript', 'typescript') AND k = 'class_declaration' THEN 'Class' WHEN language = 'rust' AND k = 'function_item' THEN 'Function'
-WHEN language IN ('python', 'javascript', 'typescript') AND k = 'import_statement' THEN 'Import' END AS block_type FROM (SELECT id, language, {NODE_KINDS} AS k FROM f_containers)) WHERE block_type IS NOT NULL""")
+@query("""SELECT path, position, CASE WHEN kind IN ('if_statement', 'if_expression') THEN 'Conditional' WHEN language IN ('javascript', 'typescript') AND kind = 'class_declaration' OR kind = 'impl_item' THEN 'Class' WHEN language IN ('javascript', 'typescript') AND kind = 'function_declaration' OR kind = 'function_item' THEN 'Function'
+ELSE 'Import' END AS block_type FROM f_nodes WHERE slot = 'branch' OR language = 'rust' OR language IN ('javascript', 'typescript') AND slot <> 'member'""")
 def ext02_block_types(c):
-    """Kinds of syntax nodes dealt by id to containers' languages."""
-    from codequarry.sources.code import pick
-
-    kind = pick(col("id") % 5, ("class_declaration", "function_item", "while_statement", "import_statement", "other"))
-    return c.containers.select("id", block_type_of(F.coalesce("language", F.lit("none")), kind).alias("block_type")).where("block_type IS NOT NULL")
+    """Of the syntax nodes of files, those that make a block."""
+    own = nodes(c).join(c.files.select("path", "language"), "path")
+    return own.select("path", "position", block_type_of(col("language"), col("kind")).alias("block_type")).where("block_type IS NOT NULL")
 
 
 def statement_complexity(statements: Column) -> Column:

@@ -8,7 +8,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.functions import python_source, source_text
+from codequarry.functions import brace_source, expressions, python_source, source_text
 from codequarry.operators.scores import words
 from codequarry.operators.screens import first_match
 from codequarry.plans.registry import query
@@ -18,13 +18,16 @@ col = F.col
 
 
 def sources(c: Code, *languages: str) -> DataFrame:
-    """path (the container's id as text) and content of the containers that have a source in some languages."""
-    own = c.containers.where(col("language").isin(*languages) & (col("source_code") != ""))
-    return own.select(col("id").cast("string").alias("path"), col("source_code").alias("content"))
+    """path and content of the files in some languages."""
+    return c.files.where(col("language").isin(*languages)).select("path", "content")
 
 
-def having(language: str) -> str:
-    return f"(SELECT CAST(id AS VARCHAR) AS path FROM f_containers WHERE source_code <> '' AND language IN ({language}))"
+def nodes(c: Code, *languages: str) -> DataFrame:
+    """Syntax nodes of the files in some languages with braces, all if none is given."""
+    return brace_source.nodes(c.files.where(col("language").isin(*languages)) if languages else c.files)
+
+
+PY = "p AS (SELECT path, n, d FROM f_files WHERE language = 'python'), member AS (SELECT *, unnest(range(n)) AS i FROM p), branch AS (SELECT *, unnest(range(d)) AS j FROM p)"
 
 
 @query("SELECT id, CASE WHEN source_code IS NULL THEN NULL ELSE language END AS parser, language IN ('python', 'javascript', 'typescript', 'rust') AS supported FROM f_containers WHERE language IS NOT NULL")
@@ -32,19 +35,22 @@ def ext01_parsers(c):
     return c.containers.where("language IS NOT NULL").select("id", F.when(col("source_code").isNotNull(), col("language")).alias("parser"), col("language").isin("python", "javascript", "typescript", "rust").alias("supported"))
 
 
-@query(f"""SELECT path, unnest([0, 1, 2, 3]) AS position, unnest([NULL, NULL, 1, NULL]) AS parent, unnest(['Import', 'Class', 'Function', 'Function']) AS block_type, unnest(['os', 'C' || path, 'm', 'g']) AS name, unnest(['[]', '[]', '["self", "a"]', '["x"]']) AS parameters,
-unnest([1, 2, 3, 8]) AS start_line, unnest([1, 6, 6, 9]) AS end_line FROM {having("'python'")}""")
+@query(f"""WITH {PY}, b AS (SELECT path, 0 AS position, NULL AS parent, 'Import' AS block_type, 'os' AS name, '[]' AS parameters, 1 AS start_line, 1 AS end_line FROM p
+UNION ALL SELECT path, 1, NULL, 'Class', 'C' || path, '[]', 2, 3 + 4 * n FROM p UNION ALL SELECT path, 2 + i, 1, 'Function', 'm', '["self", "a"]', 3 + 4 * i, 6 + 4 * i FROM member
+UNION ALL SELECT path, n + 2, NULL, 'Function', 'g', '["x"]', 4 + 4 * n, 5 + 4 * n + d FROM p UNION ALL SELECT path, n + 3, NULL, 'Class', 'D', '[]', 6 + 4 * n + d, 10 + 4 * n + d FROM p
+UNION ALL SELECT path, n + 4, n + 3, 'Function', 'o', '["self"]', 7 + 4 * n + d, 10 + 4 * n + d FROM p UNION ALL SELECT path, n + 5, n + 4, 'Function', 'p', '["q"]', 8 + 4 * n + d, 9 + 4 * n + d FROM p) SELECT * FROM b""")
 def ext05_python_blocks(c):
     return python_source.blocks(sources(c, "python")).select("path", "position", "parent", "block_type", "name", "parameters", "start_line", "end_line")
 
 
-@query(f"SELECT path, 2 AS source, 3 AS target, 'calls' AS kind FROM {having(chr(39) + 'python' + chr(39))}")
+@query(f"WITH {PY} SELECT path, 2 + i AS source, n + 2 AS target, 'calls' AS kind FROM member UNION ALL SELECT path, n + 4, n + 5, 'calls' FROM p")
 def ext04_python_relations(c):
     """The class's base is not defined in the file, so its relation is dropped."""
     return python_source.relations(sources(c, "python"))
 
 
-@query(f"""SELECT path, unnest(['m', 'g']) AS name, unnest(['if', '']) AS control_flow, unnest(['g(a),os.path', 'x']) AS returned, unnest(['g', '']) AS calls FROM {having("'python'")}""")
+@query(f"""WITH {PY} SELECT path, 'm' AS name, 'if' AS control_flow, 'g(a),os.path' AS returned, 'g' AS calls FROM member UNION ALL SELECT path, 'g', array_to_string(list_transform(range(d), lambda j: 'if'), ','), 'x', '' FROM p
+UNION ALL SELECT path, 'o', '', 'q,p(1)', 'p' FROM p UNION ALL SELECT path, 'p', '', 'q', '' FROM p""")
 def ext06_python_details(c):
     own = python_source.blocks(sources(c, "python")).where("details IS NOT NULL")
     parts = F.from_json("details", "control_flow array<string>, returns array<string>, calls array<string>")
@@ -52,17 +58,48 @@ def ext06_python_details(c):
     return own.select("path", "name", F.array_join("d.control_flow", ",").alias("control_flow"), F.array_join("d.returns", ",").alias("returned"), F.array_join("d.calls", ",").alias("calls"))
 
 
-@query(f"""SELECT path, unnest(['Class', 'Method', 'Import', 'Function']) AS block_type, unnest(['K' || path, 'm', './a', 'f' || path]) AS name FROM {having("'javascript', 'typescript'")}""")
+@query("SELECT path, position, parent, CASE slot WHEN 'import' THEN 'Import' WHEN 'type' THEN 'Class' WHEN 'member' THEN 'Method' ELSE 'Function' END AS block_type, name, CASE slot WHEN 'member' THEN 'x,y' WHEN 'function' THEN 'y' ELSE '' END AS parameters FROM f_nodes WHERE language IN ('javascript', 'typescript') AND slot <> 'branch'")
 def ext07_javascript_blocks(c):
-    return source_text.blocks(sources(c, "javascript", "typescript"), "javascript")
+    kind = source_text.mapped(col("type"), {"import": "Import", "export": "Export", "class": "Class", "method": "Method", "function": "Function", "interface": "Interface", "type": "TypeDef"})
+    own = nodes(c, "javascript", "typescript").withColumn("block_type", kind).where("block_type IS NOT NULL")
+    return own.select("path", "position", "parent", "block_type", "name", F.array_join("parameters.name", ",").alias("parameters"))
 
 
-@query(f"""SELECT path, unnest(['Class', 'Import', 'Function']) AS block_type, unnest(['S' || path, 'std::fs', 'f' || path]) AS name FROM {having("'rust'")}""")
+@query("SELECT path, position, parent, CASE slot WHEN 'import' THEN 'Import' WHEN 'type' THEN 'Impl' ELSE 'Function' END AS block_type, name FROM f_nodes WHERE language = 'rust' AND slot <> 'branch'")
 def ext08_rust_blocks(c):
-    return source_text.blocks(sources(c, "rust"), "rust")
+    kind = source_text.mapped(col("kind"), {"use_declaration": "Import", "impl_item": "Impl", "struct_item": "Class", "enum_item": "Class", "trait_item": "Interface", "mod_item": "Module", "function_item": "Function", "macro_definition": "Macro"})
+    own = nodes(c, "rust").withColumn("block_type", kind).where("block_type IS NOT NULL")
+    return own.select("path", "position", "parent", "block_type", "name")
+
+
+@query("""SELECT path, kind, name, CASE slot WHEN 'member' THEN 'pub' ELSE '' END AS modifiers, CASE slot WHEN 'function' THEN 'T : Clone' ELSE '' END AS generics, CASE slot WHEN 'member' THEN '&mut self,x:Vec<u8>' WHEN 'function' THEN 'y:T' ELSE '' END AS parameters,
+CASE slot WHEN 'member' THEN 'u8' WHEN 'function' THEN 'i32' END AS returns FROM f_nodes WHERE language = 'rust' AND slot IN ('type', 'member', 'function')""")
+def ext09_rust_signatures(c):
+    """Types and functions with their modifiers, generics, parameters and what they return."""
+    own = nodes(c, "rust").where(col("kind").isin("impl_item", "struct_item", "enum_item", "trait_item", "mod_item", "function_item", "macro_definition"))
+    parameters = F.array_join(F.transform("parameters", lambda x: F.concat_ws(":", x["name"], x["type"])), ",")
+    return own.select("path", "kind", "name", F.array_join("modifiers", " ").alias("modifiers"), F.array_join("generics", ",").alias("generics"), parameters.alias("parameters"), "returns")
+
+
+@query("SELECT path, component, name, n_parameters FROM (SELECT path, CASE slot WHEN 'import' THEN 'Import' WHEN 'type' THEN 'ClassDeclaration' ELSE 'FunctionSignature' END AS component, name, CASE slot WHEN 'member' THEN 2 WHEN 'function' THEN 1 ELSE 0 END AS n_parameters FROM f_nodes WHERE language IN ('javascript', 'typescript', 'rust') AND slot <> 'branch')")
+def x19_components(c):
+    """Components of scripts and of Rust sources, by the same parser."""
+    part = source_text.mapped(col("type"), {"import": "Import", "class": "ClassDeclaration", "implementation": "ClassDeclaration", "struct": "ClassDeclaration", "trait": "ClassDeclaration", "function": "FunctionSignature", "method": "FunctionSignature"})
+    return nodes(c, "javascript", "typescript", "rust").select("path", part.alias("component"), "name", F.size("parameters").alias("n_parameters")).where("component IS NOT NULL")
 
 
-@query(f"""SELECT path, 'ConsoleIO' AS effects, 'MostlyPure' AS purity, 'std::fs' AS uses, FALSE AS is_mutable FROM {having("'rust'")}""")
+@query("""SELECT path, position, parent, level, COALESCE(t.type, f.kind) AS type, f.kind, name, line, end_line FROM f_nodes f LEFT JOIN (VALUES ('import_statement', 'import'), ('use_declaration', 'import'), ('import_declaration', 'import'), ('preproc_include', 'include'), ('package_clause', 'package'), ('class_declaration', 'class'),
+('impl_item', 'implementation'), ('type_declaration', 'type'), ('struct_specifier', 'struct'), ('method_definition', 'method'), ('method_declaration', 'method'), ('function_declaration', 'function'), ('function_item', 'function'), ('function_definition', 'function')) t(kind, type) ON t.kind = f.kind""")
+def ext20_nodes(c):
+    return nodes(c).select("path", "position", "parent", "level", "type", "kind", "name", "line", "end_line")
+
+
+@query("""SELECT path, 1.0::DOUBLE + d AS complexity, g + 2 + m + w + 1 + d AS n_nodes, GREATEST(w + d, CASE WHEN m > 0 THEN 1 ELSE 0 END) AS deepest, CASE language WHEN 'javascript' THEN 'K' || path WHEN 'typescript' THEN 'K' || path WHEN 'c' THEN 'K' || path WHEN 'java' THEN 'K' || path || ',F' || path ELSE '' END AS classes, repeat('m,', m) || 'f' || path AS functions, 1 AS n_imports FROM f_layout""")
+def ext20_figures(c):
+    return brace_source.figures(nodes(c)).withColumns({k: F.array_join(k, ",") for k in ("classes", "functions")})
+
+
+@query("""SELECT path, array_to_string(list_filter([CASE WHEN n > 0 THEN 'ConsoleIO' END, CASE WHEN d = 1 THEN 'FileIO' END, CASE WHEN d = 2 THEN 'ExceptionThrowing' END], lambda x: x IS NOT NULL), ',') AS effects, CASE WHEN d = 1 THEN 'Impure' WHEN n > 0 OR d = 2 THEN 'MostlyPure' ELSE 'Pure' END AS purity, 'std::fs' AS uses, n > 0 OR d = 2 AS is_mutable FROM f_files WHERE language = 'rust'""")
 def ext10_rust_effects(c):
     own = sources(c, "rust").withColumn("e", source_text.side_effects(col("content")))
     return own.select("path", F.array_join("e.effect", ",").alias("effects"), source_text.purity(col("e")).alias("purity"), F.array_join(source_text.uses(col("content")), ",").alias("uses"), source_text.mutability(col("content"))["is_mutable"].alias("is_mutable"))
@@ -73,12 +110,14 @@ def ext13_maintainability(c):
     return c.blocks.where("cc IS NOT NULL").select("id", F.round(source_text.maintainability(col("cc"), col("cognitive"), col("loc")), 6).alias("maintainability_index"))
 
 
-@query(f"""SELECT path, unnest(['import', 'class', 'function', 'function', 'if', 'return', 'return', 'return', 'call']) AS type, unnest([1, 2, 3, 8, 4, 6, 5, 9, 5]) AS line, unnest([1, 2, 2, 1, 1, 1, 1, 1, 1]) AS complexity FROM {having("'python'")}""")
+@query(f"""WITH {PY} SELECT path, 'import' AS type, 1 AS line, 1 AS complexity FROM p UNION ALL SELECT path, 'class', 2, 1 + n FROM p UNION ALL SELECT path, unnest(['function', 'if', 'return', 'return', 'call']), 3 + 4 * i + unnest([0, 1, 2, 3, 2]), unnest([2, 1, 1, 1, 1]) FROM member
+UNION ALL SELECT path, unnest(['assignment', 'function', 'return']), 3 + 4 * n + unnest([0, 1, 2 + d]), unnest([1, 1 + d, 1]) FROM p UNION ALL SELECT path, 'if', 5 + 4 * n + j, 1 FROM branch
+UNION ALL SELECT path, unnest(['class', 'function', 'function', 'return', 'return', 'call']), 6 + 4 * n + d + unnest([0, 1, 2, 3, 4, 4]), 1 FROM p""")
 def ext14_python_nodes(c):
     return python_source.nodes(sources(c, "python")).select("path", "type", "line", "complexity")
 
 
-@query(f"""SELECT path, 'os' AS imports, '' AS exports, 'C' || path AS classes, 'm,g' AS functions, '' AS variables, 2.0::DOUBLE AS complexity, 1.0::DOUBLE AS simple_complexity, 10 AS lines FROM {having("'python'")}""")
+@query(f"""WITH {PY} SELECT path, 'os' AS imports, '' AS exports, 'C' || path || ',D' AS classes, repeat('m,', n) || 'g,o' AS functions, 'k' AS variables, 1.0::DOUBLE + n + d AS complexity, 1.0::DOUBLE AS simple_complexity, 11 + 4 * n + d AS lines FROM p""")
 def ext15_python_figures(c):
     listed = [F.array_join(k, ",").alias(k) for k in ("imports", "exports", "classes", "functions", "variables")]
     return python_source.figures(sources(c, "python")).select("path", *listed, "complexity", "simple_complexity", "lines")
@@ -243,44 +282,44 @@ def x18_generation_ready(c):
     return c.blocks.where("body_ast IS NOT NULL AND semantic_name <> ''").select("id", "semantic_name", "block_type")
 
 
-@query(f"SELECT path, 'std::fs' AS dependency FROM {having(chr(39) + 'rust' + chr(39))}")
+@query("SELECT path, 'std::fs' AS dependency FROM f_files WHERE language = 'rust'")
 def ext11_uses(c):
     return sources(c, "rust").select("path", F.explode(source_text.uses(col("content"))).alias("dependency"))
 
 
-@query(f"SELECT path, FALSE AS is_mutable, FALSE AS mutates_self, FALSE AS mutates_parameters, FALSE AS mutates_globals, length(s) AS estimated_bytes, len(string_split(s, chr(10))) - 1 AS estimated_operations FROM (SELECT CAST(id AS VARCHAR) AS path, source_code AS s FROM f_containers WHERE source_code <> '' AND language = 'rust')")
+@query("SELECT path, n > 0 OR d = 2 AS is_mutable, n > 0 AS mutates_self, n = 0 AND d = 2 AS mutates_parameters, d = 2 AS mutates_globals, length(content) AS estimated_bytes, 7 + 3 * n + 2 * d AS estimated_operations FROM f_files WHERE language = 'rust'")
 def ext12_resources(c):
     """Flags of mutability, and the estimates of memory (bytes of text) and work (lines)."""
     own = sources(c, "rust")
     return own.select("path", F.inline(F.array(source_text.mutability(col("content")))), F.octet_length("content").alias("estimated_bytes"), (F.size(F.split("content", "\n")) - 1).alias("estimated_operations"))
 
 
-@query(f"SELECT path, unnest([0, 1, 2, 3]) AS position, unnest([0, 0, 1, 0]) AS depth FROM {having(chr(39) + 'python' + chr(39))}")
+@query(f"WITH {PY} SELECT path, unnest([0, 1, n + 2, n + 3, n + 4, n + 5]) AS position, unnest([0, 0, 0, 0, 1, 2]) AS depth FROM p UNION ALL SELECT path, 2 + i, 1 FROM member")
 def ext03_scopes(c):
     """Pre-order positions of blocks and how many scopes hold them."""
-    own = python_source.blocks(sources(c, "python"))
-    parent = own.select("path", col("position").alias("parent"), F.lit(1).alias("inside"))
-    return own.join(parent, ["path", "parent"], "left").select("path", "position", F.coalesce("inside", F.lit(0)).alias("depth"))
+    return python_source.blocks(sources(c, "python")).select("path", "position", "depth")
 
 
-@query(f"SELECT path, 2.0::DOUBLE AS complexity FROM {having(chr(39) + 'python' + chr(39))}")
+@query(f"WITH {PY} SELECT path, 1.0::DOUBLE + n + d AS complexity FROM p")
 def ext16_file_complexity(c):
     return python_source.figures(sources(c, "python")).select("path", "complexity")
 
 
-@query(f"SELECT path, 1.0::DOUBLE AS complexity FROM {having(chr(39) + 'python' + chr(39))}")
+@query(f"WITH {PY} SELECT path, 1.0::DOUBLE AS complexity FROM p")
 def ext17_simple_complexity(c):
+    """Branches and definitions by all nodes are fewer than one, so that the least value holds for every file."""
     return python_source.figures(sources(c, "python")).select("path", col("simple_complexity").alias("complexity"))
 
 
-@query(f"SELECT path, unnest(['m', 'g']) AS name, unnest([2, 1]) AS complexity FROM {having(chr(39) + 'python' + chr(39))}")
+@query(f"WITH {PY} SELECT path, 'm' AS name, 2 AS complexity FROM member UNION ALL SELECT path, unnest(['g', 'o', 'p']), unnest([1 + d, 1, 1]) FROM p")
 def ext18_function_complexity(c):
     return python_source.blocks(sources(c, "python")).where("block_type = 'Function'").select("path", "name", "complexity")
 
 
-@query(f"SELECT path, unnest(['class', 'function', 'function']) AS type, unnest(['C' || path, 'm', 'g']) AS name, unnest([2, 3, 8]) AS line FROM {having(chr(39) + 'python' + chr(39))}")
+@query(f"WITH {PY}, x AS (SELECT path, 'class' AS type, 'C' || path AS name, 2 AS line FROM p UNION ALL SELECT path, 'function', 'm', 3 + 4 * i FROM member UNION ALL SELECT path, unnest(['function', 'class', 'function', 'function']), unnest(['g', 'D', 'o', 'p']), 4 + 4 * n + unnest([0, 2 + d, 3 + d, 4 + d]) FROM p) SELECT md5(path || ':' || name || ':' || line) AS id, * FROM x")
 def ext19_definitions(c):
-    return python_source.nodes(sources(c, "python")).where("type IN ('class', 'function', 'async_function')").select("path", "type", "name", "line")
+    own = python_source.nodes(sources(c, "python")).where("type IN ('class', 'function', 'async_function')")
+    return own.select(F.md5(F.concat_ws(":", "path", "name", "line").cast("binary")).alias("id"), "path", "type", "name", "line")
 
 
 @query(SQL_FILES)
@@ -288,3 +327,12 @@ def t04_repository(c):
     """Every file of a repository: its path, by language, and its generated text."""
     extension = F.when(col("language") == "python", ".py").when(col("language") == "rust", ".rs").when(col("language") == "javascript", ".js").when(col("language") == "typescript", ".ts").otherwise(".txt")
     return t01_generated_files(c).join(c.containers.select(col("id").alias("container_id"), "original_path", "language"), "container_id").select(F.concat("original_path", extension).alias("path"), "code")
+
+
+@query("""SELECT id, CASE s WHEN 0 THEN 'binary' WHEN 1 THEN 'binary' WHEN 2 THEN 'boolean' WHEN 3 THEN CASE WHEN k = 0 THEN 'identifier' ELSE 'binary' END WHEN 4 THEN 'conditional' ELSE 'binary' END AS kind, CASE s WHEN 0 THEN '+' WHEN 1 THEN '-' WHEN 2 THEN 'or' WHEN 3 THEN CASE WHEN k > 0 THEN '+' END WHEN 5 THEN '%' END AS operator,
+CASE s WHEN 0 THEN 5 WHEN 1 THEN 13 WHEN 2 THEN 10 WHEN 3 THEN 2 * k + 1 WHEN 4 THEN 16 ELSE 13 END AS n_nodes, CASE s WHEN 0 THEN 3 WHEN 1 THEN 5 WHEN 2 THEN 5 WHEN 3 THEN k + 1 WHEN 4 THEN 5 ELSE 5 END AS depth, CASE s WHEN 0 THEN 11 WHEN 1 THEN 29 WHEN 2 THEN 24 WHEN 3 THEN 1 + 5 * k WHEN 4 THEN 36 ELSE 24 END AS score,
+CASE s WHEN 1 THEN 'f,g,h' WHEN 4 THEN 'f' WHEN 5 THEN 'run' ELSE '' END AS calls, CASE s WHEN 1 THEN 'z' WHEN 2 THEN 'e,d' WHEN 5 THEN 'run' ELSE '' END AS attributes, CASE s WHEN 0 THEN 'x,y' WHEN 1 THEN 'x,y' WHEN 2 THEN 'a,b,c' WHEN 3 THEN CASE WHEN k > 0 THEN 'x,y' ELSE 'y' END WHEN 4 THEN 'x,y,i,p,q,r,v' ELSE 'obj,rest,x,y' END AS variables
+FROM (SELECT id, id % 6 AS s, id % 20 AS k FROM f_expressions)""")
+def ext24_expressions(c):
+    own = expressions.trees(c.expressions, "text", "id")
+    return own.select("id", "kind", "operator", "n_nodes", "depth", "score", *(F.array_join(k, ",").alias(k) for k in ("calls", "attributes", "variables")))

@@ -2,6 +2,17 @@
 
 from __future__ import annotations
 
+from codequarry.sources.code import FILES
+
+
+def _file_part(of) -> str:
+    """The part of a file's text by its language (k), as SQL."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return "CASE k " + " ".join(f"WHEN {k} THEN {quoted(of(x))}" for k, x in enumerate(FILES.values())) + " END"
+
+
+_LEAF = "CASE d " + " ".join(f"WHEN {i} THEN {_file_part(lambda x, i=i: x[4][i])}" for i in range(3)) + " END"
+
 #: In order; each may use the ones before.
 VIEWS = {
     "f_migrations": "SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS repository_name, TIMESTAMP '2024-01-01 00:00:00' AS created_at FROM region",
@@ -36,6 +47,26 @@ function f#(y) {
   return y;
 }
 ' END, '#', CAST(o_orderkey AS VARCHAR)) END AS source_code FROM orders""",
+    "f_files": f"""SELECT path, language, n, d, replace({_file_part(lambda x: x[0])} || repeat({_file_part(lambda x: x[1])}, n) || {_file_part(lambda x: x[2])} || repeat({_file_part(lambda x: x[3])}, d) || {_LEAF} || repeat({_file_part(lambda x: x[5])}, d) || {_file_part(lambda x: x[6])}, '@', path) AS content
+FROM (SELECT CAST(o_orderkey AS VARCHAR) AS path, o_orderkey % 7 AS k, (['{"', '".join(FILES)}'])[o_orderkey % 7 + 1] AS language, CAST(o_orderkey // 7 % 4 AS INT) AS n, CAST(o_orderkey // 28 % 3 AS INT) AS d FROM orders)""",
+    # what stands in files with braces: members, the class around the function in Java, its first line and its place among the nodes
+    "f_layout": """SELECT *, CASE WHEN language IN ('javascript', 'typescript', 'rust', 'java') THEN n ELSE 0 END AS m, CAST(language = 'java' AS INT) AS w, CAST(language = 'go' AS INT) AS g FROM f_files WHERE language <> 'python'""",
+    "f_nodes": """SELECT l.path, l.language, position, parent, level, s.kind, CASE s.slot WHEN 'package' THEN 'p' WHEN 'import' THEN CASE l.language WHEN 'c' THEN '<stdio.h>' WHEN 'rust' THEN 'std::fs' WHEN 'go' THEN 'os' WHEN 'java' THEN 'java.util.List' ELSE './a' END WHEN 'type' THEN 'K' || path WHEN 'member' THEN 'm' WHEN 'wrap' THEN 'F' || path WHEN 'function' THEN 'f' || path END AS name, s.slot, line, end_line FROM (
+  SELECT *, 'package' AS slot, 0 AS position, NULL AS parent, 0 AS level, 1 AS line, 1 AS end_line FROM f_layout WHERE g = 1
+  UNION ALL SELECT *, 'import', g, NULL, 0, 1, 1 FROM f_layout
+  UNION ALL SELECT *, 'type', g + 1, NULL, 0, 3, 4 + 3 * n FROM f_layout
+  UNION ALL SELECT path, language, n, d, content, m, w, g, 'member', g + 2 + i, g + 1, 1, 4 + 3 * i, 6 + 3 * i FROM (SELECT *, unnest(range(m)) AS i FROM f_layout)
+  UNION ALL SELECT *, 'wrap', g + 2 + m, NULL, 0, 5 + 3 * n, 7 + 3 * n + 2 * d FROM f_layout WHERE w = 1
+  UNION ALL SELECT *, 'function', g + 2 + m + w, CASE w WHEN 1 THEN g + 2 + m END, w, 5 + 3 * n, 7 + 3 * n + 2 * d FROM f_layout
+  UNION ALL SELECT path, language, n, d, content, m, w, g, 'branch', g + 3 + m + w + j, g + 2 + m + w + j, w + 1 + j, 6 + 3 * n + j, 6 + 3 * n + 2 * d - j FROM (SELECT *, unnest(range(d)) AS j FROM f_layout)) l
+JOIN (VALUES ('javascript', 'import', 'import_statement'), ('javascript', 'type', 'class_declaration'), ('javascript', 'member', 'method_definition'), ('javascript', 'function', 'function_declaration'), ('javascript', 'branch', 'if_statement'),
+  ('typescript', 'import', 'import_statement'), ('typescript', 'type', 'class_declaration'), ('typescript', 'member', 'method_definition'), ('typescript', 'function', 'function_declaration'), ('typescript', 'branch', 'if_statement'),
+  ('rust', 'import', 'use_declaration'), ('rust', 'type', 'impl_item'), ('rust', 'member', 'function_item'), ('rust', 'function', 'function_item'), ('rust', 'branch', 'if_expression'),
+  ('go', 'package', 'package_clause'), ('go', 'import', 'import_declaration'), ('go', 'type', 'type_declaration'), ('go', 'function', 'function_declaration'), ('go', 'branch', 'if_statement'),
+  ('java', 'import', 'import_declaration'), ('java', 'type', 'class_declaration'), ('java', 'member', 'method_declaration'), ('java', 'wrap', 'class_declaration'), ('java', 'function', 'method_declaration'), ('java', 'branch', 'if_statement'),
+  ('c', 'import', 'preproc_include'), ('c', 'type', 'struct_specifier'), ('c', 'function', 'function_definition'), ('c', 'branch', 'if_statement')) s(language, slot, kind) ON s.language = l.language AND s.slot = l.slot""",
+    "f_expressions": """SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'x + y * @' WHEN 1 THEN 'f(x, y.z) ** 2 - g(h(x))' WHEN 2 THEN 'a and not b or c.d.e > @' WHEN 3 THEN repeat('x + ', CAST(o_orderkey % 20 AS INT)) || 'y' WHEN 4 THEN '[x, @, f(y)][i] if p < q <= r else {"k": v}'
+  ELSE 'obj.run(n=@, *rest) % -x ** -y' END AS text FROM orders""",
     "f_numbered": "SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem",
     "f_raw": """SELECT l_orderkey * 100 + rn AS id, l_orderkey AS container_id,
   CASE l_partkey % 8 WHEN 0 THEN 'Class' WHEN 1 THEN 'Import' WHEN 2 THEN 'Variable' WHEN 3 THEN 'Module' WHEN 4 THEN 'Interface' ELSE 'Function' END AS block_type,

@@ -24,6 +24,19 @@ SOURCES = {
     "rust": "use std::fs;\nstruct S# {\n    a: i32,\n}\npub fn f#(x: i32) -> i32 {\n    println!(\"{}\", x);\n    x\n}\n",
     "javascript": "import { a } from './a';\nclass K# {\n  m(x) {\n    return x;\n  }\n}\nfunction f#(y) {\n  return y;\n}\n",
 }
+#: Files by language: head, a member (n times), middle, what opens a branch (d times), the leaves for d = 0, 1 and 2, what closes a branch, end; @ for the file's id.
+#: Languages with braces have the same lines, whatever the text; Python's branches are indented.
+FILES = {
+    "python": ("import os\nclass C@(Base):\n", "    def m(self, a):\n        if a:\n            return g(a)\n        return os.path\n", "    k = 1\ndef g(x):\n", "", ("    return x\n", "    if x:\n        return x\n", "    if x:\n        if x:\n            return x\n"), "", "class D:\n    def o(self):\n        def p(q):\n            return q\n        return p(1)\n"),
+    "javascript": ("import { a } from './a';\n// } { \"\nclass K@ extends Base {\n", "  m(x, y) {\n    return \"}\" + `${x}{`;\n  }\n", "}\nfunction f@(y) {\n", "  if (y) {\n", ("  g(y);\n",) * 3, "  }\n", "}\n"),
+    "typescript": ("import { a } from './a';\n/* } { */\nclass K@ implements I {\n", "  m(x: number, y: string): string {\n    return '}' + x;\n  }\n", "}\nfunction f@(y: boolean): void {\n", "  if (y) {\n", ("  g(y);\n",) * 3, "  }\n", "}\n"),
+    "rust": ("use std::fs;\n/* { /* } */ { */\nimpl K@ {\n", "    pub fn m(&mut self, x: Vec<u8>) -> u8 {\n        println!(\"}\"); x[0]\n    }\n", "}\nfn f@<T: Clone>(y: T) -> i32 {\n", "    if y > 0 {\n", ("    g(y);\n", "    std::fs::read(y);\n", "    static mut Z: u8 = y.unwrap();\n"), "    }\n", "}\n"),
+    "go": ("package p; import \"os\"\n// } {\ntype K@ struct {\n", "\ta int\n\tb string\n\tc []byte\n", "}\nfunc f@(y int) int {\n", "\tif y > 0 {\n", ("\tg(y)\n",) * 3, "\t}\n", "}\n"),
+    "java": ("import java.util.List;\n/* } { */\nclass K@ {\n", "    public int m(List<String> x, int y) {\n        return \"}\".length() + y;\n    }\n", "}\nclass F@ { int f@(int y) {\n", "if (y > 0) {\n", ("g(y);\n",) * 3, "}\n", "}}\n"),
+    "c": ("#include <stdio.h>\n/* } { */\nstruct K@ {\n", "    int a;\n    char b;\n    long c;\n", "};\nint f@(int y) {\n", "if (y > 0) {\n", ("g(y);\n",) * 3, "}\n", "}\n"),
+}
+#: Expressions by id, @ for the id; the fourth is repeated.
+EXPRESSIONS = ("x + y * @", "f(x, y.z) ** 2 - g(h(x))", "a and not b or c.d.e > @", "", '[x, @, f(y)][i] if p < q <= r else {"k": v}', "obj.run(n=@, *rest) % -x ** -y")
 CHANGES = {"view": "DocumentationAdded", "click": "DependencyAdded", "purchase": "TestAdded", "signup": "PatternIntroduced"}
 
 
@@ -66,6 +79,23 @@ class Code:
             source.alias("source_code"),
         )
 
+    @cached_property
+    def files(self) -> DataFrame:
+        """path (its id as text), language and content of files in seven languages, with n members and d nested branches."""
+        key = F.col("o_orderkey")
+        own = self.table("orders").select(text("o_orderkey").alias("path"), pick(key % 7, tuple(FILES)).alias("language"), (F.floor(key / 7) % 4).cast("int").alias("n"), (F.floor(key / 28) % 3).cast("int").alias("d"))
+        part = lambda of: pick(F.col("path").cast("long") % 7, [of(x) for x in FILES.values()])
+        leaf = pick(F.col("d"), [part(lambda x, k=k: F.lit(x[4][k])) for k in range(3)])
+        written = F.concat(part(lambda x: F.lit(x[0])), F.repeat(part(lambda x: F.lit(x[1])), F.col("n")), part(lambda x: F.lit(x[2])), F.repeat(part(lambda x: F.lit(x[3])), F.col("d")), leaf, F.repeat(part(lambda x: F.lit(x[5])), F.col("d")), part(lambda x: F.lit(x[6])))
+        return own.select("path", "language", F.replace(written, F.lit("@"), F.col("path")).alias("content"))
+
+    @cached_property
+    def expressions(self) -> DataFrame:
+        """id and text of expressions, one for each container."""
+        key = F.col("o_orderkey")
+        chain = F.concat(F.repeat(F.lit("x + "), (key % 20).cast("int")), F.lit("y"))
+        return self.table("orders").select(key.alias("id"), F.when(key % 6 == 3, chain).otherwise(F.replace(pick(key % 6, EXPRESSIONS), F.lit("@"), text("o_orderkey"))).alias("text"))
+
     @cached_property
     def own_blocks(self) -> DataFrame:
         line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")

@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from codequarry.functions import python_source, source_text
+from codequarry.functions import brace_source, python_source, source_text
 from codequarry.operators import graph, scores
 from codequarry.sources import files, sinks
 from codequarry.streaming import changes
@@ -80,15 +80,14 @@ def test_python_figures(sample):
     assert a["complexity"] == 1 + 1 + 1 + 2 + 1 + 1 + 1 + 1 and r["empty.py"]["complexity"] == 1
 
 
-def test_patterns_of_other_languages(spark):
+def test_blocks_of_other_languages(spark):
     js = "import x from 'lib';\nimport './side';\nexport default class Big extends Small {\n  static async go(a) {\n    if (a) {\n    }\n  }\n}\nexport async function* walk(n) {\n}\nconst add = async (a, b) => a + b;\n"
     rust = "use std::{fs, io};\npub(crate) async fn run<T>(x: T) {\n    let y = File::open(x).unwrap();\n}\nimpl<T> Show for Thing<T> {\n    pub fn show(&mut self) {}\n}\nenum Kind { A }\n"
-    df = spark.createDataFrame([("a", js), ("b", ""), ("c", None)], "path string, content string")
-    found = {(r["block_type"], r["name"]) for r in source_text.blocks(df, "typescript").collect()}
-    assert found == {("Import", "lib"), ("Import", "./side"), ("Class", "Big"), ("Method", "go"), ("Function", "walk"), ("Function", "add")}
-    df = spark.createDataFrame([("a", rust)], "path string, content string")
-    assert {(r["block_type"], r["name"]) for r in source_text.blocks(df, "rust").collect()} == {("Import", "std::{fs, io}"), ("Function", "run"), ("Impl", "Thing"), ("Function", "show"), ("Class", "Kind")}
-    r = df.select(source_text.side_effects(F.col("content")).alias("e")).select("e.effect", source_text.purity(F.col("e")).alias("p")).first()
+    df = spark.createDataFrame([("a", "typescript", js), ("b", "javascript", ""), ("c", "rust", None), ("d", "rust", rust)], "path string, language string, content string")
+    found = {(r["path"], r["type"], r["name"]) for r in brace_source.nodes(df).collect()}
+    assert found >= {("a", "import", "lib"), ("a", "import", "./side"), ("a", "class", "Big"), ("a", "method", "go"), ("a", "function", "walk"), ("a", "function", None)}
+    assert found >= {("d", "import", "std::{fs,io}"), ("d", "function", "run"), ("d", "implementation", "Thing"), ("d", "function", "show"), ("d", "enum", "Kind")}
+    r = df.where("path = 'd'").select(source_text.side_effects(F.col("content")).alias("e")).select("e.effect", source_text.purity(F.col("e")).alias("p")).first()
     assert r["effect"] == ["FileIO", "ExceptionThrowing"] and r["p"] == "Impure"
 
 
