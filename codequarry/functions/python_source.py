@@ -105,6 +105,7 @@ def blocks_of(text: str, tree: ast.Module) -> tuple[list[dict], list[tuple[int,
             out[at] |= {"parameters": json.dumps(plain), "return_type": unparsed(x.returns, text) if x.returns else None, "modifiers": "async" if isinstance(x, ast.AsyncFunctionDef) else "", "details": details(x)}
         elif isinstance(x, ast.ClassDef):
             at = add(x, "Class", x.name, parent)
+            out[at]["bases"] = ", ".join(unparsed(b, text) for b in x.bases)
             relations.extend((at, b.id, "inherits") for b in x.bases if isinstance(b, ast.Name))
         elif isinstance(x, (ast.Import, ast.ImportFrom)):
             add(x, "Import", (x.module or ".") if isinstance(x, ast.ImportFrom) else x.names[0].name, parent)
@@ -116,6 +117,43 @@ def blocks_of(text: str, tree: ast.Module) -> tuple[list[dict], list[tuple[int,
     return out, relations
 
 
+def skeleton(blocks: list[dict]) -> str:
+    """A source with the same imports, variables, classes and functions, whose bodies hold what is nested in them, or their one return, or nothing."""
+    children: dict = {}
+    for b in blocks:
+        children.setdefault(b["parent"], []).append(b)
+    out, work = [], [(b, 0) for b in children.get(None, ())][::-1]
+    while work:
+        b, depth = work.pop()
+        pad, own = "    " * depth, children.get(b["position"], ())
+        if b["block_type"] == "Import":
+            out.append(f"{pad}import {b['name']}" if b["name"] != "." else f"{pad}from . import *")
+        elif b["block_type"] == "Variable":
+            out.append(f"{pad}{b['name']} = None")
+        else:
+            head = f"class {b['name']}{'(' + b['bases'] + ')' if b['bases'] else ''}:" if b["block_type"] == "Class" else f"{'async ' * (b['modifiers'] == 'async')}def {b['name']}({', '.join(json.loads(b['parameters']))}):"
+            out.append(pad + head)
+            if not own:
+                given = json.loads(b["details"])["returns"] if b["details"] else []
+                out.append(f"{pad}    " + (f"return {given[0]}" if len(given) == 1 and "\n" not in given[0] else "pass"))
+        work += [(x, depth + 1) for x in own][::-1]
+    return "".join(f"{x}\n" for x in out)
+
+
+def rebuilt(files: DataFrame) -> DataFrame:
+    """path, original, generated (its skeleton), parses (the skeleton does) and same: whether its blocks have the same kinds, names, places, parameters and complexity."""
+    seen = ("parent", "block_type", "name", "parameters", "complexity")
+
+    def rows(path: str, text: str, tree: ast.Module) -> list[dict]:
+        before, _ = blocks_of(text, tree)
+        made = skeleton(before)
+        again = parsed(made)
+        after = blocks_of(made, again)[0] if again else []
+        return [{"original": text, "generated": made, "parses": again is not None, "same": again is not None and [[b[k] for k in seen] for b in before] == [[b[k] for k in seen] for b in after]}]
+
+    return by_file(files, rows, "path string, original string, generated string, parses boolean, same boolean")
+
+
 def by_file(files: DataFrame, rows_of: Callable[[str, str, ast.Module], list[dict]], schema: str) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 

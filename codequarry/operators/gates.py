@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import source_text
 from codequarry.operators.graph import facts, modifiers
-from codequarry.operators.scores import lines, q08_syntax
+from codequarry.operators.scores import QUALITY, lines, quality, round_trips, syntax_problems
 from codequarry.operators.screens import coupling, first_match, flagged_tested
 from codequarry.operators.text import filled, nodes, sources
 from codequarry.plans.registry import query
@@ -109,11 +109,13 @@ def q21_components(c):
     return c.blocks.select("id", weight.alias("complexity"), ((F.coalesce("semantic_name", F.lit("")) != "") | ~kind.isin("Function", "Class", "Variable", "Import")).alias("ready"))
 
 
-@query("""SELECT container_id, SUM(CASE WHEN language IN ('rust') AND contains(raw_text, 'fn ') AND NOT contains(raw_text, '{') THEN 1 WHEN language = 'python' AND contains(raw_text, 'def ') AND NOT contains(raw_text, ':') THEN 1 ELSE 0 END) = 0 AND COUNT(semantic_name)::DOUBLE / COUNT(*) >= 0.7 AS success FROM f_blocks GROUP BY container_id""")
+@query(f"""WITH p AS (SELECT path AS id, a, b FROM f_rebuilt), {QUALITY} SELECT path, quality, NOT (contains(b, 'def ') AND NOT contains(b, ':')) AND quality >= 0.7 AS success FROM f_rebuilt JOIN q ON q.id = path""")
 def q23_pipeline_success(c):
-    """No syntax error in any block of a file, and a quality (share of named blocks) of 0.7."""
-    own = c.blocks.select("id", "container_id", "semantic_name").join(q08_syntax(c).select("id", "n_errors"), "id")
-    return own.groupBy("container_id").agg(((F.sum("n_errors") == 0) & (F.count("semantic_name") / F.count("*") >= 0.7)).alias("success"))
+    """Of every Python file: the quality of the text generated from its blocks, and whether that is 0.7 and the text without syntax errors."""
+    trips = round_trips(c)
+    errors, _ = syntax_problems(col("b"), F.lit("python"))
+    rated = quality(trips.select(col("path").alias("id"), "a", "b")).withColumnRenamed("id", "path")
+    return trips.select("path", (errors == 0).alias("clean")).join(rated, "path").select("path", "quality", (col("clean") & (col("quality") >= 0.7)).alias("success"))
 
 
 @query("SELECT id, 'Describe ' || COALESCE(semantic_name, 'unnamed') || ' in ' || file_name || ': ' || raw_text AS prompt, CASE WHEN COALESCE(cc, 0) > 30 THEN 'large' ELSE 'small' END AS provider FROM f_blocks WHERE block_type = 'Function'")
@@ -168,13 +170,16 @@ def checks(c: Code) -> DataFrame:
     backup = c.containers.select((F.count_if(col("source_code") != "") > 0).alias("passed"))
     named = c.blocks.select((F.count("semantic_name") / F.count("*") >= 0.8).alias("passed"))
     tests = flagged_tested(c).where("block_type = 'Function'").select((F.count("has_test") > 0).alias("passed"))
-    rows = c.spark.createDataFrame([("schema_aligned", aligned), ("compilation_clean", True)], "name string, passed boolean")
-    for name, df in (("parsers_operational", parsers), ("backup_system_ready", backup), ("template_coverage", named), ("test_suite_adequate", tests)):
+    errors, _ = syntax_problems(col("content"), col("language"))
+    clean = c.files.select((F.count_if(errors > 0) == 0).alias("passed"))
+    rows = c.spark.createDataFrame([("schema_aligned", aligned)], "name string, passed boolean")
+    for name, df in (("compilation_clean", clean), ("parsers_operational", parsers), ("backup_system_ready", backup), ("template_coverage", named), ("test_suite_adequate", tests)):
         rows = rows.unionByName(df.select(F.lit(name).alias("name"), "passed"))
     return rows
 
 
-GATE = """(SELECT 'schema_aligned' AS name, TRUE AS passed UNION ALL SELECT 'compilation_clean', TRUE UNION ALL SELECT 'parsers_operational', TRUE UNION ALL SELECT 'backup_system_ready', COUNT(CASE WHEN source_code <> '' THEN 1 END) > 0 FROM f_containers
+GATE = """(SELECT 'schema_aligned' AS name, TRUE AS passed UNION ALL SELECT 'compilation_clean', COUNT(CASE WHEN language = 'rust' AND contains(content, 'fn ') AND NOT contains(content, '{') OR language = 'python' AND contains(content, 'def ') AND NOT contains(content, ':') OR language IN ('javascript', 'typescript') AND contains(content, 'class ') AND NOT contains(content, '{') THEN 1 END) = 0 FROM f_files
+UNION ALL SELECT 'parsers_operational', COUNT(CASE WHEN language NOT IN ('python', 'rust', 'javascript', 'typescript') THEN 1 END) = 0 FROM f_containers UNION ALL SELECT 'backup_system_ready', COUNT(CASE WHEN source_code <> '' THEN 1 END) > 0 FROM f_containers
 UNION ALL SELECT 'template_coverage', COUNT(semantic_name)::DOUBLE / COUNT(*) >= 0.8 FROM f_blocks UNION ALL SELECT 'test_suite_adequate', COUNT(*) > 0 FROM f_relationships WHERE relationship_type = 'tests' AND target_block_id IN (SELECT id FROM f_blocks WHERE block_type = 'Function'))"""
 
 
@@ -232,12 +237,11 @@ def x11_block_contexts(c):
     return own.select("id", "semantic_name", "file_name", score.alias("complexity_score"), col("ce").alias("n_dependencies"), col("ca").alias("n_consumers"), F.coalesce("has_test", F.lit(False)).alias("tested"))
 
 
-@query("SELECT COUNT(*) AS n_same, 0 AS n_different FROM f_containers WHERE source_code <> ''")
+@query(r"SELECT COUNT(CASE WHEN text IS NOT DISTINCT FROM regexp_replace(text, '[ \t]+(\n|$)', '\1', 'g') THEN 1 END) AS n_same, COUNT(CASE WHEN text IS DISTINCT FROM regexp_replace(text, '[ \t]+(\n|$)', '\1', 'g') THEN 1 END) AS n_different FROM documents")
 def x15_directories_compared(c):
-    """Paths and hashes of the sources before and after a round trip (here through JSON)."""
-    own = c.containers.where("source_code <> ''").select(col("id").cast("string").alias("path"), "source_code")
-    after = own.select("path", F.from_json(F.to_json(F.struct("source_code")), "source_code string")["source_code"].alias("source_code"))
-    return directories_compared(own.select("path", col("source_code").alias("content")), after.select("path", col("source_code").alias("content")))
+    """Paths and hashes of documents before and after the basic formatter."""
+    own = c.table("documents").select(col("doc_id").cast("string").alias("path"), col("text").alias("content"))
+    return directories_compared(own, own.select("path", F.regexp_replace("content", r"[ \t]+(\n|$)", "$1").alias("content")))
 
 
 def directories_compared(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -252,9 +256,10 @@ def x16_files_by_path(c):
     return c.containers.where((col("original_path") == "src/pkg3/f33") | (col("name") == "mod_34")).select("id", "original_path")
 
 
-@query("SELECT path, len(string_split(content, chr(10))) AS n_lines, TRUE AS success FROM (SELECT CAST(id AS VARCHAR) AS path, source_code AS content FROM f_containers WHERE source_code <> '' AND language = 'rust')")
+@query("SELECT path, len(string_split(b, chr(10))) - 1 AS n_lines, TRUE AS parses, n = 0 AND d = 0 AS success FROM f_rebuilt")
 def x20_builder_results(c):
-    return sources(c, "rust").select("path", F.size(F.split("content", "\n")).alias("n_lines"), F.lit(True).alias("success"))
+    """What was built from every Python file's blocks: its lines, whether it parses, and whether it gives the same blocks."""
+    return round_trips(c).select("path", (F.size(F.split("b", "\n")) - 1).alias("n_lines"), "parses", col("same").alias("success"))
 
 
 @query("SELECT id, COALESCE(language, 'python') AS target_language, CASE block_type WHEN 'Class' THEN 'class' WHEN 'Function' THEN 'function' ELSE 'default' END AS pattern FROM f_blocks")

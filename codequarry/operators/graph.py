@@ -8,6 +8,9 @@ SMALL edges at most; larger ones go by rounds of trimming and colouring over who
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,41 +146,86 @@ def by_colours(edges: DataFrame) -> DataFrame:
         edges = written(edges.join(back.select(col("node").alias("s")), "s", "left_anti").join(back.select(col("node").alias("t")), "t", "left_anti").select("s", "t"), "edges")
 
 
-def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
-    """node, label (the least node) and size of strongly connected components of two nodes or more."""
+def by_component(edges: DataFrame, small: int) -> tuple[DataFrame, int, DataFrame]:
+    """Edges of weakly connected components of at most `small` edges, with the task that gets the whole component; the number of tasks; the other edges."""
     edges = written(edges.select("s", "t").distinct(), "edges")
     within = edges.join(weak_components(edges).select(col("node").alias("s"), "label"), "s")
     sizes = within.groupBy("label").agg(F.count("*").alias("n"))
     within = written(within.join(sizes, "label"), "within")
+    few = within.where(col("n") <= small)
+    tasks = -(-few.count() // max(small, 1)) * 8
+    return few.withColumn("task", F.pmod(F.xxhash64("label"), F.lit(max(tasks, 1)))), tasks, within.where(col("n") > small).select("s", "t")
+
+
+def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """node, label (the least node) and size of strongly connected components of two nodes or more."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         found = tarjan(list(zip(rows["s"].tolist(), rows["t"].tolist(), strict=True)))
         return pd.DataFrame({"node": list(found), "label": list(found.values())}, dtype="int64")
 
-    few = within.where(col("n") <= small)
-    tasks = -(-few.count() // max(small, 1)) * 8  # whole components, many to a task
-    found = few.groupBy(F.pmod(F.xxhash64("label"), F.lit(tasks)).alias("task")).applyInPandas(one, "node long, label long") if tasks else few.select(col("s").alias("node"), "label")
-    large = within.where(col("n") > small)
+    few, tasks, large = by_component(edges, small)
+    found = few.groupBy("task").applyInPandas(one, "node long, label long") if tasks else few.select(col("s").alias("node"), "label")
     if not large.isEmpty():
-        found = found.unionByName(by_colours(large.select("s", "t")))
+        found = found.unionByName(by_colours(large))
     sizes = found.groupBy("label").agg(F.count("*").alias("size")).where("size > 1")
     return found.join(sizes, "label").select("node", "label", "size")
 
 
-def layers(nodes: DataFrame, edges: DataFrame, whole: bool = False) -> DataFrame:
+def peeled(edges: list[tuple[int, int]]) -> dict[int, int]:
+    """Node to layer: the most edges that lead to it from a node that none leads to; None in or behind a cycle."""
+    out, left = {}, {}
+    for s, t in edges:
+        out.setdefault(s, []).append(t)
+        left[t] = left.get(t, 0) + 1
+    layer = dict.fromkeys([*out, *left])
+    work = [x for x in layer if x not in left]
+    layer |= dict.fromkeys(work, 0)
+    depth = dict.fromkeys(layer, 0)
+    for x in work:  # grows
+        for t in out.get(x, ()):
+            depth[t] = max(depth[t], depth[x] + 1)
+            left[t] -= 1
+            if not left[t]:
+                layer[t] = depth[t]
+                work.append(t)
+    return layer
+
+
+def layers(nodes: DataFrame, edges: DataFrame, whole: bool = False, small: int = SMALL) -> DataFrame:
     """node and layer: what no edge of what is left leads to, again and again. Nodes in or behind cycles are
-    left out, or make up one last layer if whole. Edges count by their targets."""
-    left, edges, out, k = written(nodes.select("node").distinct(), "nodes"), written(edges.select("s", "t").distinct(), "edges"), [], 0
+    left out, or make up one last layer if whole. Edges count by their targets.
+
+    Weakly connected components of at most `small` edges are peeled in a task each; larger ones in rounds over whole tables, one a layer."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        made = peeled(list(zip(rows["s"].tolist(), rows["t"].tolist(), strict=True)))
+        return pd.DataFrame({"node": list(made), "layer": [-1 if x is None else x for x in made.values()]}, dtype="int64")
+
+    few, tasks, large = by_component(edges, small)
+    parts = [few.groupBy("task").applyInPandas(one, "node long, layer long")] if tasks else []
+    if not large.isEmpty():
+        parts.append(by_rounds(large))
+    ends = few.select("s", "t").union(large).select(F.explode(F.array("s", "t")).alias("node")).distinct()
+    parts.append(nodes.select("node").distinct().join(ends, "node", "left_anti").withColumn("layer", F.lit(0).cast("long")))
+    made = written(union(parts), "layers")
+    if not whole:
+        return made.where("layer >= 0").select("node", col("layer").cast("int").alias("layer"))
+    last = (made.agg(F.max("layer")).first()[0] or 0) + 1
+    return made.select("node", F.when(col("layer") < 0, last).otherwise(col("layer")).cast("int").alias("layer"))
+
+
+def by_rounds(edges: DataFrame) -> DataFrame:
+    """As peeled(), over whole tables; -1 in or behind a cycle."""
+    left, out, k = written(edges.select(F.explode(F.array("s", "t")).alias("node")).distinct(), "nodes"), [], 0
+    edges = written(edges, "edges")
     while True:
-        free = written(left.join(edges.select(col("t").alias("node")), "node", "left_anti").withColumn("layer", F.lit(k)), "layer")
+        free = written(left.join(edges.select(col("t").alias("node")), "node", "left_anti").withColumn("layer", F.lit(k).cast("long")), "layer")
         if free.isEmpty():
-            break
+            return union([*out, left.withColumn("layer", F.lit(-1).cast("long"))])
         out.append(free)
         left = written(left.join(free, "node", "left_anti"), "nodes")
         edges, k = written(edges.join(free.select(col("node").alias("s")), "s", "left_anti").select("s", "t"), "edges"), k + 1
-    if whole:
-        out.append(left.withColumn("layer", F.lit(k)))
-    return union(out) if out else left.withColumn("layer", F.lit(0))
 
 
 def calls(c: Code) -> DataFrame:
@@ -195,39 +243,58 @@ def complexity() -> Column:
     return F.coalesce(col("cc").cast("double"), 1 + 0.5 * col("n_params") + 0.3 * modifiers())
 
 
+def reached(to: dict[int, list[int]]) -> tuple[dict[int, int], dict[int, int], dict[int, set[int]]]:
+    """Of a graph (each node with its targets): a bit set of what each node leads to by one edge or more, by the nodes' order; the most nodes on a way from it, of
+    which those of a cycle all count; and the node's strongly connected component. One pass over components, those that lead nowhere first."""
+    found = tarjan([(s, t) for s in to for t in to[s]])
+    place, members = {x: k for k, x in enumerate(to)}, {}
+    for x, label in found.items():
+        members.setdefault(label, set()).add(x)
+    bits, depth = dict.fromkeys(to, 0), dict.fromkeys(to, 1)
+    for own in members.values():  # in the order in which they were found
+        mask, below = 0, 0
+        for x in own:
+            for t in to[x]:
+                if t in own:
+                    mask |= 1 << place[t]
+                else:
+                    mask |= bits[t] | 1 << place[t]
+                    below = max(below, depth[t])
+        if len(own) > 1:
+            for x in own:
+                mask |= 1 << place[x]
+        for x in own:
+            bits[x], depth[x] = mask, below + len(own)
+    return bits, depth, {x: members.get(found.get(x), {x}) for x in to}
+
+
+def graph_of(nodes: pd.DataFrame, edges: pd.DataFrame) -> tuple[dict, dict]:
+    """Each node's targets, and each node's sources."""
+    to: dict = {i: [] for i in nodes["id"].tolist()}
+    back: dict = {i: [] for i in to}
+    for s, t in zip(edges["s"].tolist(), edges["t"].tolist(), strict=True):
+        to[s].append(t)
+        back[t].append(s)
+    return to, back
+
+
 def facts(c: Code) -> DataFrame:
-    """By function: container_id, id, entry, recursive, reachable (from an entry), depth (nodes of the longest simple path), n_dependencies and n_dependents (transitive)."""
+    """By function: container_id, id, entry, recursive, reachable (from an entry), depth (functions on the longest way from it, of which those of a cycle all count),
+    n_dependencies and n_dependents (transitive). In time and bits that grow with the square of a file's functions at most."""
 
     def of_file(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        ids = nodes["id"].tolist()
-        to: dict = {i: [] for i in ids}
-        for s, t in zip(edges["s"].tolist(), edges["t"].tolist(), strict=True):
-            to[s].append(t)
-        back: dict = {i: [] for i in ids}
-        for s in to:
-            for t in to[s]:
-                back[t].append(s)
-
-        def reached(start, graph):
-            seen, work = set(), list(graph[start])
-            while work:
-                x = work.pop()
-                if x not in seen:
-                    seen.add(x)
-                    work += graph[x]
-            return seen
-
-        def depth(node, on):
-            return 1 + max((depth(t, on | {node}) for t in to[node] if t not in on and t != node), default=0)
-
-        entry = [i for i in ids if not back[i]]
-        live = set(entry).union(*(reached(i, to) for i in entry)) if entry else set()
-        rows = [(nodes["container_id"].iloc[0], i, not back[i], i in reached(i, to), i in live, depth(i, frozenset()), len(reached(i, to)), len(reached(i, back))) for i in ids]
+        to, back = graph_of(nodes, edges)
+        bits, depth, _ = reached(to)
+        turned, _, _ = reached(back)
+        entries, live = [i for i in to if not back[i]], 0
+        place = {x: k for k, x in enumerate(to)}
+        for i in entries:
+            live |= bits[i] | 1 << place[i]
+        rows = [(nodes["container_id"].iloc[0], i, not back[i], bool(bits[i] >> place[i] & 1), bool(live >> place[i] & 1), depth[i], bits[i].bit_count(), turned[i].bit_count()) for i in to]
         return pd.DataFrame(rows, columns=["container_id", "id", "entry", "recursive", "reachable", "depth", "n_dependencies", "n_dependents"])
 
-    nodes = c.blocks.where(function()).select("container_id", "id")
     schema = "container_id long, id long, entry boolean, recursive boolean, reachable boolean, depth long, n_dependencies long, n_dependents long"
-    busy = calls(c)
+    nodes, busy = c.blocks.where(function()).select("container_id", "id"), calls(c)
     inside = nodes.join(busy.select("container_id").distinct(), "container_id", "left_semi")
     of_busy = inside.groupBy("container_id").cogroup(busy.groupBy("container_id")).applyInPandas(of_file, schema)
     alone = nodes.join(busy.select("container_id").distinct(), "container_id", "left_anti")
@@ -235,6 +302,20 @@ def facts(c: Code) -> DataFrame:
     return of_busy.unionByName(alone.select("container_id", "id", F.lit(True).alias("entry"), F.lit(False).alias("recursive"), F.lit(True).alias("reachable"), F.lit(1).cast("long").alias("depth"), none.alias("n_dependencies"), none.alias("n_dependents")))
 
 
+def heaviest(to: dict[int, list[int]], cost: dict[int, float], starts: list[int], k: int = 20, longest: int = 20) -> list[tuple[float, str, int]]:
+    """The k heaviest walks of at most `longest` nodes from a start to a node that leads nowhere: -weight, path, nodes. Of the walks that end in a node after equally
+    many steps only the k heaviest (then the first by path) can be part of one, since all go on alike."""
+    ended, level = [], {i: [(-cost[i], str(i))] for i in starts}
+    for n in range(1, longest + 1):
+        ended += [(w, path, n) for x, walks in level.items() if not to[x] for w, path in walks]
+        further: dict = {}
+        for x, walks in level.items():
+            for t in to[x]:
+                further.setdefault(t, []).extend((w - cost[t], f"{path}>{t}") for w, path in walks)
+        level = {t: heapq.nsmallest(k, walks) for t, walks in further.items()}
+    return heapq.nsmallest(k, ended)
+
+
 FUNCTIONS = "fn AS (SELECT * FROM f_blocks WHERE block_type = 'Function')"
 CALLS = FUNCTIONS + ", e AS (SELECT DISTINCT a.container_id, r.source_block_id AS s, r.target_block_id AS t FROM f_relationships r JOIN fn a ON a.id = r.source_block_id JOIN fn b ON b.id = r.target_block_id AND a.container_id = b.container_id WHERE r.relationship_type = 'calls')"
 REACH = CALLS + ", reach AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM reach r JOIN e ON e.s = r.t)"
@@ -267,8 +348,9 @@ def g05_call_cycles(c):
     return strong_components(calls(c).select("s", "t")).select(col("node").alias("id"), col("label").alias("component"), "size")
 
 
-@query(f"""WITH RECURSIVE {CALLS}, w AS (SELECT container_id, id AS node, [id] AS path FROM fn WHERE id NOT IN (SELECT t FROM e) UNION ALL SELECT w.container_id, e.t, list_append(w.path, e.t) FROM w JOIN e ON e.s = w.node WHERE NOT list_contains(w.path, e.t))
-SELECT f.container_id, COALESCE(MAX(len(w.path)), 0) AS max_depth FROM (SELECT DISTINCT container_id FROM fn) f LEFT JOIN w ON w.container_id = f.container_id GROUP BY f.container_id""")
+@query(f"""WITH RECURSIVE {REACH}, cyclic AS (SELECT a.s AS id, MIN(a.t) AS label FROM reach a JOIN reach b ON a.s = b.t AND a.t = b.s GROUP BY a.s), comp AS (SELECT fn.container_id, fn.id, COALESCE(label, fn.id) AS label FROM fn LEFT JOIN cyclic ON cyclic.id = fn.id), size AS (SELECT label, COUNT(*) AS n FROM comp GROUP BY label),
+ce AS (SELECT DISTINCT a.label AS s, b.label AS t FROM e JOIN comp a ON a.id = e.s JOIN comp b ON b.id = e.t WHERE a.label <> b.label), w AS (SELECT container_id, label, n AS total FROM comp JOIN size USING (label) WHERE id NOT IN (SELECT t FROM e) UNION SELECT container_id, ce.t, total + size.n FROM w JOIN ce ON ce.s = w.label JOIN size ON size.label = ce.t)
+SELECT f.container_id, COALESCE(MAX(total), 0) AS max_depth FROM (SELECT DISTINCT container_id FROM fn) f LEFT JOIN w ON w.container_id = f.container_id GROUP BY f.container_id""")
 def g06_call_depth(c):
     return facts(c).groupBy("container_id").agg(F.coalesce(F.max(F.when(col("entry"), col("depth"))), F.lit(0)).alias("max_depth"))
 
@@ -283,17 +365,17 @@ w AS (SELECT f.container_id, f.id AS node, CAST(f.id AS VARCHAR) AS path, 1 AS d
 UNION ALL SELECT w.container_id, e.t, w.path || '>' || e.t, w.depth + 1, w.total + cost.x FROM w JOIN e ON e.s = w.node JOIN cost ON cost.id = e.t WHERE w.depth < 20)
 SELECT container_id, path, depth, ROUND(total, 6) AS total_complexity FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY container_id ORDER BY total DESC, path) AS k FROM w WHERE node NOT IN (SELECT s FROM e)) WHERE k <= 20""")
 def g08_critical_paths(c):
-    """Of every container, the 20 paths from an entry to a function that calls none that weigh most; ties by path."""
-    from pyspark.sql import Window
+    """Of every container, the 20 paths of at most 20 functions from an entry to a function that calls none that weigh most; ties by path."""
+
+    def of_file(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        to, back = graph_of(nodes, edges)
+        cost = dict(zip(nodes["id"].tolist(), nodes["x"].tolist(), strict=True))
+        rows = [(nodes["container_id"].iloc[0], path, n, -w) for w, path, n in heaviest(to, cost, [i for i in to if not back[i]])] if len(nodes) else []
+        return pd.DataFrame(rows, columns=["container_id", "path", "depth", "total_complexity"])
 
-    edges = calls(c).select("s", "t")
-    entries = c.blocks.where(function()).join(edges.select(col("t").alias("id")), "id", "left_anti").select(col("id").alias("s"))
-    found = union(paths(edges, entries, 19, lambda path, t: F.lit(True)))
-    ended = found.withColumn("id", F.element_at("path", -1)).join(edges.select(col("s").alias("id")), "id", "left_anti").drop("id").withColumn("key", joined())
-    cost = c.blocks.select("id", "container_id", complexity().alias("x"))
-    total = ended.select("key", F.size("path").alias("depth"), F.explode("path").alias("id")).join(cost, "id").groupBy("key", "depth", "container_id").agg(F.round(F.sum("x"), 6).alias("total_complexity"))
-    best = total.withColumn("k", F.row_number().over(Window.partitionBy("container_id").orderBy(F.desc("total_complexity"), "key")))
-    return best.where("k <= 20").select("container_id", col("key").alias("path"), "depth", "total_complexity")
+    nodes = c.blocks.where(function()).select("container_id", "id", complexity().alias("x"))
+    found = nodes.groupBy("container_id").cogroup(calls(c).groupBy("container_id")).applyInPandas(of_file, "container_id long, path string, depth int, total_complexity double")
+    return found.withColumn("total_complexity", F.round("total_complexity", 6))
 
 
 @query(f"WITH RECURSIVE {REACH} SELECT id, (SELECT COUNT(*) FROM reach WHERE s = id) AS n_dependencies, (SELECT COUNT(*) FROM reach WHERE t = id) AS n_dependents FROM fn")
@@ -415,9 +497,13 @@ def g25_file_cycles(c):
     return strong_components(file_edges(c)).select(col("node").alias("container_id"), col("label").alias("component"), "size")
 
 
-@query(f"""WITH RECURSIVE {FILE_EDGES}, w AS (SELECT id, 0 AS layer FROM f_containers WHERE id NOT IN (SELECT s FROM fe) UNION SELECT fe.s, w.layer + 1 FROM w JOIN fe ON fe.t = w.id) SELECT id AS container_id, MAX(layer) AS layer FROM w GROUP BY id""")
+FILE_LAYERS = FILE_REACH + """, bad AS (SELECT s AS id FROM reach WHERE s = t UNION SELECT s FROM reach WHERE t IN (SELECT s FROM reach WHERE s = t)), w AS (SELECT id, 0 AS layer FROM f_containers WHERE id NOT IN (SELECT s FROM fe) UNION SELECT fe.s, w.layer + 1 FROM w JOIN fe ON fe.t = w.id WHERE fe.s NOT IN (SELECT id FROM bad)),
+top AS (SELECT id, MAX(layer) AS layer FROM w GROUP BY id), l AS (SELECT * FROM top UNION ALL SELECT id, (SELECT MAX(layer) + 1 FROM top) FROM bad)"""
+
+
+@query(f"WITH RECURSIVE {FILE_LAYERS} SELECT id AS container_id, layer FROM l")
 def g26_file_layers(c):
-    """A file stands above all files that it depends on."""
+    """A file stands above all files that it depends on; those that depend on a cycle make up the last layer."""
     turned = file_edges(c).select(col("t").alias("s"), col("s").alias("t"))
     return layers(c.containers.select(col("id").alias("node")), turned, whole=True).select(col("node").alias("container_id"), "layer")
 
@@ -440,13 +526,46 @@ FROM reach r JOIN f_containers c ON c.id = r.s LEFT JOIN score s ON s.container_
 def g28_impact(c):
     """What a change of a file affects: all files that depend on it, by any number of steps, once each."""
     edges, n = file_edges(c), c.containers.count()
-    score = c.blocks.groupBy(col("container_id").alias("s")).agg((F.coalesce(F.sum("cc"), F.lit(0)) / F.count("*")).alias("x"))
-    direct = edges.groupBy(col("t").alias("s")).agg(F.count("*").alias("n_direct"))
-    names = c.containers.select(col("id").alias("s"), "original_path")
+    score = c.blocks.groupBy(col("container_id").alias("node")).agg((F.coalesce(F.sum("cc"), F.lit(0)) / F.count("*")).alias("x"))
+    direct = edges.groupBy(col("t").alias("node")).agg(F.count("*").alias("n_direct"))
     is_test = is_test_path(col("original_path"))
-    rows = closure(edges).select("s", "t").join(names, "s").join(score, "s", "left").join(direct, "s", "left")
-    rated = F.least(F.lit(1.0), F.count("*") / n + 0.3 * F.sum(F.coalesce("x", F.lit(0.0))) / F.count("*"))
-    return rows.groupBy(col("t").alias("container_id")).agg(F.count("*").alias("n_affected"), F.round(rated, 6).alias("impact_score"), F.count_if(is_test).alias("requires_testing"), F.count_if(~is_test & (col("n_direct") > 5)).alias("may_break"))
+    own = c.containers.select(col("id").alias("node"), "original_path").join(score, "node", "left").join(direct, "node", "left")
+    own = own.select("node", F.coalesce("x", F.lit(0.0)).alias("x"), is_test.cast("double").alias("tests"), (~is_test & (F.coalesce("n_direct", F.lit(0)) > 5)).cast("double").alias("breaks"))
+    made = sums_behind(edges, own, ["x", "tests", "breaks"])
+    rated = F.least(F.lit(1.0), col("n") / n + 0.3 * col("x") / col("n"))
+    return made.select(col("node").alias("container_id"), col("n").alias("n_affected"), F.round(rated, 6).alias("impact_score"), col("tests").cast("long").alias("requires_testing"), col("breaks").cast("long").alias("may_break"))
+
+
+def sums_behind(edges: DataFrame, weights: DataFrame, names: list[str], small: int = 5_000) -> DataFrame:
+    """By node that an edge leads to: n, how many nodes lead to it by any number of steps, and the sums of their weights (doubles, by node).
+
+    Components of at most `small` edges are worked on whole, with a bit for each pair of nodes; of larger ones all pairs are written."""
+    few, tasks, large = by_component(edges, small)
+    schema = "node long, n long, " + ", ".join(f"{x} double" for x in names)
+
+    def one(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        table = own.set_index("node")[names]
+        for _, part in rows.groupby("label"):
+            back: dict = {}
+            for s, t in zip(part["s"].tolist(), part["t"].tolist(), strict=True):
+                back.setdefault(s, [])
+                back.setdefault(t, []).append(s)
+            bits, values = reached(back)[0], table.reindex(list(back)).fillna(0.0).to_numpy()
+            for x, mask in bits.items():
+                if mask:
+                    held = np.unpackbits(np.frombuffer(mask.to_bytes(len(back) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(back)].astype(bool)
+                    out.append((x, mask.bit_count(), *values[held].sum(axis=0)))
+        return pd.DataFrame(out, columns=["node", "n", *names])
+
+    parts = []
+    if tasks:
+        ends = few.select(F.explode(F.array("s", "t")).alias("node"), (col("task") + 0).alias("place")).distinct()
+        parts.append(few.groupBy("task").cogroup(weights.join(ends, "node").groupBy("place")).applyInPandas(one, schema))
+    if not large.isEmpty() or not tasks:
+        pairs = closure(large).select(col("s").alias("node"), "t").join(weights, "node", "left")
+        parts.append(pairs.groupBy(col("t").alias("node")).agg(F.count("*").alias("n"), *(F.sum(x).alias(x) for x in names)))
+    return union(parts)
 
 
 def is_test_path(path: Column) -> Column:
@@ -458,7 +577,7 @@ def g29_test_files(c):
     return c.containers.select(col("id").alias("container_id"), is_test_path(col("name")).alias("is_test"))
 
 
-@query(f"""WITH RECURSIVE {FILE_REACH}, w AS (SELECT id, 0 AS layer FROM f_containers WHERE id NOT IN (SELECT s FROM fe) UNION SELECT fe.s, w.layer + 1 FROM w JOIN fe ON fe.t = w.id), l AS (SELECT id, MAX(layer) AS layer FROM w GROUP BY id)
+@query(f"""WITH RECURSIVE {FILE_LAYERS}
 SELECT r.t AS changed, r.s AS affected, l.layer, ROW_NUMBER() OVER (PARTITION BY r.t ORDER BY l.layer, r.s) AS build_order FROM reach r JOIN l ON l.id = r.s""")
 def g30_build_order(c):
     """For every file, the files affected by its change in the order of their layers, then of their ids."""
@@ -534,10 +653,13 @@ SELECT len(path) AS length, array_to_string(path, '>') AS path FROM w WHERE node
 
 
 def cycles(edges: DataFrame, longest: int = 10) -> DataFrame:
-    """Elementary cycles of at most `longest` edges, each from its least node on."""
+    """Elementary cycles of at most `longest` edges, each from its least node on. Only edges within strongly connected components are followed."""
+    held = strong_components(edges)
+    inside = edges.join(held.select(col("node").alias("s"), "label"), "s").join(held.select(col("node").alias("t"), "label"), ["t", "label"]).select("s", "t")
+    edges = written(inside.unionByName(edges.where("s = t")).distinct(), "edges")
     found = paths(edges, edges.select("s").distinct(), longest, lambda path, t: (t >= path[0]) & ((F.size(path) == 1) | (F.element_at(path, -1) != path[0])) & ~F.array_contains(F.slice(path, 2, longest + 1), t))
     closed = [x.where(F.element_at("path", -1) == col("path")[0]) for x in found[1:]]
-    return union(closed).withColumn("rest", F.expr("slice(path, 1, size(path) - 1)")).select(F.size("rest").alias("length"), joined("rest").alias("path"))
+    return union(closed or found).where("size(path) > 1").withColumn("rest", F.expr("slice(path, 1, size(path) - 1)")).select(F.size("rest").alias("length"), joined("rest").alias("path"))
 
 
 @query("WITH RECURSIVE e AS (SELECT DISTINCT source_block_id AS s, target_block_id AS t FROM f_relationships WHERE relationship_type = 'depends_on'), " + CYCLES)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.operators.screens import first_match, function, tested
@@ -142,17 +142,28 @@ def r27_remaining_sources(c):
     return c.containers.agg(F.count("source_code").alias("remaining"), (F.count("source_code") == 0).alias("eliminated"))
 
 
-@query("SELECT container_id, COUNT(*) AS n FROM f_blocks GROUP BY container_id HAVING COUNT(*) > 5 ORDER BY n DESC, container_id LIMIT 3")
+#: Blocks of a large container.
+LARGE = 1000
+
+
+def large_containers(blocks: DataFrame, more_than: int = LARGE, most: int = 3) -> DataFrame:
+    """The largest of all files and folders (container) that hold more than so many blocks (original_path), and how many they hold."""
+    parts = F.split("original_path", "/")
+    within = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    held = blocks.select("original_path").groupBy("original_path").agg(F.count("*").alias("n"))
+    return held.select(F.explode(within).alias("container"), "n").groupBy("container").agg(F.sum("n").alias("n")).where(col("n") > more_than).orderBy(F.desc("n"), "container").limit(most)
+
+
+@query("""SELECT container, COUNT(*) AS n FROM (SELECT unnest([split_part(original_path, '/', 1), split_part(original_path, '/', 1) || '/' || split_part(original_path, '/', 2), original_path]) AS container FROM f_blocks) GROUP BY container HAVING COUNT(*) > 1000 ORDER BY n DESC, container LIMIT 3""")
 def r28_large_containers(c):
-    """The three largest containers of more than five blocks."""
-    return c.blocks.groupBy("container_id").agg(F.count("*").alias("n")).where("n > 5").orderBy(F.desc("n"), "container_id").limit(3)
+    """A container is a file or a folder with all that stands below it."""
+    return large_containers(c.blocks)
 
 
-@query("""SELECT COUNT(*) AS n_backup, COUNT(CASE WHEN source_code IS NULL OR source_code = '' THEN 1 END) AS corrupted, COUNT(CASE WHEN source_code <> COALESCE(source_code, '') THEN 1 END) AS mismatched FROM f_containers""")
+@query("""SELECT COUNT(*) AS n_backup, COUNT(CASE WHEN saved IS NULL OR saved = '' THEN 1 END) AS corrupted, COUNT(CASE WHEN saved IS DISTINCT FROM source_code THEN 1 END) AS mismatched FROM f_containers JOIN f_backup USING (id)""")
 def r29_backup_integrity(c):
-    """A backup (id, source_code) held against what it was made of."""
-    backup = c.containers.select("id", col("source_code").alias("saved"))
-    both = c.containers.select("id", "source_code").join(backup, "id")
+    """A backup (id, saved) held against what it was made of."""
+    both = c.containers.select("id", "source_code").join(c.backup, "id")
     return both.agg(F.count("*").alias("n_backup"), F.count_if(col("saved").isNull() | (col("saved") == "")).alias("corrupted"), F.count_if(~col("saved").eqNullSafe(col("source_code"))).alias("mismatched"))
 
 

@@ -12,6 +12,7 @@ from operator import add, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.functions import python_source
 from codequarry.operators.graph import modifiers
 from codequarry.operators.screens import first_match
 from codequarry.plans.registry import query
@@ -91,34 +92,62 @@ def q04_solid_line_similarity(c):
     return own.select("id", line_match("x", "y").alias("line_similarity"))
 
 
-@query(f"""WITH {P}, l AS (SELECT id, len(list_filter({L.format('a')}, lambda z: {TRIM.format('z')} <> '')) AS n, len(list_filter({L.format('b')}, lambda z: {TRIM.format('z')} <> '')) AS m, {W.format('a')} AS x, {W.format('b')} AS y FROM p)
-SELECT id, ROUND(CASE WHEN n = 0 THEN CASE WHEN m = 0 THEN 1 ELSE 0 END ELSE 0.3 * LEAST(m::DOUBLE / n, CASE WHEN m = 0 THEN 0 ELSE n::DOUBLE / m END) + 0.7 * len(list_filter(x, lambda w: list_contains(y, w)))::DOUBLE / len(x) END, 6) AS quality FROM l""")
-def q05_reconstruction_quality(c):
-    """Tokens are held against the set of the other's, as many times as they occur, by a join: texts may be long."""
+#: Quality of b as a regenerated a, from p (id, a, b).
+QUALITY = f"""l AS (SELECT id, len(list_filter({L.format('a')}, lambda z: {TRIM.format('z')} <> '')) AS n, len(list_filter({L.format('b')}, lambda z: {TRIM.format('z')} <> '')) AS m, {W.format('a')} AS x, {W.format('b')} AS y FROM p),
+q AS (SELECT id, ROUND(CASE WHEN n = 0 THEN CASE WHEN m = 0 THEN 1 ELSE 0 END ELSE 0.3 * LEAST(m::DOUBLE / n, CASE WHEN m = 0 THEN 0 ELSE n::DOUBLE / m END) + 0.7 * len(list_filter(x, lambda w: list_contains(y, w)))::DOUBLE / len(x) END, 6) AS quality FROM l)"""
+
+
+def quality(both: DataFrame) -> DataFrame:
+    """id and quality of b as a regenerated a. Tokens are dealt once, with how many times each side has them; texts are not."""
     full = lambda k: F.size(F.array_remove(F.transform(lines(k), trimmed), ""))
-    both = pairs(c)
     own = both.select("id", full("a").alias("n"), full("b").alias("m"), F.size(words("a")).alias("tokens"))
-    x = both.select("id", F.explode(words("a")).alias("token")).groupBy("id", "token").agg(F.count("*").alias("times"))
-    y = both.select("id", F.explode(F.array_distinct(words("b"))).alias("token"))
-    found = x.join(y, ["id", "token"], "left_semi").groupBy("id").agg(F.sum("times").alias("found"))
+    sides = both.select("id", F.explode(F.concat(F.transform(words("a"), lambda w: F.struct(w.alias("token"), F.lit(1).alias("x"), F.lit(0).alias("y"))), F.transform(F.array_distinct(words("b")), lambda w: F.struct(w.alias("token"), F.lit(0).alias("x"), F.lit(1).alias("y"))))).alias("w"))
+    found = sides.groupBy("id", "w.token").agg(F.sum("w.x").alias("x"), F.max("w.y").alias("y")).groupBy("id").agg(F.sum(col("x") * col("y")).alias("found"))
     by_line = F.when(col("m") == 0, 0.0).otherwise(F.least(col("m") / col("n"), col("n") / col("m")))
-    quality = F.when(col("n") == 0, (col("m") == 0).cast("double")).otherwise(0.3 * by_line + 0.7 * F.coalesce("found", F.lit(0)) / col("tokens"))
-    return own.join(found, "id", "left").select("id", F.round(quality, 6).alias("quality"))
+    score = F.when(col("n") == 0, (col("m") == 0).cast("double")).otherwise(0.3 * by_line + 0.7 * F.coalesce("found", F.lit(0)) / col("tokens"))
+    return own.join(found, "id", "left").select("id", F.round(score, 6).alias("quality"))
+
+
+@query(f"WITH {P}, {QUALITY} SELECT id, quality FROM q")
+def q05_reconstruction_quality(c):
+    return quality(pairs(c))
+
 
+VARIANCE = f"CASE WHEN GREATEST({S.format('a')}, {S.format('b')}) = 0 THEN 0 ELSE ABS({S.format('a')} - {S.format('b')})::DOUBLE / GREATEST({S.format('a')}, {S.format('b')}) END"
 
-@query(f"WITH {P} SELECT id, ROUND(CASE WHEN GREATEST({S.format('a')}, {S.format('b')}) = 0 THEN 0 ELSE ABS({S.format('a')} - {S.format('b')})::DOUBLE / GREATEST({S.format('a')}, {S.format('b')}) END, 6) AS variance FROM p")
+
+def variance() -> Column:
+    """By how much the visible characters of a and b differ in number."""
+    return ratio(F.abs(solid("a") - solid("b")), F.greatest(solid("a"), solid("b")))
+
+
+@query(f"WITH {P} SELECT id, ROUND({VARIANCE}, 6) AS variance FROM p")
 def q06_formatting_variance(c):
-    return pairs(c).select("id", ratio(F.abs(solid("a") - solid("b")), F.greatest(solid("a"), solid("b"))).alias("variance"))
+    return pairs(c).select("id", variance().alias("variance"))
+
 
+def round_trips(c: Code) -> DataFrame:
+    """path, migration_id, a (a Python file's text), b (the text generated from its blocks), parses and same of python_source.rebuilt."""
+    made = python_source.rebuilt(c.files.where("language = 'python'").select("path", "content"))
+    home = c.containers.select(col("id").cast("string").alias("path"), "migration_id")
+    return made.join(home, "path").select("path", "migration_id", col("original").alias("a"), col("generated").alias("b"), "parses", "same")
 
-@query("""SELECT m.id, ROUND(0.4 * accuracy + CASE WHEN named >= 50 THEN 20 ELSE 0 END + CASE WHEN id % 2 = 0 THEN 15 ELSE 0 END + CASE WHEN sources = 0 THEN 15 ELSE 0 END + CASE WHEN id < 3 THEN 10 ELSE 0 END, 6) AS score
-FROM (SELECT g.id, (SELECT 100.0 * COUNT(cc)::DOUBLE / COUNT(*) FROM f_blocks b WHERE b.migration_id = g.id) AS accuracy, (SELECT 100.0 * COUNT(semantic_name) / COUNT(*) FROM f_blocks b WHERE b.migration_id = g.id) AS named, (SELECT COUNT(source_code) FROM f_containers k WHERE k.migration_id = g.id) AS sources FROM f_migrations g) m""")
+
+@query(f"""WITH p AS (SELECT path AS id, a, b FROM f_rebuilt), {QUALITY}, f AS (SELECT r.migration_id AS id, 100.0 * AVG(CASE WHEN n = 0 AND d = 0 THEN 1 ELSE 0 END) AS accuracy, AVG(CASE WHEN quality >= 0.7 THEN 1 ELSE 0 END) >= 0.5 AS rebuilt, AVG(ROUND({VARIANCE}, 6)) <= 0.3 AS formatted FROM f_rebuilt r JOIN q ON q.id = r.path GROUP BY r.migration_id)
+SELECT id, ROUND(0.4 * accuracy + CASE WHEN rebuilt THEN 20 ELSE 0 END + CASE WHEN formatted THEN 15 ELSE 0 END + CASE WHEN (SELECT COUNT(source_code) FROM f_containers k WHERE k.migration_id = f.id) = 0 THEN 15 ELSE 0 END
++ CASE WHEN (SELECT AVG(cc) FROM f_blocks b WHERE b.migration_id = f.id) <= (SELECT AVG(cc) FROM f_blocks) THEN 10 ELSE 0 END, 6)::DOUBLE AS score FROM f""")
 def q07_success_score(c):
-    """Of every migration: accuracy is its share of measured blocks, the four flags come from its own figures."""
-    b = c.blocks.groupBy(col("migration_id").alias("id")).agg((100.0 * F.count("cc") / F.count("*")).alias("accuracy"), (100.0 * F.count("semantic_name") / F.count("*")).alias("named"))
-    s = c.containers.groupBy(col("migration_id").alias("id")).agg(F.count("source_code").alias("sources"))
-    flags = ((col("named") >= 50, 20), (col("id") % 2 == 0, 15), (col("sources") == 0, 15), (col("id") < 3, 10))
-    return c.migrations.select("id").join(b, "id").join(s, "id").select("id", F.round(0.4 * col("accuracy") + reduce(add, (F.when(f, n).otherwise(0) for f, n in flags)), 6).alias("score"))
+    """Of every migration: 0.4 of its round-trip accuracy; 20 if half of its files are rebuilt at a quality of 0.7, 15 if their formatting varies by 0.3 at most on average,
+    15 if no source is left, 10 if its blocks are no more complex than all blocks on average."""
+    trips = round_trips(c).withColumn("variance", variance())
+    rated = quality(trips.select(col("path").alias("id"), "a", "b")).withColumnRenamed("id", "path")
+    f = trips.join(rated, "path").groupBy(col("migration_id").alias("id")).agg((100.0 * F.avg(col("same").cast("int"))).alias("accuracy"), (F.avg((col("quality") >= 0.7).cast("int")) >= 0.5).alias("rebuilt"), (F.avg("variance") <= 0.3).alias("formatted"))
+    left = c.containers.groupBy(col("migration_id").alias("id")).agg(F.count("source_code").alias("sources"))
+    base = F.broadcast(c.blocks.agg(F.avg("cc").alias("base")))  # one row
+    cost = c.blocks.groupBy(col("migration_id").alias("id")).agg(F.avg("cc").alias("own")).join(base, F.lit(True)).select("id", (col("own") <= col("base")).alias("no_regression"))
+    flags = (("rebuilt", 20), ("formatted", 15), ("no_regression", 10))
+    score = 0.4 * col("accuracy") + reduce(add, (F.when(col(k), n).otherwise(0) for k, n in flags)) + F.when(col("sources") == 0, 15).otherwise(0)
+    return f.join(left, "id").join(cost, "id").select("id", F.round(score, 6).alias("score"))
 
 
 def syntax_problems(text: Column, language: Column) -> tuple[Column, Column]:
@@ -202,15 +231,11 @@ def patterns(text: Column, name: Column) -> Column:
     return F.array_compact(F.array(hit(single, "Singleton", 0.8), hit(factory, "Factory", 0.7), hit(observer, "Observer", 0.75)))
 
 
-D = "d AS (SELECT doc_id AS id, COALESCE(text, '') AS t FROM documents)"
-
-
-@query(f"""WITH {D} SELECT id, 'Singleton' AS pattern, 0.8::DOUBLE AS confidence FROM d WHERE contains(t, 'private') AND (contains(t, 'constructor') OR contains(t, '__init__')) AND contains(t, 'static') AND contains(t, 'instance') AND (contains(t, 'getInstance') OR contains(t, 'get_instance'))
-UNION ALL SELECT id, 'Factory', 0.7 FROM d WHERE (contains(t, 'create') OR contains(t, 'make') OR contains(t, 'build')) AND (contains(t, 'return new') OR contains(t, 'return ') AND length(t) - length(replace(t, 'return', '')) > 6)
-UNION ALL SELECT id, 'Observer', 0.75 FROM d WHERE (contains(t, 'addObserver') OR contains(t, 'removeObserver') OR contains(t, 'subscribe') OR contains(t, 'notify')) AND (contains(t, 'observers') OR contains(t, 'listeners') OR contains(t, 'subscribers') OR contains(t, 'update') OR contains(t, 'onNotify') OR contains(t, 'handleEvent'))""")
+@query("""SELECT id, 'Singleton' AS pattern, 0.8::DOUBLE AS confidence FROM f_samples WHERE contains(t, 'private') AND (contains(t, 'constructor') OR contains(t, '__init__')) AND contains(t, 'static') AND contains(t, 'instance') AND (contains(t, 'getInstance') OR contains(t, 'get_instance'))
+UNION ALL SELECT id, 'Factory', 0.7 FROM f_samples WHERE (contains(t, 'create') OR contains(t, 'make') OR contains(t, 'build') OR contains(lower(name), 'factory')) AND (contains(t, 'return new') OR contains(t, 'return ') AND length(t) - length(replace(t, 'return', '')) > 6)
+UNION ALL SELECT id, 'Observer', 0.75 FROM f_samples WHERE (contains(t, 'addObserver') OR contains(t, 'removeObserver') OR contains(t, 'subscribe') OR contains(t, 'notify')) AND (contains(t, 'observers') OR contains(t, 'listeners') OR contains(t, 'subscribers') OR contains(t, 'update') OR contains(t, 'onNotify') OR contains(t, 'handleEvent'))""")
 def q16_patterns(c):
-    """Over documents' texts, which hold more words than the adapter's blocks."""
-    return c.table("documents").select(col("doc_id").alias("id"), F.inline(patterns(F.coalesce("text", F.lit("")), F.lit(None).cast("string"))))
+    return c.samples.select("id", F.inline(patterns(col("text"), col("name"))))
 
 
 def solid_violation(text: Column) -> Column:
@@ -222,9 +247,9 @@ def solid_violation(text: Column) -> Column:
 COUNT = "((length(t) - length(replace(t, '{0}', ''))) // {1})".format
 
 
-@query(f"""WITH {D} SELECT * FROM (SELECT id, CASE WHEN {COUNT('def ', 4)} + {COUNT('function ', 9)} + {COUNT('fn ', 3)} > 15 AND contains(t, 'class ') THEN 'Single Responsibility Principle' WHEN {COUNT('if ', 3)} + {COUNT('switch ', 7)} + {COUNT('match ', 6)} > 10 THEN 'Open/Closed Principle' END AS violation FROM d) WHERE violation IS NOT NULL""")
+@query(f"""SELECT * FROM (SELECT id, CASE WHEN {COUNT('def ', 4)} + {COUNT('function ', 9)} + {COUNT('fn ', 3)} > 15 AND contains(t, 'class ') THEN 'Single Responsibility Principle' WHEN {COUNT('if ', 3)} + {COUNT('switch ', 7)} + {COUNT('match ', 6)} > 10 THEN 'Open/Closed Principle' END AS violation FROM f_samples) WHERE violation IS NOT NULL""")
 def q17_solid(c):
-    return c.table("documents").select(col("doc_id").alias("id"), solid_violation(F.coalesce("text", F.lit(""))).alias("violation")).where("violation IS NOT NULL")
+    return c.samples.select("id", solid_violation(col("text")).alias("violation")).where("violation IS NOT NULL")
 
 
 @query("""SELECT id, CASE WHEN contains(semantic_name, 'User') OR contains(semantic_name, 'Account') THEN 'User Management' WHEN contains(semantic_name, 'Order') OR contains(semantic_name, 'Payment') THEN 'E-commerce' WHEN contains(semantic_name, 'Auth') OR contains(semantic_name, 'Security') THEN 'Security' ELSE 'General' END AS domain,

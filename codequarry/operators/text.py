@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.functions import brace_source, expressions, python_source, source_text
-from codequarry.operators.scores import words
+from codequarry.operators.scores import QUALITY, quality, round_trips, words
 from codequarry.operators.screens import first_match
 from codequarry.plans.registry import query
 from codequarry.sources.code import Code
@@ -248,33 +248,50 @@ def filled(template: Column, values: dict[str, Column]) -> Column:
     return reduce(lambda t, kv: F.replace(t, F.lit("{{" + kv[0] + "}}"), kv[1]), values.items(), template)
 
 
-@query("SELECT id, CASE block_type WHEN 'Class' THEN 'class ' || COALESCE(semantic_name, 'unnamed') || ':' || chr(10) || '    pass' ELSE 'def ' || COALESCE(semantic_name, 'unnamed') || '(' || parameters || '):' || chr(10) || '    pass' END AS code FROM f_blocks WHERE block_type IN ('Class', 'Function')")
+#: By language and type of block: what it is written as. {{name}} and {{parameters}} (names between commas) are filled in.
+TEMPLATES = {
+    ("python", "Function"): "def {{name}}({{parameters}}):\n    pass\n", ("python", "Class"): "class {{name}}:\n    pass\n", ("python", "Import"): "import {{name}}\n", ("python", "Variable"): "{{name}} = None\n",
+    ("javascript", "Function"): "function {{name}}({{parameters}}) {\n}\n", ("javascript", "Class"): "class {{name}} {\n}\n", ("javascript", "Import"): "import '{{name}}';\n", ("javascript", "Variable"): "let {{name}};\n", ("javascript", "Module"): "export const {{name}} = {};\n",
+    ("typescript", "Function"): "function {{name}}({{parameters}}): void {\n}\n", ("typescript", "Class"): "class {{name}} {\n}\n", ("typescript", "Import"): "import '{{name}}';\n", ("typescript", "Variable"): "let {{name}}: unknown;\n", ("typescript", "Interface"): "interface {{name}} {\n}\n", ("typescript", "Module"): "namespace {{name}} {\n}\n",
+    ("rust", "Function"): "fn {{name}}() {\n    todo!()\n}\n", ("rust", "Class"): "struct {{name}};\n", ("rust", "Import"): "use {{name}};\n", ("rust", "Variable"): "static {{name}}: () = ();\n", ("rust", "Interface"): "trait {{name}} {\n}\n", ("rust", "Module"): "mod {{name}} {\n}\n",
+}
+TEMPLATE_SQL = "CASE language || '|' || block_type " + " ".join("WHEN '{}|{}' THEN '{}'".format(*k, v.replace("'", "''")) for k, v in TEMPLATES.items()) + " END"
+
+
+def template(language: Column, kind: Column) -> Column:
+    """The text for a type of block in a language, null if there is none."""
+    return source_text.mapped(F.concat_ws("|", language, kind), {"|".join(k): v for k, v in TEMPLATES.items()})
+
+
+@query(f"SELECT id, replace(replace(x, '{{{{name}}}}', COALESCE(semantic_name, 'unnamed')), '{{{{parameters}}}}', array_to_string(list_transform(range(1, n_params + 1), lambda i: 'p' || i), ', ')) AS code FROM (SELECT *, {TEMPLATE_SQL} AS x FROM f_blocks) WHERE x IS NOT NULL")
 def t02_templates(c):
-    template = F.when(col("block_type") == "Class", "class {{name}}:\n    pass").otherwise("def {{name}}({{parameters}}):\n    pass")
-    name = F.coalesce("semantic_name", F.lit("unnamed"))
-    return c.blocks.where(col("block_type").isin("Class", "Function")).select("id", filled(template, {"name": name, "parameters": col("parameters")}).alias("code"))
+    """Every block that has a template, filled with its name and as many parameters as it has."""
+    parameters = F.array_join(F.transform(F.filter(F.sequence(F.lit(0), col("n_params")), lambda i: i > 0), lambda i: F.concat(F.lit("p"), i.cast("string"))), ", ")
+    own = c.blocks.withColumn("x", template(col("language"), col("block_type"))).where("x IS NOT NULL")
+    return own.select("id", filled(col("x"), {"name": F.coalesce("semantic_name", F.lit("unnamed")), "parameters": parameters}).alias("code"))
 
 
-@query("SELECT l.language, k.block_type, TRUE AS renderable FROM (SELECT DISTINCT language FROM f_containers WHERE language IS NOT NULL) l, (SELECT DISTINCT block_type FROM f_blocks) k")
+@query(f"SELECT language, block_type, {TEMPLATE_SQL} IS NOT NULL AS renderable, n FROM (SELECT language, block_type, COUNT(*) AS n FROM f_blocks WHERE language IS NOT NULL GROUP BY language, block_type)")
 def x05_template_coverage(c):
-    """The grid of languages and block types, a few dozen rows."""
-    languages = c.containers.where("language IS NOT NULL").agg(F.collect_set("language").alias("l"))
-    kinds = c.blocks.agg(F.collect_set("block_type").alias("k"))
-    return languages.join(kinds, F.lit(True)).select(F.explode("l").alias("language"), "k").select("language", F.explode("k").alias("block_type"), F.lit(True).alias("renderable"))
+    """The languages and types of the blocks there are, whether a template renders them, and how many blocks that is."""
+    own = c.blocks.where("language IS NOT NULL").groupBy("language", "block_type").agg(F.count("*").alias("n"))
+    return own.select("language", "block_type", template(col("language"), col("block_type")).isNotNull().alias("renderable"), "n")
 
 
-@query("SELECT migration_id, ROUND(100 * AVG(CASE WHEN cc IS NOT NULL THEN 1 ELSE 0 END), 6) AS accuracy FROM f_blocks GROUP BY migration_id")
+@query("SELECT migration_id, COUNT(*) AS n_tests, ROUND(100 * AVG(CASE WHEN n = 0 AND d = 0 THEN 1 ELSE 0 END), 6) AS accuracy FROM f_rebuilt GROUP BY migration_id")
 def x06_round_trip_accuracy(c):
-    """A block passes if it was measured."""
-    return c.blocks.groupBy("migration_id").agg(F.round(100 * F.avg(col("cc").isNotNull().cast("int")), 6).alias("accuracy"))
+    """Files are parsed, written from their blocks, parsed again and compared; those pass whose blocks are the same, complexity included."""
+    return round_trips(c).groupBy("migration_id").agg(F.count("*").alias("n_tests"), F.round(100 * F.avg(col("same").cast("int")), 6).alias("accuracy"))
 
 
-@query("SELECT b.migration_id, COUNT(*) AS n, COUNT(CASE WHEN q >= 0.5 THEN 1 END) AS successes, ROUND(AVG(CASE WHEN q >= 0.5 THEN q END), 6) AS mean_quality, ROUND(100.0 * COUNT(CASE WHEN q >= 0.5 THEN 1 END) / COUNT(*), 6) AS progress FROM (SELECT container_id, migration_id, COUNT(semantic_name)::DOUBLE / COUNT(*) AS q FROM f_blocks GROUP BY 1, 2) b GROUP BY b.migration_id")
+@query(f"""WITH p AS (SELECT path AS id, a, b FROM f_rebuilt), {QUALITY} SELECT migration_id, COUNT(*) AS n, COUNT(CASE WHEN quality >= 0.7 THEN 1 END) AS successes, ROUND(AVG(CASE WHEN quality >= 0.7 THEN quality END), 5) AS mean_quality, ROUND(100.0 * COUNT(CASE WHEN quality >= 0.7 THEN 1 END) / COUNT(*), 6) AS progress
+FROM f_rebuilt JOIN q ON q.id = path GROUP BY migration_id""")
 def x07_elimination_run(c):
-    """Quality of a container: its share of named blocks; averages over the successes, 0.5 or more."""
-    q = c.blocks.groupBy("container_id", "migration_id").agg((F.count("semantic_name") / F.count("*")).alias("q"))
-    good = col("q") >= 0.5
-    return q.groupBy("migration_id").agg(F.count("*").alias("n"), F.count_if(good).alias("successes"), F.round(F.avg(F.when(good, col("q"))), 6).alias("mean_quality"), F.round(100.0 * F.count_if(good) / F.count("*"), 6).alias("progress"))
+    """Of every migration: its files, those whose generated text has a quality of 0.7 or more, the mean quality of these, and their share."""
+    trips = round_trips(c)
+    rated = trips.select("path", "migration_id").join(quality(trips.select(col("path").alias("id"), "a", "b")).withColumnRenamed("id", "path"), "path")
+    good = col("quality") >= 0.7
+    return rated.groupBy("migration_id").agg(F.count("*").alias("n"), F.count_if(good).alias("successes"), F.round(F.avg(F.when(good, col("quality"))), 5).alias("mean_quality"), F.round(100.0 * F.count_if(good) / F.count("*"), 6).alias("progress"))
 
 
 @query("SELECT id, semantic_name, block_type FROM f_blocks WHERE body_ast IS NOT NULL AND semantic_name <> ''")

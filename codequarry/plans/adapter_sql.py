@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codequarry.sources.code import FILES
+from codequarry.sources.code import FILES, SAMPLES
 
 
 def _file_part(of) -> str:
@@ -67,23 +67,33 @@ JOIN (VALUES ('javascript', 'import', 'import_statement'), ('javascript', 'type'
   ('c', 'import', 'preproc_include'), ('c', 'type', 'struct_specifier'), ('c', 'function', 'function_definition'), ('c', 'branch', 'if_statement')) s(language, slot, kind) ON s.language = l.language AND s.slot = l.slot""",
     "f_expressions": """SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'x + y * @' WHEN 1 THEN 'f(x, y.z) ** 2 - g(h(x))' WHEN 2 THEN 'a and not b or c.d.e > @' WHEN 3 THEN repeat('x + ', CAST(o_orderkey % 20 AS INT)) || 'y' WHEN 4 THEN '[x, @, f(y)][i] if p < q <= r else {"k": v}'
   ELSE 'obj.run(n=@, *rest) % -x ** -y' END AS text FROM orders""",
+    "f_backup": "SELECT id, CASE WHEN id % 97 = 2 THEN '' WHEN id % 89 = 3 THEN source_code || ' ' ELSE source_code END AS saved FROM f_containers",
+    "f_samples": f"""SELECT o_orderkey AS id, s.name, s.head || repeat(s.more, CAST(o_orderkey % 23 AS INT)) AS t FROM orders JOIN (VALUES {", ".join(str((k, *x)) for k, x in enumerate(SAMPLES))}) s(k, name, head, more) ON s.k = o_orderkey % {len(SAMPLES)}""",
+    # Python files and their skeletons
+    "f_rebuilt": """SELECT path, migration_id, n, d, content AS a, 'import os' || chr(10) || 'class C' || path || '(Base):' || chr(10) || CASE n WHEN 0 THEN '    pass' || chr(10) ELSE repeat('    def m(self, a):' || chr(10) || '        pass' || chr(10), n) END || 'def g(x):' || chr(10) || '    return x' || chr(10)
+  || 'class D:' || chr(10) || '    def o(self):' || chr(10) || '        def p(q):' || chr(10) || '            return q' || chr(10) AS b FROM f_files JOIN f_containers c ON CAST(c.id AS VARCHAR) = path WHERE f_files.language = 'python'""",
     "f_numbered": "SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem",
     "f_raw": """SELECT l_orderkey * 100 + rn AS id, l_orderkey AS container_id,
   CASE l_partkey % 8 WHEN 0 THEN 'Class' WHEN 1 THEN 'Import' WHEN 2 THEN 'Variable' WHEN 3 THEN 'Module' WHEN 4 THEN 'Interface' ELSE 'Function' END AS block_type,
-  CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE CASE l_partkey % 7 WHEN 0 THEN 'test_' WHEN 1 THEN 'get_api_key_' WHEN 2 THEN 'UserFactory_' WHEN 3 THEN 'RouteHandler_' WHEN 4 THEN 'HandlerManager_' ELSE 'fn_' END || CAST(l_partkey % 500 AS VARCHAR) END AS semantic_name,
+  CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE CASE (l_partkey + CAST(l_partkey % 8 = 1 AS INT)) % 7 WHEN 0 THEN 'test_' WHEN 1 THEN 'get_api_key_' WHEN 2 THEN 'UserFactory_' WHEN 3 THEN 'RouteHandler_' WHEN 4 THEN 'HandlerManager_' ELSE 'fn_' END || CAST((l_partkey + CAST(l_partkey % 8 = 1 AS INT)) % 500 AS VARCHAR) END AS semantic_name,
   CASE l_suppkey % 8 WHEN 0 THEN 'cursor.execute(SELECT + x)' WHEN 1 THEN 'return eval(x)' WHEN 2 THEN 'for a in b: for c in d: query(c)' WHEN 3 THEN '@app.route GET' WHEN 4 THEN 'password = 1' WHEN 5 THEN 'async def f(): pass' WHEN 6 THEN 'if a: if b: if c: if d: pass' ELSE 'open(path)' END AS raw_text,
   CAST(rn AS INT) AS position, CASE WHEN rn = 1 THEN NULL ELSE l_orderkey * 100 + rn // 2 END AS parent_block_id,
   CASE WHEN l_partkey % 19 = 0 THEN NULL ELSE CAST(l_quantity AS INT) END AS cc, CAST(l_quantity AS INT) * 2 AS loc, CAST(l_quantity AS INT) + CAST(l_suppkey % 8 AS INT) AS cognitive, CAST(l_suppkey % 8 AS INT) AS n_params,
   CASE WHEN l_suppkey % 8 = 0 THEN '[]' ELSE '["p"' || repeat(',"p"', CAST(l_suppkey % 8 - 1 AS INT)) || ']' END AS parameters,
   CASE WHEN l_suppkey % 3 = 0 THEN '{}' END AS language_features, CASE WHEN l_suppkey % 3 = 1 THEN '{}' END AS body_ast, CASE WHEN l_partkey % 2 = 0 THEN 'int' END AS return_type, CAST(rn % 4 AS INT) AS indent FROM f_numbered""",
     "f_blocks": "SELECT b.*, len(string_split(b.parameters, ',')) AS param_count, c.name AS file_name, c.language, c.original_path, c.migration_id FROM f_raw b JOIN f_containers c ON b.container_id = c.id",
-    "f_counted": "SELECT id, container_id, position, COUNT(*) OVER (PARTITION BY container_id) AS n FROM f_raw",
+    "f_counted": "SELECT id, container_id, position, block_type, COUNT(*) OVER (PARTITION BY container_id) AS n FROM f_raw",
     "f_relationships": """SELECT id AS source_block_id, container_id * 100 + (position % n) + 1 AS target_block_id,
   CASE WHEN container_id % 6 = 0 THEN 'depends_on' ELSE CASE (id % 4) WHEN 0 THEN 'calls' WHEN 1 THEN 'depends_on' WHEN 2 THEN 'tests' ELSE 'imports' END END AS relationship_type
 FROM f_counted WHERE (n > 1 OR container_id % 6 = 0) AND container_id % 7 <> 3
 UNION ALL SELECT a.id AS source_block_id, b.id AS target_block_id, 'calls' AS relationship_type
 FROM f_raw a JOIN f_raw b ON b.container_id = a.container_id + 1
-WHERE a.position = 1 AND b.position = 1 AND a.container_id % 10 <> 0 AND a.container_id % 7 <> 3 AND b.container_id % 7 <> 3""",
+WHERE a.position = 1 AND b.position = 1 AND a.container_id % 10 <> 0 AND a.container_id % 7 <> 3 AND b.container_id % 7 <> 3
+UNION ALL SELECT b.id, a.id, 'imports' FROM f_raw a JOIN f_raw b ON b.container_id = a.container_id + 2 WHERE a.position = 1 AND b.position = 1 AND a.container_id % 20 = 4 AND a.container_id % 7 <> 3 AND b.container_id % 7 <> 3
+UNION ALL SELECT id, other, 'calls' FROM (SELECT id, COALESCE(LEAD(id) OVER w, FIRST_VALUE(id) OVER w) AS other, COUNT(*) OVER (PARTITION BY container_id) AS k FROM f_raw WHERE block_type = 'Function' AND container_id % 8 = 1 WINDOW w AS (PARTITION BY container_id ORDER BY position)) WHERE k > 1
+UNION ALL SELECT id, id, 'calls' FROM f_raw WHERE block_type = 'Function' AND id % 23 = 0
+UNION ALL SELECT a.id, h.id, 'references' FROM f_raw a JOIN f_raw h ON h.container_id = a.container_id - a.container_id % 40 WHERE a.position = 1 AND h.position = 1 AND a.container_id % 7 <> 3 AND h.container_id % 7 <> 3 AND a.container_id % 40 BETWEEN 1 AND 30
+UNION ALL SELECT h.id, a.id, 'references' FROM f_raw a JOIN f_raw h ON h.container_id = a.container_id - a.container_id % 40 WHERE a.position = 1 AND h.position = 1 AND a.container_id % 7 <> 3 AND h.container_id % 7 <> 3 AND a.container_id % 40 BETWEEN 1 AND 15 AND h.container_id % 80 = 0""",
     "f_versions": """SELECT event_id AS id, user_id AS block_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS version_number,
   event_type AS change_type, event_type = 'error' AS breaking_change, md5(event_type) AS semantic_hash, ts AS created_at FROM events""",
     "f_changes": """SELECT event_id AS change_id, event_id AS commit_id, user_id AS block_id, 'u' || CAST(user_id % 10 AS VARCHAR) AS author, ts AS changed_at, CASE event_type WHEN 'view' THEN 'DocumentationAdded' WHEN 'click' THEN 'DependencyAdded'

@@ -37,6 +37,11 @@ FILES = {
 }
 #: Expressions by id, @ for the id; the fourth is repeated.
 EXPRESSIONS = ("x + y * @", "f(x, y.z) ** 2 - g(h(x))", "a and not b or c.d.e > @", "", '[x, @, f(y)][i] if p < q <= r else {"k": v}', "obj.run(n=@, *rest) % -x ** -y")
+#: Texts by id that show a pattern or break a principle, n for a part that is repeated, with their names.
+SAMPLES = (
+    ("Registry", "private static instance; constructor() {} static getInstance() { return Registry.instance; }", ""), ("WidgetFactory", "if (a) { return new A(); }", ""), ("Shop", "def make(kind): return a if kind else b; return c", ""),
+    ("Feed", "subscribe(x) { this.listeners.push(x); } notify() { this.listeners.forEach(f => f()); }", ""), ("Manager", "class Manager: ", "def f(): pass; "), ("route", "", "if x: y; "), ("plain", "x = 1", ""),
+)
 CHANGES = {"view": "DocumentationAdded", "click": "DependencyAdded", "purchase": "TestAdded", "signup": "PatternIntroduced"}
 
 
@@ -96,17 +101,31 @@ class Code:
         chain = F.concat(F.repeat(F.lit("x + "), (key % 20).cast("int")), F.lit("y"))
         return self.table("orders").select(key.alias("id"), F.when(key % 6 == 3, chain).otherwise(F.replace(pick(key % 6, EXPRESSIONS), F.lit("@"), text("o_orderkey"))).alias("text"))
 
+    @cached_property
+    def backup(self) -> DataFrame:
+        """id and saved: a copy of the containers' sources, of which some were lost and some changed."""
+        lost, changed = F.col("id") % 97 == 2, F.col("id") % 89 == 3
+        return self.containers.select("id", F.when(lost, "").when(changed, F.concat("source_code", F.lit(" "))).otherwise(F.col("source_code")).alias("saved"))
+
+    @cached_property
+    def samples(self) -> DataFrame:
+        """id, name and text of SAMPLES; the part that is repeated stands id % 23 times."""
+        key = F.col("o_orderkey")
+        part = lambda k: pick(key % len(SAMPLES), [F.lit(x[k]) for x in SAMPLES])
+        return self.table("orders").select(key.alias("id"), part(0).alias("name"), F.concat(part(1), F.repeat(part(2), (key % 23).cast("int"))).alias("text"))
+
     @cached_property
     def own_blocks(self) -> DataFrame:
         line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
         rows = self.table("lineitem").withColumn("rn", F.row_number().over(line))
         part, supplier, amount = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity").cast("int")
         n = (supplier % 8).cast("int")
+        named = F.when(part % 8 == 1, part + 1).otherwise(part)  # an import is named as the next part
         return rows.select(
             (F.col("l_orderkey") * 100 + F.col("rn")).alias("id"),
             F.col("l_orderkey").alias("container_id"),
             pick(part % 8, KINDS, "Function").alias("block_type"),
-            F.when(part % 17 != 0, F.concat(pick(part % 7, NAMES, "fn_"), (part % 500).cast("string"))).alias("semantic_name"),
+            F.when(part % 17 != 0, F.concat(pick(named % 7, NAMES, "fn_"), (named % 500).cast("string"))).alias("semantic_name"),
             pick(supplier % 8, TEXTS).alias("raw_text"),
             F.col("rn").cast("int").alias("position"),
             F.when(F.col("rn") > 1, F.col("l_orderkey") * 100 + F.floor(F.col("rn") / 2)).alias("parent_block_id"),
@@ -129,14 +148,27 @@ class Code:
 
     @cached_property
     def relationships(self) -> DataFrame:
-        b = self.blocks.select("id", "container_id", "position").withColumn("n", F.count("*").over(Window.partitionBy("container_id")))
+        """Rings within containers, chains and short cycles of containers, cycles of functions, and hubs."""
+        b = self.blocks.select("id", "container_id", "position", "block_type").withColumn("n", F.count("*").over(Window.partitionBy("container_id")))
         here, linked = F.col("container_id"), F.col("container_id") % 7 != 3
+        edge = lambda df, s, t, kind: df.select(s.alias("source_block_id"), t.alias("target_block_id"), kind.alias("relationship_type"))
         kind = F.when(here % 6 == 0, "depends_on").otherwise(pick(F.col("id") % 4, ("calls", "depends_on", "tests"), "imports"))
-        ring = b.where(((F.col("n") > 1) | (here % 6 == 0)) & linked).select(F.col("id").alias("source_block_id"), (here * 100 + F.col("position") % F.col("n") + 1).alias("target_block_id"), kind.alias("relationship_type"))
+        ring = edge(b.where(((F.col("n") > 1) | (here % 6 == 0)) & linked), F.col("id"), here * 100 + F.col("position") % F.col("n") + 1, kind)
         first = b.where((F.col("position") == 1) & linked)
-        after = first.select(F.col("id").alias("target_block_id"), (here - 1).alias("container_id"))
-        chain = first.where(here % 10 != 0).join(after, "container_id").select(F.col("id").alias("source_block_id"), "target_block_id", F.lit("calls").alias("relationship_type"))
-        return self.kept(ring.unionByName(chain))
+        ahead = lambda k: first.select(F.col("id").alias("other"), (here - k).alias("container_id"))
+        chain = edge(first.where(here % 10 != 0).join(ahead(1), "container_id"), F.col("id"), F.col("other"), F.lit("calls"))
+        back = edge(first.where(here % 20 == 4).join(ahead(2), "container_id"), F.col("other"), F.col("id"), F.lit("imports"))
+        functions = b.where("block_type = 'Function'")
+        looped = functions.where(here % 8 == 1).withColumn("k", F.count("*").over(Window.partitionBy("container_id")))
+        order = Window.partitionBy("container_id").orderBy("position")
+        next_one = F.coalesce(F.lead("id").over(order), F.first("id").over(order))
+        loops = edge(looped.withColumn("other", next_one).where("k > 1"), F.col("id"), F.col("other"), F.lit("calls"))
+        own = edge(functions.where(F.col("id") % 23 == 0), F.col("id"), F.col("id"), F.lit("calls"))
+        hubs = first.where(here % 40 == 0).select(F.col("id").alias("hub"), here.alias("at"))
+        near = first.where((here % 40).between(1, 30)).withColumn("at", here - here % 40).join(hubs, "at")
+        to_hub = edge(near, F.col("id"), F.col("hub"), F.lit("references"))
+        from_hub = edge(near.where((here % 40 <= 15) & (F.col("at") % 80 == 0)), F.col("hub"), F.col("id"), F.lit("references"))
+        return self.kept(reduce(DataFrame.unionByName, (ring, chain, back, loops, own, to_hub, from_hub)))
 
     @cached_property
     def versions(self) -> DataFrame:
