@@ -179,6 +179,40 @@ def relations(files: DataFrame) -> DataFrame:
     return named.join(defined, ["path", "name"]).select("path", "source", "target", "kind").distinct()
 
 
+def components(files: DataFrame) -> DataFrame:
+    """In pre-order: functions and classes with the places of their first and last node and the class or function that holds them, and calls, bases, typed attributes and imports
+    (name: what is called, derived from, typed as or imported) with the place where they stand."""
+
+    def rows(path: str, text: str, tree: ast.Module) -> list[dict]:
+        out: list[dict] = []
+        work: list = [(x, None) for x in ast.iter_child_nodes(tree)][::-1]  # a node and the definition that holds it, or the number of a row that ends
+        place = 0
+        while work:
+            x, holder = work.pop()
+            if isinstance(x, int):
+                out[x]["last"] = place
+                continue
+            place += 1
+            row = lambda kind, name, at=place, holder=holder: {"kind": kind, "name": name, "place": at, "last": at, "parent": holder}
+            inside = holder
+            if isinstance(x, (*FUNCTIONS, ast.ClassDef)):
+                out.append(row("class" if isinstance(x, ast.ClassDef) else "function", x.name))
+                inside = place
+                work.append((len(out) - 1, None))
+                out += [row("base", unparsed(b, text), place) for b in getattr(x, "bases", ())]
+            elif isinstance(x, ast.Call) and (name := called(x)):
+                out.append(row("call", name))
+            elif isinstance(x, ast.AnnAssign):
+                typed = x.annotation.value if isinstance(x.annotation, ast.Subscript) else x.annotation
+                out.append(row("attribute", unparsed(typed, text)))
+            elif isinstance(x, (ast.Import, ast.ImportFrom)):
+                out += [row("import", a.name) for a in x.names]
+            work += [(y, inside) for y in ast.iter_child_nodes(x)][::-1]
+        return out
+
+    return by_file(files, rows, "path string, kind string, name string, place long, last long, parent double").withColumn("parent", F.col("parent").cast("long"))
+
+
 def nodes(files: DataFrame) -> DataFrame:
     """Every node of the kinds in NODES: type, name, place and complexity."""
 

@@ -43,9 +43,9 @@ def ext05_python_blocks(c):
     return python_source.blocks(sources(c, "python")).select("path", "position", "parent", "block_type", "name", "parameters", "start_line", "end_line")
 
 
-@query(f"WITH {PY} SELECT path, 2 + i AS source, n + 2 AS target, 'calls' AS kind FROM member UNION ALL SELECT path, n + 4, n + 5, 'calls' FROM p")
+@query(f"WITH {PY} SELECT path, 2 + i AS source, n + 2 AS target, 'calls' AS kind FROM member UNION ALL SELECT path, n + 4, n + 5, 'calls' FROM p UNION ALL SELECT path, n + 3, 1, 'inherits' FROM p")
 def ext04_python_relations(c):
-    """The class's base is not defined in the file, so its relation is dropped."""
+    """The first class's base is not defined in the file, so that its relation is dropped."""
     return python_source.relations(sources(c, "python"))
 
 

@@ -71,7 +71,7 @@ JOIN (VALUES ('javascript', 'import', 'import_statement'), ('javascript', 'type'
     "f_samples": f"""SELECT o_orderkey AS id, s.name, s.head || repeat(s.more, CAST(o_orderkey % 23 AS INT)) AS t FROM orders JOIN (VALUES {", ".join(str((k, *x)) for k, x in enumerate(SAMPLES))}) s(k, name, head, more) ON s.k = o_orderkey % {len(SAMPLES)}""",
     # Python files and their skeletons
     "f_rebuilt": """SELECT path, migration_id, n, d, content AS a, 'import os' || chr(10) || 'class C' || path || '(Base):' || chr(10) || CASE n WHEN 0 THEN '    pass' || chr(10) ELSE repeat('    def m(self, a):' || chr(10) || '        pass' || chr(10), n) END || 'def g(x):' || chr(10) || '    return x' || chr(10)
-  || 'class D:' || chr(10) || '    def o(self):' || chr(10) || '        def p(q):' || chr(10) || '            return q' || chr(10) AS b FROM f_files JOIN f_containers c ON CAST(c.id AS VARCHAR) = path WHERE f_files.language = 'python'""",
+  || 'class D(C' || path || '):' || chr(10) || '    def o(self):' || chr(10) || '        def p(q):' || chr(10) || '            return q' || chr(10) AS b FROM f_files JOIN f_containers c ON CAST(c.id AS VARCHAR) = path WHERE f_files.language = 'python'""",
     "f_numbered": "SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem",
     "f_raw": """SELECT l_orderkey * 100 + rn AS id, l_orderkey AS container_id,
   CASE l_partkey % 8 WHEN 0 THEN 'Class' WHEN 1 THEN 'Import' WHEN 2 THEN 'Variable' WHEN 3 THEN 'Module' WHEN 4 THEN 'Interface' ELSE 'Function' END AS block_type,
@@ -94,6 +94,8 @@ UNION ALL SELECT id, other, 'calls' FROM (SELECT id, COALESCE(LEAD(id) OVER w, F
 UNION ALL SELECT id, id, 'calls' FROM f_raw WHERE block_type = 'Function' AND id % 23 = 0
 UNION ALL SELECT a.id, h.id, 'references' FROM f_raw a JOIN f_raw h ON h.container_id = a.container_id - a.container_id % 40 WHERE a.position = 1 AND h.position = 1 AND a.container_id % 7 <> 3 AND h.container_id % 7 <> 3 AND a.container_id % 40 BETWEEN 1 AND 30
 UNION ALL SELECT h.id, a.id, 'references' FROM f_raw a JOIN f_raw h ON h.container_id = a.container_id - a.container_id % 40 WHERE a.position = 1 AND h.position = 1 AND a.container_id % 7 <> 3 AND h.container_id % 7 <> 3 AND a.container_id % 40 BETWEEN 1 AND 15 AND h.container_id % 80 = 0""",
+    "f_imports": "SELECT id, CASE WHEN l_partkey % 11 = 0 THEN 'zeta' ELSE 'f' END || CAST(l_partkey % 500 AS VARCHAR) || CASE l_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '.util' ELSE 'x' END AS imported FROM (SELECT l_orderkey * 100 + rn AS id, l_partkey FROM f_numbered WHERE l_partkey % 8 = 1)",
+    "f_tree": "SELECT event_id AS id, CASE WHEN event_id > 0 THEN (event_id - 1) // 3 END AS parent, user_id % 12 AS block_id, event_type AS change_type FROM events",
     "f_versions": """SELECT event_id AS id, user_id AS block_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS version_number,
   event_type AS change_type, event_type = 'error' AS breaking_change, md5(event_type) AS semantic_hash, ts AS created_at FROM events""",
     "f_changes": """SELECT event_id AS change_id, event_id AS commit_id, user_id AS block_id, 'u' || CAST(user_id % 10 AS VARCHAR) AS author, ts AS changed_at, CASE event_type WHEN 'view' THEN 'DocumentationAdded' WHEN 'click' THEN 'DependencyAdded'

@@ -27,7 +27,7 @@ SOURCES = {
 #: Files by language: head, a member (n times), middle, what opens a branch (d times), the leaves for d = 0, 1 and 2, what closes a branch, end; @ for the file's id.
 #: Languages with braces have the same lines, whatever the text; Python's branches are indented.
 FILES = {
-    "python": ("import os\nclass C@(Base):\n", "    def m(self, a):\n        if a:\n            return g(a)\n        return os.path\n", "    k = 1\ndef g(x):\n", "", ("    return x\n", "    if x:\n        return x\n", "    if x:\n        if x:\n            return x\n"), "", "class D:\n    def o(self):\n        def p(q):\n            return q\n        return p(1)\n"),
+    "python": ("import os\nclass C@(Base):\n", "    def m(self, a):\n        if a:\n            return g(a)\n        return os.path\n", "    k: D = 1\ndef g(x):\n", "", ("    return x\n", "    if x:\n        return x\n", "    if x:\n        if x:\n            return x\n"), "", "class D(C@):\n    def o(self):\n        def p(q):\n            return q\n        return p(1)\n"),
     "javascript": ("import { a } from './a';\n// } { \"\nclass K@ extends Base {\n", "  m(x, y) {\n    return \"}\" + `${x}{`;\n  }\n", "}\nfunction f@(y) {\n", "  if (y) {\n", ("  g(y);\n",) * 3, "  }\n", "}\n"),
     "typescript": ("import { a } from './a';\n/* } { */\nclass K@ implements I {\n", "  m(x: number, y: string): string {\n    return '}' + x;\n  }\n", "}\nfunction f@(y: boolean): void {\n", "  if (y) {\n", ("  g(y);\n",) * 3, "  }\n", "}\n"),
     "rust": ("use std::fs;\n/* { /* } */ { */\nimpl K@ {\n", "    pub fn m(&mut self, x: Vec<u8>) -> u8 {\n        println!(\"}\"); x[0]\n    }\n", "}\nfn f@<T: Clone>(y: T) -> i32 {\n", "    if y > 0 {\n", ("    g(y);\n", "    std::fs::read(y);\n", "    static mut Z: u8 = y.unwrap();\n"), "    }\n", "}\n"),
@@ -101,6 +101,20 @@ class Code:
         chain = F.concat(F.repeat(F.lit("x + "), (key % 20).cast("int")), F.lit("y"))
         return self.table("orders").select(key.alias("id"), F.when(key % 6 == 3, chain).otherwise(F.replace(pick(key % 6, EXPRESSIONS), F.lit("@"), text("o_orderkey"))).alias("text"))
 
+    @cached_property
+    def imports(self) -> DataFrame:
+        """id and imported: what the import blocks name, by part."""
+        part = F.col("l_partkey")
+        name = F.concat(F.when(part % 11 == 0, "zeta").otherwise("f"), (part % 500).cast("string"), pick(part % 3, ("", ".util", "x")))
+        line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+        return self.table("lineitem").withColumn("rn", F.row_number().over(line)).where(part % 8 == 1).select((F.col("l_orderkey") * 100 + F.col("rn")).alias("id"), name.alias("imported"))
+
+    @cached_property
+    def version_tree(self) -> DataFrame:
+        """id, parent (null for the first), block_id and change_type of versions that branch."""
+        key = F.col("event_id")
+        return self.table("events").select(key.alias("id"), F.when(key > 0, F.floor((key - 1) / 3)).alias("parent"), (F.col("user_id") % 12).alias("block_id"), F.col("event_type").alias("change_type"))
+
     @cached_property
     def backup(self) -> DataFrame:
         """id and saved: a copy of the containers' sources, of which some were lost and some changed."""
