@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import time
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions import source_text
-from codequarry.operators.graph import facts, modifiers
+from codequarry.operators.graph import facts, modifiers, union
 from codequarry.operators.scores import QUALITY, lines, quality, round_trips, syntax_problems
 from codequarry.operators.screens import coupling, first_match, flagged_tested
 from codequarry.operators.text import filled, nodes, sources
+from codequarry.plans.lineage import folder, written
+from codequarry.plans.observed import Observed
 from codequarry.plans.registry import query
 from codequarry.sources import sinks
 from codequarry.sources.code import Code
+from codequarry.sources.snapshots import Snapshots
 
 col = F.col
 
@@ -286,28 +286,34 @@ def p13_call_statistics(c):
     return facts(c).groupBy("container_id").agg(F.count("*").alias("n_functions"), F.count_if("entry").alias("n_entries"), F.count_if("recursive").alias("n_recursive"))
 
 
-class Metrics:
-    """Timers, counters and values of one run, and their ratios to a baseline."""
-
-    def __init__(self):
-        self.seconds: dict[str, float] = {}
-        self.counts: dict[str, int] = {}
-        self.values: dict[str, float] = {}
-
-    @contextmanager
-    def timed(self, name: str):
-        began = time.perf_counter()
-        try:
-            yield
-        finally:
-            self.seconds[name] = self.seconds.get(name, 0.0) + time.perf_counter() - began
-
-    def count(self, name: str, n: int = 1) -> None:
-        self.counts[name] = self.counts.get(name, 0) + n
-
-    def summary(self) -> dict:
-        return {"seconds": dict(self.seconds), "counts": dict(self.counts), "values": dict(self.values)}
-
-    def within(self, baseline: dict[str, float], most: float = 2.0) -> dict[str, bool]:
-        """By value of the baseline: whether this run's is at most `most` times as large."""
-        return {k: self.values.get(k, float("inf")) <= most * v for k, v in baseline.items()}
+@query("""SELECT 'blocks' AS stage, unnest(['n', 'complexity']) AS figure, unnest([COUNT(*)::DOUBLE, SUM(cc)::DOUBLE]) AS value FROM f_blocks UNION ALL SELECT 'functions', unnest(['n', 'complexity']), unnest([COUNT(*)::DOUBLE, SUM(cc)::DOUBLE]) FROM f_blocks WHERE block_type = 'Function'
+UNION ALL SELECT 'files', unnest(['n', 'most']), unnest([COUNT(*)::DOUBLE, MAX(n)::DOUBLE]) FROM (SELECT COUNT(*) AS n FROM f_blocks WHERE block_type = 'Function' GROUP BY container_id)""")
+def x13_stage_figures(c):
+    """Figures of the stages of one plan, observed while it runs once."""
+    seen = Observed()
+    n, complexity = F.count(F.lit(1)), F.sum("cc")
+    blocks = seen.watch(c.own_blocks, "blocks", n=n, complexity=complexity)
+    functions = seen.watch(blocks.where("block_type = 'Function'"), "functions", n=n, complexity=complexity)
+    files = seen.watch(functions.groupBy("container_id").agg(F.count("*").alias("n")), "files", n=n, most=F.max("n"))
+    seen.run("files", lambda: written(files, "observed"))
+    return seen.frame(c.spark)
+
+
+@query("""SELECT * FROM (SELECT 1 AS step, 'first' AS what, COUNT(*) AS n, COUNT(source_code) AS sources, 1 AS version FROM f_containers UNION ALL SELECT 2, 'loses rows', COUNT(*), COUNT(source_code), 1 FROM f_containers
+UNION ALL SELECT 3, 'eliminates', COUNT(*), 0, 2 FROM f_containers UNION ALL SELECT 4, 'goes back', COUNT(*), COUNT(source_code), 3 FROM f_containers)""")
+def x02_gated_runs(c):
+    """What readers see after each step: a first version, a change that a check refuses, one that is published, and the way back."""
+    snapshots = Snapshots(c.spark, folder(c.spark, "snapshots"))
+    alike = {"no row is lost": lambda old, new: not old or old["containers"].count() == new["containers"].count()}
+    steps = (
+        ("first", lambda: snapshots.run(lambda _: {"containers": c.containers.select("id", "source_code")}, alike)),
+        ("loses rows", lambda: snapshots.run(lambda old: {"containers": sinks.eliminated(old["containers"]).where("id % 2 = 0")}, alike)),
+        ("eliminates", lambda: snapshots.run(lambda old: {"containers": sinks.eliminated(old["containers"])}, alike)),
+        ("goes back", lambda: snapshots.go_back(1)),
+    )
+    out = []
+    for step, (what, act) in enumerate(steps, 1):
+        act()
+        n = F.count("*").alias("n"), F.count("source_code").alias("sources")
+        out.append(snapshots.tables()["containers"].agg(*n).select(F.lit(step).alias("step"), F.lit(what).alias("what"), "n", "sources", F.lit(snapshots.versions()[-1]).alias("version")))
+    return union(out)

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codequarry.plans.lineage import folder
 from codequarry.plans.registry import query
 from codequarry.sources import files, sinks
 from codequarry.sources.code import Code, pick
@@ -16,16 +13,6 @@ from codequarry.sources.code import Code, pick
 col = F.col
 
 
-def folder(c: Code, tag: str) -> str:
-    """A new folder in the one that driver and executors share."""
-    where = c.spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not c.spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="codequarry-")
-    return f"{where.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 def as_files(c: Code) -> DataFrame:
     """path and content: a source file of each nation; some in directories that scans leave out, some of no known language."""
     key = col("n_nationkey")
@@ -35,13 +22,11 @@ def as_files(c: Code) -> DataFrame:
     return c.table("nation").select(path.alias("path"), F.concat(F.lit("nation "), key.cast("string"), F.lit("\n")).alias("content"))
 
 
-def written_files(c: Code) -> tuple[str, str]:
-    """The folder of the written files, as an address and as a path; written where the shared folder is one of this machine's or mounted."""
-    where = folder(c, "files")
-    plain = "/" + where.removeprefix("file:").lstrip("/")
-    os.makedirs(plain, exist_ok=True)
-    sinks.write_files(as_files(c), plain)
-    return where, plain
+def written_files(c: Code) -> str:
+    """The folder of the written files."""
+    where = folder(c.spark, "files")
+    sinks.write_files(as_files(c), where)
+    return where
 
 
 FILES = """x AS (SELECT CASE WHEN n_nationkey % 7 = 3 THEN 'node_modules' ELSE 'r' || n_regionkey END || '/' || regexp_replace(lower(n_name), '[^a-z]', '_', 'g') || CASE n_nationkey % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.rs' WHEN 2 THEN '.ts' ELSE '.txt' END AS path,
@@ -54,18 +39,18 @@ def relative(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {FILES} SELECT path, language, content, sha256(content) AS hash FROM x WHERE language IS NOT NULL AND NOT ignored")
 def src01_scan(c):
-    return relative(files.scan(c.spark, written_files(c)[1]))
+    return relative(files.scan(c.spark, written_files(c)))
 
 
 @query(f"WITH {FILES} SELECT path, length(content) AS length FROM x WHERE language IS NOT NULL AND NOT ignored ORDER BY path LIMIT 5")
 def src02_discover(c):
     """The first five files of known languages."""
-    return relative(files.discover(c.spark, written_files(c)[1], most_files=5))
+    return relative(files.discover(c.spark, written_files(c), most_files=5))
 
 
 @query(f"WITH {FILES} SELECT language, COUNT(*) AS n FROM x WHERE language IS NOT NULL AND NOT ignored GROUP BY language")
 def src03_languages(c):
-    return files.scan(c.spark, written_files(c)[1]).groupBy("language").agg(F.count("*").alias("n"))
+    return files.scan(c.spark, written_files(c)).groupBy("language").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, 'utf-8' AS encoding, length(COALESCE(text, '')) AS n FROM documents")
@@ -84,7 +69,7 @@ def src06_valid_addresses(c):
 def snk01_inserted(c):
     """What inserting all nations, twice over and again in part, leaves."""
     own = c.table("nation").select(col("n_nationkey").alias("id"), col("n_name").alias("name"))
-    where = folder(c, "inserted")
+    where = folder(c.spark, "inserted")
     sinks.insert(own.unionByName(own), where, ["id"])
     sinks.insert(own.where("id < 9"), where, ["id"])
     return c.spark.read.schema(own.schema).parquet(where)
@@ -98,7 +83,7 @@ def snk02_updated(c):
 
 @query("SELECT n_nationkey AS id FROM nation WHERE false")
 def snk03_reset(c):
-    own, where = c.table("nation").select(col("n_nationkey").alias("id")), folder(c, "reset")
+    own, where = c.table("nation").select(col("n_nationkey").alias("id")), folder(c.spark, "reset")
     own.write.parquet(where)
     sinks.reset(own, where)
     return c.spark.read.schema(own.schema).parquet(where)
@@ -115,7 +100,7 @@ def snk04_restored(c):
 @query(f"WITH {FILES} SELECT path, content FROM x")
 def snk05_written_files(c):
     """All files as they stand in the folder."""
-    return relative(files.raw(c.spark, written_files(c)[1]).select("path", files.decoded(col("content")).alias("content")))
+    return relative(files.raw(c.spark, written_files(c)).select("path", files.decoded(col("content")).alias("content")))
 
 
 @query("SELECT p_partkey AS id, p_brand AS category, ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC NULLS FIRST, p_partkey) AS place FROM part")

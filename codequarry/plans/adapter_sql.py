@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codequarry.sources.code import FILES, SAMPLES
+from codequarry.sources.code import FILES, SAMPLES, SPECIFIED
 
 
 def _file_part(of) -> str:
@@ -96,6 +96,8 @@ UNION ALL SELECT a.id, h.id, 'references' FROM f_raw a JOIN f_raw h ON h.contain
 UNION ALL SELECT h.id, a.id, 'references' FROM f_raw a JOIN f_raw h ON h.container_id = a.container_id - a.container_id % 40 WHERE a.position = 1 AND h.position = 1 AND a.container_id % 7 <> 3 AND h.container_id % 7 <> 3 AND a.container_id % 40 BETWEEN 1 AND 15 AND h.container_id % 80 = 0""",
     "f_imports": "SELECT id, CASE WHEN l_partkey % 11 = 0 THEN 'zeta' ELSE 'f' END || CAST(l_partkey % 500 AS VARCHAR) || CASE l_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '.util' ELSE 'x' END AS imported FROM (SELECT l_orderkey * 100 + rn AS id, l_partkey FROM f_numbered WHERE l_partkey % 8 = 1)",
     "f_tree": "SELECT event_id AS id, CASE WHEN event_id > 0 THEN (event_id - 1) // 3 END AS parent, user_id % 12 AS block_id, event_type AS change_type FROM events",
+    "f_specifications": f"""SELECT o_orderkey AS id, k.kind, '{{' || CASE WHEN o_orderkey % 25 < 5 THEN '' ELSE '"name": "n' || o_orderkey || '", ' END || k.more || ', "more": ' || o_orderkey || '}}' AS content
+FROM orders JOIN (VALUES {", ".join(str((i, kind, more)) for i, (kind, more) in enumerate(zip(("function", "class", "module", "interface", "behavior"), SPECIFIED, strict=True)))}) k(i, kind, more) ON k.i = o_orderkey % 5""",
     "f_versions": """SELECT event_id AS id, user_id AS block_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS version_number,
   event_type AS change_type, event_type = 'error' AS breaking_change, md5(event_type) AS semantic_hash, ts AS created_at FROM events""",
     "f_changes": """SELECT event_id AS change_id, event_id AS commit_id, user_id AS block_id, 'u' || CAST(user_id % 10 AS VARCHAR) AS author, ts AS changed_at, CASE event_type WHEN 'view' THEN 'DocumentationAdded' WHEN 'click' THEN 'DependencyAdded'

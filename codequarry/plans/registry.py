@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from codequarry.plans.adapter_sql import with_views
 from codequarry.sources.code import Code, code
 
-MODULES = (*(f"operators.{x}" for x in ("screens", "lookups", "graph", "scores", "history", "project", "text", "gates", "components", "merges", "storage")), "streaming.changes")
+MODULES = (*(f"operators.{x}" for x in ("screens", "lookups", "graph", "scores", "history", "project", "text", "gates", "components", "merges", "synthesis", "storage")), "streaming.changes")
 PLANS: dict[str, Callable[[Code], DataFrame]] = {}
 SQL: dict[str, str] = {}
 

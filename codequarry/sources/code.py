@@ -42,6 +42,11 @@ SAMPLES = (
     ("Registry", "private static instance; constructor() {} static getInstance() { return Registry.instance; }", ""), ("WidgetFactory", "if (a) { return new A(); }", ""), ("Shop", "def make(kind): return a if kind else b; return c", ""),
     ("Feed", "subscribe(x) { this.listeners.push(x); } notify() { this.listeners.forEach(f => f()); }", ""), ("Manager", "class Manager: ", "def f(): pass; "), ("route", "", "if x: y; "), ("plain", "x = 1", ""),
 )
+#: What specifications say, by type.
+SPECIFIED = (
+    '"parameters": ["a", "b"], "async": true, "methods": [], "imports": ["x.y", "z"], "constraints": {"limit": "at most 5", "kind": "pure"}', '"inherits": "Base", "fields": {"a": 1}, "constraints": {"c": "d"}, "return_type": "int"', '"exports": ["f"], "type": "lib", "imports": []',
+    '"methods": ["m"], "extends": null, "visibility": "public"', '"preconditions": ["p"], "invariants": [], "parameters": []',
+)
 CHANGES = {"view": "DocumentationAdded", "click": "DependencyAdded", "purchase": "TestAdded", "signup": "PatternIntroduced"}
 
 
@@ -115,6 +120,15 @@ class Code:
         key = F.col("event_id")
         return self.table("events").select(key.alias("id"), F.when(key > 0, F.floor((key - 1) / 3)).alias("parent"), (F.col("user_id") % 12).alias("block_id"), F.col("event_type").alias("change_type"))
 
+    @cached_property
+    def specifications(self) -> DataFrame:
+        """id, kind and content (JSON) of specifications; every fifth has no name."""
+        key = F.col("o_orderkey")
+        kind = pick(key % 5, ("function", "class", "module", "interface", "behavior"))
+        more = pick(key % 5, tuple(SPECIFIED))
+        name = F.when(key % 25 < 5, F.lit("")).otherwise(F.concat(F.lit('"name": "n'), text("o_orderkey"), F.lit('", ')))
+        return self.table("orders").select(key.alias("id"), kind.alias("kind"), F.concat(F.lit("{"), name, more, F.lit(', "more": '), text("o_orderkey"), F.lit("}")).alias("content"))
+
     @cached_property
     def backup(self) -> DataFrame:
         """id and saved: a copy of the containers' sources, of which some were lost and some changed."""

@@ -84,11 +84,10 @@ def scan(spark: SparkSession, directory: str) -> DataFrame:
 
 def discover(spark: SparkSession, directory: str, most_bytes: int = MOST_BYTES, total_bytes: int = TOTAL_BYTES, most_files: int = MOST_FILES) -> DataFrame:
     """The files to analyse, in order of their paths: none above most_bytes, and no more than add up to
-    total_bytes and most_files. The limits are the feature; only paths and lengths meet in one task."""
+    total_bytes and most_files. The limits are the feature; only the first most_files paths and lengths meet in one task."""
     own = raw(spark, directory).select("path", "length").where(~ignored(F.col("path")) & language_of(F.col("path")).isNotNull() & (F.col("length") <= most_bytes))
-    order = Window.orderBy("path")
-    own = own.withColumns({"upto": F.sum("length").over(order), "place": F.row_number().over(order)})
-    return own.where((F.col("upto") <= total_bytes) & (F.col("place") <= most_files)).select("path", "length")
+    own = own.orderBy("path").limit(most_files).withColumn("upto", F.sum("length").over(Window.orderBy("path")))
+    return own.where(F.col("upto") <= total_bytes).select("path", "length")
 
 
 def checked_path(path: str) -> str:

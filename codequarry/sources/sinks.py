@@ -6,10 +6,12 @@ old one and lost tasks do no harm; the caller moves on to the new one.
 
 from __future__ import annotations
 
-import os
+import posixpath
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,13 +21,8 @@ col = F.col
 def insert(new: DataFrame, path: str, keys: list[str]) -> int:
     """Append the rows of new whose keys are not there yet, one for each key; how many that were."""
     spark = new.sparkSession
-    fresh = new.dropDuplicates(keys)
-    try:
-        there = spark.read.parquet(path).select(*keys)
-    except Exception as e:  # no table yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        there = None
+    fresh, where = new.dropDuplicates(keys), spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = spark.read.parquet(path).select(*keys) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
     fresh = fresh if there is None else fresh.join(there, keys, "left_anti")
     before = 0 if there is None else there.count()
     fresh.select(*new.columns).write.mode("append").parquet(path)
@@ -67,19 +64,26 @@ def retained(backup: DataFrame, now: Column, days: int) -> DataFrame:
     return backup.where(col("backup_timestamp") >= now - F.make_dt_interval(F.lit(days)))
 
 
+def file_system(directory: str) -> tuple[fs.FileSystem, str]:
+    """The file system of an address (file, hdfs, s3, gs) or a plain path, and the path on it."""
+    return fs.FileSystem.from_uri(directory.replace("s3a://", "s3://", 1) if "://" in directory else "file://" + directory.removeprefix("file:"))
+
+
 def write_files(files: DataFrame, directory: str) -> int:
     """Write content to path under a directory that all executors share; a task that runs again writes the same files."""
 
     def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, root = file_system(directory)
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                full = os.path.normpath(os.path.join(directory, path))
-                if not full.startswith(os.path.normpath(directory) + os.sep):
+                full = posixpath.normpath(posixpath.join(root, path))
+                if not full.startswith(posixpath.normpath(root) + "/"):
                     raise ValueError(f"outside of the directory: {path}")
-                os.makedirs(os.path.dirname(full), exist_ok=True)
-                with open(f"{full}.part", "w", encoding="utf-8") as f:
-                    f.write(content or "")
-                os.replace(f"{full}.part", full)
+                system.create_dir(posixpath.dirname(full), recursive=True)
+                aside = f"{full}.{uuid.uuid4().hex}.part"
+                with system.open_output_stream(aside) as f:
+                    f.write((content or "").encode())
+                system.move(aside, full)
             yield pd.DataFrame({"n": [len(batch)]})
 
     return files.select("path", "content").mapInPandas(written, "n long").agg(F.sum("n")).first()[0] or 0

@@ -194,14 +194,3 @@ def test_streams(spark, tmp_path):
     late.write.mode("append").parquet(f"{tmp_path}/in/9")
     closed = result(changes.sessions(stream()), "sessions", "append")
     assert closed and set(closed) <= set(map(tuple, changes.sessions(whole.unionByName(late)).collect()))
-
-
-def test_metrics():
-    from codequarry.operators.gates import Metrics
-
-    own = Metrics()
-    with own.timed("x"):
-        own.count("n", 2)
-    own.count("n")
-    own.values["memory"] = 3.0
-    assert own.counts == {"n": 3} and own.summary()["seconds"]["x"] >= 0 and own.within({"memory": 1.5, "other": 1}) == {"memory": True, "other": False}
