@@ -6,7 +6,7 @@ remain finds the fullest feasible combination; it is taken as often as its piece
 removed. Every take uses up some length or nearly so, hence a few thousand patterns at most.
 Pieces as long as a bin are a bin each, numbered where they are made. The others get their bin by
 their rank within their length; lengths are dealt into salts of some SALT_PIECES pieces, as many as
-the corpus needs, so that no length is ranked in one task.
+the corpus needs, so that no length is ranked in one task, nor are equal rows.
 
 Nulls: null text is the empty text (only the end id). Rows with a null or repeated doc_id are
 packed like any other. Extra columns are ignored; an empty table gives an empty result.
@@ -79,33 +79,33 @@ def patterns(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int,
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece; full, a number below 0 of its own for a piece of capacity ids."""
+    """doc_id, piece, start, length, ids_crc32 of every piece; number, of its own, below 0 for a piece of capacity ids."""
     path = path or tokenizer_path()
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         own, end = encoder(path), np.array([end_id], np.uint32)
-        full = -(TaskContext.get().partitionId() << 40)
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            rows: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "full": []}
+            rows: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "number": []}
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), own.encode(batch.column("text")), strict=True):
                 raw = np.concatenate([ids, end]).astype("<u4").tobytes()
                 for k, (a, n) in enumerate(cut(len(raw) // 4, capacity)):
-                    full -= n == capacity
-                    for name, x in zip(rows, (doc_id, k, a, n, zlib.crc32(raw[4 * a : 4 * (a + n)]), full if n == capacity else None), strict=True):
+                    number += 1
+                    for name, x in zip(rows, (doc_id, k, a, n, zlib.crc32(raw[4 * a : 4 * (a + n)]), -number if n == capacity else number), strict=True):
                         rows[name].append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if c == "piece" else pa.int64()) for c, x in rows.items()], list(rows))
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return own.mapInArrow(tokenised, "doc_id long, piece int, start long, length long, ids_crc32 long, full long")
+    return own.mapInArrow(tokenised, "doc_id long, piece int, start long, length long, ids_crc32 long, number long")
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, salt_pieces: int = SALT_PIECES) -> DataFrame:
     """Every piece with its sequence_id (below 0 for full pieces) and offset."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     held = materialise(pieces(docs, path, capacity), "pieces")
-    rest = held.where("full IS NULL")
+    rest = held.where("number > 0")
     # capacity rows, then one for each salt: some rows in a million pieces
     totals = np.zeros(capacity + 1, np.int64)
     for r in rest.groupBy("length").count().collect():
@@ -113,7 +113,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, sal
     salts = -(-totals // salt_pieces)
     ends = np.cumsum(salts)
     dealt = F.element_at(F.split(F.lit(",".join(map(str, salts.tolist()))), ",").cast("array<long>"), F.col("length").cast("int") + 1)
-    rest = rest.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), dealt))
+    rest = rest.withColumn("salt", F.pmod(F.xxhash64("number"), dealt))
     counts = np.zeros(int(ends[-1]), np.int64)
     for r in rest.groupBy("length", "salt").count().collect():
         counts[ends[r["length"]] - salts[r["length"]] + r["salt"]] = r["count"]
@@ -143,10 +143,10 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, sal
                 sequence_id[own], offset[own] = seq[j] + nth // k[j], off[j] + nth % k[j] * x
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence_id), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    order = Window.partitionBy("length", "salt").orderBy("number")
     ranked = rest.withColumn("rank", F.row_number().over(order).cast("long"))
     own = ranked.mapInArrow(placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return own.unionByName(held.where("full IS NOT NULL").select(*names, F.col("full").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
+    return own.unionByName(held.where("number < 0").select(*names, F.col("number").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
