@@ -14,6 +14,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,8 +54,13 @@ TEMPLATES = (
 )
 
 
+def lowered(text: Column) -> Column:
+    """A-Z alone in lower case; '' for null."""
+    return F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase)
+
+
 def text_words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK), "")
+    return F.array_remove(F.split(lowered(text), BREAK), "")
 
 
 def gram_hashes(words: Column) -> Column:
@@ -120,7 +127,7 @@ def licences(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame
         listed(F.collect_set(label)).alias("labels"),
         F.max("coverage").alias("score"),
     )
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *text_key(docs), F.regexp_count(F.lower(F.coalesce(docs["text"], F.lit(""))), F.lit(WORD)).cast("long").alias("n_words"))
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *text_key(docs), F.regexp_count(lowered(docs["text"]), F.lit(WORD)).cast("long").alias("n_words"))
     return own.join(found, ["key", "key2"], "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score")
     )
