@@ -125,9 +125,8 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([element[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["node", "shingles"])
 
-    own = docs.select(*hashes_of(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
-    texts = own.join(nodes, ["h1", "h2"]).groupBy("node").agg(F.first("text").alias("text"))
-    return texts.mapInArrow(made, "node long, shingles binary")
+    own = docs.select(*hashes_of(F.col("text")), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["h1", "h2"])  # copies go once a task
+    return own.join(nodes, ["h1", "h2"]).select("node", "text").mapInArrow(made, "node long, shingles binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -326,7 +325,9 @@ def representatives(docs: DataFrame) -> DataFrame:
     first = labelled_nodes(docs).groupBy("class").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "h1", "h2")).alias("x"))
     wanted = first.select("x.least", "x.h1", "x.h2")
     named = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *hashes_of(docs["text"]))
-    kept = named.join(wanted, ["h1", "h2"]).where(F.col("row.doc_id").cast("long").eqNullSafe(F.col("least")))
+    own = named.withColumn("least", F.col("row.doc_id").cast("long")).alias("own")  # with the id among the keys, copies are dealt apart
+    same = [F.col(f"own.{c}") == F.col(f"wanted.{c}") for c in ("h1", "h2")] + [F.col("own.least").eqNullSafe(F.col("wanted.least"))]
+    kept = own.join(wanted.alias("wanted"), same).select("own.row", "own.h1", "own.h2")
     return kept.dropDuplicates(["h1", "h2"]).select("row.*")
 
 
