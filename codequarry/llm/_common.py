@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codequarry.plans import lineage
+from codequarry.plans.lineage import folder
+
 #: Words of the contracts: runs of anything but ASCII white space.
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -26,46 +30,58 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A temporary one only in local mode, where the session names none."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="codequarry-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Folders that materialise() has written, until release().
-WRITTEN: list[str] = []
+#: Tables that bucketed() has named, until release().
+TABLES: list[str] = []
 
 
 def release(spark: SparkSession) -> None:
     """Delete what operators have written to the shared folder. Call it once the results are written elsewhere."""
-    while WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
+    while TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {TABLES.pop()}")
+    lineage.release(spark)
 
-def materialise(df: DataFrame, tag: str, cleanup: bool = False, by: str | None = None) -> DataFrame:
-    """Write df to the shared folder, in a folder for each value of `by` if given, and read it back: cuts the lineage and outlives executors.
 
-    With cleanup, the shuffles that made df are deleted once it is written."""
-    spark = df.sparkSession
-    bounded(spark)
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    WRITTEN.append(path)
+@contextmanager
+def cleaned(spark: SparkSession, cleanup: bool) -> Iterator[None]:
+    """With cleanup, the shuffles of what is written within are deleted once it is."""
     kept = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true" if cleanup else kept)
     try:
-        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        yield
     finally:
         spark.conf.set(CLEANUP, kept)
+
+
+def materialise(df: DataFrame, tag: str, cleanup: bool = False, by: str | None = None) -> DataFrame:
+    """Write df to the shared folder, in a folder for each value of `by` if given, and read it back: cuts the lineage and outlives executors."""
+    spark = df.sparkSession
+    bounded(spark)
+    path = folder(spark, tag)
+    with cleaned(spark, cleanup):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, tag: str, by: str, n: int) -> DataFrame:
+    """As materialise(), in n buckets by a column: tables with as many buckets are joined by it without a shuffle."""
+    spark = df.sparkSession
+    bounded(spark)
+    name = f"{tag}_{uuid.uuid4().hex}"
+    with cleaned(spark, True):
+        df.write.bucketBy(n, by).option("path", folder(spark, tag)).saveAsTable(name)
+    TABLES.append(name)
+    return spark.table(name)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files behind a table that nothing reads any more."""
+    spark = df.sparkSession
+    for parent in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(parent)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -21,7 +21,6 @@ Extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm._common import Words, documents, fold, materialise, mix
+from codequarry.llm._common import Words, bucketed, discard, documents, fold, materialise, mix
 
 FOLDS, HELD_OUT = 7, 2
 #: Words of the longest grams, unless a caller asks for more.
@@ -119,9 +118,7 @@ def chunks(docs: DataFrame, n_buckets: int) -> DataFrame:
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held"))
     cut_up = own.withColumn("size", F.octet_length("text")).mapInArrow(cut, "chunk long, doc_ids array<long>, held binary, lens binary, tokens binary, words binary, counts binary, n_words long")
-    name = f"lm_chunks_{uuid.uuid4().hex}"
-    cut_up.write.format("parquet").bucketBy(n_buckets, "chunk").saveAsTable(name)
-    return docs.sparkSession.table(name)
+    return bucketed(cut_up, "lm_chunks", "chunk", n_buckets)
 
 
 def sliced(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -364,16 +361,20 @@ def summed(answers: DataFrame) -> list[int]:
     return [r["x"] for r in sorted(rows, key=lambda r: r["k"])]
 
 
-def with_answers(table: DataFrame, answers: DataFrame, k: int) -> DataFrame:
-    """Chunks with their answers of one order, which are as many as their grams; the chunks stay where they are."""
+def with_answers(table: DataFrame, answers: DataFrame, k: int, n_tables: int) -> DataFrame:
+    """Chunks with their answers of one order, which are as many as their grams. The answers move once, to buckets like the chunks', which stay where they are; the buckets' own copy goes."""
     columns = [c for c in answers.columns if c not in ("chunk", "stats", "hot")]
-    return table.join(answers.where("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct(*columns)).alias(f"answers{k}")), "chunk")
+    own = answers.where("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct(*columns)).alias(f"answers{k}"))
+    own = bucketed(own, f"lm_answers{k}", "chunk", n_tables)
+    discard(answers)
+    return table.join(own, "chunk")
 
 
 def learnt(docs: DataFrame, order: int = ORDER, n_tables: int | None = None) -> tuple[DataFrame, dict]:
     """Chunks with answers of all orders, and what scores need to know."""
     spark = docs.sparkSession
-    table = chunks(docs, n_tables or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_tables = n_tables or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = chunks(docs, n_tables)
     total = table.agg(F.sum("n_words")).first()[0] or 0
     n_words = max(8, -(-total // BUCKET_ENTRIES))
     answers = vocabulary(table, n_words)
@@ -384,14 +385,14 @@ def learnt(docs: DataFrame, order: int = ORDER, n_tables: int | None = None) ->
     whole = tokens + 1.0 if tokens and tokens - mass < 1e-9 else float(max(tokens, 1))
     n_grams = max(8, -(-tokens * FOLDS // ((FOLDS - 1) * BUCKET_ENTRIES)))
     known = {"n_words": n_words, "hot": max(1, tokens // HOT), "seen": seen, "tokens": tokens, "whole": whole, "unknown": 1 - mass / whole, "d": {1: d_words}, "n": {}, "histories": {}}
-    joined = with_answers(table.select("chunk", "doc_ids", "held", "lens", "tokens", "words"), answers, 1)
+    joined = with_answers(table.select("chunk", "doc_ids", "held", "lens", "tokens", "words"), answers, 1, n_tables)
     for k in range(2, order + 1):
         known["n"][k] = n_grams
         answers = gram_answers(joined, k, known)
         known["d"][k] = discounts(np.array([0, *(summed(answers) or [0] * (CUTOFF + 1))]))
         rows = answers.where("hot IS NOT NULL").select(F.inline("hot")).groupBy("history").agg(*(F.sum(F.get("small", F.lit(x))).alias(f"s{x}") for x in range(CUTOFF)), F.sum("large").alias("large"), F.sum("share").alias("share"))
         known["histories"][k] = {x["history"]: (np.array([x[f"s{i}"] for i in range(CUTOFF)]), x["large"], x["share"]) for x in rows.collect()}  # HOT + 1 at most
-        joined = with_answers(joined, answers, k)
+        joined = with_answers(joined, answers, k, n_tables)
     return joined, known
 
 

@@ -6,7 +6,8 @@ import pytest
 pytest.importorskip("codequarry.llm")
 
 from codequarry import llm  # noqa: E402
-from codequarry.llm._common import WRITTEN, materialise, release  # noqa: E402
+from codequarry.llm._common import TABLES, bucketed, materialise, release  # noqa: E402
+from codequarry.plans.lineage import WRITTEN  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -24,7 +25,8 @@ def test_against_sql(spark, name):
 
 
 def test_release_deletes_what_was_written(spark):
-    df = materialise(spark.range(3), "gone")
-    assert df.count() == 3 and WRITTEN
+    df, table = materialise(spark.range(3), "gone"), bucketed(spark.range(5), "gone_too", "id", 2)
+    assert df.count() == 3 and table.count() == 5 and WRITTEN and TABLES
+    name = TABLES[-1]
     release(spark)
-    assert not WRITTEN
+    assert not WRITTEN and not TABLES and not spark.catalog.tableExists(name)
