@@ -618,7 +618,7 @@ def g32_refactorings(c):
     return cycles.unionByName(pairs).unionByName(large)
 
 
-@query(f"WITH {FILE_EDGES} SELECT id AS container_id, (SELECT COUNT(*) FROM fe WHERE s = id) AS n_dependencies, (SELECT COUNT(*) FROM fe WHERE t = id) AS n_dependents FROM f_containers")
+@query(f"WITH {FILE_EDGES} SELECT c.id AS container_id, COALESCE(o.n, 0) AS n_dependencies, COALESCE(i.n, 0) AS n_dependents FROM f_containers c LEFT JOIN (SELECT s, COUNT(*) AS n FROM fe GROUP BY s) o ON o.s = c.id LEFT JOIN (SELECT t, COUNT(*) AS n FROM fe GROUP BY t) i ON i.t = c.id")
 def g33_file_degrees(c):
     ends = file_edges(c).select(F.explode(F.array(F.struct(col("s").alias("container_id"), F.lit(1).alias("o")), F.struct(col("t").alias("container_id"), F.lit(0).alias("o")))).alias("x"))
     n = ends.groupBy("x.container_id").agg(F.sum("x.o").alias("n_dependencies"), F.sum(1 - col("x.o")).alias("n_dependents"))

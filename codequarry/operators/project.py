@@ -168,9 +168,9 @@ def p19_heat_map(c):
     return files(c).groupBy(F.regexp_replace("original_path", "/[^/]*$", "").alias("directory")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["x"]), ",").alias("cells"), F.count("*").alias("n"))
 
 
-@query(f"WITH {FILES} SELECT regexp_replace(original_path, '/[^/]*$', '') AS parent, language, SUM(lines) AS size, ROUND(AVG(complexity), 5) AS color FROM files GROUP BY 1, 2")
+@query(f"WITH {FILES} SELECT regexp_replace(original_path, '/[^/]*$', '') AS parent, language, SUM(lines) AS size, ROUND(AVG(complexity), 4) AS color FROM files GROUP BY 1, 2")
 def p19_treemap(c):
-    return files(c).groupBy(F.regexp_replace("original_path", "/[^/]*$", "").alias("parent"), "language").agg(F.sum("lines").alias("size"), F.round(F.avg("complexity"), 5).alias("color"))
+    return files(c).groupBy(F.regexp_replace("original_path", "/[^/]*$", "").alias("parent"), "language").agg(F.sum("lines").alias("size"), F.round(F.avg("complexity"), 4).alias("color"))
 
 
 @query(f"WITH {FILES} SELECT container_id, language, lines, n_classes, n_functions, n_imports, ROUND(complexity, 2) AS complexity, left(md5(original_path), 8) AS hash FROM files")
