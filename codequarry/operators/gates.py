@@ -9,7 +9,7 @@ from codequarry.functions import source_text
 from codequarry.operators.graph import facts, modifiers, union
 from codequarry.operators.scores import QUALITY, lines, quality, round_trips, syntax_problems
 from codequarry.operators.screens import coupling, first_match, flagged_tested
-from codequarry.operators.text import filled, nodes, sources
+from codequarry.operators.text import filled, nodes
 from codequarry.plans.lineage import folder, written
 from codequarry.plans.observed import Observed
 from codequarry.plans.registry import query
