@@ -2,7 +2,9 @@
 
 import random
 import time
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 
 from codequarry.functions import merging
@@ -130,3 +132,31 @@ def test_component_relationships(spark):
     rows = [("f", "f", n, "Import", 2, False) for n in ("os", "sys", "c")] + [("f", "B", "A", "Inheritance", 10, True), ("f", "B", "A", "Composition", 8, True), ("f", "run", "B", "Composition", 8, True)]
     rows += [("f", a, b, "FunctionCall", 5, True) for a, b in (("inner", "help"), ("run", "inner"), ("run", "help"), ("run", "run"), ("help", "help"), ("f", "help"))]
     assert made == set(rows)
+
+
+def test_rows_are_handed_on_in_slices(monkeypatch):
+    from codequarry.functions import merging, python_source
+
+    monkeypatch.setattr(python_source, "SLICE", 2)
+    monkeypatch.setattr(merging, "SLICE", 2)
+    taken = []
+    files = SimpleNamespace(mapInPandas=lambda made, schema: taken.append(made))
+    files.select = files.repartition = lambda *x: files
+    files.sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(defaultParallelism=1))
+    monkeypatch.setattr(python_source, "F", SimpleNamespace(coalesce=lambda *x: SimpleNamespace(alias=lambda y: y), lit=str))
+    python_source.by_file(files, lambda path, text, tree: [{"n": 1}], "path string, n long")
+    batch = pd.DataFrame({"path": list("abcde"), "content": ["x = 1", "x = (", "k = 2", "y", "z"]})
+    assert [x["path"].tolist() for x in taken[0](iter([batch]))] == [["a"], ["c", "d"], ["e"]]
+    monkeypatch.setattr(merging, "F", SimpleNamespace(coalesce=lambda *x: SimpleNamespace(alias=lambda y: y), array=lambda: SimpleNamespace(cast=str)))
+    merging.merges(files)
+    texts = pd.DataFrame({"id": range(5), **{k: [["x"]] * 5 for k in ("base", "ours", "theirs")}})
+    assert [len(x) for x in taken[1](iter([texts]))] == [2, 2, 1]
+
+
+def test_quality_deals_no_tokens(spark):
+    from codequarry.operators.scores import quality
+
+    both = spark.createDataFrame([(1, "a b a c\n\nd\n", "a\nd x"), (2, "", ""), (3, "", "x"), (4, "x", ""), (5, "a b a", "a")], "id long, a string, b string")
+    made = quality(both)
+    assert "Exchange" not in made._jdf.queryExecution().toString()
+    assert dict(made.collect()) == {1: 0.72, 2: 1.0, 3: 0.0, 4: 0.0, 5: pytest.approx(0.3 + 0.7 * 2 / 3, abs=1e-6)}
