@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import source_text
 from codequarry.operators.graph import facts, modifiers, union
-from codequarry.operators.scores import QUALITY, lines, quality, round_trips, syntax_problems
+from codequarry.operators.scores import QUALITY, lines, rated, round_trips, syntax_problems
 from codequarry.operators.screens import coupling, first_match, flagged_tested
 from codequarry.operators.text import filled, nodes
 from codequarry.plans.lineage import folder, written
@@ -124,8 +124,7 @@ def q23_pipeline_success(c):
     """Of every Python file: the quality of the text generated from its blocks, and whether that is 0.7 and the text without syntax errors."""
     trips = round_trips(c)
     errors, _ = syntax_problems(col("b"), F.lit("python"))
-    rated = quality(trips.select(col("path").alias("id"), "a", "b")).withColumnRenamed("id", "path")
-    return trips.select("path", (errors == 0).alias("clean")).join(rated, "path").select("path", "quality", (col("clean") & (col("quality") >= 0.7)).alias("success"))
+    return trips.select("path", (errors == 0).alias("clean"), rated(col("a"), col("b")).alias("quality")).select("path", "quality", (col("clean") & (col("quality") >= 0.7)).alias("success"))
 
 
 @query("SELECT id, 'Describe ' || COALESCE(semantic_name, 'unnamed') || ' in ' || file_name || ': ' || raw_text AS prompt, CASE WHEN COALESCE(cc, 0) > 30 THEN 'large' ELSE 'small' END AS provider FROM f_blocks WHERE block_type = 'Function'")

@@ -6,11 +6,14 @@ one join on the id.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import add, or_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from codequarry.functions import python_source
 from codequarry.operators.graph import modifiers
@@ -20,16 +23,18 @@ from codequarry.sources.code import Code
 
 col = F.col
 WHITE = r"[\x20\x09-\x0D]+"
+TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def words(text: str | Column) -> Column:
     return F.array_remove(F.split(text, WHITE), "")
 
 
-def lines(text: str) -> Column:
+def lines(text: str | Column) -> Column:
     """As a reader of lines sees them: a last line end begins none."""
+    text = col(text) if isinstance(text, str) else text
     own = F.split(text, "\n")
-    return F.when(col(text).endswith("\n") | (col(text) == ""), F.slice(own, 1, F.size(own) - 1)).otherwise(own)
+    return F.when(text.endswith("\n") | (text == ""), F.slice(own, 1, F.size(own) - 1)).otherwise(own)
 
 
 def pairs(c: Code) -> DataFrame:
@@ -98,14 +103,25 @@ q AS (SELECT id, ROUND(CASE WHEN n = 0 THEN CASE WHEN m = 0 THEN 1 ELSE 0 END EL
 
 
 def quality(both: DataFrame) -> DataFrame:
-    """id and quality of b as a regenerated a. Tokens are dealt once, with how many times each side has them; texts are not."""
-    full = lambda k: F.size(F.array_remove(F.transform(lines(k), trimmed), ""))
-    own = both.select("id", full("a").alias("n"), full("b").alias("m"), F.size(words("a")).alias("tokens"))
-    sides = both.select("id", F.explode(F.concat(F.transform(words("a"), lambda w: F.struct(w.alias("token"), F.lit(1).alias("x"), F.lit(0).alias("y"))), F.transform(F.array_distinct(words("b")), lambda w: F.struct(w.alias("token"), F.lit(0).alias("x"), F.lit(1).alias("y"))))).alias("w"))
-    found = sides.groupBy("id", "w.token").agg(F.sum("w.x").alias("x"), F.max("w.y").alias("y")).groupBy("id").agg(F.sum(col("x") * col("y")).alias("found"))
-    by_line = F.when(col("m") == 0, 0.0).otherwise(F.least(col("m") / col("n"), col("n") / col("m")))
-    score = F.when(col("n") == 0, (col("m") == 0).cast("double")).otherwise(0.3 * by_line + 0.7 * F.coalesce("found", F.lit(0)) / col("tokens"))
-    return own.join(found, "id", "left").select("id", F.round(score, 6).alias("quality"))
+    """id and quality of b as a regenerated a, each pair in its own row: b's distinct tokens are looked up one by one, which takes a time in proportion to the texts."""
+    return both.select("id", rated(col("a"), col("b")).alias("quality"))
+
+
+def rated(a: Column, b: Column) -> Column:
+    full = lambda text: F.size(F.array_remove(F.transform(lines(text), trimmed), ""))
+    n, m, tokens = full(a), full(b), F.size(words(a))
+    by_line = F.when(m == 0, 0.0).otherwise(F.least(m / n, n / m))
+    return F.round(F.when(n == 0, (m == 0).cast("double")).otherwise(0.3 * by_line + 0.7 * found_tokens(a, b) / tokens), 6)
+
+
+@F.pandas_udf(LongType())
+def found_tokens(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How many of a's tokens, repeats counted, stand in b."""
+    out = []
+    for x, y in zip(a, b, strict=True):
+        known = set(TOKEN.findall(y or ""))
+        out.append(sum(w in known for w in TOKEN.findall(x or "")))
+    return pd.Series(out, dtype="int64")
 
 
 @query(f"WITH {P}, {QUALITY} SELECT id, quality FROM q")
@@ -140,8 +156,7 @@ def q07_success_score(c):
     """Of every migration: 0.4 of its round-trip accuracy; 20 if half of its files are rebuilt at a quality of 0.7, 15 if their formatting varies by 0.3 at most on average,
     15 if no source is left, 10 if its blocks are no more complex than all blocks on average."""
     trips = round_trips(c).withColumn("variance", variance())
-    rated = quality(trips.select(col("path").alias("id"), "a", "b")).withColumnRenamed("id", "path")
-    f = trips.join(rated, "path").groupBy(col("migration_id").alias("id")).agg((100.0 * F.avg(col("same").cast("int"))).alias("accuracy"), (F.avg((col("quality") >= 0.7).cast("int")) >= 0.5).alias("rebuilt"), (F.avg("variance") <= 0.3).alias("formatted"))
+    f = trips.withColumn("quality", rated(col("a"), col("b"))).groupBy(col("migration_id").alias("id")).agg((100.0 * F.avg(col("same").cast("int"))).alias("accuracy"), (F.avg((col("quality") >= 0.7).cast("int")) >= 0.5).alias("rebuilt"), (F.avg("variance") <= 0.3).alias("formatted"))
     left = c.containers.groupBy(col("migration_id").alias("id")).agg(F.count("source_code").alias("sources"))
     base = F.broadcast(c.blocks.agg(F.avg("cc").alias("base")))  # one row
     cost = c.blocks.groupBy(col("migration_id").alias("id")).agg(F.avg("cc").alias("own")).join(base, F.lit(True)).select("id", (col("own") <= col("base")).alias("no_regression"))
