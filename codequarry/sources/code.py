@@ -47,6 +47,8 @@ SPECIFIED = (
     '"parameters": ["a", "b"], "async": true, "methods": [], "imports": ["x.y", "z"], "constraints": {"limit": "at most 5", "kind": "pure"}', '"inherits": "Base", "fields": {"a": 1}, "constraints": {"c": "d"}, "return_type": "int"', '"exports": ["f"], "type": "lib", "imports": []',
     '"methods": ["m"], "extends": null, "visibility": "public"', '"preconditions": ["p"], "invariants": [], "parameters": []',
 )
+#: Rows of relationships in a task that takes pairs once.
+EDGES = 200_000
 CHANGES = {"view": "DocumentationAdded", "click": "DependencyAdded", "purchase": "TestAdded", "signup": "PatternIntroduced"}
 
 
@@ -211,10 +213,16 @@ class Code:
         state = F.concat(F.lit('{"complexity_metrics":{"cyclomatic_complexity":'), F.get_json_object("props", "$.k"), F.lit("}}"))
         return self.table("events").select(F.col("event_id").alias("change_id"), F.col("event_id").alias("commit_id"), F.col("user_id").alias("block_id"), F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string")).alias("author"), F.col("ts").alias("changed_at"), kind.alias("change_type"), state.alias("after_state"))
 
+    @cached_property
+    def edge_tasks(self) -> int:
+        return 1 + self.relationships.count() // EDGES
+
     def edges(self, *kinds: str) -> DataFrame:
-        """s and t of the relationships of some types (of all, if none is given), each pair once."""
+        """s and t of the relationships of some types (of all, if none is given), each pair once.
+
+        Dealt to tasks by their number: ids compress so far that tasks sized by bytes would hold millions of pairs."""
         r = self.relationships.where(F.col("relationship_type").isin(*kinds)) if kinds else self.relationships
-        return r.select(F.col("source_block_id").alias("s"), F.col("target_block_id").alias("t")).distinct()
+        return r.select(F.col("source_block_id").alias("s"), F.col("target_block_id").alias("t")).repartition(self.edge_tasks, "s", "t").distinct()
 
 
 @lru_cache(maxsize=4)
