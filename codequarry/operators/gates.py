@@ -243,7 +243,7 @@ b.id IN (SELECT target_block_id FROM f_relationships WHERE relationship_type = '
 def x11_block_contexts(c):
     """All optional sections of every block's context in one row."""
     score = F.round(1 + 0.1 * col("n_params") + 0.05 * modifiers() + 0.1 * col("indent") + 0.2 * F.coalesce("cc", F.lit(0)), 6)
-    own = flagged_tested(c).join(coupling(c), "id", "left").fillna(0, ["ce", "ca"])
+    own = c.dealt(flagged_tested(c)).join(coupling(c), "id", "left").fillna(0, ["ce", "ca"])
     return own.select("id", "semantic_name", "file_name", score.alias("complexity_score"), col("ce").alias("n_dependencies"), col("ca").alias("n_consumers"), F.coalesce("has_test", F.lit(False)).alias("tested"))
 
 

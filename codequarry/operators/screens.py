@@ -14,6 +14,8 @@ from codequarry.sources.code import Code
 col, when = F.col, F.when
 PLACE = ("id", "semantic_name", "file_name", "language")
 WORDS = ("select", "insert", "update", "delete")
+#: Parts of the edges in a task that takes pairs once: tasks are the more even, the more they are.
+PARTS = 64
 
 
 def function() -> Column:
@@ -52,9 +54,13 @@ def share(part: Column, whole: Column, digits: int = 6) -> Column:
 
 
 def coupling(c: Code) -> DataFrame:
-    """id, ce and ca: distinct targets and sources of every block with an edge, in one pass over the edges."""
-    ends = c.edges().select(F.explode(F.array(F.struct(col("s").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(col("t").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"))
-    return ends.groupBy("x.id").agg(F.sum("x.o").alias("ce"), F.sum("x.i").alias("ca"))
+    """id, ce and ca: distinct targets and sources of every block with an edge, in one pass over the edges, dealt by id.
+
+    Pairs are dealt by PARTS parts a task, and each part sums its own, so that a hub is a row of each part to the task of its id."""
+    edges = c.pairs().withColumn("part", F.pmod(F.xxhash64("s", "t"), F.lit(PARTS * c.edge_tasks))).repartition(c.edge_tasks, "part").distinct()
+    ends = edges.select("part", F.explode(F.array(F.struct(col("s").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(col("t").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"))
+    sums = ends.groupBy("part", "x.id").agg(F.sum("x.o").alias("ce"), F.sum("x.i").alias("ca"))
+    return c.dealt(sums).groupBy("id").agg(F.sum("ce").alias("ce"), F.sum("ca").alias("ca"))
 
 
 def instability() -> Column:
@@ -135,7 +141,8 @@ FROM f_blocks b LEFT JOIN (SELECT source_block_id AS k, COUNT(DISTINCT target_bl
 WHERE b.block_type IN ('Function', 'Class', 'Module') AND (COALESCE(o.n, 0) > 5 OR COALESCE(i.n, 0) > 10)""")
 def v11_dependency_analysis(c):
     close = coupling(c).where("ce > 5 OR ca > 10")
-    return c.blocks.where(col("block_type").isin("Function", "Class", "Module")).join(close, "id").select(*PLACE, col("ce").alias("efferent_coupling"), col("ca").alias("afferent_coupling"), instability().alias("instability"), "position")
+    own = c.dealt(c.blocks.where(col("block_type").isin("Function", "Class", "Module")))
+    return own.join(close, "id").select(*PLACE, col("ce").alias("efferent_coupling"), col("ca").alias("afferent_coupling"), instability().alias("instability"), "position")
 
 
 @query("""SELECT c.language, COUNT(DISTINCT CASE WHEN b.block_type = 'Function' THEN b.id END) AS total_functions, COUNT(DISTINCT CASE WHEN b.block_type = 'Function' AND r.source_block_id IS NOT NULL THEN b.id END) AS tested_functions,

@@ -47,7 +47,7 @@ SPECIFIED = (
     '"parameters": ["a", "b"], "async": true, "methods": [], "imports": ["x.y", "z"], "constraints": {"limit": "at most 5", "kind": "pure"}', '"inherits": "Base", "fields": {"a": 1}, "constraints": {"c": "d"}, "return_type": "int"', '"exports": ["f"], "type": "lib", "imports": []',
     '"methods": ["m"], "extends": null, "visibility": "public"', '"preconditions": ["p"], "invariants": [], "parameters": []',
 )
-#: Rows of relationships in a task that takes pairs once.
+#: Rows of relationships in a task that takes pairs once, and of blocks or relationships in one that joins by id.
 EDGES = 200_000
 CHANGES = {"view": "DocumentationAdded", "click": "DependencyAdded", "purchase": "TestAdded", "signup": "PatternIntroduced"}
 
@@ -217,12 +217,24 @@ class Code:
     def edge_tasks(self) -> int:
         return 1 + self.relationships.count() // EDGES
 
+    @cached_property
+    def id_tasks(self) -> int:
+        return max(self.edge_tasks, 1 + self.blocks.count() // EDGES)
+
+    def dealt(self, df: DataFrame) -> DataFrame:
+        """df by id, in tasks numbered by the rows of blocks and relationships and not by bytes."""
+        return df.repartition(self.id_tasks, "id")
+
+    def pairs(self, *kinds: str) -> DataFrame:
+        """s and t of the relationships of some types (of all, if none is given), as often as they stand."""
+        r = self.relationships.where(F.col("relationship_type").isin(*kinds)) if kinds else self.relationships
+        return r.select(F.col("source_block_id").alias("s"), F.col("target_block_id").alias("t"))
+
     def edges(self, *kinds: str) -> DataFrame:
         """s and t of the relationships of some types (of all, if none is given), each pair once.
 
         Dealt to tasks by their number: ids compress so far that tasks sized by bytes would hold millions of pairs."""
-        r = self.relationships.where(F.col("relationship_type").isin(*kinds)) if kinds else self.relationships
-        return r.select(F.col("source_block_id").alias("s"), F.col("target_block_id").alias("t")).repartition(self.edge_tasks, "s", "t").distinct()
+        return self.pairs(*kinds).repartition(self.edge_tasks, "s", "t").distinct()
 
 
 @lru_cache(maxsize=4)
