@@ -97,15 +97,24 @@ QUALITY = f"""l AS (SELECT id, len(list_filter({L.format('a')}, lambda z: {TRIM.
 q AS (SELECT id, ROUND(CASE WHEN n = 0 THEN CASE WHEN m = 0 THEN 1 ELSE 0 END ELSE 0.3 * LEAST(m::DOUBLE / n, CASE WHEN m = 0 THEN 0 ELSE n::DOUBLE / m END) + 0.7 * len(list_filter(x, lambda w: list_contains(y, w)))::DOUBLE / len(x) END, 6) AS quality FROM l)"""
 
 
+def counted() -> list[Column]:
+    """n and m, the lines of a and b that are not blank, and tokens, those of a."""
+    full = lambda k: F.size(F.array_remove(F.transform(lines(k), trimmed), ""))
+    return [full("a").alias("n"), full("b").alias("m"), F.size(words("a")).alias("tokens")]
+
+
+def rated(found: Column) -> Column:
+    """Quality from what counted() counts and the number of a's tokens found in b."""
+    by_line = F.when(col("m") == 0, 0.0).otherwise(F.least(col("m") / col("n"), col("n") / col("m")))
+    return F.round(F.when(col("n") == 0, (col("m") == 0).cast("double")).otherwise(0.3 * by_line + 0.7 * found / col("tokens")), 6)
+
+
 def quality(both: DataFrame) -> DataFrame:
     """id and quality of b as a regenerated a. Tokens are dealt once, with how many times each side has them; texts are not."""
-    full = lambda k: F.size(F.array_remove(F.transform(lines(k), trimmed), ""))
-    own = both.select("id", full("a").alias("n"), full("b").alias("m"), F.size(words("a")).alias("tokens"))
+    own = both.select("id", *counted())
     sides = both.select("id", F.explode(F.concat(F.transform(words("a"), lambda w: F.struct(w.alias("token"), F.lit(1).alias("x"), F.lit(0).alias("y"))), F.transform(F.array_distinct(words("b")), lambda w: F.struct(w.alias("token"), F.lit(0).alias("x"), F.lit(1).alias("y"))))).alias("w"))
     found = sides.groupBy("id", "w.token").agg(F.sum("w.x").alias("x"), F.max("w.y").alias("y")).groupBy("id").agg(F.sum(col("x") * col("y")).alias("found"))
-    by_line = F.when(col("m") == 0, 0.0).otherwise(F.least(col("m") / col("n"), col("n") / col("m")))
-    score = F.when(col("n") == 0, (col("m") == 0).cast("double")).otherwise(0.3 * by_line + 0.7 * F.coalesce("found", F.lit(0)) / col("tokens"))
-    return own.join(found, "id", "left").select("id", F.round(score, 6).alias("quality"))
+    return own.join(found, "id", "left").select("id", rated(F.coalesce("found", F.lit(0))).alias("quality"))
 
 
 @query(f"WITH {P}, {QUALITY} SELECT id, quality FROM q")
@@ -126,11 +135,14 @@ def q06_formatting_variance(c):
     return pairs(c).select("id", variance().alias("variance"))
 
 
-def round_trips(c: Code) -> DataFrame:
-    """path, migration_id, a (a Python file's text), b (the text generated from its blocks), parses and same of python_source.rebuilt."""
-    made = python_source.rebuilt(c.files.where("language = 'python'").select("path", "content"))
+def round_trips(c: Code, *figures: Column) -> DataFrame:
+    """path, migration_id, parses and same of python_source.rebuilt, and figures of a (a Python file's text), b (the text generated from its blocks) and kept (a's tokens that stand in b);
+    a and b themselves, if no figures are given.
+
+    Files are rebuilt once and the figures taken in a file's own row, so that no text meets a shuffle after that."""
+    made = python_source.rebuilt(c.files.where("language = 'python'").select("path", "content")).withColumnsRenamed({"original": "a", "generated": "b"})
     home = c.containers.select(col("id").cast("string").alias("path"), "migration_id")
-    return made.join(home, "path").select("path", "migration_id", col("original").alias("a"), col("generated").alias("b"), "parses", "same")
+    return made.select("path", "parses", "same", *(figures or (col("a"), col("b")))).join(home, "path")
 
 
 @query(f"""WITH p AS (SELECT path AS id, a, b FROM f_rebuilt), {QUALITY}, f AS (SELECT r.migration_id AS id, 100.0 * AVG(CASE WHEN n = 0 AND d = 0 THEN 1 ELSE 0 END) AS accuracy, AVG(CASE WHEN quality >= 0.7 THEN 1 ELSE 0 END) >= 0.5 AS rebuilt, AVG(ROUND({VARIANCE}, 6)) <= 0.3 AS formatted FROM f_rebuilt r JOIN q ON q.id = r.path GROUP BY r.migration_id)
@@ -139,12 +151,13 @@ SELECT id, ROUND(0.4 * accuracy + CASE WHEN rebuilt THEN 20 ELSE 0 END + CASE WH
 def q07_success_score(c):
     """Of every migration: 0.4 of its round-trip accuracy; 20 if half of its files are rebuilt at a quality of 0.7, 15 if their formatting varies by 0.3 at most on average,
     15 if no source is left, 10 if its blocks are no more complex than all blocks on average."""
-    trips = round_trips(c).withColumn("variance", variance())
-    rated = quality(trips.select(col("path").alias("id"), "a", "b")).withColumnRenamed("id", "path")
-    f = trips.join(rated, "path").groupBy(col("migration_id").alias("id")).agg((100.0 * F.avg(col("same").cast("int"))).alias("accuracy"), (F.avg((col("quality") >= 0.7).cast("int")) >= 0.5).alias("rebuilt"), (F.avg("variance") <= 0.3).alias("formatted"))
+    trips = round_trips(c, *counted(), col("kept"), variance().alias("variance")).withColumn("quality", rated(col("kept")))
+    f = trips.groupBy(col("migration_id").alias("id")).agg((100.0 * F.avg(col("same").cast("int"))).alias("accuracy"), (F.avg((col("quality") >= 0.7).cast("int")) >= 0.5).alias("rebuilt"), (F.avg("variance") <= 0.3).alias("formatted"))
     left = c.containers.groupBy(col("migration_id").alias("id")).agg(F.count("source_code").alias("sources"))
-    base = F.broadcast(c.blocks.agg(F.avg("cc").alias("base")))  # one row
-    cost = c.blocks.groupBy(col("migration_id").alias("id")).agg(F.avg("cc").alias("own")).join(base, F.lit(True)).select("id", (col("own") <= col("base")).alias("no_regression"))
+    each = c.own_blocks.groupBy("container_id").agg(F.sum("cc").alias("cc"), F.count("cc").alias("n"))
+    cost = each.join(c.containers.select(col("id").alias("container_id"), col("migration_id").alias("id")), "container_id").groupBy("id").agg(F.sum("cc").alias("cc"), F.sum("n").alias("n"))
+    base = F.broadcast(cost.agg(F.try_divide(F.sum("cc"), F.sum("n")).alias("base")))  # one row
+    cost = cost.join(base, F.lit(True)).select("id", (F.try_divide("cc", "n") <= col("base")).alias("no_regression"))
     flags = (("rebuilt", 20), ("formatted", 15), ("no_regression", 10))
     score = 0.4 * col("accuracy") + reduce(add, (F.when(col(k), n).otherwise(0) for k, n in flags)) + F.when(col("sources") == 0, 15).otherwise(0)
     return f.join(left, "id").join(cost, "id").select("id", F.round(score, 6).alias("score"))
