@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.functions import brace_source, expressions, python_source, source_text
-from codequarry.operators.scores import QUALITY, quality, round_trips, words
+from codequarry.operators.scores import QUALITY, counted, rated, round_trips, words
 from codequarry.operators.screens import first_match
 from codequarry.plans.registry import query
 from codequarry.sources.code import Code
@@ -288,10 +288,9 @@ def x06_round_trip_accuracy(c):
 FROM f_rebuilt JOIN q ON q.id = path GROUP BY migration_id""")
 def x07_elimination_run(c):
     """Of every migration: its files, those whose generated text has a quality of 0.7 or more, the mean quality of these, and their share."""
-    trips = round_trips(c)
-    rated = trips.select("path", "migration_id").join(quality(trips.select(col("path").alias("id"), "a", "b")).withColumnRenamed("id", "path"), "path")
+    trips = round_trips(c, *counted(), col("kept")).withColumn("quality", rated(col("kept")))
     good = col("quality") >= 0.7
-    return rated.groupBy("migration_id").agg(F.count("*").alias("n"), F.count_if(good).alias("successes"), F.round(F.avg(F.when(good, col("quality"))), 5).alias("mean_quality"), F.round(100.0 * F.count_if(good) / F.count("*"), 6).alias("progress"))
+    return trips.groupBy("migration_id").agg(F.count("*").alias("n"), F.count_if(good).alias("successes"), F.round(F.avg(F.when(good, col("quality"))), 5).alias("mean_quality"), F.round(100.0 * F.count_if(good) / F.count("*"), 6).alias("progress"))
 
 
 @query("SELECT id, semantic_name, block_type FROM f_blocks WHERE body_ast IS NOT NULL AND semantic_name <> ''")

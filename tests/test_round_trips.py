@@ -64,3 +64,8 @@ def test_quality_in_a_files_own_row_is_that_of_dealt_tokens(spark):
     found, wanted = ({r["path"]: r["quality"] for r in x.collect()} for x in (own, quality(made.select(F.col("path").alias("id"), "a", "b")).withColumnRenamed("id", "path")))
     assert found == pytest.approx(wanted, abs=1e-9)
     assert len(found) == 9 and found["0"] == 1.0 and found["5"] == 1.0
+
+
+def test_x07_rebuilds_each_file_once(spark):
+    made = registry.queries()["x07_elimination_run"](spark, SF)
+    assert times_rebuilt(made) == 1
