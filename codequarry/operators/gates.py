@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import source_text
 from codequarry.operators.graph import facts, modifiers, union
-from codequarry.operators.scores import QUALITY, lines, quality, round_trips, syntax_problems
+from codequarry.operators.scores import QUALITY, counted, lines, rated, round_trips, syntax_problems
 from codequarry.operators.screens import coupling, first_match, flagged_tested
 from codequarry.operators.text import filled, nodes
 from codequarry.plans.lineage import folder, written
@@ -122,10 +122,9 @@ def q21_components(c):
 @query(f"""WITH p AS (SELECT path AS id, a, b FROM f_rebuilt), {QUALITY} SELECT path, quality, NOT (contains(b, 'def ') AND NOT contains(b, ':')) AND quality >= 0.7 AS success FROM f_rebuilt JOIN q ON q.id = path""")
 def q23_pipeline_success(c):
     """Of every Python file: the quality of the text generated from its blocks, and whether that is 0.7 and the text without syntax errors."""
-    trips = round_trips(c)
     errors, _ = syntax_problems(col("b"), F.lit("python"))
-    rated = quality(trips.select(col("path").alias("id"), "a", "b")).withColumnRenamed("id", "path")
-    return trips.select("path", (errors == 0).alias("clean")).join(rated, "path").select("path", "quality", (col("clean") & (col("quality") >= 0.7)).alias("success"))
+    trips = round_trips(c, *counted(), col("kept"), (errors == 0).alias("clean")).withColumn("quality", rated(col("kept")))
+    return trips.select("path", "quality", (col("clean") & (col("quality") >= 0.7)).alias("success"))
 
 
 @query("SELECT id, 'Describe ' || COALESCE(semantic_name, 'unnamed') || ' in ' || file_name || ': ' || raw_text AS prompt, CASE WHEN COALESCE(cc, 0) > 30 THEN 'large' ELSE 'small' END AS provider FROM f_blocks WHERE block_type = 'Function'")
@@ -269,7 +268,7 @@ def x16_files_by_path(c):
 @query("SELECT path, len(string_split(b, chr(10))) - 1 AS n_lines, TRUE AS parses, n = 0 AND d = 0 AS success FROM f_rebuilt")
 def x20_builder_results(c):
     """What was built from every Python file's blocks: its lines, whether it parses, and whether it gives the same blocks."""
-    return round_trips(c).select("path", (F.size(F.split("b", "\n")) - 1).alias("n_lines"), "parses", col("same").alias("success"))
+    return round_trips(c, (F.size(F.split("b", "\n")) - 1).alias("n_lines")).select("path", "n_lines", "parses", col("same").alias("success"))
 
 
 @query("SELECT id, COALESCE(language, 'python') AS target_language, CASE block_type WHEN 'Class' THEN 'class' WHEN 'Function' THEN 'function' ELSE 'default' END AS pattern FROM f_blocks")

@@ -69,3 +69,8 @@ def test_quality_in_a_files_own_row_is_that_of_dealt_tokens(spark):
 def test_x07_rebuilds_each_file_once(spark):
     made = registry.queries()["x07_elimination_run"](spark, SF)
     assert times_rebuilt(made) == 1
+
+
+def test_q23_rebuilds_each_file_once(spark):
+    made = registry.queries()["q23_pipeline_success"](spark, SF)
+    assert times_rebuilt(made) == 1
